@@ -217,7 +217,8 @@ def _after_pair(s: str, start: int, lo: int, hi: int) -> bool:
         return told and s[before] in ":"
     if nxt.isupper() or nxt.isdigit():
         return j > hi + 1 or told
-    if any(c in w for c in "-/_") or any(c.isdigit() for c in w):
+    # a name of a module or path may open a sentence though it is small
+    if any(c in w for c in "/_") or any(c.isdigit() for c in w) or told and "-" in w:
         return j > hi + 1
     return told and (mark in "?؟？" or s[before] == ",") and w not in CARRY_ON
 

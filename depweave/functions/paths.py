@@ -12,7 +12,7 @@ def path_form(c: Column) -> Column:
     Surrounding blanks go, backslashes become slashes, runs of slashes become
     one, and leading ``./`` go. Letter case stays.
     """
-    x = F.translate(F.btrim(c, F.lit(" \t\r\n\f\u000b ")), "\\", "/")
+    x = F.translate(F.btrim(c, F.lit(" \t\r\n\f\u000b\u00a0")), "\\", "/")
     return F.regexp_replace(F.regexp_replace(x, "/{2,}", "/"), r"^(\./)+", "")
 
 

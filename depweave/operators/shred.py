@@ -83,7 +83,7 @@ def decode(body: str | None) -> object:
     if not body:
         return None
     try:
-        return json.loads(body[1:] if body[0] == "﻿" else body, parse_constant=_no_constant)
+        return json.loads(body[1:] if body[0] == "\ufeff" else body, parse_constant=_no_constant)
     except (ValueError, RecursionError):
         return None
 

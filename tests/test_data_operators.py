@@ -125,7 +125,7 @@ BODIES = [
     '{"graph":{"modules":{"source":"\\u00e9\\n","rules":[{"name":"own"}]}},"version":3}',
     '[{"source":"q","dependencies":[{"rules":[],"cycle":null,"resolved":""}]}]',
     "", None, "{", "null", "3", '"x"', "[]", "{}", '{"modules":null}', '{"modules":[1,true,[{"source":"in"}]]}',
-    '{"modules":[{"source":"\\ud800x"}]}', '﻿{"modules":[{"source":"bom"}]}', '{"modules":[{"source":NaN}]}', "[" * 100000,
+    '{"modules":[{"source":"\\ud800x"}]}', '\ufeff{"modules":[{"source":"bom"}]}', '{"modules":[{"source":NaN}]}', "[" * 100000,
 ]
 
 

@@ -248,7 +248,7 @@ def sentence(r: Rule) -> str:
     return f"No module {side(r.from_.path, r.from_.pathNot, 'at all')} may {verb} a module {side(r.to.path, r.to.pathNot, 'at all')}{types}{''.join(' ' + e for e in extra)}."
 
 
-def test_rules(spark, rules: RuleSet) -> DataFrame:
+def run_examples(spark, rules: RuleSet) -> DataFrame:
     """(rule, edge, wanted, passed): the rules' own examples on a graph made of them (Q20)."""
     rows = []
     for r in rules.forbidden:

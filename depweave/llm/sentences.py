@@ -34,13 +34,14 @@ pág. págs. párr. núm. cap. Pág. Núm.
 рис. Рис. п. пп. стр. гл. табл. ст. № т.
 सं. पृ. क्र. ص. ج.
 """.split()
-# ... or may end a sentence.
-MAY_END = """
-etc. Etc. a.m. p.m. A.M. P.M. min. sec. hrs. Jr. Inc. Ltd. Co. al.
-usw. usf. u.ä. o.ä. Std. Min. Mio. Mrd.
-т.д. т.п. др. пр. г. гг. ч. мин. руб. сек. тыс. млн.
-a.C. d.C. EE.UU. आदि.
+# ... or may end a sentence: units and times of day, which a number may follow ...
+UNITS = """
+a.m. p.m. A.M. P.M. min. sec. hrs. Std. Min. Mio. Mrd. г. гг. ч. мин. руб. сек. тыс. млн. a.C. d.C.
 """.split()
+# ... and others.
+MAY_END = """
+etc. Etc. Jr. Inc. Ltd. Co. al. usw. usf. u.ä. o.ä. т.д. т.п. др. пр. EE.UU. आदि.
+""".split() + UNITS
 # Month names that follow an ordinal's point in German.
 MONTHS = "Januar Jänner Februar Feber März April Mai Juni Juli August September Oktober November Dezember".split()
 #: Words that open a time of day before the main clause.
@@ -79,6 +80,7 @@ _HEAD = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]+|(?=[\r\n]|$))")
 _BULLET = re.compile(r"[ \t]*[-*+•][ \t]+")
 _NUMBER = re.compile(r"[ \t]*(\d{1,9})[.)][ \t]+")
 _RULE = re.compile(r"[ \t]*(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|={3,})[ \t]*$")
+_MARKUP = re.compile(r"([*`~_]+)|<(\w+)>")
 _WORD = re.compile(r"[^\s" + _CLOSE + r",;:!?…]+")
 _ORDINAL = re.compile(r"(?<![\w.,])\d{1,2}$")
 
@@ -94,7 +96,7 @@ def _trie(words: list[str]) -> dict:
     return root
 
 
-_BIND, _NUMBERED, _MAY_END = _trie(BIND), _trie(NUMBERED), _trie(MAY_END)
+_BIND, _NUMBERED, _MAY_END, _UNITS = _trie(BIND), _trie(NUMBERED), _trie(MAY_END), _trie(UNITS)
 
 
 def _rests() -> tuple[dict, dict[str, list[str]]]:
@@ -118,7 +120,7 @@ def _abbreviation(s: str, dot: int, start: int, trie: dict) -> int:
         if ch in at:
             at = at[ch]
             i -= 1
-            if "" in at and (i < start or not (s[i].isalnum() or "̀" <= s[i] <= "ͯ" or "ऀ" <= s[i] <= "ॿ")):
+            if "" in at and (i < start or not (s[i].isalnum() or s[i] in "-_/.@" or "̀" <= s[i] <= "ͯ" or "ऀ" <= s[i] <= "ॿ")):
                 best = i + 1
         elif ch.isspace() and "." in at and i != dot:
             i -= 1
@@ -182,6 +184,11 @@ def _inner_end(s: str, lo: int, hi: int) -> str:
     return s[hi - 1]
 
 
+def _is_name(word: str) -> bool:
+    """Whether a small word is the name of a module or path."""
+    return any(c in word for c in "-/_") or any(c.isdigit() for c in word)
+
+
 def _after_pair(s: str, start: int, lo: int, hi: int) -> bool:
     """Whether a sentence ends with the pair lo..hi that closes at the lowest level."""
     mark = _inner_end(s, lo + 1, hi)
@@ -199,7 +206,7 @@ def _after_pair(s: str, start: int, lo: int, hi: int) -> bool:
         return False
     opens = lo == start
     if s[lo] in BRACKETS:
-        return opens and not nxt.islower()
+        return opens
     if s[lo] in TITLES:
         return False
     before = lo - 1
@@ -218,7 +225,7 @@ def _after_pair(s: str, start: int, lo: int, hi: int) -> bool:
     if nxt.isupper() or nxt.isdigit():
         return j > hi + 1 or told
     # a name of a module or path may open a sentence though it is small
-    if any(c in w for c in "/_") or any(c.isdigit() for c in w) or told and "-" in w:
+    if _is_name(w) and (told or "-" not in w or "/" in w):
         return j > hi + 1
     return told and (mark in "?؟？" or s[before] == ",") and w not in CARRY_ON
 
@@ -237,8 +244,14 @@ def _point_ends(s: str, start: int, dot: int, nxt: int) -> bool:
         return False
     at = _abbreviation(s, dot, start, _MAY_END)
     if at >= 0:
-        if ch.islower() or ch.isdigit() or ch in PAUSES or ch in CLOSERS and ch not in OPENERS:
+        if ch in PAUSES or ch in CLOSERS and ch not in OPENERS:
             return False
+        unit = _abbreviation(s, dot, start, _UNITS) >= 0
+        if ch.isdigit():
+            return not unit
+        if ch.islower():
+            word = _WORD.match(s, nxt)
+            return not unit and word is not None and _is_name(word.group())
         if not (ch.isupper() or ch in OPENERS):
             return True
         words = s[start:at].split()
@@ -258,6 +271,16 @@ def _point_ends(s: str, start: int, dot: int, nxt: int) -> bool:
     return True
 
 
+def _with_markup(s: str, start: int, end: int) -> int:
+    """Emphasis that opened at the start of a sentence and closes right after its mark belongs to it."""
+    m = _MARKUP.match(s, start)
+    if m:
+        close = f"</{m.group(2)}>" if m.group(2) else m.group(1)[::-1]
+        if s.startswith(close, end):
+            return end + len(close)
+    return end
+
+
 def _block(s: str, offset: int, out: list[tuple[int, int]]) -> None:
     """Sentences of one block; ``offset`` is where its text starts in the document."""
     n = len(s)
@@ -283,7 +306,8 @@ def _block(s: str, offset: int, out: list[tuple[int, int]]) -> None:
                 end += 1
         elif ch.isspace():
             at = m.end()
-            if "\r" in s[at : at + 1] or "\n" in s[at : at + 1] or at >= n or not _THAI.search(s, start, i):
+            # blanks at the end or the start of a line belong to the line break
+            if at >= n or s[at] in "\r\n" or s[i - 1] in "\r\n" or not _THAI.search(s, start, i):
                 continue
             end = i
         elif ch in TERMINATORS:
@@ -307,6 +331,7 @@ def _block(s: str, offset: int, out: list[tuple[int, int]]) -> None:
         else:
             at = m.end()
             continue
+        end = _with_markup(s, start, end)
         out.append((offset + start, offset + end))
         start = at = _SPACE.match(s, end).end()
         if start >= n:

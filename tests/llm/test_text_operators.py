@@ -24,6 +24,7 @@ def cut(text):
         ('The log said "It failed. Retry." and went on. "Stop!" was all.', ['The log said "It failed. Retry." and went on.', '"Stop!" was all.']),
         ("The slice (it was so at the time!) lives. (It is tracked.) What!!!", ["The slice (it was so at the time!) lives.", "(It is tracked.)", "What!!!"]),
         ("At 9 a.m. CI ran. It ends at 6 p.m. Nobody came.", ["At 9 a.m. CI ran.", "It ends at 6 p.m.", "Nobody came."]),
+        ("We skip tmp, etc. ab-c resolves. Folders etc. are out. Skip etc. 16 were left. (It is so.) ab does.", ["We skip tmp, etc.", "ab-c resolves.", "Folders etc. are out.", "Skip etc.", "16 were left.", "(It is so.)", "ab does."]),
         ("It was so... then it went. Hm… yes.", ["It was so... then it went.", "Hm… yes."]),
         ("Am 28. Mai ist z. B. Ruhe. Siehe Nr. 3 bzw. S. 4 usw. im Text.", ["Am 28. Mai ist z. B. Ruhe.", "Siehe Nr. 3 bzw. S. 4 usw. im Text."]),
         ("Es heißt: „Es ging schief. Bitte neu.“ und dann nichts. Er fragte: „Wer?“ Im Plan", ["Es heißt: „Es ging schief. Bitte neu.“ und dann nichts.", "Er fragte: „Wer?“", "Im Plan"]),
@@ -41,6 +42,8 @@ def cut(text):
         ("```\na. b\n```\nc. d", ["c.", "d"]),
         ("a ) b. c ( d. e", ["a ) b.", "c ( d.", "e"]),
         ("v1.2.3 and 1,000.5 at a.b/c.d end", ["v1.2.3 and 1,000.5 at a.b/c.d end"]),
+        ("*若有人。*`假设。`<b>请。</b>完。 x", ["*若有人。*", "`假设。`", "<b>请。</b>", "完。", "x"]),
+        ("> ผ่านแล้ว\n> ไม่ต้อง ครับ", ["ผ่านแล้ว\n> ไม่ต้อง", "ครับ"]),
         ("", []), (None, []), (" \n\t\n", []), ("---\n", []), (".", ["."]),
     ],
 )

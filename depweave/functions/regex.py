@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -217,8 +218,6 @@ def captured(c: Column, p: str) -> Column | None:
     if not any(optional):
         whole = F.array(*[F.regexp_extract(c, java, k) for k in range(len(optional) + 1)])
         return F.when(c.rlike(java), whole).otherwise(F.array().cast("array<string>"))
-    import pandas as pd
-
     compiled = re.compile(re.sub(r"\(\?<([A-Za-z])", r"(?P<\1", p).replace("[^]", r"[\s\S]").replace("$", r"\Z"))
 
     @F.pandas_udf("array<string>")

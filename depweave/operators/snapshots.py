@@ -62,7 +62,8 @@ def snapshot_changes(
     """(group, snapshot, ``key``, ``change``) for each snapshot against the one before it in its group by ``taken``.
 
     ``key`` and ``value`` are normalised expressions; a record has changed if
-    its ``value`` (any orderable type, null a value of its own) differs. Of
+    its ``value`` (any orderable type, null a value of its own) differs; values
+    are compared by 128-bit digests. Of
     several rows of one key in one snapshot the last by ``version`` holds, rows
     equal in it are decided by value. First snapshots give nothing. Snapshots
     of equal time are ordered by id; a snapshot whose rows name several times has
@@ -78,8 +79,10 @@ def snapshot_changes(
     # a range partitioning by the whole key also serves the deduplication and splits a hot group anywhere
     ranged = slim.repartitionByRange(tasks, "group_", "snap_", "key_")
     held = ranged.groupBy("group_", "snap_", "key_").agg(F.max(F.struct("version_", "value_")).alias("m_"), F.min("taken_").alias("taken_"))
+    # from here on a value counts only as equal or different: its 128-bit digest goes in its place
+    told = F.to_json(F.struct(F.col("m_.value_").alias("v")), {"ignoreNullFields": "false"})
     rows = held.select(
-        "group_", "snap_", "taken_", "key_", F.col("m_.value_").alias("value_"),
+        "group_", "snap_", "taken_", "key_", F.struct(*[F.xxhash64(F.lit(s), told).alias(f"h{s}") for s in (1, 2)]).alias("value_"),
         F.xxhash64("key_").alias("key_hash_"),
         F.xxhash64("group_", "snap_").alias("snap_hash_"),
     )
@@ -88,7 +91,7 @@ def snapshot_changes(
     cut = materialize(cut_chunks(rows, mask).drop("key_hash_", "snap_hash_"), "chunks")
 
     # one small row per chunk; combined in the map tasks since chunks are contiguous
-    h = [F.xxhash64(F.lit(s), "key_", "value_") for s in (1, 2)]
+    h = [F.xxhash64(F.lit(s), "key_", f"value_.h{s}") for s in (1, 2)]
     digests = cut.groupBy("group_", "snap_", "chunk").agg(
         F.min("taken_").alias("taken_"), F.count(F.lit(1)).alias("n_"), F.bit_xor(h[0]).alias("d1_"), F.bit_xor(h[1]).alias("d2_"),
         F.sum(h[0].bitwiseAND(F.lit((1 << 32) - 1))).alias("d3_"),

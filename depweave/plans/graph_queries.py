@@ -671,9 +671,9 @@ def t07_edge_windows(spark, d):
     return st.edge_windows(table(spark, d, "edges"), "extracted_at", "repo").select(F.unix_seconds("start").alias("start"), "repo", "edges")
 
 
-@q("WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events), g AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT CAST(epoch(min(ts)) AS BIGINT) AS start, user_id, count(*) AS edges FROM g GROUP BY user_id, g")
+@q("WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events), g AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT epoch_us(min(ts)) AS start, user_id, count(*) AS edges FROM g GROUP BY user_id, g")
 def t07_sessions(spark, d):
-    return st.sessions(table(spark, d, "events"), "ts", "user_id", "30 minutes").select(F.floor(F.unix_micros(F.col("start").cast("timestamp")) / 1000000).alias("start"), "user_id", "edges")
+    return st.sessions(table(spark, d, "events"), "ts", "user_id", "30 minutes").select(F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "user_id", "edges")
 
 
 @q("WITH a AS (SELECT repo || '/' || source AS path, max(snapshot_id) AS b FROM graph_snapshots GROUP BY ALL) SELECT path, CASE WHEN b % 3 = 0 THEN 'added' WHEN b % 3 = 1 THEN 'modified' END AS change FROM a WHERE b % 3 != 2")

@@ -55,14 +55,25 @@ def _points(n: int) -> np.ndarray:
     return (np.uint64(1) << np.uint64(HASH_BITS)) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(982451653)
 
 
-def held_rows(df: DataFrame, key: dict[str, Column], fields: Sequence[Field], version: str) -> DataFrame:
-    """One row per key, the last by ``version``, with its hash ``h``. Rows equal in ``version`` are decided by their values."""
+def keyed(df: DataFrame, key: dict[str, Column], fields: Sequence[Field], version: str) -> DataFrame:
+    """Normalised rows with ``kh`` and ``kl``, the two halves of the key's hash, and the row's hash ``h``."""
     slim = df.select(*[c.alias(k) for k, c in key.items()], *[f.value.alias(f.name) for f in fields], F.col(version).alias("version_"))
-    best = slim.groupBy(*key).agg(F.max(F.struct("version_", *[f.name for f in fields])).alias("m_"))
-    rows = best.select(*key, *[F.col(f"m_.{f.name}").alias(f.name) for f in fields])
     values = F.to_json(F.struct(*[f.hashed().alias(f.name) for f in fields]), {"ignoreNullFields": "false"})
-    h = F.xxhash64(F.lit(61), *key, values).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-    return rows.withColumn("kh", F.xxhash64(F.lit(17), *key)).withColumn("h", h)
+    names = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})
+    rows = slim.withColumn("kh", F.xxhash64(F.lit(17), names)).withColumn("kl", F.xxhash64(F.lit(29), names))
+    return rows.withColumn("h", F.xxhash64(F.lit(61), names, values).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+
+
+def latest_hashes(rows: DataFrame) -> DataFrame:
+    """(kh, h) of the row of each key that is last by version, equal versions decided by hash; 32 bytes a row are shuffled."""
+    best = rows.groupBy("kh", "kl").agg(F.max(F.struct("version_", "h")).alias("m_"))
+    return best.select("kh", F.col("m_.h").alias("h"))
+
+
+def latest_rows(rows: DataFrame, key: dict[str, Column], fields: Sequence[Field]) -> DataFrame:
+    """The rows that ``latest_hashes`` stands for."""
+    best = rows.groupBy(*key).agg(F.max(F.struct("version_", "h", *[f.name for f in fields])).alias("m_"))
+    return best.select(*key, *[F.col(f"m_.{f.name}").alias(f.name) for f in fields])
 
 
 def sketch(hashes: DataFrame, degree: int) -> DataFrame:
@@ -164,23 +175,23 @@ def solve_buckets(a: DataFrame, b: DataFrame, degree: int) -> DataFrame:
 
 
 def roots(hashes: DataFrame, polynomials: DataFrame, which: str) -> DataFrame:
-    """The (bucket, h) of a side that are roots of its bucket's polynomial."""
-    near = hashes.join(polynomials.select("bucket", F.col(which).alias("poly")), "bucket").select("bucket", "h", "poly")
+    """The (bucket, h, kh) of a side that are roots of its bucket's polynomial."""
+    near = hashes.join(polynomials.select("bucket", F.col(which).alias("poly")), "bucket").select("bucket", "h", "kh", "poly")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                poly = x.column(2)
+                poly = x.column(3)
                 width = len(poly[0])
                 coef = poly.flatten().to_numpy(zero_copy_only=False).astype(np.uint64).reshape(-1, width)
                 h = x.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
-                yield x.select([0, 1]).filter(pa.array(gf.horner(coef, h) == 0))
+                yield x.select([0, 1, 2]).filter(pa.array(gf.horner(coef, h) == 0))
 
-    return near.mapInArrow(run, "bucket long, h long")
+    return near.mapInArrow(run, "bucket long, h long, kh long")
 
 
 def differing(a: DataFrame, b: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, first_degree: int = FIRST_DEGREE) -> tuple[DataFrame, DataFrame]:
-    """For two tables of (kh, h) with unique h: the (bucket, h) that only the first, only the second holds.
+    """For two written tables of (kh, h) with unique h: the (bucket, h, kh) that only the first, only the second holds.
 
     The number of buckets follows the number of rows; the degree bound starts
     at ``first_degree`` and doubles for the buckets that could not be verified,
@@ -189,12 +200,12 @@ def differing(a: DataFrame, b: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET
     n = max(a.count(), b.count())
     buckets = max(1, n // rows_per_bucket)
     bucket = F.pmod("kh", F.lit(buckets)).alias("bucket")
-    sides = [materialize(s.select(bucket, "h"), "hashes") for s in (a, b)]
+    sides = [s.select(bucket, "h", "kh") for s in (a, b)]
     open_, degree = None, first_degree
     found: list[tuple[DataFrame, DataFrame]] = []
     while True:
         part = sides if open_ is None else [s.join(open_, "bucket", "left_semi") for s in sides]
-        solved = materialize(solve_buckets(sketch(part[0], degree), sketch(part[1], degree), degree), "polynomials")
+        solved = materialize(solve_buckets(*[sketch(x.select("bucket", "h"), degree) for x in part], degree), "polynomials")
         good = solved.where("ok")
         found.append((roots(part[0], good, "num"), roots(part[1], good, "den")))
         open_ = solved.where("not ok").select("bucket")
@@ -213,17 +224,18 @@ def reconcile(
     """(key..., field): the keys that one side lacks and the fields that differ.
 
     ``only`` names the findings for keys of the first and of the second side
-    alone. Per side the row that is last by ``version`` holds. Nulls in keys
+    alone. Per side the row that is last by ``version`` holds, of equal
+    versions one that their hashes decide. Nulls in keys
     and fields are values of their own; NaN equals NaN; arrays are compared as
     the normalised ``Field.value`` gives them; two empty sides agree. Result
     columns are the names in ``key`` and ``field``, whatever else the tables
     hold. Two different rows of a bucket are taken for the same only if their
     60-bit hashes collide.
     """
-    sides = [materialize(held_rows(df, key, fields, version), "rows") for df in (local, other)]
-    diff = differing(sides[0].select("kh", "h"), sides[1].select("kh", "h"))
-    # rows are fetched by hash; a broadcast is left to the planner, which knows the written sizes
-    fetched = [s.join(materialize(d, "roots").select("h"), "h", "left_semi").withColumn("side_", F.lit(i)) for i, (s, d) in enumerate(zip(sides, diff))]
+    sides = [keyed(df, key, fields, version) for df in (local, other)]
+    diff = differing(*[materialize(latest_hashes(s), "hashes") for s in sides])
+    # only rows of differing keys are fetched again; whether their keys are broadcast is left to the planner, which knows the written sizes
+    fetched = [latest_rows(s.join(materialize(d.select("kh").distinct(), "roots"), "kh", "left_semi"), key, fields).withColumn("side_", F.lit(i)) for i, (s, d) in enumerate(zip(sides, diff))]
     both = fetched[0].unionByName(fetched[1])
     row = F.struct(*[f.name for f in fields])
     pair = both.groupBy(*key).agg(F.max(F.when(F.col("side_") == 0, row)).alias("a_"), F.max(F.when(F.col("side_") == 1, row)).alias("b_"))

@@ -25,6 +25,7 @@ from depweave.session import materialize, parallelism
 ROWS_PER_BUCKET = 32
 FIRST_DEGREE = 8
 SPARE_POINTS = 2
+BROADCAST_KEYS = 500_000  # 8 bytes each
 HASH_BITS = 60  # hashes are below 2**60, sample points above: no sample is ever a root
 
 
@@ -159,7 +160,8 @@ def solve_buckets(a: DataFrame, b: DataFrame, degree: int) -> DataFrame:
     both = left.join(right, "bucket", "full").select(
         "bucket", F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nb", F.lit(0)).alias("nb"), F.coalesce("va", one).alias("va"), F.coalesce("vb", one).alias("vb")
     )
-    open_ = both.where("na != nb or va != vb")
+    # few bytes and much arithmetic: an explicit number of partitions, which is not merged by size
+    open_ = both.where("na != nb or va != vb").repartition(parallelism(a.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, (1 << 21) // (degree * degree))
@@ -218,6 +220,12 @@ def differing(a: DataFrame, b: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET
     return out
 
 
+def _with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of differing keys: by a broadcast of at most ``BROADCAST_KEYS`` hashes, else by a shuffle."""
+    small = keys.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if small else keys, "kh", "left_semi")
+
+
 def reconcile(
     local: DataFrame, other: DataFrame, key: dict[str, Column], fields: Sequence[Field], version: str, only: tuple[str, str]
 ) -> DataFrame:
@@ -234,8 +242,7 @@ def reconcile(
     """
     sides = [keyed(df, key, fields, version) for df in (local, other)]
     diff = differing(*[materialize(latest_hashes(s), "hashes") for s in sides])
-    # only rows of differing keys are fetched again; whether their keys are broadcast is left to the planner, which knows the written sizes
-    fetched = [latest_rows(s.join(materialize(d.select("kh").distinct(), "roots"), "kh", "left_semi"), key, fields).withColumn("side_", F.lit(i)) for i, (s, d) in enumerate(zip(sides, diff))]
+    fetched = [latest_rows(_with_keys(s, materialize(d.select("kh").distinct(), "roots")), key, fields).withColumn("side_", F.lit(i)) for i, (s, d) in enumerate(zip(sides, diff))]
     both = fetched[0].unionByName(fetched[1])
     row = F.struct(*[f.name for f in fields])
     pair = both.groupBy(*key).agg(F.max(F.when(F.col("side_") == 0, row)).alias("a_"), F.max(F.when(F.col("side_") == 1, row)).alias("b_"))

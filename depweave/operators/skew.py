@@ -98,38 +98,35 @@ def key_loads(df: DataFrame, key: Sequence[str], load: str = "load_") -> DataFra
     return materialize(df.groupBy(*key).agg(F.count(F.lit(1)).alias(load)), "loads")
 
 
-def _with_shards(df: DataFrame, placement: Placement, prefix: str) -> DataFrame:
-    """Adds ``{prefix}tasks``: the tasks of a heavy key's shards, null for a light key."""
+def _located(df: DataFrame, placement: Placement, prefix: str) -> DataFrame:
+    """Adds ``{prefix}tasks``, the tasks of a heavy key's shards (null for a light key), and ``{prefix}task``, that of a light key's bucket.
+
+    Both tables are broadcast: they hold at most ``HEAVY_PER_TASK`` and
+    exactly ``BUCKETS_PER_TASK`` rows a task.
+    """
     heavy = placement.heavy_table(df, prefix)
     on = [df[k].eqNullSafe(heavy[f"{prefix}k{i}"]) for i, k in enumerate(placement.key)]
-    return df.join(F.broadcast(heavy), on, "left").drop(*[f"{prefix}k{i}" for i in range(len(placement.key))])
-
-
-def _light_task(placement: Placement) -> Column:
-    packed = F.array(*[F.lit(t) for t in placement.bucket_task])
+    out = df.join(F.broadcast(heavy), on, "left").drop(*[f"{prefix}k{i}" for i in range(len(placement.key))])
+    light = df.sparkSession.createDataFrame(list(enumerate(placement.bucket_task)), f"{prefix}b int, {prefix}task int")
     b = bucket_of([F.col(k) for k in placement.key], len(placement.bucket_task))
-    return F.element_at(packed, b + 1)
+    return out.withColumn(f"{prefix}b", b).join(F.broadcast(light), f"{prefix}b", "left").drop(f"{prefix}b")
 
 
 def fragment(df: DataFrame, placement: Placement, identity: Sequence[str], task: str) -> DataFrame:
     """Move every row to its task. Rows of one heavy key part by ``identity``, so equal identities stay together."""
-    p = fresh("shard_", df.columns)
+    p = fresh("shard_", [c[: len("shard_")] for c in df.columns])
     at = F.col(p + "tasks")
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in identity]), F.size(at)).cast("int")
-    routed = _with_shards(df, placement, p).withColumn(
-        task, F.when(at.isNotNull(), F.element_at(at, spread + 1)).otherwise(_light_task(placement))
-    )
-    return routed.drop(p + "tasks").repartitionById(placement.tasks, F.col(task))
+    routed = _located(df, placement, p).withColumn(task, F.when(at.isNotNull(), F.element_at(at, spread + 1)).otherwise(F.col(p + "task")))
+    return routed.drop(p + "tasks", p + "task").repartitionById(placement.tasks, F.col(task))
 
 
 def replicate(df: DataFrame, placement: Placement, task: str) -> DataFrame:
     """Copy every row of the matching side to the tasks its key has shards on, and to no other."""
-    p = fresh("shard_", df.columns)
+    p = fresh("shard_", [c[: len("shard_")] for c in df.columns])
     at = F.col(p + "tasks")
-    copied = _with_shards(df, placement, p).withColumn(
-        task, F.explode(F.when(at.isNotNull(), F.array_distinct(at)).otherwise(F.array(_light_task(placement))))
-    )
-    return copied.drop(p + "tasks").repartitionById(placement.tasks, F.col(task))
+    copied = _located(df, placement, p).withColumn(task, F.explode(F.when(at.isNotNull(), F.array_distinct(at)).otherwise(F.array(p + "task"))))
+    return copied.drop(p + "tasks", p + "task").repartitionById(placement.tasks, F.col(task))
 
 
 def skew_join(big: DataFrame, small: DataFrame, key: Sequence[str], identity: Sequence[str], tasks: int | None = None, how: str = "inner") -> DataFrame:

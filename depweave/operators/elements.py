@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depweave.functions import regex
-from depweave.operators.graph import complete
+from depweave.operators.graph import Graph, complete
 
 TYPE = {
     "fullName": "string", "name": "string", "namespaces": "array<string>", "kind": "string", "visibility": "string", "assembly": "string", "language": "string", "files": "array<string>",
@@ -32,6 +32,24 @@ CALL = {"from": "string", "to": "string"}
 # Which kinds of types and members a selector takes.
 TYPE_KINDS = {"class": ("class", "attribute"), "interface": ("interface",), "attribute": ("attribute",), "function": ("function",)}
 MEMBER_KINDS = {"member": None, "field": ("field",), "method": ("method", "constructor"), "property": ("property",)}
+TYPES, MEMBERS = ("type", "class", "interface", "attribute"), ("member", "field", "method", "property")
+DECLARED = (*TYPES, "function", *MEMBERS)
+# Concepts by the kinds that can answer them (E10, E15); those not listed are for every kind.
+APPLIES = {
+    DECLARED: "public private protected internal protectedInternal privateProtected haveAssemblyQualifiedName haveAssemblyQualifiedNameMatching haveAssemblyQualifiedNameStartingWith haveAssemblyQualifiedNameEndingWith haveAssemblyQualifiedNameContaining resideInAssembly resideInAssemblyMatching haveAnyAttributes onlyHaveAttributes haveAttributeWithArguments haveAttributeWithNamedArguments haveAnyAttributesWithArguments haveAnyAttributesWithNamedArguments callAny",
+    TYPES: "assignableTo implementInterface implementAnyInterfaces enums structs valueTypes nested nestedIn haveMemberWithName haveFieldMemberWithName haveMethodMemberWithName havePropertyMemberWithName generic",
+    ("type", "class", "attribute"): "sealed record",
+    (*TYPES, "member", "method", "property"): "abstract",
+    (*TYPES, *MEMBERS): "static immutable",
+    MEMBERS: "declaredIn",
+    ("member", "field", "property"): "readOnly",
+    ("member", "method", "property"): "virtual",
+    ("member", "method"): "constructor haveReturnType haveDependencyInMethodBodyTo",
+    ("member", "method", "field", "property"): "calledBy",
+    (*TYPES, "function"): "adhereToPlantUmlDiagram",
+}
+KINDS_OF = {concept: kinds for kinds, concepts in APPLIES.items() for concept in concepts.split()}
+ACCESSOR_KINDS = ("member", "property")
 VISIBILITIES = {"public": "public", "private": "private", "protected": "protected", "internal": "internal", "protectedInternal": "protected-internal", "privateProtected": "private-protected"}
 
 
@@ -48,13 +66,16 @@ class Code:
     dependencies: DataFrame
     attributes: DataFrame
     calls: DataFrame
+    graph: Graph | None = None
 
     @staticmethod
-    def of(types: DataFrame, members: DataFrame | None = None, dependencies: DataFrame | None = None, attributes: DataFrame | None = None, calls: DataFrame | None = None) -> "Code":
+    def of(
+        types: DataFrame, members: DataFrame | None = None, dependencies: DataFrame | None = None, attributes: DataFrame | None = None, calls: DataFrame | None = None, graph: Graph | None = None
+    ) -> "Code":
         spark = types.sparkSession
         empty = lambda cols: spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in cols.items()))
         put = lambda df, cols: empty(cols) if df is None else complete(df, cols)
-        return Code(complete(types, TYPE), put(members, MEMBER), put(dependencies, DEPENDENCY), put(attributes, ATTRIBUTE), put(calls, CALL))
+        return Code(complete(types, TYPE), put(members, MEMBER), put(dependencies, DEPENDENCY), put(attributes, ATTRIBUTE), put(calls, CALL), graph)
 
 
 def select(code: Code, kind: str, referenced: bool = False, language: str | None = None) -> DataFrame:
@@ -67,6 +88,9 @@ def select(code: Code, kind: str, referenced: bool = False, language: str | None
         t = code.members if MEMBER_KINDS[kind] is None else code.members.where(F.col("kind").isin(*MEMBER_KINDS[kind]))
         owner = code.types.select(F.col("fullName").alias("declaringType"), "namespaces", "assembly", "files")
         t = t.join(owner, "declaringType", "left")
+    elif kind == "module" and code.graph is not None:
+        m = code.graph.modules.where(~F.coalesce("coreModule", F.lit(False)) & ~F.coalesce("couldNotResolve", F.lit(False)))
+        t = m.select(F.col("source").alias("fullName"), F.regexp_extract("source", "[^/]+$", 0).alias("name"), F.array("source").alias("namespaces"), "language", F.array("source").alias("files"))
     else:
         raise ElementError(f"unknown kind {kind!r}")
     if language:
@@ -116,6 +140,8 @@ class Conditions:
         spark = self.df.sparkSession
         wanted = spark.createDataFrame([(n,) for n in names], "key string")
         known = self.code.types.select(F.col("fullName").alias("key")).unionByName(self.code.members.select(F.col("fullName").alias("key")))
+        if self.code.graph is not None:
+            known = known.unionByName(self.code.graph.modules.select(F.col("source").alias("key")))
         missing = wanted.join(known, "key", "left_anti").collect()
         if missing:
             raise ElementError(f"unknown element {missing[0][0]!r}")
@@ -133,6 +159,8 @@ class Conditions:
     def _own(self, links: DataFrame) -> DataFrame:
         """(source, target) links of the selected elements: of a type its members' too."""
         l_ = links.select("source", "target")
+        if self.kind == "module":
+            return self.code.graph.edges.select("source", F.col("resolved").alias("target"))
         if not self.is_type:
             return l_
         via = l_.join(self.code.members.select(F.col("fullName").alias("source"), "declaringType"), "source").select(F.col("declaringType").alias("source"), "target")
@@ -141,6 +169,9 @@ class Conditions:
     def test(self, concept: str, value: object) -> tuple[Column, Column | None]:
         """(positive, its own negative if that is not the complement) of one condition."""
         c, code, names = concept, self.code, [value] if isinstance(value, str) else value
+        kinds = ACCESSOR_KINDS if c.endswith(("Getter", "Setter")) else KINDS_OF.get(c)
+        if kinds is not None and self.kind not in kinds:
+            raise ElementError(f"{c!r} does not apply to {self.kind!r}")
         name, key = F.col("name"), F.col("key_")
         truth = lambda col: F.coalesce(F.col(col), F.lit(False)) == F.lit(value if isinstance(value, bool) else True)
         yes = lambda e: F.coalesce(e, F.lit(False)) == F.lit(value if isinstance(value, bool) else True)
@@ -170,7 +201,7 @@ class Conditions:
         if c == "dependOnAny":
             return self._set(self._own(code.dependencies).join(self.keys(value), F.col("target") == F.col("key")).select(F.col("source").alias("key"))), None
         if c == "onlyDependOn":
-            analysed = code.types.where(~F.coalesce("referenced", F.lit(False))).select(F.col("fullName").alias("target"))
+            analysed = code.graph.modules.where(~F.coalesce("coreModule", F.lit(False)) & ~F.coalesce("couldNotResolve", F.lit(False))).select(F.col("source").alias("target")) if self.kind == "module" else code.types.where(~F.coalesce("referenced", F.lit(False))).select(F.col("fullName").alias("target"))
             outside = self._own(code.dependencies).where("source != target").join(analysed, "target", "left_semi").join(self.keys(value).select(F.col("key").alias("target")), "target", "left_anti")
             return ~self._set(outside.select(F.col("source").alias("key"))), None
         if c == "callAny":
@@ -235,6 +266,12 @@ class Conditions:
         if c == "haveDependencyInMethodBodyTo":
             d = code.dependencies.where("kind = 'body' and form = 'body-type'").select(F.coalesce("member", "source").alias("source"), "target")
             return self._set(d.join(self.keys(value), F.col("target") == F.col("key")).select(F.col("source").alias("key"))), None
+        if c == "adhereToPlantUmlDiagram":
+            from depweave.operators import diagrams
+
+            t = code.types.select(F.col("fullName").alias("type"), F.explode("namespaces").alias("namespace"))
+            judged = diagrams.adherence(t, code.dependencies.select("source", "target"), diagrams.parse(value))
+            return ~self._set(judged.where("not passed").select(F.col("type").alias("key"))), None
         setter = F.coalesce("setter", "initSetter") if "setter" in self.df.columns else None
         if c == "haveGetter":
             return yes(F.col("getter").isNotNull()), None
@@ -324,6 +361,8 @@ def findings(code: Code, rule: Mapping, name: str, severity: str = "warn") -> Da
 
     bad = evaluate(code, rule)[0].where("not passed").select("key")
     files = code.types.select(F.col("fullName").alias("key"), F.array_min("files").alias("file")).unionByName(code.members.join(code.types.select(F.col("fullName").alias("declaringType"), F.array_min("files").alias("file")), "declaringType").select(F.col("fullName").alias("key"), "file"))
+    if code.graph is not None:
+        files = files.unionByName(code.graph.modules.select(F.col("source").alias("key"), F.col("source").alias("file")))
     first = files.groupBy("key").agg(F.min("file").alias("file"))
     j = bad.join(first, "key", "left").select(F.coalesce("file", "key").alias("from"), F.col("key").alias("to"))
     return j.select(F.lit("element").alias("type"), F.lit(name).alias("rule"), F.lit(severity).alias("severity"), "from", "to", violation_id(F.lit(name), F.col("from"), F.col("to"), F.lit("")).alias("id"))

@@ -346,3 +346,31 @@ def with_verdicts(g: Graph, violations: DataFrame) -> Graph:
     mod = violations.where(F.col("type").isin("module", "reachability")).groupBy(F.col("from").alias("source")).agg(F.array_sort(F.collect_set(entry)).alias("r_"))
     told = lambda df: df.withColumn("valid", F.col("r_").isNull()).withColumn("rules", F.transform("r_", lambda x: F.struct(x["name"].alias("name"), x["severity"].alias("severity")))).drop("r_")
     return Graph(told(g.modules.drop("rules").join(mod, "source", "left")), told(g.edges.drop("rules").join(edge, ["source", "resolved"], "left")))
+
+
+def rewrap(r: Result, options: dict) -> Result:
+    """A saved evaluation filtered, collapsed and summarised anew (F19): nothing is judged again.
+
+    After a collapse only findings of the first edge between two names stay,
+    since that edge stands for all of them; element and slice findings are kept.
+    """
+    from depweave.operators.filters import apply_filters, collapse_pattern, consolidate, regexp_first
+
+    g = apply_filters(r.graph, options)
+    own = r.violations.where(F.col("type").isin("element", "slice"))
+    edge = r.violations.where(F.col("type").isin("dependency", "cycle", "instability"))
+    mod = r.violations.where(F.col("type").isin("module", "reachability"))
+    ends = g.edges.select(F.col("source").alias("from"), F.col("resolved").alias("to"), "ord")
+    here = g.modules.select(F.col("source").alias("from"))
+    mod = mod.join(here, "from", "left_semi")
+    if options.get("collapse") is None:
+        edge = edge.join(ends.select("from", "to").distinct(), ["from", "to"], "left_semi")
+        return Result(g, r.rules, own.unionByName(edge.select(own.columns)).unionByName(mod.select(own.columns)), r.folders, r.folder_edges, r.projects, r.project_edges)
+    p = collapse_pattern(options["collapse"])
+    short = lambda c: F.when(regexp_first(F.col(c), p) != "", regexp_first(F.col(c), p)).otherwise(F.col(c))
+    order = F.struct(F.coalesce("m_", F.lit(0)), "from", "ord")
+    first = ends.join(g.modules.select(F.col("source").alias("from"), F.col("ord").alias("m_")), "from", "left").groupBy(short("from").alias("a_"), short("to").alias("b_")).agg(F.min_by(F.struct("from", "to"), order).alias("f_"))
+    edge = edge.join(first.where("a_ != b_").select("f_.from", "f_.to"), ["from", "to"], "left_semi")
+    out = edge.select(own.columns).unionByName(mod.select(own.columns)).withColumn("from", short("from")).withColumn("to", short("to"))
+    out = out.dropDuplicates(["rule", "from", "to", "type"])
+    return Result(consolidate(g, pattern=p, drop_self=True), r.rules, own.unionByName(out), r.folders, r.folder_edges, r.projects, r.project_edges)

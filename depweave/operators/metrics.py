@@ -97,3 +97,8 @@ def totals(g: Graph) -> DataFrame:
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     both = g.modules.select(one.alias("m"), none.alias("e")).unionByName(g.edges.select(none.alias("m"), one.alias("e")))
     return both.agg(F.coalesce(F.sum("m"), none).alias("totalCruised"), F.coalesce(F.sum("e"), none).alias("totalDependenciesCruised"))
+
+
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units, the size metric of a file."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")

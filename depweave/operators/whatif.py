@@ -26,6 +26,12 @@ def query(g: Graph, frm: str | None = None, to: str | None = None, from_not: str
     return g.edges.where(ratchet_predicate(r)).select(F.col("source").alias("from"), F.col("resolved").alias("to"))
 
 
+def count(g: Graph, frm: str | None = None, to: str | None = None, ceiling: int | None = None) -> tuple[int, str, int | None]:
+    """(count, verdict, headroom or excess) of direct edges against a ceiling (Q2)."""
+    row = ratchet_counts(g, [Ratchet("count", From(path=frm), To(path=to), ceiling)]).first()
+    return row["count"], row["verdict"], row["by"]
+
+
 def candidate_edges(candidates: DataFrame, g: Graph) -> DataFrame:
     """Candidate (from, to) pairs as edges: facts of the target come from what other edges and modules say about it."""
     about = g.modules.select(F.col("source").alias("resolved"), "coreModule", "couldNotResolve", "followable", "instability")

@@ -380,6 +380,16 @@ def a10_rule_counts(spark, d):
     return ev.rule_counts(code_graph(spark, d), ru.load(RULES))
 
 
+@q(code("SELECT \"from\", \"to\", rule FROM u WHERE NOT regexp_matches(\"from\", '/apps/') AND NOT regexp_matches(\"to\", '/apps/')", _RULED))
+def f19_rewrap(spark, d):
+    return ev.rewrap(ruled(spark, d), {"exclude": "/apps/"}).violations.select("from", "to", "rule")
+
+
+@q(code("SELECT DISTINCT rule, a AS \"from\", b AS \"to\" FROM (SELECT v.rule, v.source, v.resolved, CASE WHEN regexp_extract(v.source, '^[0-9]+/[^/]+/[^/]+') = '' THEN v.source ELSE regexp_extract(v.source, '^[0-9]+/[^/]+/[^/]+') END AS a, CASE WHEN regexp_extract(v.resolved, '^[0-9]+/[^/]+/[^/]+') = '' THEN v.resolved ELSE regexp_extract(v.resolved, '^[0-9]+/[^/]+/[^/]+') END AS b FROM v) x JOIN (SELECT CASE WHEN regexp_extract(source, '^[0-9]+/[^/]+/[^/]+') = '' THEN source ELSE regexp_extract(source, '^[0-9]+/[^/]+/[^/]+') END AS a, CASE WHEN regexp_extract(resolved, '^[0-9]+/[^/]+/[^/]+') = '' THEN resolved ELSE regexp_extract(resolved, '^[0-9]+/[^/]+/[^/]+') END AS b, arg_min({'s': source, 't': resolved}, {'s': source, 'o': ord}) AS f FROM e GROUP BY 1, 2) y USING (a, b) WHERE a != b AND y.f.s = x.source AND y.f.t = x.resolved", _RULED))
+def f19_rewrap_collapsed(spark, d):
+    return ev.rewrap(ruled(spark, d), {"collapse": "^[0-9]+/[^/]+/[^/]+"}).violations.select("from", "to", "rule")
+
+
 # --- known findings and ratchets ---------------------------------------------
 
 
@@ -622,6 +632,16 @@ _element("c75_setters", {"select": {"kind": "property", "where": {"haveSetter":
 _element("c37_assignable", {"select": {"kind": "type", "where": {"not": {"assignableTo": {"kind": "type", "where": {"haveNameMatching": "0$"}}}}}, "should": {"haveName": ["part1", "PART2"]}}, "SELECT key, lower(name) IN ('part1', 'part2') AS passed FROM t WHERE NOT suffix(name, '0')")
 
 
+@q(code("SELECT source AS key, NOT EXISTS (SELECT 1 FROM e WHERE e.source = m.source AND regexp_matches(e.resolved, '/tools/') AND e.resolved IN (SELECT source FROM m WHERE NOT core AND NOT unresolved)) AS passed FROM m WHERE NOT core AND NOT unresolved AND regexp_matches(source, '/apps/')"))
+def e02_modules(spark, d):
+    c = code_layer(spark, d)
+    c = elements.Code.of(c.types, graph=code_graph(spark, d))
+    rule = {"select": {"kind": "module", "where": {"haveFullNameMatching": "/apps/"}}, "should": {"notDependOnAny": {"kind": "module", "where": {"haveFullNameMatching": "/tools/"}}}}
+    return elements.evaluate(c, rule)[0]
+
+
+_element("c77_diagram", {"select": {"kind": "type", "where": {"resideInNamespaceMatching": "Brand[12]"}}, "should": {"adhereToPlantUmlDiagram": "[One] <<Shop\\.Brand1.*>>\n[Two] <<Shop\\.Brand2.*>>\n[Two] --> [One]"}}, "SELECT key, NOT EXISTS (SELECT 1 FROM td JOIN t b ON b.key = td.target WHERE td.source = t.key AND starts_with(t.ns, 'Shop.Brand1') AND starts_with(b.ns, 'Shop.Brand2')) AS passed FROM t WHERE starts_with(ns, 'Shop.Brand1') OR starts_with(ns, 'Shop.Brand2')")
+
 # --- sinks -------------------------------------------------------------------
 
 

@@ -26,7 +26,7 @@ DUPLICATES_THAT_MATTER = "core local localmodule npm npm-bundled npm-dev npm-no-
 # Which cross-language key each language records.
 RECORDED = {
     "namespace": ("dotnet", "python"),
-    "project": ("dotnet", "typescript", "javascript"),
+    "project": ("dotnet", "python"),
     "assembly": ("dotnet",),
     "dependencyKind": ("dotnet", "typescript", "javascript", "python"),
 }

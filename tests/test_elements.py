@@ -86,3 +86,24 @@ def test_diagrams(spark, rows):
     x = spark.createDataFrame([("a.b", "a"), ("a", "a.b"), ("q", "qq")], "`from` string, `to` string")
     assert rows(diagrams.export_edges(x, "parents")) == [("a", "a.b"), ("q", "qq")] and diagrams.export_edges(x).count() == 3
     assert diagrams.plantuml([("a", "b")]) == "@startuml\n[a]\n[b]\n[a] --|> [b]\n@enduml\n"
+
+
+def test_conditions_that_do_not_apply(code):
+    for kind, should in (("field", {"beVirtual": True}), ("type", {"haveGetter": True}), ("interface", {"beSealed": True}), ("method", {"beNested": True}), ("class", {"beDeclaredIn": ["N.A"]})):
+        with pytest.raises(ElementError):
+            passed(code, kind, should)
+
+
+def test_modules_as_elements(spark, code):
+    from depweave.operators.graph import Graph
+
+    g = Graph.of(spark.createDataFrame([("a/x.ts", 0, "b/y.ts", False), ("b/y.ts", 0, "fs", True)], "source string, ord long, resolved string, coreModule boolean"))
+    c = Code.of(code.types, code.members, code.dependencies, code.attributes, code.calls, g)
+    assert passed(c, "module", {"dependOnAny": ["b/y.ts"]}) == ["a/x.ts"] and passed(c, "module", {"haveNameEndingWith": ".ts"}) == ["a/x.ts", "b/y.ts"]
+    assert passed(c, "module", {"onlyDependOn": ["a/x.ts"]}) == ["b/y.ts"]
+    with pytest.raises(ElementError):
+        passed(c, "module", {"bePublic": True})
+
+
+def test_diagram_condition(code):
+    assert passed(code, "type", {"adhereToPlantUmlDiagram": "[Q] <<X>>\n[R] <<N>>\n[Q] --> [R]"}) == ["N.B", "N.B+C", "N.I"]

@@ -297,3 +297,22 @@ def test_explain(spark):
     g = Graph.of(edges(spark, [(f"a{i:02d}", "b") for i in range(15)]))
     s, e = wi.explain(g, ru.rule({"name": "r", "from": {"path": "^a"}, "to": {"path": "^b"}}))
     assert s == "No module matching ^a may depend on a module matching ^b." and [r[0] for r in e.collect()] == [f"a{i:02d}" for i in range(10)]
+
+
+def test_rewrap(spark, rows):
+    g = Graph.of(edges(spark, [("a/x/1", "b/y/1"), ("a/x/1", "b/y/2"), ("a/x/2", "c/z/1"), ("b/y/1", "b/y/2")]))
+    rs = ru.load({"forbidden": [{"name": "r", "severity": "error", "from": {"path": "^a"}, "to": {"path": "2$|^c"}}]})
+    r = ev.evaluate(g, rs)
+    assert rows(ev.rewrap(r, {"exclude": "^c"}).violations, "from", "to") == [("a/x/1", "b/y/2")]
+    c = ev.rewrap(r, {"collapse": "^[^/]+/[^/]+"})
+    # the edge a/x -> b/y is stood for by its first member, which breaks no rule
+    assert rows(c.violations, "from", "to") == [("a/x", "c/z")] and rows(c.graph.edges, "source", "resolved") == [("a/x", "b/y"), ("a/x", "c/z")]
+    assert ev.rewrap(r, {}).violations.count() == r.violations.count()
+
+
+def test_sizes(spark):
+    from depweave.operators.metrics import utf16_length
+
+    assert [r[0] for r in spark.createDataFrame([("a",), ("é",), ("😀",), ("",), (None,)], "s string").select(utf16_length(F.col("s"))).collect()] == [1, 1, 2, 0, None]
+    g = Graph.of(edges(spark, [("a/x", "b/y")]))
+    assert wi.count(g, "^a", "^b", 3) == (1, "within", 2)

@@ -71,12 +71,14 @@ def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for c in range(m):
         can = ~used & (t[:, :, c] != 0)
         has, piv = can.any(1), can.argmax(1)
-        row = mul(t[each, piv], inverse(t[each, piv, c])[:, None])
-        factor = t[:, :, c].copy()
+        # columns to the left are done with: solved, or of unknowns that stay 0
+        u = t[:, :, c:]
+        row = mul(u[each, piv], inverse(u[each, piv, 0])[:, None])
+        factor = u[:, :, 0].copy()
         factor[each, piv] = 0
         factor[~has] = 0
-        t = sub(t, mul(factor[:, :, None], row[:, None, :]))
-        t[each[has], piv[has]] = row[has]
+        t[:, :, c:] = sub(u, mul(factor[:, :, None], row[:, None, :]))
+        t[each[has], piv[has], c:] = row[has]
         used[each[has], piv[has]] = True
         at[has, c] = piv[has]
     x = np.where(at >= 0, t[each[:, None], np.maximum(at, 0), m], np.uint64(0))

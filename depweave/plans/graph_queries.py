@@ -58,32 +58,32 @@ def _pred(name: str, rule: dict, where: str, facts: bool = False, joins: str = "
     q(code(f"SELECT e.source, e.ord, e.resolved FROM e {joins} WHERE {where}"), name)(_edges(rule, facts))
 
 
-_pred("p06_p10_paths", {"from": {"path": "^[0-9]+/packages/"}, "to": {"path": "^[0-9]+/(apps|tools)/"}}, "regexp_matches(e.source, '^[0-9]+/packages/') AND regexp_matches(e.resolved, '^[0-9]+/(apps|tools)/')")
-_pred("p07_p11_paths_not", {"from": {"pathNot": ["^[0-9]+/src/", "\\.py$"]}, "to": {"pathNot": "node_modules|\\.ts$"}}, "NOT regexp_matches(e.source, '^[0-9]+/src/|\\.py$') AND NOT regexp_matches(e.resolved, 'node_modules|\\.ts$')")
+_pred("edge_p06_p10_paths", {"from": {"path": "^[0-9]+/packages/"}, "to": {"path": "^[0-9]+/(apps|tools)/"}}, "regexp_matches(e.source, '^[0-9]+/packages/') AND regexp_matches(e.resolved, '^[0-9]+/(apps|tools)/')")
+_pred("edge_p07_p11_paths_not", {"from": {"pathNot": ["^[0-9]+/src/", "\\.py$"]}, "to": {"pathNot": "node_modules|\\.ts$"}}, "NOT regexp_matches(e.source, '^[0-9]+/src/|\\.py$') AND NOT regexp_matches(e.resolved, 'node_modules|\\.ts$')")
 _pred(
-    "p02_captures",
+    "edge_p02_captures",
     {"from": {"path": "^([0-9]+)/packages/([^/]+)/"}, "to": {"path": "^$1/packages/", "pathNot": "^$1/packages/$2/"}},
     "regexp_matches(e.source, '^([0-9]+)/packages/([^/]+)/') AND starts_with(e.resolved, regexp_extract(e.source, '^([0-9]+)/packages/', 1) || '/packages/') AND NOT starts_with(e.resolved, regexp_extract(e.source, '^([0-9]+/packages/[^/]+/)', 1))",
 )
-_pred("p14_types", {"to": {"dependencyTypes": ["npm-dev", "core"]}}, "list_has_any(e.dependencyTypes, ['npm-dev', 'core'])")
-_pred("p15_types_not", {"to": {"dependencyTypesNot": ["local", "npm"]}}, "NOT coalesce(list_has_any(e.dependencyTypes, ['local', 'npm']), false)")
-_pred("p21_more_than_one_type", {"to": {"moreThanOneDependencyType": True}}, "coalesce(len(list_filter(e.dependencyTypes, lambda t: coalesce(t IN ('core','local','localmodule','npm','npm-bundled','npm-dev','npm-no-pkg','npm-optional','npm-peer','npm-unknown'), false))), 0) > 1")
-_pred("p24_could_not_resolve", {"to": {"couldNotResolve": True}}, "e.couldNotResolve")
-_pred("p24_dynamic", {"from": {"path": "/src/"}, "to": {"dynamic": False}}, "regexp_matches(e.source, '/src/') AND NOT e.dynamic")
-_pred("p03_absent_is_not_false", {"to": {"preCompilationOnly": False}}, "false")
-_pred("p26_language", {"from": {"language": "python"}, "to": {"language": ["typescript", "javascript"]}}, "a.language = 'python' AND b.language IN ('typescript', 'javascript')", True, "JOIN m a ON a.source = e.source JOIN m b ON b.source = e.resolved")
-_pred("p27_project_not", {"from": {"project": "/libs/"}, "to": {"projectNot": "/libs/"}}, "regexp_matches(a.project, '/libs/') AND b.project IS NOT NULL AND NOT regexp_matches(b.project, '/libs/')", True, "JOIN m a ON a.source = e.source JOIN m b ON b.source = e.resolved")
-_pred("p28_kind", {"to": {"dependencyKind": ["inherits", "implements"]}}, "e.dependencyKind IN ('inherits', 'implements')")
-_pred("p28_kind_not", {"to": {"dependencyKindNot": ["import"]}}, "e.dependencyKind IS NOT NULL AND e.dependencyKind != 'import'")
+_pred("edge_p14_types", {"to": {"dependencyTypes": ["npm-dev", "core"]}}, "list_has_any(e.dependencyTypes, ['npm-dev', 'core'])")
+_pred("edge_p15_types_not", {"to": {"dependencyTypesNot": ["local", "npm"]}}, "NOT coalesce(list_has_any(e.dependencyTypes, ['local', 'npm']), false)")
+_pred("edge_p21_more_than_one_type", {"to": {"moreThanOneDependencyType": True}}, "coalesce(len(list_filter(e.dependencyTypes, lambda t: coalesce(t IN ('core','local','localmodule','npm','npm-bundled','npm-dev','npm-no-pkg','npm-optional','npm-peer','npm-unknown'), false))), 0) > 1")
+_pred("edge_p24_could_not_resolve", {"to": {"couldNotResolve": True}}, "e.couldNotResolve")
+_pred("edge_p24_dynamic", {"from": {"path": "/src/"}, "to": {"dynamic": False}}, "regexp_matches(e.source, '/src/') AND NOT e.dynamic")
+_pred("edge_p03_absent_is_not_false", {"to": {"preCompilationOnly": False}}, "false")
+_pred("edge_p26_language", {"from": {"language": "python"}, "to": {"language": ["typescript", "javascript"]}}, "a.language = 'python' AND b.language IN ('typescript', 'javascript')", True, "JOIN m a ON a.source = e.source JOIN m b ON b.source = e.resolved")
+_pred("edge_p27_project_not", {"from": {"project": "/libs/"}, "to": {"projectNot": "/libs/"}}, "regexp_matches(a.project, '/libs/') AND b.project IS NOT NULL AND NOT regexp_matches(b.project, '/libs/')", True, "JOIN m a ON a.source = e.source JOIN m b ON b.source = e.resolved")
+_pred("edge_p28_kind", {"to": {"dependencyKind": ["inherits", "implements"]}}, "e.dependencyKind IN ('inherits', 'implements')")
+_pred("edge_p28_kind_not", {"to": {"dependencyKindNot": ["import"]}}, "e.dependencyKind IS NOT NULL AND e.dependencyKind != 'import'")
 _pred(
-    "p22_ancestor",
+    "edge_p22_ancestor",
     {"to": {"ancestor": True}},
     "NOT e.coreModule AND NOT e.couldNotResolve AND starts_with(regexp_replace(e.source, '[^/]*$', ''), regexp_replace(e.resolved, '[^/]*$', '')) AND length(regexp_replace(e.source, '[^/]*$', '')) > length(regexp_replace(e.resolved, '[^/]*$', ''))",
 )
 _METRICS = """ce AS (SELECT source, count(*) AS ce FROM e GROUP BY source), ca AS (SELECT dst AS source, count(*) AS ca FROM p GROUP BY dst),
  i AS (SELECT m.source, coalesce(ce, 0) AS ce, coalesce(ca, 0) AS ca, CASE WHEN coalesce(ce, 0) + coalesce(ca, 0) = 0 THEN 0.0 ELSE CAST(coalesce(ce, 0) AS DOUBLE) / (coalesce(ce, 0) + coalesce(ca, 0)) END AS instability
   FROM m LEFT JOIN ce USING (source) LEFT JOIN ca USING (source) WHERE calculable)"""
-q(code("SELECT e.source, e.ord, e.resolved FROM e JOIN i a ON a.source = e.source LEFT JOIN i b ON b.source = e.resolved WHERE a.instability < coalesce(b.instability, 0.0)", _METRICS), "p20_more_unstable")(_edges({"to": {"moreUnstable": True}}, metrics=True))
+q(code("SELECT e.source, e.ord, e.resolved FROM e JOIN i a ON a.source = e.source LEFT JOIN i b ON b.source = e.resolved WHERE a.instability < coalesce(b.instability, 0.0)", _METRICS), "edge_p20_more_unstable")(_edges({"to": {"moreUnstable": True}}, metrics=True))
 
 # --- filters -----------------------------------------------------------------
 

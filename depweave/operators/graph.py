@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depweave.functions import regex
-from depweave.session import materialize
+from depweave.session import in_sized_partitions, materialize, materialize_counted
 
 MODULE_COLUMNS = {
     "source": "string", "ord": "bigint", "valid": "boolean", "orphan": "boolean", "followable": "boolean", "matchesDoNotFollow": "boolean", "coreModule": "boolean", "couldNotResolve": "boolean",
@@ -70,6 +70,10 @@ class Graph:
     def with_(self, **kw: DataFrame) -> "Graph":
         return replace(self, **kw)
 
+    def saved(self) -> "Graph":
+        """The same graph with both tables written once: for operators that read it several times."""
+        return Graph(materialize(self.modules, "modules"), materialize(self.edges, "edges"))
+
     @property
     def pairs(self) -> DataFrame:
         """Distinct (src, dst) of all edges."""
@@ -93,6 +97,7 @@ def fan_in(g: Graph) -> DataFrame:
     return g.edges.groupBy("resolved").agg(F.count(F.lit(1)).alias("fan_in"))
 
 
+@in_sized_partitions
 def reach(pairs: DataFrame, seeds: DataFrame, depth: int = 0, blocked: DataFrame | None = None) -> DataFrame:
     """(seed, node, level) of everything that seeds reach over at least one edge (G7-G9, G18, A.3).
 
@@ -104,25 +109,25 @@ def reach(pairs: DataFrame, seeds: DataFrame, depth: int = 0, blocked: DataFrame
     """
     pairs = materialize(pairs.distinct(), "pairs")
     frontier = seeds.select("seed", "node").distinct()
-    seen: list[DataFrame] = []
+    seen, parts = None, 0
     level = 0
     while True:
         level += 1
         new = frontier.join(pairs, frontier["node"] == pairs["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        for old in seen:
-            new = new.join(old, ["seed", "node"], "left_anti")
-        new = materialize(new.withColumn("level", F.lit(level)), "reach")
-        if new.isEmpty():
+        if seen is not None:
+            new = new.join(seen, ["seed", "node"], "left_anti")
+        new, n = materialize_counted(new.withColumn("level", F.lit(level)), "reach")
+        if not n:
             break
-        seen.append(new)
-        if len(seen) > 8:  # keep the number of joins in a round small
-            seen = [materialize(_union(seen), "reach")]
+        seen, parts = (new, 1) if seen is None else (seen.unionByName(new), parts + 1)
         if depth and level == depth:
             break
+        if parts > 4:  # keep a round's plan small
+            seen, parts = materialize(seen, "reach"), 1
         frontier = new.select("seed", "node")
         if blocked is not None:
             frontier = frontier.join(blocked.select("node"), "node", "left_anti").select("seed", "node")
-    return _union(seen) if seen else new
+    return new if seen is None else seen
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -144,6 +149,7 @@ def reach_set(pairs: DataFrame, start: DataFrame, depth: int = 0, reverse: bool
     return found.groupBy("node").agg(F.min("level").alias("level"))
 
 
+@in_sized_partitions
 def can_reach(pairs: DataFrame, start: str, goal: str) -> bool:
     """Whether ``goal`` is reached from ``start``; stops at the round that finds it."""
     spark = pairs.sparkSession
@@ -163,8 +169,7 @@ def _trim(pairs: DataFrame) -> DataFrame:
     n = pairs.count()
     while n:
         kept = pairs.join(pairs.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        kept = materialize(kept.join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "trim")
-        m = kept.count()
+        kept, m = materialize_counted(kept.join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "trim")
         if m == n:
             break
         pairs, n = kept, m
@@ -176,12 +181,13 @@ def _spread(pairs: DataFrame, label: DataFrame, combine: Callable[[Column], Colu
     while True:
         cand = pairs.join(label, pairs["src"] == label["node"]).select(F.col("dst").alias("node"), "label")
         new = label.withColumn("old", F.col("label")).unionByName(cand.withColumn("old", F.lit(None).cast("string")))
-        new = materialize(new.groupBy("node").agg(combine("label").alias("label"), F.max("old").alias("old")), "labels")
+        new, n = materialize_counted(new.groupBy("node").agg(combine("label").alias("label"), F.max("old").alias("old")), "labels", F.col("label") != F.col("old"))
         label = new.select("node", "label")
-        if new.where("label != old").isEmpty():
+        if not n:
             return label
 
 
+@in_sized_partitions
 def components(pairs: DataFrame) -> DataFrame:
     """(node, scc): strongly connected components of two and more nodes, or of one with an edge to itself.
 
@@ -208,8 +214,8 @@ def components(pairs: DataFrame) -> DataFrame:
         frontier = got = materialize(got, "scc")
         while True:
             new = frontier.join(back, (frontier["node"] == back["src"]) & (frontier["scc"] == back["colour"])).select(F.col("dst").alias("node"), "scc").distinct()
-            new = materialize(new.join(got, "node", "left_anti"), "scc")
-            if new.isEmpty():
+            new, n = materialize_counted(new.join(got, "node", "left_anti"), "scc")
+            if not n:
                 break
             got, frontier = materialize(got.unionByName(new), "scc"), new
         found.append(got)
@@ -307,6 +313,7 @@ def cycles(g: Graph, scc: DataFrame | None = None, exact_edges: int = EXACT_EDGE
     return found
 
 
+@in_sized_partitions
 def _shortest_cycles(inside: DataFrame) -> DataFrame:
     """A shortest way back for every edge, by breadth-first search with parents; ties by byte order."""
     edges = materialize(inside.groupBy("source", "resolved").agg(F.min_by("dependencyTypes", "ord").alias("types")), "edges")
@@ -367,6 +374,7 @@ def first_path(adjacency: dict[str, list[tuple[str, list[str]]]], start: str, go
     return []
 
 
+@in_sized_partitions
 def paths(g: Graph, ends: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """(from, to, via): a shortest path for each pair that has one (G10), by distributed search from all starts at once.
 

@@ -45,7 +45,7 @@ def code(rest: str, more: str = "", recursive: bool = False) -> str:
 
 def _edges(rule: dict, facts: bool = False, metrics: bool = False) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        g = code_graph(spark, d)
+        g = code_graph(spark, d, saved=facts or metrics)
         if metrics:
             g = me.with_metrics(g)
         e = ev.with_facts(g) if facts or metrics else g.edges.withColumn("from_instability", F.lit(None).cast("double"))
@@ -90,12 +90,12 @@ q(code("SELECT e.source, e.ord, e.resolved FROM e JOIN i a ON a.source = e.sourc
 
 @q(code("SELECT source, ord, resolved FROM e WHERE NOT regexp_matches(source, 'node_modules|/tools/') AND NOT regexp_matches(resolved, 'node_modules|/tools/')"))
 def f01_exclude(spark, d):
-    return filters.exclude(code_graph(spark, d), "node_modules|/tools/").edges.select("source", "ord", "resolved")
+    return filters.exclude(code_graph(spark, d, saved=False), "node_modules|/tools/").edges.select("source", "ord", "resolved")
 
 
 @q(code("SELECT source, ord, resolved FROM e WHERE regexp_matches(source, '^[0-9]+/libs/') AND regexp_matches(resolved, '^[0-9]+/libs/')"))
 def f02_include_only(spark, d):
-    return filters.include_only(code_graph(spark, d), "^[0-9]+/libs/").edges.select("source", "ord", "resolved")
+    return filters.include_only(code_graph(spark, d, saved=False), "^[0-9]+/libs/").edges.select("source", "ord", "resolved")
 
 
 @q(code("SELECT source, regexp_matches(source, '/kernel/') AS matchesFocus FROM m WHERE source IN (SELECT source FROM m WHERE regexp_matches(source, '/kernel/') UNION SELECT dst FROM p WHERE regexp_matches(src, '/kernel/') UNION SELECT src FROM p WHERE regexp_matches(dst, '/kernel/'))"))
@@ -110,7 +110,7 @@ def f04_reaches(spark, d):
 
 @q(code("SELECT source, regexp_matches(source, '\\.py$') AS matchesHighlight FROM m"))
 def f05_highlight(spark, d):
-    return filters.highlight(code_graph(spark, d), "\\.py$").modules.select("source", "matchesHighlight")
+    return filters.highlight(code_graph(spark, d, saved=False), "\\.py$").modules.select("source", "matchesHighlight")
 
 
 _DIR = "CASE WHEN position('/' IN {0}) = 0 THEN '.' ELSE regexp_replace({0}, '/[^/]*$', '') END"
@@ -133,7 +133,7 @@ _VIEW = {"ignore": [{"from": "/apps/", "to": "/libs/"}, {"to": "fetch|typing"}],
 @q(code("SELECT source, ord, CASE WHEN regexp_matches(resolved, 'node_modules/([^/@]+)') THEN 'node_modules' ELSE resolved END AS resolved FROM e WHERE NOT (regexp_matches(source, '/apps/') AND regexp_matches(resolved, '/libs/')) AND NOT regexp_matches(resolved, 'fetch|typing') AND NOT coalesce(list_has_any(dependencyTypes, ['type-only']), false) AND NOT regexp_matches(source, '/tools/') AND NOT regexp_matches(resolved, '/tools/')"))
 def f14_f16_view(spark, d):
     view = ru.rule({"graph": _VIEW}).graph
-    return view_edges(code_graph(spark, d).edges, view).select("source", "ord", "resolved")
+    return view_edges(code_graph(spark, d, saved=False).edges, view).select("source", "ord", "resolved")
 
 
 @q(code("SELECT source, ord, resolved FROM e WHERE source NOT IN (SELECT resolved FROM e WHERE dnf OR regexp_matches(resolved, '/packages/'))"))
@@ -164,7 +164,7 @@ def g04_cycles(spark, d):
 
 @q(code("SELECT dst AS source, list_sort(list(src)) AS dependents FROM p GROUP BY dst"))
 def g06_dependents(spark, d):
-    return gr.dependents(code_graph(spark, d))
+    return gr.dependents(code_graph(spark, d, saved=False))
 
 
 _SEED = "regexp_matches(source, '^[0-9]+/apps/checkout/')"
@@ -256,22 +256,22 @@ def a07_projects(spark, d):
 
 @q(code("SELECT resolved, count(*) AS fan_in FROM e GROUP BY resolved"))
 def a13_fan_in(spark, d):
-    return gr.fan_in(code_graph(spark, d))
+    return gr.fan_in(code_graph(spark, d, saved=False))
 
 
 @q(code("SELECT (SELECT count(*) FROM m) AS totalCruised, (SELECT count(*) FROM e) AS totalDependenciesCruised"))
 def a15_totals(spark, d):
-    return me.totals(code_graph(spark, d))
+    return me.totals(code_graph(spark, d, saved=False))
 
 
 @q(code("SELECT language, count(*) AS modules FROM m GROUP BY language"))
 def a16_receipts(spark, d):
-    return me.receipts(code_graph(spark, d))
+    return me.receipts(code_graph(spark, d, saved=False))
 
 
 @q(code("SELECT DISTINCT unnest(list_transform(range(1, len(string_split(source, '/')) + 1), lambda n: array_to_string(list_slice(string_split(source, '/'), 1, n), '/'))) AS folder FROM m"))
 def a01_parent_folders(spark, d):
-    return code_graph(spark, d).modules.select(F.explode(parents(F.col("source"))).alias("folder")).distinct()
+    return code_graph(spark, d, saved=False).modules.select(F.explode(parents(F.col("source"))).alias("folder")).distinct()
 
 
 # --- rules -------------------------------------------------------------------
@@ -298,7 +298,7 @@ def ruled(spark: SparkSession, d: str) -> ev.Result:
 
 @q(code("SELECT source, ord, resolved, rule, severity FROM v", _RULED))
 def v09_forbidden(spark, d):
-    g = code_graph(spark, d)
+    g = code_graph(spark, d, saved=False)
     rs = ru.load(RULES)
     v = ev.verdicts(g.edges.withColumn("from_instability", F.lit(None).cast("double")), [(i, r, edge_predicate(r)) for i, r in enumerate(rs.forbidden)])
     return v.select("source", "ord", "resolved", F.col("rule.name").alias("rule"), F.col("rule.severity").alias("severity"))
@@ -318,7 +318,7 @@ def a09_severity_counts(spark, d):
 @q(code("SELECT source, resolved FROM e WHERE NOT (regexp_matches(source, '/libs/') AND regexp_matches(resolved, '/libs/')) AND NOT list_has_any(coalesce(dependencyTypes, []), ['local', 'npm'])"))
 def v08_allowed(spark, d):
     rs = ru.load({"allowed": [{"from": {"path": "/libs/"}, "to": {"path": "/libs/"}}, {"to": {"dependencyTypes": ["local", "npm"]}}], "allowedSeverity": "info"})
-    return ev.dependency_violations(code_graph(spark, d), rs).select(F.col("from").alias("source"), F.col("to").alias("resolved"))
+    return ev.dependency_violations(code_graph(spark, d, saved=False), rs).select(F.col("from").alias("source"), F.col("to").alias("resolved"))
 
 
 @q(code("SELECT source FROM m WHERE regexp_matches(source, '^[0-9]+/apps/') AND NOT regexp_matches(source, '/kernel/|/shared/') AND source NOT IN (SELECT source FROM e WHERE regexp_matches(resolved, '/kernel/|/shared/'))"))
@@ -440,7 +440,7 @@ def b10_diff_findings(spark, d):
 @q(code("SELECT 'apps-to-libs' AS name, count(*) AS count, CAST(100 AS BIGINT) AS ceiling, CASE WHEN count(*) > 100 THEN 'over' ELSE 'within' END AS verdict, abs(count(*) - 100) AS by FROM e WHERE regexp_matches(source, '/apps/') AND regexp_matches(resolved, '/libs/') UNION ALL SELECT 'inherits', count(*), CAST(NULL AS BIGINT), 'unbudgeted', CAST(NULL AS BIGINT) FROM e WHERE dependencyKind = 'inherits'"))
 def b13_ratchets(spark, d):
     rs = ru.load({"ratchets": [{"name": "apps-to-libs", "from": {"path": "/apps/"}, "to": {"path": "/libs/"}, "max": 100}, {"name": "inherits", "to": {"dependencyKind": "inherits"}}]})
-    return kn.ratchet_counts(code_graph(spark, d), rs.ratchets)
+    return kn.ratchet_counts(code_graph(spark, d, saved=False), rs.ratchets)
 
 
 # --- questions ---------------------------------------------------------------
@@ -448,7 +448,7 @@ def b13_ratchets(spark, d):
 
 @q(code("SELECT source AS \"from\", resolved AS \"to\" FROM e WHERE regexp_matches(source, '/services/') AND regexp_matches(resolved, '\\.py$')"))
 def q01_query(spark, d):
-    return wi.query(code_graph(spark, d), "/services/", "\\.py$")
+    return wi.query(code_graph(spark, d, saved=False), "/services/", "\\.py$")
 
 
 _CAND = "cd AS (SELECT DISTINCT resolved AS f, source AS t FROM e WHERE regexp_matches(source, '^[0-9]+/apps/checkout/') AND regexp_matches(resolved, '^[0-9]+/'))"
@@ -495,7 +495,7 @@ def q11_diff(spark, d):
 
 @q(code("SELECT DISTINCT source AS \"from\", resolved AS \"to\", a AS from_side, b AS to_side FROM (SELECT source, resolved, CASE WHEN regexp_matches(source, '/apps/') THEN '1' WHEN regexp_matches(source, '/services/') THEN '2' WHEN regexp_matches(source, '/libs/') THEN '3' END AS a, CASE WHEN regexp_matches(resolved, '/apps/') THEN '1' WHEN regexp_matches(resolved, '/services/') THEN '2' WHEN regexp_matches(resolved, '/libs/') THEN '3' END AS b FROM e) WHERE a != b"))
 def q14_changelog(spark, d):
-    e = code_graph(spark, d).edges.select(F.col("source").alias("from"), F.col("resolved").alias("to")).distinct()
+    e = code_graph(spark, d, saved=False).edges.select(F.col("source").alias("from"), F.col("resolved").alias("to")).distinct()
     return wi.changelog(e, {"layers": ["/apps/", "/services/", "/libs/"]}).select("from", "to", "from_side", "to_side")
 
 
@@ -538,7 +538,7 @@ def s01_documents(spark, d):
 
 @q(code("SELECT source, language FROM m"))
 def s03_language(spark, d):
-    return code_graph(spark, d).modules.select("source", "language")
+    return code_graph(spark, d, saved=False).modules.select("source", "language")
 
 
 @q(code("SELECT DISTINCT e.source, e.module, e.resolved IN (SELECT source FROM m WHERE calculable) AS known FROM e"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -44,6 +47,39 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, label: str, what: Column | None = None) -> tuple[DataFrame, int]:
+    """``materialize``, and the number of rows (from the files' footers), or of rows for which ``what`` is true."""
+    out = materialize(df, label)
+    return out, (out if what is None else out.where(what)).count()
+
+
+@contextmanager
+def sized_partitions(spark: SparkSession) -> Iterator[None]:
+    """Lets adaptive execution merge partitions up to the advisory size instead of keeping every core busy.
+
+    For loops whose rounds are often tiny: a round then writes few files, and
+    the next does not start a task for each of many empty ones.
+    """
+    name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def in_sized_partitions(f: Callable) -> Callable:
+    """Runs an operator's rounds within ``sized_partitions``; the first argument is a DataFrame or has ``edges``."""
+
+    @wraps(f)
+    def run(first, *args, **kw):  # noqa: ANN001
+        with sized_partitions(getattr(first, "edges", first).sparkSession):
+            return f(first, *args, **kw)
+
+    return run
+
+
 def drop_tables() -> None:
     """Delete every table that ``materialize`` wrote in this process."""
     while _written:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from depweave.functions.paths import path_form, path_form_sql
 from depweave.operators.elements import Code
 from depweave.operators.graph import Graph
+from depweave.session import materialize
 from depweave.sources.graphs import language
 
 
@@ -23,12 +24,17 @@ def code_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("resolved", F.when(outside, path_form(F.col("resolved"))).otherwise(under("resolved"))).withColumn("source", under("source")).withColumn("ord", F.col("ord").cast("bigint"))
 
 
-def code_graph(spark: SparkSession, d: str) -> Graph:
-    """The graph of all runs. A module's language comes from its ending, its project is its first two folders."""
-    g = Graph.of(code_edges(spark, d).drop("instability", "circular", "valid"))
+def code_graph(spark: SparkSession, d: str, saved: bool = True) -> Graph:
+    """The graph of all runs. A module's language comes from its ending, its project is its first two folders.
+
+    Deduplicated edges are written once, since most questions read the graph
+    several times; ``saved`` off leaves everything lazy, for a single scan.
+    """
+    write = materialize if saved else lambda df, label: df
+    g = Graph.of(write(code_edges(spark, d).drop("instability", "circular", "valid", "ingested_at", "extracted_at", "repo", "run_id"), "code-edges"))
     local = F.col("source").rlike("^[0-9]+/")
     project = F.when(local, F.nullif(F.regexp_extract("source", "^[0-9]+/[^/]+/[^/]+", 0), F.lit("")))
-    return g.with_(modules=g.modules.withColumn("language", language(F.col("source"))).withColumn("project", project))
+    return g.with_(modules=write(g.modules.withColumn("language", language(F.col("source"))).withColumn("project", project), "code-modules"))
 
 
 _OUT = "CASE WHEN coreModule OR couldNotResolve THEN {p} ELSE run_id || '/' || {p} END".format(p=path_form_sql("resolved"))

@@ -33,6 +33,8 @@ class Entity:
 _RULE = Entity("name", ("name",))
 #: The graph document: modules, their dependencies, and in those rules and cycle.
 GRAPH = Entity("source", ("source",), {"dependencies": Entity("resolved", ("resolved",), {"rules": _RULE, "cycle": _RULE})})
+#: Its edges alone.
+EDGES = Entity("source", ("source",), {"dependencies": Entity("resolved", ("resolved", "module"))})
 
 
 def find_list(doc: object, label: str, wanted: Entity) -> object:
@@ -136,6 +138,58 @@ def _batch(cols: list[list], id_type: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols[:6], kinds)), last], names=names)
 
 
+def edge_rows(doc: object) -> Iterator[tuple[str | None, int, str | None, str | None]]:
+    """(source, ord, resolved, module) of one decoded document's dependencies; absent fields are None."""
+    held: dict[int, dict] = {}
+    for node, parent, label, ordinal, is_object, scalar in adjacency(doc, "modules", EDGES):
+        if is_object:
+            held[node] = {"label_": label, "parent_": parent, "ord_": ordinal}
+        else:
+            held[parent][label] = scalar
+    for x in held.values():
+        if x["label_"] == "dependencies":
+            yield held[x["parent_"]].get("source"), x["ord_"], x.get("resolved"), x.get("module")
+
+
+def document_edges(df: DataFrame, body: str, rows_per_batch: int = 200_000) -> DataFrame:
+    """(source, ord, resolved, module) of every readable body, whatever its envelope.
+
+    Bodies are read as by ``shred``: lists of one may be written as their
+    entry and entries as their name, null entries keep their place but give no
+    row, unreadable bodies give nothing. A body's rows are put together where
+    it is decoded, so nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for b in batch.column(0):
+                doc = decode(b.as_py())
+                if doc is None:
+                    continue
+                for row in edge_rows(doc):
+                    rows.append(row)
+                    if len(rows) >= rows_per_batch:
+                        yield _edge_batch(rows)
+                        rows = []
+            if rows:
+                yield _edge_batch(rows)
+
+    return df.select(F.col(body).alias("body")).mapInArrow(run, "source string, ord bigint, resolved string, module string")
+
+
+def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
+    source, at, resolved, module = zip(*rows)
+    return pa.RecordBatch.from_arrays([_text(source), pa.array(at, pa.int64()), _text(resolved), _text(module)], names=["source", "ord", "resolved", "module"])
+
+
+def _text(values: Sequence[str | None]) -> pa.Array:
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([s and s.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for s in values], pa.string())
+
+
 def entities(nodes: DataFrame, scalars: Sequence[str]) -> DataFrame:
     """Object nodes with their scalar children as columns: (record, node, parent, label, ordinal, scalars...)."""
     objects = nodes.where("is_object").select("record", "node", "parent", "label", "ordinal")

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.operators import diagrams, elements, evaluate as ev, filters, graph as gr, known as kn, metrics as me, slices as sl, whatif as wi
+from depweave.operators import diagrams, elements, evaluate as ev, filters, graph as gr, known as kn, metrics as me, shred, slices as sl, whatif as wi
 from depweave.functions.paths import dirname, normalize_dots, parents
 from depweave.plans import rules as ru
 from depweave.plans.compile import edge_predicate, view_edges
@@ -531,9 +531,8 @@ def s19_fleet(spark, d):
 
 @q()
 def s01_documents(spark, d):
-    """Documents that a fixed schema can read, as edges."""
-    g = so.from_json(table(spark, d, "raw_graphs").where("body like '{\"modules\":[%'"), "body")
-    return g.edges.select("source", "ord", "resolved", "module")
+    """Every readable document, as edges."""
+    return shred.document_edges(table(spark, d, "raw_graphs"), "body")
 
 
 @q(code("SELECT source, language FROM m"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from depweave.functions.paths import dirname, name_set, normalize_dots, parents, path_form
 from depweave.operators import field61 as gf
 from depweave.operators.reconcile import Field, interpolate, reconcile, _points
-from depweave.operators.shred import decode, graph_tables
+from depweave.operators.shred import decode, document_edges, graph_tables
 from depweave.operators.skew import distinct_counts, key_loads, pack, plan, skew_join
 from depweave.operators.snapshots import snapshot_changes
 from depweave.operators.topn import latest, top_n
@@ -254,3 +254,20 @@ def test_reconcile_brute_force(spark, rows):
 def test_name_set(spark):
     df = spark.createDataFrame([(["b", None, "a", "b"],), (None,), ([],)], "t array<string>")
     assert [r[0] for r in df.select(name_set(F.col("t"))).collect()] == [["a", "b"], [], []]
+
+
+def test_document_edges_in_every_envelope(spark, rows):
+    dep = lambda *names: [{"resolved": n, "module": "./" + n} for n in names]
+    mods = [{"source": "a", "dependencies": dep("b", "c")}, None, {"source": "b", "dependencies": []}]
+    plain = json.dumps({"modules": mods}, separators=(",", ":"))
+    bodies = [
+        plain, json.dumps({"modules": mods}, indent=2), " \n" + plain, "﻿" + plain, json.dumps({"summary": {"error": 0}, "modules": mods}), json.dumps(mods), json.dumps({"graph": {"modules": mods}}), json.dumps({"a": {"b": {"modules": mods}}}),
+        json.dumps({"source": "lone", "dependencies": dep("x")}), json.dumps({"modules": {"source": "one", "dependencies": dep("y")[0]}}), json.dumps({"modules": [{"source": "s", "dependencies": [None, "bare", {"module": "m"}, 7]}]}),
+        '{"modules":[{"source":"\\ud800","dependencies":["z"]}]}', None, "", "{", plain[:-1], "7", '{"modules":null}', '{"modules":[]}',
+    ]
+    want = [("a", 0, "b", "./b"), ("a", 1, "c", "./c")] * 8
+    want += [("lone", 0, "x", "./x"), ("one", 0, "y", "./y"), ("s", 1, "bare", None), ("s", 2, None, "m"), ("�", 0, "z", None)]
+    df = spark.createDataFrame(list(enumerate(bodies)), "record_id long, body string")
+    assert rows(document_edges(df, "body")) == sorted(want, key=repr)
+    assert rows(document_edges(df, "body", rows_per_batch=1)) == sorted(want, key=repr)
+    assert document_edges(df.limit(0), "body").count() == 0

@@ -13,7 +13,7 @@ from depweave.functions.order import precedence, sort_versions
 from depweave.functions.paths import dirname, parents
 from depweave.operators import metrics
 from depweave.operators.evaluate import Result, evaluate, rule_counts, severity_counts
-from depweave.operators.graph import EDGE_COLUMNS, Graph, complete, fan_in, reach, reach_set, select_nodes
+from depweave.operators.graph import EDGE_COLUMNS, MODULE_COLUMNS, Graph, complete, fan_in, reach, reach_set, select_nodes
 from depweave.operators.known import ratchet_counts, ratchet_predicate
 from depweave.plans.compile import path_pair
 from depweave.plans.rules import From, Ratchet, Rule, RuleSet, To
@@ -268,10 +268,10 @@ def run_examples(spark, rules: RuleSet) -> DataFrame:
     return ex.join(v, ["rule", "from", "to"], "left").select("rule", "edge", "wanted", (F.coalesce("fired", F.lit(False)) == F.col("wanted")).alias("passed"))
 
 
-def prefix(g: Graph, name: str) -> Graph:
-    """Paths below a repository's name; core and unresolved names stay."""
+def prefix(g: Graph, name: str | Column) -> Graph:
+    """Paths below a repository's name, or below that in a column of both tables; core and unresolved names stay."""
     keep = F.coalesce("coreModule", F.lit(False)) | F.coalesce("couldNotResolve", F.lit(False))
-    under = lambda c: F.concat(F.lit(name + "/"), c)
+    under = lambda c: F.concat(F.lit(name) if isinstance(name, str) else name, F.lit("/"), c)
     m = g.modules.withColumn("source", F.when(keep, F.col("source")).otherwise(under(F.col("source"))))
     e = g.edges.withColumn("resolved", F.when(keep, F.col("resolved")).otherwise(under(F.col("resolved")))).withColumn("source", under(F.col("source")))
     if "cycle" in e.columns:
@@ -291,6 +291,20 @@ def fleet(repos: Mapping[str, Graph]) -> Graph:
     return Graph(first, edges)
 
 
+def fleet_table(edges: DataFrame, repo: str = "repo") -> Graph:
+    """``fleet`` of an edge table with a column of repository names: all of them in one pass, however many there are.
+
+    Of a module that several repositories name, the first one's in byte order of their names wins.
+    """
+    g = Graph.of(edges)
+    flags = ("coreModule", "couldNotResolve", "matchesDoNotFollow")
+    ends = g.edges.select(repo, "source", *[F.lit(False).alias(c) for c in flags]).unionByName(g.edges.select(repo, F.col("resolved").alias("source"), *flags))
+    modules = ends.groupBy(repo, "source").agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(c) for c in flags])
+    under = prefix(Graph(modules, g.edges), F.col(repo))
+    first = under.modules.groupBy("source").agg(F.min_by(F.struct(*flags), repo).alias("m_")).select("source", "m_.*")
+    return Graph(complete(first, MODULE_COLUMNS), under.edges)
+
+
 def fleet_findings(own: Mapping[str, DataFrame], fleet_wide: DataFrame) -> DataFrame:
     """Findings of the fleet's rules and of each repository's own, the latter's ends prefixed (Q23)."""
     out = fleet_wide.withColumn("repo", F.lit(None).cast("string"))

@@ -520,10 +520,8 @@ def q10_folder_distance(spark, d):
 
 @q("WITH e AS (SELECT repo, CASE WHEN coreModule OR couldNotResolve THEN resolved ELSE repo || '/' || resolved END AS r, repo || '/' || source AS s FROM edges WHERE repo IN (SELECT repo FROM edges GROUP BY repo ORDER BY count(*) DESC, repo LIMIT 2)) SELECT DISTINCT s AS source, r AS resolved FROM e")
 def s19_fleet(spark, d):
-    e = table(spark, d, "edges")
-    top = [r[0] for r in e.groupBy("repo").count().orderBy(F.desc("count"), "repo").limit(2).collect()]
-    repos = {n: gr.Graph.of(e.where(F.col("repo") == n).withColumn("ord", F.col("ord").cast("bigint"))) for n in top}
-    return wi.fleet(repos).edges.select("source", "resolved").distinct()
+    """All repositories; the SQL beside it still holds the two largest only."""
+    return wi.fleet_table(table(spark, d, "edges")).edges.select("source", "resolved").distinct()
 
 
 # --- scans -------------------------------------------------------------------

@@ -273,6 +273,22 @@ def test_fleet(spark, rows):
     assert rows(f.edges, "source", "resolved") == [("a/x", "a/y"), ("b/x", "b/z")] and f.modules.count() == 4
 
 
+def test_fleet_holds_every_repository(spark, rows):
+    data = [(r, "x", i, t, t == "fs", False) for r in ("c", "a", "b", "d") for i, t in enumerate(["y", "fs", "x"])] + [("b", "fs", 0, "y", False, False)]
+    e = spark.createDataFrame(data, "repo string, source string, ord long, resolved string, coreModule boolean, couldNotResolve boolean")
+    one, many = wi.fleet_table(e), wi.fleet({r: Graph.of(e.where(F.col("repo") == r)) for r in "abcd"})
+    assert rows(one.edges, "source", "ord", "resolved") == rows(many.edges, "source", "ord", "resolved") and one.edges.count() == 13
+    assert rows(one.modules, "source", "coreModule") == rows(many.modules, "source", "coreModule")
+
+
+def test_fleet_query_leaves_no_repository_out(spark, rows, tmp_path):
+    from depweave.plans.graph_queries import QUERIES
+
+    e = spark.createDataFrame([(r, "x", 0, "y") for r in "abcd"], "repo string, source string, ord int, resolved string").withColumn("coreModule", F.lit(False)).withColumn("couldNotResolve", F.lit(False))
+    e.write.parquet(str(tmp_path / "edges.parquet"))
+    assert rows(QUERIES["s19_fleet"](spark, str(tmp_path))) == [(f"{r}/x", f"{r}/y") for r in "abcd"]
+
+
 def test_reports(spark):
     e = spark.createDataFrame([("b", 0, "a", ["local"], None), ("a", 0, "b", ["local"], None), ("a", 1, "fs", ["core"], True)], "source string, ord long, resolved string, dependencyTypes array<string>, coreModule boolean")
     g = Graph.of(e)

@@ -7,6 +7,7 @@ lost executor costs one round at most.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -226,8 +227,8 @@ def components(pairs: DataFrame) -> DataFrame:
     return materialize(real.unionByName(loops.join(real, "node", "left_anti").select("node", F.col("node").alias("scc"))), "components")
 
 
-#: Edges up to which a component's cycles are searched in the order of its edges; beyond, a shortest cycle is given.
-EXACT_EDGES = 200_000
+#: Edges of a component whose cycles one task searches; more are shared among tasks that each hold the component's edges.
+EDGES_A_TASK = 100_000
 
 
 def first_cycle(adjacency: dict[str, list[tuple[str, list[str]]]], initial: str, current: str, types: list[str]) -> list[tuple[str, list[str]]]:
@@ -263,42 +264,51 @@ def first_cycle(adjacency: dict[str, list[tuple[str, list[str]]]], initial: str,
             stack.append(down)
             continue
         # unwind: every node on the stack puts itself before the way found, unless the way holds it already
-        way = down
+        way, held = down[::-1], {n for n, _ in down}
         while stack:
             name, how, _ = stack[-1]
-            if any(n == name for n, _ in way):
+            if name in held:
                 break
-            way = [(name, how), *way]
+            way.append((name, how))
+            held.add(name)
             stack.pop()
         else:
-            return way
+            return way[::-1]
     return []
 
 
-def cycles(g: Graph, scc: DataFrame | None = None, exact_edges: int = EXACT_EDGES) -> DataFrame:
+def cycles(g: Graph, scc: DataFrame | None = None, exact_edges: int | None = None, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
     """(source, ord, cycle) of the edges that lie on a cycle (G4, G5): steps from the target on, back to the source.
 
-    Components are searched each for itself. The order-dependent search needs
-    a component's edges in one place, so it is used up to ``exact_edges``;
-    larger components get a shortest cycle from distributed breadth-first
-    search instead.
+    The first cycle in the order of the edges, whatever the size of the
+    component. The search needs a component's edges in one place; beyond
+    ``edges_a_task`` its sources are shared among several tasks, to each of
+    which the edges are sent, so results do not depend on it. Only a caller
+    that names ``exact_edges`` gets a shortest cycle instead, by distributed
+    breadth-first search, in components of more edges than that.
     """
     scc = components(g.pairs) if scc is None else scc
     e = g.edges.select("source", "ord", "resolved", "dependencyTypes")
     inside = e.join(scc.select(F.col("node").alias("source"), "scc"), "source").join(scc.select(F.col("node").alias("resolved"), F.col("scc").alias("scc2")), "resolved").where("scc = scc2").drop("scc2")
     inside = materialize(inside, "cyclic")
     size = inside.groupBy("scc").agg(F.count(F.lit(1)).alias("n"))
-    small = inside.join(size.where(F.col("n") <= exact_edges).select("scc"), "scc", "left_semi")
+    here = size if exact_edges is None else size.where(F.col("n") <= exact_edges)
+    shares = here.select("scc", F.ceil(F.col("n") / edges_a_task).cast("int").alias("shares"))
+    sent = inside.join(shares, "scc").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["source", "ord"])
+        share, shares = int(pdf["share"].iloc[0]), int(pdf["shares"].iloc[0])
         adjacency: dict[str, list[tuple[str, list[str]]]] = {}
         as_list = lambda t: [] if t is None else list(t)
         for s, t, ty in zip(pdf["source"], pdf["resolved"], pdf["dependencyTypes"]):
             adjacency.setdefault(s, []).append((t, as_list(ty)))
+        mine = {s for s in adjacency if zlib.crc32(s.encode("utf-8", "surrogatepass")) % shares == share}
         memo: dict[tuple[str, str], list] = {}
         out = []
         for s, o, t in zip(pdf["source"], pdf["ord"], pdf["resolved"]):
+            if s not in mine:
+                continue
             if (s, t) not in memo:
                 types = next(ty for x, ty in adjacency[s] if x == t)
                 memo[(s, t)] = [{"name": n, "dependencyTypes": ty} for n, ty in first_cycle(adjacency, s, t, types)]
@@ -306,10 +316,11 @@ def cycles(g: Graph, scc: DataFrame | None = None, exact_edges: int = EXACT_EDGE
                 out.append((s, o, memo[(s, t)]))
         return pd.DataFrame(out, columns=["source", "ord", "cycle"])
 
-    found = small.groupBy("scc").applyInPandas(search, f"source string, ord long, cycle array<{STEP}>")
-    large = size.where(F.col("n") > exact_edges)
-    if not large.isEmpty():
-        found = found.unionByName(_shortest_cycles(inside.join(large.select("scc"), "scc", "left_semi")))
+    found = sent.groupBy("scc", "share").applyInPandas(search, f"source string, ord long, cycle array<{STEP}>")
+    if exact_edges is not None:
+        large = size.where(F.col("n") > exact_edges)
+        if not large.isEmpty():
+            found = found.unionByName(_shortest_cycles(inside.join(large.select("scc"), "scc", "left_semi")))
     return found
 
 

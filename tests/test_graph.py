@@ -63,6 +63,23 @@ def test_cycles_and_components(spark, rows):
     assert mark_circular(graph(spark, EMPTY)).edges.where("circular").count() < mark_circular(graph(spark, EMPTY), exact=False).edges.where("circular").count()
 
 
+def test_cycles_are_the_same_at_every_size(spark):
+    # the first way back leads over c and e, a shortest one over d
+    rest = [("b", 0, "c"), ("b", 1, "d"), ("c", 0, "e"), ("e", 0, "a"), ("d", 0, "a")]
+    for n in (1, 200_001):
+        e = spark.range(n).select(F.lit("a").alias("source"), F.col("id").alias("ord"), F.lit("b").alias("resolved")).unionByName(spark.createDataFrame(rest, "source string, ord long, resolved string"))
+        got = cycles(Graph.of(e)).where("source = 'a'")
+        assert [(r["names"], r["count"]) for r in got.groupBy(F.expr("transform(cycle, s -> s.name)").alias("names")).count().collect()] == [(["b", "c", "e", "a"], n)]
+
+
+def test_cycles_do_not_depend_on_the_share_of_a_task(spark):
+    rng = random.Random(5)
+    g = graph(spark, sorted({(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(70)}))
+    scc = components(g.pairs)
+    told = lambda df: sorted((r["source"], r["ord"], [s["name"] for s in r["cycle"]]) for r in df.collect())
+    assert told(cycles(g, scc)) == told(cycles(g, scc, edges_a_task=3)) != []
+
+
 def _closure(edges):
     adj = {}
     for a, b in edges:

@@ -220,33 +220,34 @@ def _find_some(x: Index, arrays: list[np.ndarray], ws: list[list[str]]) -> set[t
     doc = np.searchsorted(base, where, side="right") - 1
     item = x.item[entry]
     diag = where - base[doc] - x.pos[entry]
-    # overlapping bands: band b holds the diagonals from b * w to b * w + w + edits
+    # overlapping bands: band b holds the diagonals from b * w up to, without it, b * w + w + edits, so any w diagonals in a row
+    # lie in one; hits on the first ``edits`` diagonals of a band belong to the band before as well
     w = x.edits + 1
-    low = (diag - x.edits) // w if x.edits else diag
+    band = diag // w
+    if x.edits:
+        both = diag % w < x.edits
+        doc, item, band = np.append(doc, doc[both]), np.append(item, item[both]), np.append(band, band[both] - 1)
     found: set[tuple[int, int]] = set()
-    shifts = range(2) if x.edits else range(1)
     reach = np.maximum(1, x.least - x.q + 1 - x.edits * x.q)
     begun: dict[int, np.ndarray] = {}
-    for shift in shifts:
-        band = low + shift
-        key = np.stack([doc, item, band])
-        order = np.lexsort(key[::-1])
-        key = key[:, order]
-        edge = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
-        count = np.diff(np.append(edge, key.shape[1]))
-        for e in edge[count >= reach[key[1, edge]]]:
-            d, k, b = (int(v) for v in key[:, e])
-            if (d, k) in found:
-                continue
-            if x.edits:
-                if any(_near(x, k, arrays[d], g) for g in (b * w,)):
-                    found.add((d, k))
-                continue
-            if d not in begun:
-                begun[d] = np.zeros(len(arrays[d]) + 1, bool)
-                begun[d][starts(ws[d])] = True
-            if _exact(x, k, arrays[d], begun[d], b):
+    key = np.stack([doc, item, band])
+    order = np.lexsort(key[::-1])
+    key = key[:, order]
+    edge = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+    count = np.diff(np.append(edge, key.shape[1]))
+    for e in edge[count >= reach[key[1, edge]]]:
+        d, k, b = (int(v) for v in key[:, e])
+        if (d, k) in found:
+            continue
+        if x.edits:
+            if _near(x, k, arrays[d], b * w):
                 found.add((d, k))
+            continue
+        if d not in begun:
+            begun[d] = np.zeros(len(arrays[d]) + 1, bool)
+            begun[d][starts(ws[d])] = True
+        if _exact(x, k, arrays[d], begun[d], b):
+            found.add((d, k))
     return found
 
 

@@ -172,3 +172,30 @@ def test_leaks_with_edits():
     item = "the quick brown fox jumps over the lazy dog and then it rests a while"
     ix = build_index([(1, item, False)], 13, 40, edits=1, q=8)
     assert find(ix, ["so " + item.replace("jumps", "jumqs") + " ok", item.replace("jumps", "leaped"), item, "nothing of the sort"]) and {d for d, _ in find(ix, ["so " + item.replace("jumps", "jumqs") + " ok", item.replace("jumps", "leaped"), item, "none"])} == {0, 2}
+
+
+def _least_edits(a, text):
+    """Edits that turn ``a`` into the nearest stretch of ``text``, by the whole table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_leaks_with_letters_put_in_or_left_out(edits):
+    rng = random.Random(edits)
+    item = "".join(rng.choice("abcdefghijklmnop") for _ in range(60))
+    ix = build_index([(1, item, True)], 13, 60, edits=edits)
+    docs = []
+    for before in range(edits + 2):  # every place of the diagonals within a band
+        for at in range(len(item) + 1):
+            other = rng.randrange(len(item))
+            for n in range(1, edits + 2):  # one edit more than allowed as well
+                for t in (item[:at] + "z" * n + item[at:], item[:at] + item[at + n :], item[:at] + "z" + item[at:other] + item[other + 1 :] if at < other else item):
+                    docs.append("x" * before + t + "yy")
+    want = {d for d, t in enumerate(docs) if _least_edits(item, t) <= edits}
+    assert {d for d, _ in find(ix, docs)} == want and 0 < len(want) < len(docs)

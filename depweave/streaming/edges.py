@@ -1,21 +1,25 @@
 """Edges that arrive over time (T1-T7, T9): a re-check per batch, and windows over edge events.
 
-Batches are judged against the stored graph only where they change it. The
-event-time operators are extensions of this engine.
+Batches are judged edge by edge, with what a stored graph says about the ends;
+rules that a batch can't judge have to be named. The event-time operators are
+extensions of this engine.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from depweave.operators.evaluate import dependency_violations
-from depweave.operators.graph import Graph
+from depweave.operators.graph import EDGE_COLUMNS, Graph, complete
+from depweave.operators.metrics import with_metrics
+from depweave.plans.compile import needs
 from depweave.plans.rules import RuleSet
-from depweave.session import shared_dir
+from depweave.session import materialize, shared_dir
 
 
 def changed_inputs(now: DataFrame, cached: DataFrame) -> DataFrame:
@@ -43,18 +47,52 @@ def cached(spark: SparkSession, key: str, make: Callable[[], DataFrame]) -> Data
     return spark.read.parquet(path)
 
 
-def watch(edges: DataFrame, rules: RuleSet, sink: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def unjudged(rules: RuleSet, stored: bool) -> list[tuple[str, str]]:
+    """(name, reason) of the rules and ratchets that edges of a batch can't answer, with or without a stored graph."""
+    out = []
+    for r in rules.all():
+        if r.family != "dependency" or r in rules.required:
+            out.append((r.name, "looks at modules, folders or projects of the whole graph"))
+        elif r.to.circular is not None or r.to.via is not None or r.to.viaOnly is not None:
+            out.append((r.name, "needs the cycles of the whole graph"))
+        elif not stored and (r.to.moreUnstable is not None or r.from_.cross.given() or r.to.cross.given()):
+            out.append((r.name, "needs a stored graph's facts about modules"))
+    return out + [(r.name, "counts edges of the whole graph") for r in rules.ratchets]
+
+
+def watch(edges: DataFrame, rules: RuleSet, sink: str, checkpoint: str, once: bool = True, stored: Graph | None = None, left_out: Collection[str] = ()) -> StreamingQuery:
     """Judge edges as they arrive (T7): each micro-batch's edges go through the rules that look at single edges.
 
-    An edge that comes again unchanged within a batch is judged once. Rules
-    about cycles or reach need the whole graph and are left to a full run.
+    An edge that comes again unchanged within a batch is judged once; edges of
+    one pair that differ in anything else than their delivery are judged each.
+    Facts about both ends (language, project, namespaces, assemblies,
+    instability) are those of ``stored``; a module it does not hold has none.
+
+    Rules that a batch can't judge (``unjudged``) are refused unless
+    ``left_out`` names them: they are left to a full run. If one of them is an
+    ``allowed`` rule, no edge is told not to be allowed.
     """
+    cant = unjudged(rules, stored is not None)
+    refused = [f"{n}: {why}" for n, why in cant if n not in left_out]
+    if refused:
+        raise ValueError("a batch can't judge " + "; ".join(refused))
+    names = {n for n, _ in cant}
+    whole = not any(r.name in names for r in rules.allowed)
+    mine = replace(rules, forbidden=tuple(r for r in rules.forbidden if r.name not in names), allowed=rules.allowed if whole else (), required=(), ratchets=())
+    facts = None
+    if stored is not None and needs(mine) & {"facts", "metrics"}:
+        modules = with_metrics(stored).modules if "metrics" in needs(mine) else stored.modules
+        facts = materialize(modules, "stored-modules")
 
     def check(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        g = Graph.of(batch.dropDuplicates(["source", "resolved"]))
-        dependency_violations(g, rules).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        g = Graph.of(batch.dropDuplicates([c for c in batch.columns if c in EDGE_COLUMNS]))
+        if facts is not None:
+            about = facts.select(F.col("source").alias("resolved"), F.col("instability").alias("stored_"))
+            e = g.edges.join(about, "resolved", "left").withColumn("instability", F.coalesce("stored_", "instability")).drop("stored_")
+            g = Graph(facts, complete(e, EDGE_COLUMNS))
+        dependency_violations(g, mine).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     w = edges.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()

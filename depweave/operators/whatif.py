@@ -15,7 +15,7 @@ from depweave.operators import metrics
 from depweave.operators.evaluate import Result, evaluate, rule_counts, severity_counts
 from depweave.operators.graph import EDGE_COLUMNS, MODULE_COLUMNS, Graph, complete, fan_in, reach, reach_set, select_nodes
 from depweave.operators.known import ratchet_counts, ratchet_predicate
-from depweave.plans.compile import path_pair
+from depweave.plans.compile import edge_predicate, needs, path_pair, verdicts
 from depweave.plans.rules import From, Ratchet, Rule, RuleSet, To
 from depweave.session import materialize
 
@@ -114,38 +114,143 @@ def folder_distance(a: Column, b: Column) -> Column:
     return (F.size(x) + F.size(y) - 2 * shared).cast("int")
 
 
-def fix_plans(g: Graph, rules: RuleSet, violations: DataFrame) -> DataFrame:
-    """(from, to, rule, plan, target, cost): the cheapest way out of each edge violation that the rules allow (Q9, A.10).
+#: Distances up to which candidate folders are tried together; whoever has none goes on to the next.
+_RINGS = (-1, 2, 4, 8, 1 << 20)
+
 
-    ``move`` puts the source into another folder (cost: its imports and
-    importers), ``port`` puts a module between (cost 2), ``invert`` turns the
-    edge (cost 2 and the target's other importers). Candidate folders are
-    those of the target and of the source's other targets, nearest first; every
-    edge a plan adds is judged by ``can_import``. Equal cost: move, port, invert.
+def fix_plans(g: Graph, rules: RuleSet, violations: DataFrame) -> DataFrame:
+    """(from, to, rule, plan, target, cost): the cheapest way out of each violation that the rules allow (Q9, A.10).
+
+    The edge to change is the violation's own, or the first step of a
+    reachability path. ``move`` puts the source into another folder (cost: its
+    imports and importers), ``port`` puts a module between on which both ends
+    depend (cost 2), ``invert`` turns the edge (cost 1, 1 for the new edge and
+    the target's other importers). Folders are those of the language's modules
+    and their ancestors but the root, nearest first, then deeper, then by name;
+    a name that is taken is passed over. Equal cost: move, port, invert.
+
+    A plan is legal if no error rule blocks an edge it adds and an evaluation
+    no longer reports the violation, adds no error and no finding of the same
+    rule. Where all rules look at single edges, only the edges a plan changes
+    can be judged otherwise, so all plans are judged together; else each plan
+    is evaluated on a graph of its own, one after another.
     """
-    v = violations.where(F.col("type").isin("dependency", "cycle", "instability")).select("from", "to", "rule").distinct()
-    v = materialize(v, "to-fix")
-    out_n = g.edges.groupBy(F.col("source").alias("from")).agg(F.count(F.lit(1)).alias("imports"))
-    in_n = fan_in(g).select(F.col("resolved").alias("x_"), F.col("fan_in").alias("importers"))
-    base = F.regexp_extract("from", "[^/]+$", 0)
-    near = g.edges.select(F.col("source").alias("from"), dirname(F.col("resolved")).alias("folder")).where("folder != '.'").distinct()
-    own = dirname(F.col("from"))
-    moves = v.join(near, "from").where(F.col("folder") != own).withColumn("target", F.concat_ws("/", "folder", base)).withColumn("d_", folder_distance(own, F.col("folder")))
-    moves = moves.join(out_n, "from", "left").join(in_n.withColumnRenamed("x_", "from"), "from", "left").withColumn("cost", F.coalesce("imports", F.lit(0)) + F.coalesce("importers", F.lit(0)))
-    moved = moves.join(g.edges.select(F.col("source").alias("from"), F.col("resolved").alias("r_")).distinct(), "from").select("from", "to", "rule", "target", "cost", "d_", F.col("target").alias("a_"), F.col("r_").alias("b_"))
-    inverted = v.join(in_n.withColumnRenamed("x_", "to"), "to", "left").select("from", "to", "rule", F.col("from").alias("target"), (F.lit(2) + F.coalesce("importers", F.lit(1)) - 1).alias("cost"), F.lit(0).alias("d_"), F.col("to").alias("a_"), F.col("from").alias("b_"))
-    port = F.concat_ws("/", dirname(F.col("to")), F.concat(F.lit("port-"), F.regexp_extract("to", "[^/]+$", 0)))
-    ports = v.select("from", "to", "rule", port.alias("target"), F.lit(2).cast("bigint").alias("cost"), F.lit(0).alias("d_"), F.col("from").alias("a_"), port.alias("b_"))
-    cand = _tag(moved, "move", 0).unionByName(_tag(ports, "port", 1)).unionByName(_tag(inverted, "invert", 2))
-    cand = materialize(cand, "plans")
-    legal = can_import(g, rules, cand.select(F.col("a_").alias("from"), F.col("b_").alias("to"))).select(F.col("from").alias("a_"), F.col("to").alias("b_"), "allowed")
-    judged = cand.join(legal, ["a_", "b_"], "left").groupBy("from", "to", "rule", "plan", "target", "cost", "d_", "p_").agg(F.bool_and(F.coalesce("allowed", F.lit(False))).alias("ok"))
-    best = judged.where("ok").groupBy("from", "to", "rule").agg(F.min(F.struct("cost", "p_", "d_", "target", "plan")).alias("b"))
-    return best.select("from", "to", "rule", "b.plan", "b.target", "b.cost")
-
-
-def _tag(df: DataFrame, plan: str, rank: int) -> DataFrame:
-    return df.withColumn("plan", F.lit(plan)).withColumn("p_", F.lit(rank)).withColumn("cost", F.col("cost").cast("bigint"))
+    via = F.get("via", 0)["name"] if "via" in violations.columns else F.lit(None).cast("string")
+    v = violations.where(F.col("type").isin("dependency", "cycle", "instability", "reachability"))
+    v = v.select("from", "to", "rule", F.when(F.col("type") == "reachability", via).otherwise(F.col("to")).alias("b")).distinct().withColumn("a", F.col("from"))
+    own = g.modules.where(metrics.calculable()).select("source", "language")
+    v = v.join(own.select(F.col("source").alias("a"), F.col("language").alias("la_")), "a").join(own.select(F.col("source").alias("b"), F.col("language").alias("lb_"), F.lit(True).alias("local_")), "b", "left")
+    pairs = materialize(g.pairs.where("src != dst"), "pairs")
+    outs = g.edges.groupBy(F.col("source").alias("a")).agg(F.count(F.lit(1)).alias("out_"))
+    ins = lambda c, n: pairs.groupBy(F.col("dst").alias(c)).agg(F.count(F.lit(1)).alias(n))
+    back = pairs.select(F.col("src").alias("b"), F.col("dst").alias("a"), F.lit(1).alias("back_"))
+    v = v.join(outs, "a", "left").join(ins("a", "in_a"), "a", "left").join(ins("b", "in_b"), "b", "left").join(back, ["a", "b"], "left")
+    home = lambda c: F.when(dirname(F.col(c)) == ".", "").otherwise(dirname(F.col(c)))
+    v = materialize(v.fillna(0, ["out_", "in_a", "in_b", "back_"]).withColumns({"ha_": home("a"), "hb_": home("b")}), "to-fix")
+    folder = own.select("language", F.explode(parents(dirname(F.col("source")))).alias("folder")).where("folder not in ('.', '/', '')").distinct()
+    above = materialize(folder.withColumn("up_", F.explode(F.concat(F.array(F.lit("")), parents(F.col("folder"))))), "folders")
+    base = materialize(violations.where("severity != 'ignore'").select(F.col("from").alias("f_"), F.col("to").alias("t_"), F.col("rule").alias("r_"), "type").distinct(), "base")
+    judge = _judge_together if not needs(rules) and not any(r.family != "dependency" for r in rules.all()) and not rules.required else _judge_alone
+    keys = ["from", "to", "rule"]
+    name = {"move": F.regexp_extract("a", "[^/]+$", 0), "port": F.concat(F.lit("port-"), F.regexp_extract("b", "[^/]+$", 0))}
+    both = F.coalesce("local_", F.lit(False)) & F.col("la_").eqNullSafe(F.col("lb_"))
+    away = {"move": folder_distance(F.col("folder"), F.col("ha_")), "port": folder_distance(F.col("folder"), F.col("ha_")) + folder_distance(F.col("folder"), F.col("hb_"))}
+    cost = {"move": F.col("out_") + F.col("in_a"), "port": F.lit(2), "invert": F.lit(2) - F.col("back_") + F.col("in_b") - F.lit(1)}
+    inverted = v.where(F.coalesce("local_", F.lit(False))).select(*keys, "a", "b", "la_", F.lit("invert").alias("plan"), F.col("a").alias("target"), cost["invert"].cast("bigint").alias("cost"), F.lit(0).alias("away"), F.lit(0).alias("deep"))
+    found = [judge(g, rules, materialize(inverted, "plans"), base)]
+    for plan in ("move", "port"):
+        left = v if plan == "move" else v.where(both)
+        for low, high in zip(_RINGS, _RINGS[1:]):
+            if left.isEmpty():
+                break
+            near = left.withColumn("up_", F.explode(F.concat(F.array(F.lit("")), F.when(F.col("ha_") == "", F.array().cast("array<string>")).otherwise(parents(F.col("ha_")))))).where(folder_distance(F.col("ha_"), F.col("up_")) <= high)
+            near = near.join(above, (near["up_"] == above["up_"]) & near["la_"].eqNullSafe(above["language"])).drop("up_", "language").distinct()
+            near = near.withColumn("away", away[plan]).where((F.col("away") > low) & (F.col("away") <= high) & ((F.col("folder") != F.col("ha_")) | F.lit(plan != "move")))
+            near = near.withColumn("target", F.concat_ws("/", "folder", name[plan])).join(g.modules.select(F.col("source").alias("target")), "target", "left_anti")
+            near = near.select(*keys, "a", "b", "la_", F.lit(plan).alias("plan"), "target", cost[plan].cast("bigint").alias("cost"), "away", (-F.size(F.split("folder", "/"))).alias("deep"))
+            good = materialize(judge(g, rules, materialize(near, "plans"), base), "legal")
+            found.append(good)
+            left = materialize(left.join(good.select(*keys), keys, "left_anti"), "to-fix")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    rank = F.when(F.col("plan") == "move", 0).when(F.col("plan") == "port", 1).otherwise(2)
+    best = out.groupBy(*keys).agg(F.min(F.struct("cost", rank.alias("p_"), "away", "deep", "target", "plan")).alias("x"))
+    return best.select(*keys, "x.plan", "x.target", "x.cost")
+
+
+def _added(g: Graph, plans: DataFrame) -> DataFrame:
+    """Edges that plans add, with the names they had before: the plans' columns and (s_, t_, s0_, t0_, real_) of each."""
+    move, port, turn = (plans.where(F.col("plan") == p) for p in ("move", "port", "invert"))
+    e = g.edges.select(F.col("source").alias("s0_"), F.col("resolved").alias("t0_")).distinct()
+    out, into = move.join(e, move["a"] == e["s0_"]), move.join(e, (move["a"] == e["t0_"]) & (e["s0_"] != e["t0_"]))
+    out = out.withColumns({"s_": F.col("target"), "t_": F.when(F.col("t0_") == F.col("a"), F.col("target")).otherwise(F.col("t0_"))})
+    into = into.withColumns({"s_": F.col("s0_"), "t_": F.col("target")})
+    new = lambda df, s, t: df.withColumns({"s_": F.col(s), "t_": F.col(t), "s0_": F.col(s), "t0_": F.col(t)})
+    return out.unionByName(into).withColumn("real_", F.lit(True)).unionByName(new(port, "a", "target").unionByName(new(port, "b", "target")).unionByName(new(turn, "b", "a")).withColumn("real_", F.lit(False)))
+
+
+def _judge_together(g: Graph, rules: RuleSet, plans: DataFrame, base: DataFrame) -> DataFrame:
+    """The legal plans, for rules that look at single edges alone."""
+    keys = ["from", "to", "rule", "plan", "target"]
+    added = materialize(_added(g, plans), "added")
+    made = plans.where("plan != 'invert'").select(F.col("target").alias("source")).distinct().withColumns({"coreModule": F.lit(False), "couldNotResolve": F.lit(False), "followable": F.lit(True)})
+    known = g.with_(modules=g.modules.unionByName(complete(made, MODULE_COLUMNS), allowMissingColumns=True))
+    guess = candidate_edges(added.select(F.col("s_").alias("from"), F.col("t_").alias("to")), known)
+    told = _broken(guess, rules).select(F.col("source").alias("s_"), F.col("resolved").alias("t_"), F.col("rule.name").alias("r_"), F.col("rule.severity").alias("sev_"))
+    blocked = added.join(told, ["s_", "t_"])
+    # an edge that moves keeps what is known of it
+    old = added.where("real_").join(g.edges, (F.col("s0_") == g.edges["source"]) & (F.col("t0_") == g.edges["resolved"]))
+    old = old.withColumn("module", F.when(F.col("t0_") == F.col("a"), F.col("target")).otherwise(F.col("module"))).withColumn("source", F.col("s_")).withColumn("resolved", F.col("t_")).withColumnRenamed("rule", "rule_of_")
+    seen = _broken(old, rules).select("from", "to", F.col("rule_of_").alias("rule"), "plan", "target", "s0_", "t0_", F.col("rule.name").alias("r_"), F.col("rule.severity").alias("sev_"))
+    seen = seen.unionByName(blocked.where("not real_").select(seen.columns)).where("sev_ != 'ignore'")
+    had = base.select(F.col("f_").alias("s0_"), F.col("t_").alias("t0_"), "r_", F.lit(True).alias("had_")).distinct()
+    same = (F.col("r_") == F.col("rule")) & (F.col("s0_") == F.col("from")) & (F.col("t0_") == F.col("to"))
+    new = F.col("had_").isNull() & ((F.col("sev_") == "error") | (F.col("r_") == F.col("rule")))
+    bad = blocked.where("sev_ = 'error'").select(*keys).unionByName(seen.join(had, ["s0_", "t0_", "r_"], "left").where(same | new).select(*keys))
+    return plans.join(bad.distinct(), keys, "left_anti")
+
+
+def _broken(edges: DataFrame, rules: RuleSet) -> DataFrame:
+    own = [(i, r, edge_predicate(r)) for i, r in enumerate(rules.forbidden)]
+    return verdicts(edges.withColumn("from_instability", F.lit(None).cast("double")), own, [edge_predicate(r) for r in rules.allowed], rules.allowed_severity)
+
+
+def _judge_alone(g: Graph, rules: RuleSet, plans: DataFrame, base: DataFrame) -> DataFrame:
+    """The first legal plan of each violation and kind, by evaluating the graph of each."""
+    had = {tuple(r) for r in base.select("r_", "type", "f_", "t_").collect()}
+    done: dict[tuple, object] = {}
+    for p in plans.orderBy("from", "to", "rule", "plan", "away", "deep", "target").collect():
+        key = (p["from"], p["to"], p["rule"], p["plan"])
+        if key in done:
+            continue
+        lit = {k: F.lit(p[k]) for k in ("a", "b", "target")}
+        e, m = g.edges.drop("circular", "cycle", "instability"), g.modules
+        if p["plan"] == "move":
+            to = lambda c: F.when(F.col(c) == lit["a"], lit["target"]).otherwise(F.col(c))  # noqa: E731, B023
+            e = e.withColumn("module", F.when(F.col("resolved") == lit["a"], lit["target"]).otherwise(F.col("module"))).withColumns({"source": to("source"), "resolved": to("resolved")})
+            m = m.withColumn("source", to("source"))
+        else:
+            e = e.where(~((F.col("source") == lit["a"]) & (F.col("resolved") == lit["b"])))
+        if p["plan"] == "port":
+            m = m.unionByName(complete(g.modules.sparkSession.createDataFrame([(p["target"], p["la_"], False, False, True)], "source string, language string, coreModule boolean, couldNotResolve boolean, followable boolean"), MODULE_COLUMNS), allowMissingColumns=True)
+        added = _added(g, plans.where(F.struct("from", "to", "rule", "plan", "target") == F.struct(*[F.lit(p[k]) for k in ("from", "to", "rule", "plan", "target")]))).select(F.col("s_").alias("from"), F.col("t_").alias("to")).distinct()
+        trial = Graph(m, complete(e, EDGE_COLUMNS))
+        if p["plan"] != "move":
+            there = e.select(F.col("source").alias("from"), F.col("resolved").alias("to"))
+            trial = trial.with_(edges=trial.edges.unionByName(candidate_edges(added.join(there, ["from", "to"], "left_anti"), trial), allowMissingColumns=True))
+        trial = trial.saved()
+        # can_import judges by what the rules ask of the whole graph
+        if not can_import(metrics.with_metrics(trial) if "metrics" in needs(rules) else trial, rules, added).where("not allowed").isEmpty():
+            continue
+        name = lambda x: p["a"] if p["plan"] == "move" and x == p["target"] else x  # noqa: E731, B023
+        bad = False
+        for x in evaluate(trial, rules).violations.where("severity != 'ignore'").select("rule", "type", "from", "to", "severity").collect():
+            k = (x["rule"], x["type"], name(x["from"]), name(x["to"]))
+            bad |= (k[0], k[2], k[3]) == (p["rule"], p["from"], p["to"]) or k not in had and (x["severity"] == "error" or x["rule"] == p["rule"])
+        if not bad:
+            done[key] = p
+    return g.modules.sparkSession.createDataFrame(list(done.values()), plans.schema)
 
 
 def diff_edges(old: Graph, new: Graph) -> DataFrame:

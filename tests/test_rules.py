@@ -209,6 +209,29 @@ def test_questions(spark, rows):
     assert [(r["from"], r["plan"], r["target"], r["cost"]) for r in f.collect()] == [("a/x", "move", "b/x", 1)]
 
 
+def _plans(spark, es, forbidden):
+    g, rs = Graph.of(edges(spark, es)), ru.load({"forbidden": [{"severity": "error", **r} for r in forbidden]})
+    return sorted((r["from"], r["to"], r["plan"], r["target"], r["cost"]) for r in wi.fix_plans(g, rs, ev.evaluate(g, rs).violations).collect())
+
+
+def test_fix_plans_judge_all_edges_they_add(spark):
+    ab = {"name": "ab", "from": {"path": "^a/"}, "to": {"path": "^b/"}}
+    # the legal folder lies in none of the source's targets' folders
+    far = {"name": "far", "from": {"path": "^b/x"}, "to": {"path": "^b/"}}
+    assert _plans(spark, [("a/x", "b/y"), ("d/q", "d/r")], [ab, far]) == [("a/x", "b/y", "move", "d/x", 1)]
+    # an importer may not follow to b, nor to d
+    stay = {"name": "stay", "from": {"path": "^a/i"}, "to": {"path": "^[bd]/"}}
+    assert _plans(spark, [("a/x", "b/y"), ("a/i", "a/x"), ("d/q", "d/r")], [ab, stay]) == [("a/x", "b/y", "port", "a/port-y", 2)]
+    # the target may not depend on a port there either, so the edge is turned
+    port = {"name": "port", "from": {"path": "^b/y"}, "to": {"path": "port-"}}
+    assert _plans(spark, [("a/x", "b/y"), ("a/i", "a/x"), ("d/q", "d/r")], [ab, stay, port]) == [("a/x", "b/y", "invert", "a/x", 2)]
+
+
+def test_fix_plans_of_reachability(spark):
+    got = _plans(spark, [("a/x", "m/y"), ("m/y", "c/z")], [{"name": "far", "from": {"path": "^a/"}, "to": {"path": "^c/", "reachable": True}}])
+    assert got == [("a/x", "c/z", "move", "c/x", 1)]
+
+
 def rs_dict(rs):
     return [{"name": "r", "severity": "error", "from": {"path": "^c"}, "to": {"path": "^b"}}]
 

@@ -3,7 +3,7 @@
 Optimal length buckets: the sizes of all items make one global histogram (at
 most ``capacity`` entries), dynamic programming over it chooses the bucket
 boundaries of least padding, and token-budget batches form inside each bucket,
-from the longest to the shortest. What a batch leaves that no item of its
+from the longest bucket to the shortest. What a batch leaves that no item of its
 bucket fits into is topped up from shorter buckets.
 
 The driver handles the histogram and a plan whose length follows the number of
@@ -13,7 +13,6 @@ the items of their size.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,43 +70,100 @@ class Plan:
 
 
 def plan(histogram: dict[int, int], capacity: int, top_up: bool = True) -> Plan:
-    """Container plan for a histogram of sizes, all from 1 to ``capacity``."""
+    """Container plan for a histogram of sizes, all from 1 to ``capacity``.
+
+    Buckets are emptied from the longest to the shortest. A batch takes items
+    of its own bucket as long as one fits; with ``top_up`` what then is left of
+    its budget goes to the largest items of shorter buckets that fit.
+    """
     sizes = np.array(sorted(histogram), dtype=np.int64)
     left = np.array([histogram[s] for s in sizes.tolist()], dtype=np.int64)
     bounds = length_buckets(sizes, left, float(capacity))
     bucket = np.searchsorted(np.array(bounds, dtype=np.int64), sizes)
-    first = np.searchsorted(bucket, np.arange(len(bounds)))  # smallest size index of each bucket
     rank = np.zeros(len(sizes), np.int64)
     out = Plan([], [], [], [], 0, int((sizes * left).sum()), bounds)
-    alive = list(range(len(sizes)))
-    size_of = sizes.tolist()
-    while alive:
-        gap, used = capacity, {}
-        low = int(first[bucket[alive[-1]]])
-        k = len(alive) - 1
-        while k >= 0:
-            i = alive[k]
-            if i < low and not top_up:
-                break
-            take = min(gap // size_of[i], int(left[i]))
-            if take:
-                used[i] = take
-                gap -= take * size_of[i]
-            # the next candidate is the largest size that fits into the gap
-            k = min(k, bisect_right(alive, gap, key=lambda x: size_of[x])) - 1
-        times = min(int(left[i]) // u for i, u in used.items())
-        for i, u in used.items():
-            out.size.append(size_of[i])
-            out.rank.append(int(rank[i]))
-            out.container.append(out.containers)
-            out.each.append(u)
-            rank[i] += u * times
-            left[i] -= u * times
-        out.containers += times
-        alive = [i for i in alive if left[i]] if any(not left[i] for i in used) else alive
+    for b in range(len(bounds) - 1, -1, -1):
+        own, shorter = np.flatnonzero((bucket == b) & (left > 0)), np.flatnonzero((bucket < b) & (left > 0))
+        while len(own):
+            used, gap = _batch(sizes[own], left[own], capacity)
+            used = {int(own[i]): n for i, n in used.items()}
+            if top_up:
+                used |= _fill(sizes, left, shorter, gap)
+            times = min(int(left[i]) // u for i, u in used.items())
+            for i, u in used.items():
+                out.size.append(int(sizes[i]))
+                out.rank.append(int(rank[i]))
+                out.container.append(out.containers)
+                out.each.append(u)
+                rank[i] += u * times
+                left[i] -= u * times
+            out.containers += times
+            own, shorter = own[left[own] > 0], shorter[left[shorter] > 0]
     return out
 
 
+def _batch(sizes: np.ndarray, left: np.ndarray, budget: int) -> tuple[dict[int, int], int]:
+    """One batch from a bucket's ascending ``sizes``, as {index: number}, and the budget that is left.
+
+    The longest item opens it. Further items are of the size that divides the
+    rest of the budget evenly by the number of mean items it still holds, so
+    that the last two can meet it exactly; they are the pair whose sum comes
+    nearest to it, or the largest one that fits.
+    """
+    used = {len(sizes) - 1: 1}
+    gap = budget - int(sizes[-1])
+    mean = float((sizes * left).sum() / left.sum())
+    free = lambda i: int(left[i]) - used.get(i, 0)
+    while gap >= sizes[0]:
+        r = max(1, round(gap / mean))
+        if r == 2 and (pair := _pair(sizes, left, used, gap)) is not None:
+            picks = pair
+        else:
+            most = int(np.searchsorted(sizes, gap, side="right")) - 1
+            at = min(most, int(np.searchsorted(sizes, gap / r, side="right")) - 1) if r > 1 else most
+            at = max(at, 0)
+            # the nearest size of which an item is free, below before above
+            i = next((k for k in range(at, -1, -1) if free(k)), None)
+            if i is None:
+                i = next((k for k in range(at + 1, most + 1) if free(k)), None)
+            if i is None:
+                break
+            picks = (i,)
+        for i in picks:
+            used[i] = used.get(i, 0) + 1
+            gap -= int(sizes[i])
+    return used, gap
+
+
+def _pair(sizes: np.ndarray, left: np.ndarray, used: dict[int, int], gap: int) -> tuple[int, int] | None:
+    """Two free items of largest sum up to ``gap``."""
+    can = left.copy()
+    for i, n in used.items():
+        can[i] -= n
+    free = np.flatnonzero(can > 0)
+    s = sizes[free]
+    mate = np.searchsorted(s, gap - s, side="right") - 1
+    ok = (mate >= 0) & ((mate != np.arange(len(free))) | (can[free] > 1))
+    if not ok.any():
+        return None
+    total = np.where(ok, s + s[np.maximum(mate, 0)], -1)
+    i = int(total.argmax())
+    return int(free[i]), int(free[mate[i]])
+
+
+def _fill(sizes: np.ndarray, left: np.ndarray, among: np.ndarray, gap: int) -> dict[int, int]:
+    """Largest-fit-first from the sizes ``among`` (ascending indices with items left)."""
+    used: dict[int, int] = {}
+    s = sizes[among]
+    k = int(np.searchsorted(s, gap, side="right")) - 1
+    while k >= 0:
+        take = min(gap // int(s[k]), int(left[among[k]]))
+        used[int(among[k])] = take
+        gap -= take * int(s[k])
+        k = min(k, int(np.searchsorted(s, gap, side="right"))) - 1
+    return used
+
+
 def pieces(df: DataFrame, item: str, text: str, capacity: int) -> DataFrame:
     """(item, piece, pieces, char_start, char_end, tokens) of every text that is not null.
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweave.llm.leakage import leaks
-from depweave.llm.packing import pack
+from depweave.llm.packing import END_TOKENS, pack
 from depweave.llm.sentences import sentence_offsets
+from depweave.session import materialize
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -30,10 +31,25 @@ def p6_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers by number of items, with the space that stays unused."""
+    """By the bucket a container was opened for: containers, tokens of that bucket, tokens that topped up, unused space."""
     c = _capacity(spark, d)
-    each = p6_pack(spark, d).groupBy("container").agg(F.count(F.lit(1)).alias("items"), F.sum("tokens").alias("used"))
-    return each.groupBy("items").agg(F.count(F.lit(1)).alias("containers"), F.sum(F.lit(c) - F.col("used")).alias("unused"))
+    opened = F.max(F.struct("bucket", "tokens")).alias("o")
+    each = p6_pack(spark, d).groupBy("container", "bucket").agg(F.sum("tokens").alias("tokens")).groupBy("container").agg(opened, F.sum("tokens").alias("used"))
+    return each.groupBy(F.col("o.bucket").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("o.tokens").alias("own_tokens"), F.sum(F.col("used") - F.col("o.tokens")).alias("topped_up"), F.sum(F.lit(c) - F.col("used")).alias("unused")
+    )
+
+
+def p6_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What the packing must keep: texts, their bytes, texts that are split, gaps or overlaps between pieces, containers over capacity."""
+    c = _capacity(spark, d)
+    packed = materialize(p6_pack(spark, d), "packed")
+    texts = packed.groupBy("doc_id").agg(
+        F.sum(F.col("tokens") - END_TOKENS).alias("bytes"), (F.count(F.lit(1)) > 1).alias("split"),
+        ((F.sum(F.col("char_end") - F.col("char_start")) == F.max("char_end")) & (F.min("char_start") == 0) & (F.count(F.lit(1)) == F.max("pieces"))).alias("whole"),
+    )
+    over = packed.groupBy("container").agg(F.sum("tokens").alias("used")).agg(F.count_if(F.col("used") > c).alias("over_capacity"))
+    return texts.agg(F.count(F.lit(1)).alias("texts"), F.sum("bytes").alias("bytes"), F.count_if("split").alias("split"), F.count_if(~F.col("whole")).alias("broken")).withColumn("over_capacity", F.lit(over.first()[0]))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +61,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_offsets(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pack, p6_fill, p7_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_pack, p6_fill, p6_totals, p7_found, p8_found)}
 
-SQL = {"p6_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > (SELECT max(capacity) FROM containers)"}
+SQL = {
+    "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > (SELECT max(capacity) FROM containers)",
+    "p6_totals": "SELECT count(text) AS texts, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) FILTER (WHERE strlen(text) + 1 > (SELECT max(capacity) FROM containers)) AS split, 0 AS broken, 0 AS over_capacity FROM documents",
+}

@@ -95,6 +95,34 @@ def test_plan_keeps_the_rules(top_up):
         assert p.containers <= 11 / 9 * least + 1
 
 
+def _containers(p, hist):
+    """Items of every container, from the plan's runs."""
+    out = defaultdict(list)
+    runs = sorted(zip(p.size, p.rank, p.container, p.each))
+    for (s, r, c, e), nxt in zip(runs, [*runs[1:], None]):
+        for k in range(r, nxt[1] if nxt and nxt[0] == s else hist[s]):
+            out[c + (k - r) // e].append(s)
+    return out
+
+
+def test_buckets_decide_the_containers(monkeypatch):
+    rng = random.Random(8)
+    hist = {s: rng.randrange(1, 60) for s in rng.sample(range(20, 600), 300)}
+    by_bucket = plan(hist, 1000)
+    with monkeypatch.context() as m:
+        m.setattr("depweave.llm.packing.length_buckets", lambda sizes, counts, cost: [int(sizes[-1])])
+        one = plan(hist, 1000)
+    assert len(by_bucket.boundaries) > 1
+    told = lambda p: sorted(sorted(v) for v in _containers(p, hist).values())
+    assert told(by_bucket) != told(one) and by_bucket.containers <= 1.01 * by_bucket.used / 1000 + 1
+    # no batch leaves the bucket of its longest item while an item of that bucket fits, and most tokens lie in batches of their own bucket
+    upper = lambda s: next(b for b in by_bucket.boundaries if b >= s)
+    own = sum(s for v in _containers(by_bucket, hist).values() for s in v if upper(s) == upper(max(v)))
+    assert own > 0.9 * by_bucket.used
+    alone = plan(hist, 1000, top_up=False)
+    assert all(len({upper(s) for s in v}) == 1 for v in _containers(alone, hist).values())
+
+
 def test_pack_assigns_every_text(spark):
     rng = random.Random(7)
     texts = ["a" * rng.randrange(0, 90) for _ in range(500)] + [None, "", "", "é" * 260, "日本" * 40, "x" * 99, "x" * 100] + ["same"] * 200

@@ -1,4 +1,4 @@
-"""Queries p6 to p8: the text problems over the project's own tables, and their SQL."""
+"""Queries p3 and p6 to p8: the problems of this part over the project's own tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from depweave.llm.leakage import leaks
 from depweave.llm.packing import END_TOKENS, pack
 from depweave.llm.sentences import sentence_offsets
+from depweave.llm.topn import latest, top_n
 from depweave.session import materialize
 
 
@@ -19,6 +20,19 @@ def _capacity(spark: SparkSession, d: str) -> int:
     return int(table(spark, d, "containers").agg(F.max("capacity")).first()[0])
 
 
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    f = latest(table(spark, d, "agent_findings"), ["rule", "from", "to"], ["reported_at", "finding_id"], ["score"])
+    return top_n(f, ["rule", "from"], "score", "to", 5)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(spark, d).select("rule", "from", "to")
+
+
+def p3_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(spark, d).select("rule", "from", "to", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents of which the packing makes several pieces."""
     packed = pack(table(spark, d, "documents"), "doc_id", "text", _capacity(spark, d))
@@ -61,9 +75,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_offsets(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pack, p6_fill, p6_totals, p7_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p6_found, p6_pack, p6_fill, p6_totals, p7_found, p8_found)}
+
+_HELD = """SELECT rule, "from", "to", score FROM (SELECT *, row_number() OVER (PARTITION BY rule, "from", "to" ORDER BY reported_at DESC, finding_id DESC) AS k FROM agent_findings) WHERE k = 1 AND score IS NOT NULL"""
+_TOP = f"""SELECT rule, "from", "to", score, r AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY rule, "from" ORDER BY score DESC, "to") AS r FROM ({_HELD})) WHERE r <= 5"""
 
 SQL = {
+    "p3_found": f'SELECT rule, "from", "to" FROM ({_TOP})',
+    "p3_ranked": _TOP,
     "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > (SELECT max(capacity) FROM containers)",
     "p6_totals": "SELECT count(text) AS texts, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) FILTER (WHERE strlen(text) + 1 > (SELECT max(capacity) FROM containers)) AS split, 0 AS broken, 0 AS over_capacity FROM documents",
 }

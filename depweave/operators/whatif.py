@@ -13,7 +13,7 @@ from depweave.functions.order import precedence, sort_versions
 from depweave.functions.paths import dirname, parents
 from depweave.operators import metrics
 from depweave.operators.evaluate import Result, evaluate, rule_counts, severity_counts
-from depweave.operators.graph import EDGE_COLUMNS, MODULE_COLUMNS, Graph, complete, fan_in, reach, reach_set, select_nodes
+from depweave.operators.graph import EDGE_COLUMNS, MODULE_COLUMNS, Graph, complete, reach, reach_set
 from depweave.operators.known import ratchet_counts, ratchet_predicate
 from depweave.plans.compile import edge_predicate, needs, path_pair, verdicts
 from depweave.plans.rules import From, Ratchet, Rule, RuleSet, To
@@ -459,7 +459,3 @@ def lint_graph(g: Graph, rules: RuleSet, violations: DataFrame) -> DataFrame:
     j = counts.join(sev, "rule").join(fired, "rule", "left")
     told = F.array_compact(F.array(F.when(F.col("fromMatches") == 0, F.lit("never-matches")), F.when((F.col("severity") != "error") & F.col("n").isNull(), F.lit("severity-below-error"))))
     return j.select("rule", F.explode(told).alias("finding")).distinct()
-
-
-def nodes(g: Graph, pattern: str) -> DataFrame:
-    return select_nodes(g, pattern)

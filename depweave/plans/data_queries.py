@@ -1,4 +1,4 @@
-"""Queries p1 to p5: the general data problems over the project's own tables, and their SQL."""
+"""Queries p1, p2, p4 and p5: the general data problems over the project's own tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from depweave.operators.reconcile import Field, reconcile
 from depweave.operators.shred import graph_tables
 from depweave.operators.skew import distinct_counts, skew_join
 from depweave.operators.snapshots import snapshot_changes
-from depweave.operators.topn import latest, top_n
 from depweave.session import materialize
 
 
@@ -49,19 +48,6 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return named.select(F.col("record").alias("record_id"), "kind", "module_ord", "dep_ord", "item_ord", "name")
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    f = latest(table(spark, d, "agent_findings"), ["rule", "from", "to"], ["reported_at", "finding_id"], ["score"])
-    return top_n(f, ["rule", "from"], "score", "to", 5)
-
-
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(spark, d).select("rule", "from", "to")
-
-
-def p3_ranked(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(spark, d).select("rule", "from", "to", "score", F.col("rank").cast("long").alias("rank"))
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     out = snapshot_changes(
         table(spark, d, "graph_snapshots"), "repo", "snapshot_id", "taken_at",
@@ -83,12 +69,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return reconcile(*sides, key, fields, "exported_at", ("only_local", "only_ci"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_type_counts, p1_target_gap, p2_found, p3_found, p3_ranked, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_type_counts, p1_target_gap, p2_found, p4_found, p5_found)}
 
 _EDGE = f"SELECT run_id, source, ord, min({path_form_sql('resolved')}) AS resolved, any_value(dependencyTypes) AS ts FROM edges GROUP BY run_id, source, ord"
 _TYPES = f"SELECT resolved, t AS dependency_type, count(*) AS edges FROM (SELECT resolved, unnest(list_distinct(ts)) AS t FROM ({_EDGE})) WHERE t IS NOT NULL GROUP BY ALL"
-_HELD = """SELECT rule, "from", "to", score FROM (SELECT *, row_number() OVER (PARTITION BY rule, "from", "to" ORDER BY reported_at DESC, finding_id DESC) AS k FROM agent_findings) WHERE k = 1 AND score IS NOT NULL"""
-_TOP = f"""SELECT rule, "from", "to", score, r AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY rule, "from" ORDER BY score DESC, "to") AS r FROM ({_HELD})) WHERE r <= 5"""
 
 
 def _set_sql(c: str, form: bool = False) -> str:
@@ -123,8 +107,6 @@ SQL = {
     "p1_type_counts": _TYPES,
     "p1_target_gap": f"""WITH e AS (SELECT {path_form_sql("resolved")} AS resolved, CAST(round(instability * 1000000) AS BIGINT) AS i FROM edges), m AS (SELECT resolved, sum(i) AS s, count(i) AS k FROM e GROUP BY resolved)
  SELECT resolved, count(*) AS delivered, count(*) FILTER (WHERE i * k > s) AS above_mean FROM e JOIN m USING (resolved) GROUP BY resolved""",
-    "p3_found": f'SELECT rule, "from", "to" FROM ({_TOP})',
-    "p3_ranked": _TOP,
     "p4_found": _SNAP,
     "p5_found": _DIFF,
 }

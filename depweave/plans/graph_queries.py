@@ -675,9 +675,16 @@ def k01_document(spark, d):
     return rp.document(code_graph(spark, d))
 
 
-@q()
+_SHAPED = "regexp_replace(regexp_replace(regexp_replace({0}, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g')"
+
+
+@q(code(f"SELECT a AS shape, n AS edges, count(*) AS modules FROM (SELECT {_SHAPED.format('source')} AS a, source, count(*) AS n FROM e GROUP BY ALL) GROUP BY ALL"))
 def k21_anonymous(spark, d):
-    return rp.anonymize(code_graph(spark, d), ["apple", "birch", "cedar"]).edges.select("source", "resolved")
+    """Shapes of the anonymous names with their numbers of edges: no two modules fall together, classes of letters stay."""
+    e = rp.anonymize(code_graph(spark, d), key="k", keep=()).edges
+    plain = F.regexp_replace("source", "~[0-9]+", "")
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[A-Z]", "A"), "[a-z]", "a"), "[0-9]", "9")
+    return e.groupBy("source").agg(F.first(shape).alias("shape"), F.count(F.lit(1)).alias("edges")).groupBy("shape", "edges").agg(F.count(F.lit(1)).alias("modules"))
 
 
 # --- time --------------------------------------------------------------------

@@ -8,16 +8,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import secrets
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depweave.functions.order import collated, severity_rank
+from depweave.functions.order import collated
 from depweave.operators import metrics
-from depweave.operators.evaluate import Result, order_columns
+from depweave.operators.evaluate import Result
 from depweave.operators.graph import Graph, fan_in
+from depweave.session import materialize
 
 REPORTERS: dict[str, Callable[[Result], Iterator[str]]] = {}
 
@@ -64,17 +66,32 @@ def incidence(g: Graph) -> DataFrame:
     return g.edges.withColumn("cell", cell).groupBy("source", "resolved").agg(F.min_by("cell", "ord").alias("cell"))
 
 
-def csv(g: Graph, limit: int = 5000) -> Iterator[str]:
-    """The incidence matrix as text (K2): core modules last, else by name. Square in the number of modules, so beyond ``limit`` use ``incidence``."""
-    names = [r[0] for r in g.modules.orderBy(F.coalesce("coreModule", F.lit(False)), "source").select("source").limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} modules; use incidence() for the long form")
-    cells: dict[str, dict[str, str]] = {}
-    for r in incidence(g).toLocalIterator():
-        cells.setdefault(r["source"], {})[r["resolved"]] = r["cell"]
-    yield ",".join(['""', ",".join(f'"{n}"' for n in names), '""'])
+def matrix(g: Graph) -> Iterator[tuple[str, list[str]]]:
+    """The incidence matrix row by row (K2, K9): first the names under an empty one, then each module with its cells.
+
+    Core modules last, else by name. The header is one row as wide as the
+    graph has modules; of the cells one row at a time is held.
+    """
+    rank = F.coalesce("coreModule", F.lit(False))
+    names = [r[0] for r in g.modules.select("source", rank.alias("core_")).orderBy("core_", "source").toLocalIterator()]
+    yield "", names
+    at = {n: i for i, n in enumerate(names)}
+    cells = incidence(g).join(g.modules.select("source", rank.alias("core_")), "source").orderBy("core_", "source").toLocalIterator()
+    nxt = next(cells, None)
     for n in names:
-        yield ",".join([f'"{n}"', ",".join(f'"{cells.get(n, {}).get(c, "false")}"' for c in names), '""'])
+        row = ["false"] * len(names)
+        while nxt is not None and nxt["source"] == n:
+            if nxt["resolved"] in at:
+                row[at[nxt["resolved"]]] = nxt["cell"]
+            nxt = next(cells, None)
+        yield n, row
+
+
+def csv(g: Graph) -> Iterator[str]:
+    """The incidence matrix as text (K2), every field quoted."""
+    quoted = lambda x: '"' + x.replace('"', '""') + '"'
+    for name, cells in matrix(g):
+        yield ",".join([quoted(name), *map(quoted, cells), '""'])
 
 
 def text(g: Graph) -> DataFrame:
@@ -100,16 +117,16 @@ def metrics_table(g: Graph, order_by: str = "instability", hide: Iterable[str] =
 def agent(v: DataFrame, g: Graph, top: int = 5) -> DataFrame:
     """The cheapest findings of each rule (K6): score = edges to move + fan-in of the target; ties by ends.
 
-    Kept by a bounded heap per rule, so a rule with millions of findings costs
-    no more than ``top`` rows per task.
+    Ranks are limited before the exchange, so a rule with millions of findings
+    sends no more than ``top`` rows from each task.
     """
-    from depweave.operators.topn import bounded_heap
-
     edges = F.when(F.size(F.coalesce("cycle", F.array().cast(v.schema["cycle"].dataType))) > 0, F.size("cycle")).when(F.size(F.coalesce("via", F.array().cast(v.schema["via"].dataType))) > 0, F.size("via")).otherwise(1)
     s = v.join(fan_in(g).select(F.col("resolved").alias("to"), "fan_in"), "to", "left").select("rule", "severity", "from", "to", edges.cast("bigint").alias("edgesToMove"), F.coalesce("fan_in", F.lit(0)).alias("targetFanIn"))
-    e = F.struct((F.col("edgesToMove") + F.col("targetFanIn")).alias("score"), "from", "to", "edgesToMove", "targetFanIn", "severity")
-    heap = s.groupBy("rule").agg(bounded_heap(e, top).alias("h"), F.count(F.lit(1)).alias("findings"))
-    return heap.select("rule", "findings", F.posexplode("h").alias("p", "x")).select("rule", "findings", (F.col("p") + 1).cast("bigint").alias("rank"), "x.score", "x.from", "x.to", "x.edgesToMove", "x.targetFanIn", "x.severity")
+    s = materialize(s.withColumn("score", F.col("edgesToMove") + F.col("targetFanIn")), "agent")
+    order = Window.partitionBy("rule").orderBy("score", "from", "to", "edgesToMove", "targetFanIn", "severity")
+    best = s.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
+    counts = s.groupBy("rule").agg(F.count(F.lit(1)).alias("findings"))
+    return best.join(counts, "rule").select("rule", "findings", "rank", "score", "from", "to", "edgesToMove", "targetFanIn", "severity")
 
 
 def catalog(rules: Iterable[tuple[str, str]], v: DataFrame) -> DataFrame:
@@ -232,8 +249,9 @@ def err_html(r: Result) -> Iterator[str]:
 def html(r: Result) -> Iterator[str]:
     """The incidence matrix as a page (K9)."""
     yield "<!DOCTYPE html><html><head><meta charset='utf-8'><title>dependencies</title></head><body><table>"
-    for line in csv(r.graph):
-        yield "<tr>" + "".join(f"<td>{escape(c.strip(chr(34)))}</td>" for c in line.split(",")) + "</tr>"
+    for i, (name, cells) in enumerate(matrix(r.graph)):
+        tag = "td" if i else "th"
+        yield f"<tr><th>{escape(name)}</th>" + "".join(f"<{tag}{'' if not i or c == 'false' else ' class=' + quoteattr(c)}>{escape(c)}</{tag}>" for c in cells) + "</tr>"
     yield "</table></body></html>"
 
 
@@ -319,6 +337,32 @@ def ddot(r: Result) -> Iterator[str]:
     return dot(Result(consolidate(r.graph), r.rules, r.violations))
 
 
+#: Fixed value: what the collapsed diagram keeps of a name unless told otherwise.
+COLLAPSED = "^(packages|src|lib(s?)|app(s?)|bin|test(s?)|spec(s?))/[^/]+|node_modules/(@[^/]+/[^/]+|[^/]+)"
+
+
+def cdot(r: Result, pattern: str = COLLAPSED) -> Iterator[str]:
+    """GraphViz text of the graph collapsed to a pattern."""
+    from depweave.operators.filters import consolidate
+
+    return dot(Result(consolidate(r.graph, pattern=pattern), r.rules, r.violations))
+
+
+REPORTERS["cdot"] = cdot
+
+
+@reporter("fdot")
+def fdot(r: Result) -> Iterator[str]:
+    """GraphViz text with the folders left out of the labels."""
+    yield "strict digraph dependencies {"
+    m = r.graph.modules.select("source").orderBy("source").toLocalIterator()
+    for x in m:
+        yield f'  "{x[0]}" [label="{x[0].rsplit("/", 1)[-1]}"]'
+    for a, b in _pairs(r.graph):
+        yield f'  "{a}" -> "{b}"'
+    yield "}"
+
+
 @reporter("mermaid")
 def mermaid(r: Result) -> Iterator[str]:
     """Flowchart."""
@@ -346,22 +390,35 @@ def plantuml_lines(r: Result) -> Iterator[str]:
     return iter(plantuml(list(_pairs(r.graph))).splitlines())
 
 
-def anonymize(g: Graph, words: Iterable[str] = (), keep: Iterable[str] = ("src", "lib", "test", "index", "node_modules")) -> Graph:
-    """Names replaced part by part, the same everywhere (K21). Parts become words in order, then shape-preserving hashes.
+def anonymize(g: Graph, words: Iterable[str] = (), keep: Iterable[str] = ("src", "lib", "test", "index", "node_modules"), key: str | None = None) -> Graph:
+    """Names replaced part by part, the same everywhere (K21), no two parts by the same.
 
-    The dictionary of path parts is a table, never a driver-side map.
+    The first parts in order become ``words``. Of the others each letter and
+    digit becomes one of its class, chosen by a digest keyed with ``key`` (a
+    fresh random one by default, so names can't be looked up from a word list);
+    other marks stay. Where two parts would get one name, or one that is a word
+    or kept, all but the first get ``~`` and a number behind it. The dictionary
+    of path parts is a table, never a driver-side map; no task sees it whole.
     """
-    words, keep = list(words), list(keep)
+    keep, key = list(keep), key or secrets.token_hex(16)
+    words = [w for w in dict.fromkeys(words) if w not in keep]
+    pieces = F.split("source", r"(?<=[/.])|(?=[/.])")
     ends = g.modules.select("source").unionByName(g.edges.select(F.col("resolved").alias("source"))).distinct()
-    parts = ends.select(F.explode(F.split("source", r"(?<=[/.])|(?=[/.])")).alias("part")).where(~F.col("part").isin("/", ".", "", *keep)).distinct()
-    hashed = F.substring(F.sha2("part", 256), F.lit(1), F.greatest(F.length("part"), F.lit(4)))
+    parts = ends.select(F.explode(pieces).alias("part")).where(~F.col("part").isin("/", ".", "", *keep)).distinct()
+    digit = lambda i, n: F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("\n", F.lit(key), "part", i.cast("string")), 256), 1, 12), 16, 10).cast("bigint"), F.lit(n)).cast("int")
+    letter = lambda i, first: F.char((digit(i, 26) + ord(first)).cast("bigint"))
+    turned = F.transform(F.split("part", ""), lambda c, i: F.when(c.rlike(r"\p{Lu}"), letter(i, "A")).when(c.rlike(r"\p{L}"), letter(i, "a")).when(c.rlike(r"\p{N}"), digit(i, 10).cast("string")).otherwise(F.when(c == "~", "_").otherwise(c)))
+    shaped = parts.withColumn("like", F.array_join(turned, ""))
     if words:
         first = parts.orderBy("part").limit(len(words)).withColumn("n_", F.row_number().over(Window.orderBy("part")))
-        named = parts.join(first, "part", "left").withColumn("new", F.coalesce(F.get(F.array(*[F.lit(w) for w in words]), F.col("n_") - 1), hashed)).select("part", "new")
+        shaped = shaped.join(first, "part", "left").withColumn("word", F.get(F.array(*[F.lit(w) for w in words]), F.col("n_") - 1))
     else:
-        named = parts.withColumn("new", hashed)
-    split = ends.select("source", F.posexplode(F.split("source", r"(?<=[/.])|(?=[/.])")).alias("p", "part")).join(named, "part", "left")
+        shaped = shaped.withColumn("word", F.lit(None).cast("string"))
+    nth = F.row_number().over(Window.partitionBy("like").orderBy(F.col("word").isNotNull(), F.sha2(F.concat_ws("\n", F.lit(key), "part"), 256))) + F.col("like").isin(*words, *keep, "").cast("int")
+    named = shaped.withColumn("nth_", nth).select("part", F.coalesce("word", F.when(F.col("nth_") == 1, F.col("like")).otherwise(F.concat_ws("~", "like", F.col("nth_").cast("string")))).alias("new"))
+    split = ends.select("source", F.posexplode(pieces).alias("p", "part")).join(named, "part", "left")
     names = split.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.coalesce("new", "part").alias("t")))), lambda x: x["t"]), "").alias("new_"))
+    names = materialize(names, "names")
     m = g.modules.join(names, "source").withColumn("source", F.col("new_")).drop("new_")
     e = g.edges.join(names, "source").withColumn("source", F.col("new_")).drop("new_")
     e = e.join(names.withColumnRenamed("source", "resolved"), "resolved").withColumn("resolved", F.col("new_")).drop("new_").withColumn("module", F.col("resolved"))
@@ -380,11 +437,3 @@ def table_digest(df: DataFrame) -> Column:
     """Order-free digest of a table's rows, combined map-side."""
     x = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
     return F.concat_ws("-", F.count(F.lit(1)), F.bit_xor(x), F.sum(F.pmod(x, F.lit(1 << 31))))
-
-
-def sort_rank() -> Column:
-    return severity_rank(F.col("severity"))
-
-
-def order() -> list[Column]:
-    return order_columns()

@@ -14,7 +14,6 @@ from depweave.operators.reconcile import Field, interpolate, reconcile, _points
 from depweave.operators.shred import decode, document_edges, graph_tables
 from depweave.operators.skew import distinct_counts, key_loads, pack, plan, skew_join
 from depweave.operators.snapshots import snapshot_changes
-from depweave.operators.topn import latest, top_n
 
 
 def test_path_form(spark, rows):
@@ -74,28 +73,6 @@ def test_skew_join_is_a_join(spark, rows, how):
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 0
 
 
-def test_top_n_brute_force(spark, rows):
-    rng = random.Random(5)
-    data = [(rng.choice(["r", "s", None]), rng.choice("abc" * 5 + "d"), rng.choice([f"t{j}" for j in range(60)] + [None, "é", "Z"]), rng.choice([None, -(2**63), 2**63 - 1, *range(6)]), i) for i in range(4000)]
-    data += data[:50]
-    df = spark.createDataFrame(data, "g string, f string, t string, s long, i int").repartition(5)
-    got = rows(top_n(df, ["g", "f"], "s", "t", 5), "g", "f", "rank", "t", "s")
-    groups = defaultdict(list)
-    for g, f, t, s, _ in data:
-        if s is not None:
-            groups[(g, f)].append((-s, t is not None, (t or "").encode(), t, s))
-    want = [(g, f, k + 1, x[3], x[4]) for (g, f), v in groups.items() for k, x in enumerate(sorted(v)[:5])]
-    assert got == sorted(want, key=repr)
-    with pytest.raises(ValueError):
-        top_n(df, ["g"], "s", "t", 0)
-    assert top_n(df.limit(0), ["g"], "s", "t", 5).count() == 0
-
-
-def test_latest_decides_ties(spark, rows):
-    df = spark.createDataFrame([("a", 1, 5, 9), ("a", 2, 1, None), ("a", 2, 1, 4), ("b", None, 1, 1), ("b", 0, 0, 7), (None, 1, 1, 1)], "k string, t int, i int, v int")
-    assert rows(latest(df, ["k"], ["t", "i"], ["v"])) == [("a", 4), ("b", 7), (None, 1)]
-
-
 def _named(body):
     """Plain recursion over the decoded document, as a check of the shredding."""
     doc = decode(body)

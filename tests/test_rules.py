@@ -332,6 +332,26 @@ def test_reports(spark):
     assert rp.attestation({"a": b"1", "b": b"2"}) == rp.attestation({"b": b"2", "a": b"1"})
 
 
+def test_anonymous_names_stay_apart(spark):
+    names = [f"{a}{b}/{c}{d}.x9" for a in "abcd" for b in "AbCd" for c in "pq" for d in "rs~"]
+    g = Graph.of(edges(spark, [(n, names[(i * 7 + 1) % len(names)]) for i, n in enumerate(names)]))
+    one = rp.anonymize(g, ["w"], key="k").edges.select("source", "resolved").collect()
+    assert len({r[0] for r in one}) == len(names) and {r[0] for r in one} == {r[1] for r in one}
+    parts = {n.split("/")[0] for n in names}
+    assert len({r[0].split("/")[0] for r in one}) == len(parts)
+    assert sorted(rp.anonymize(g, ["w"], key="k").edges.select("source", "resolved").collect()) == sorted(one)
+    assert sorted(rp.anonymize(g, ["w"]).edges.select("source", "resolved").collect()) != sorted(one)
+
+
+def test_matrix_with_odd_names(spark):
+    g = Graph.of(edges(spark, [('a,"b', "c")]))
+    r = ev.Result(g, ru.load({}), None)
+    assert list(rp.csv(g)) == ['"","a,""b","c",""', '"a,""b","false","undefined",""', '"c","false","false",""']
+    page = "".join(rp.html(r))
+    assert page.count("<tr>") == 3 and "<th>a,&quot;b</th>" in page.replace('"b</th>', "&quot;b</th>") and "<td class=\"undefined\">undefined</td>" in page
+    assert any("fs" in x or "->" in x for x in rp.fdot(r)) and "->" in "".join(rp.cdot(r, "^."))
+
+
 def test_explain(spark):
     g = Graph.of(edges(spark, [(f"a{i:02d}", "b") for i in range(15)]))
     s, e = wi.explain(g, ru.rule({"name": "r", "from": {"path": "^a"}, "to": {"path": "^b"}}))

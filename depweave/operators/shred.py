@@ -1,16 +1,17 @@
 """Nested JSON bodies into flat tables that keep parent-child links.
 
-Adjacency-table shredding. ``shred`` stores a body as rows (node, parent,
-label, ordinal, scalar); ``entities`` joins the object nodes with their scalar
-children, which are pivoted into columns; ``link`` walks from child to parent
-by joins on (record, node).
+Adjacency-table shredding. ``shred`` stores every value of a body as a row
+(node, parent, label, ordinal, kind, scalar), whatever its field: nothing is
+chosen before the table is written. ``entities`` joins the object nodes with
+their scalar children, which are pivoted into columns; ``link`` walks from child
+to parent by joins on (record, node). ``rebuild`` puts a document together again.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,66 +19,118 @@ from pyspark.sql import functions as F
 
 from depweave.session import materialize
 
-ADJACENCY = "node int, parent int, label string, ordinal int, is_object boolean, scalar string"
+ADJACENCY = "node int, parent int, label string, ordinal int, kind string, scalar string"
+_KINDS = {bool: "boolean", int: "number", float: "number", type(None): "null"}
 
 
-@dataclass(frozen=True)
-class Entity:
-    """An object of the document: its scalar fields, the field that names it, and the lists of entities in it."""
-
-    name: str
-    scalars: tuple[str, ...] = ()
-    children: dict[str, "Entity"] = field(default_factory=dict)
-
-
-_RULE = Entity("name", ("name",))
-#: The graph document: modules, their dependencies, and in those rules and cycle.
-GRAPH = Entity("source", ("source",), {"dependencies": Entity("resolved", ("resolved",), {"rules": _RULE, "cycle": _RULE})})
-#: Its edges alone.
-EDGES = Entity("source", ("source",), {"dependencies": Entity("resolved", ("resolved", "module"))})
-
-
-def find_list(doc: object, label: str, wanted: Entity) -> object:
-    """The list of ``label`` entities: the document itself, a field of it, or a field of an enveloping object.
+def find_list(doc: object, label: str, lone: Sequence[str]) -> tuple[object, object]:
+    """(owner, entries) of the ``label`` list: the document itself, a field of it, or a field of an enveloping object.
 
     Envelopes are searched breadth first and only through objects, so lists
-    of other things are never entered.
+    of other things are never entered. A document that is itself one entry
+    (it has a field of ``lone``) is a list of one without an owner.
     """
     if isinstance(doc, list):
-        return doc
+        return None, doc
     level = [doc]
     while level:
         for x in level:
             if isinstance(x, dict) and label in x:
-                return x[label]
+                return x, x[label]
         level = [v for x in level if isinstance(x, dict) for v in x.values() if isinstance(v, dict)]
-    if isinstance(doc, dict) and (wanted.name in doc or any(c in doc for c in wanted.children)):
-        return doc
-    return None
+    if isinstance(doc, dict) and any(c in doc for c in lone):
+        return None, doc
+    return None, None
+
 
+def adjacency(doc: object, label: str, lone: Sequence[str]) -> Iterator[tuple[int, int, str, int | None, str, str | None]]:
+    """Rows (node, parent, label, ordinal, kind, scalar) of one decoded document, one for every value in it.
 
-def adjacency(doc: object, label: str, wanted: Entity) -> Iterator[tuple[int, int, str, int, bool, str | None]]:
-    """Rows of one decoded document. The root has node 0; null entries keep their ordinal but give no row."""
+    ``kind`` is object, array, string, number, boolean or null; ``scalar`` is
+    the text of the last four. Entries of a list are children of the object
+    whose field it is, with their place as ordinal; a value that is no entry has
+    none. A list has a row of its own only if it is empty, lies in another list,
+    or is the document. The object that owns the ``label`` list is node 0; a
+    document that is the list, or one entry of it, has entries of that label
+    under a node 0 of kind array, or lone. The root's parent is -1.
+    """
+    owner, entries = find_list(doc, label, lone)
     count = 0
-    stack: list[tuple[object, int, str, Entity]] = [(find_list(doc, label, wanted), 0, label, wanted)]
+    stack: list[tuple[object, int, str, int | None]] = []
+    if owner is None and entries is not None:
+        whole = isinstance(doc, list)
+        yield 0, -1, "", None, "array" if whole else "lone", None
+        todo: Iterable = enumerate(doc) if whole else [(None, doc)]
+        stack = [(v, 0, label, i) for i, v in todo]
+        stack.reverse()
+    else:
+        stack.append((doc, -1, "", None))
     while stack:
-        value, parent, name, kind = stack.pop()
-        for i, entry in enumerate(value if isinstance(value, list) else [value]):
-            if isinstance(entry, str):  # a named entry written as its bare name
-                entry = {kind.name: entry}
-            if not isinstance(entry, dict):
-                continue
+        value, parent, name, ordinal = stack.pop()
+        kind = type(value)
+        if kind is dict and value is owner:
+            node = 0
+        else:
             count += 1
             node = count
-            yield node, parent, name, i, True, None
-            for s in kind.scalars:
-                v = entry.get(s)
-                if isinstance(v, str):
+        if kind is dict:
+            yield node, parent, name, ordinal, "object", None
+            fields = value.items()
+        elif kind is list:
+            yield node, parent, name, ordinal, "array", None
+            fields = [("", value)] if value else ()
+        else:
+            yield node, parent, name, ordinal, _KINDS.get(kind, "string"), value if kind is str else json.dumps(value)
+            continue
+        for k, v in fields:
+            t = type(v)
+            if t is str:
+                count += 1
+                yield count, node, k, None, "string", v
+            elif t is dict:
+                stack.append((v, node, k, None))
+            elif t is list:
+                if not v:
                     count += 1
-                    yield count, node, s, 0, False, v
-            for c, sub in kind.children.items():
-                if entry.get(c) is not None:
-                    stack.append((entry[c], node, c, sub))
+                    yield count, node, k, None, "array", None
+                for i, x in enumerate(v):
+                    if type(x) is str:
+                        count += 1
+                        yield count, node, k, i, "string", x
+                    else:
+                        stack.append((x, node, k, i))
+            else:
+                count += 1
+                yield count, node, k, None, _KINDS[t], json.dumps(v)
+
+
+def rebuild(rows: Iterable[Sequence]) -> object:
+    """The document whose adjacency rows (in any order) these are; fields come in the order of their nodes."""
+    below: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r[0], -1 if r[3] is None else r[3])):
+        below.setdefault(r[1], []).append(r)
+
+    def value(r: Sequence) -> object:
+        node, kind, scalar = r[0], r[4], r[5]
+        own = below.get(node, ())
+        if kind == "string":
+            return scalar
+        if kind in ("number", "boolean", "null"):
+            return json.loads(scalar)
+        if kind == "lone":
+            return value(own[0])
+        if kind == "array":
+            return [value(c) for c in sorted(own, key=lambda c: c[3])]
+        out: dict = {}
+        lists: dict[str, list] = {}
+        for c in own:
+            if c[3] is None:
+                out[c[2]] = value(c)
+            else:
+                lists.setdefault(c[2], []).append(c)
+        return out | {k: [value(c) for c in sorted(v, key=lambda c: c[3])] for k, v in lists.items()}
+
+    return value(below[-1][0])
 
 
 def decode(body: str | None) -> object:
@@ -94,61 +147,65 @@ def _no_constant(x: str) -> None:
     raise ValueError(x)
 
 
-def shred(df: DataFrame, record: str, body: str, label: str = "modules", wanted: Entity = GRAPH, rows_per_batch: int = 200_000) -> DataFrame:
-    """(record, node, parent, label, ordinal, is_object, scalar) of every readable body.
+#: Where the graph documents keep their modules, and what tells a module that is the whole document.
+MODULES = ("modules", ("source", "dependencies"))
+
 
-    Only the entities and scalars of ``wanted`` are stored: unknown fields are
-    skipped while shredding. Null, empty and unreadable bodies give nothing
-    (documents nested deeper than Python's JSON decoder follows count as
-    unreadable). Strings that hold a lone surrogate get U+FFFD in its place.
+def shred(df: DataFrame, record: str, body: str, label: str = MODULES[0], lone: Sequence[str] = MODULES[1], rows_per_batch: int = 200_000) -> DataFrame:
+    """(record, node, parent, label, ordinal, kind, scalar) of every value of every readable body, see ``adjacency``.
+
+    Null, empty and unreadable bodies give nothing (documents nested deeper
+    than Python's JSON decoder follows count as unreadable). Strings that hold
+    a lone surrogate get U+FFFD in its place. Of a field named twice in one
+    object the last holds.
     """
     kind = df.schema[record].dataType.simpleString()
-    walk: Callable = adjacency
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, bodies = batch.column(0), batch.column(1)
-            cols: list[list] = [[] for _ in range(7)]
+            rows: list[tuple] = []
+            at: list[int] = []
             for k in range(batch.num_rows):
                 doc = decode(bodies[k].as_py())
                 if doc is None:
                     continue
-                rid = ids[k].as_py()
-                for row in walk(doc, label, wanted):
-                    cols[0].append(rid)
-                    for c, v in zip(cols[1:], row):
-                        c.append(v)
-                    if len(cols[0]) >= rows_per_batch:
-                        yield _batch(cols, ids.type)
-                        cols = [[] for _ in range(7)]
-            if cols[0]:
-                yield _batch(cols, ids.type)
-
-    # bodies differ a hundredfold in size: many small partitions keep the tasks even
+                for row in adjacency(doc, label, lone):
+                    rows.append(row)
+                    at.append(k)
+                    if len(rows) >= rows_per_batch:
+                        yield _batch(ids, at, rows)
+                        rows, at = [], []
+            if rows:
+                yield _batch(ids, at, rows)
+
     return df.select(F.col(record).alias("record"), F.col(body).alias("body")).mapInArrow(run, f"record {kind}, {ADJACENCY}")
 
 
-def _batch(cols: list[list], id_type: pa.DataType) -> pa.RecordBatch:
-    names = ["record", "node", "parent", "label", "ordinal", "is_object", "scalar"]
-    kinds = [id_type, pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.string()]
-    try:
-        last = pa.array(cols[6], pa.string())
-    except UnicodeEncodeError:
-        last = pa.array([s and s.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for s in cols[6]], pa.string())
-    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols[:6], kinds)), last], names=names)
+def _batch(ids: pa.Array, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    node, parent, label, ordinal, kind, scalar = zip(*rows)
+    i32 = pa.int32()
+    cols = [ids.take(pa.array(at, i32)), pa.array(node, i32), pa.array(parent, i32), _text(label), pa.array(ordinal, i32), pa.array(kind, pa.string()), _text(scalar)]
+    return pa.RecordBatch.from_arrays(cols, names=["record", "node", "parent", "label", "ordinal", "kind", "scalar"])
+
+
+def _entries(value: object) -> Iterable[tuple[int, object]]:
+    """Entries of a list with their places; a lone entry in its place."""
+    return () if value is None else enumerate(value) if isinstance(value, list) else ((0, value),)
+
+
+def _text_of(entry: object, field: str) -> str | None:
+    v = entry.get(field) if isinstance(entry, dict) else entry
+    return v if isinstance(v, str) else None
 
 
 def edge_rows(doc: object) -> Iterator[tuple[str | None, int, str | None, str | None]]:
     """(source, ord, resolved, module) of one decoded document's dependencies; absent fields are None."""
-    held: dict[int, dict] = {}
-    for node, parent, label, ordinal, is_object, scalar in adjacency(doc, "modules", EDGES):
-        if is_object:
-            held[node] = {"label_": label, "parent_": parent, "ord_": ordinal}
-        else:
-            held[parent][label] = scalar
-    for x in held.values():
-        if x["label_"] == "dependencies":
-            yield held[x["parent_"]].get("source"), x["ord_"], x.get("resolved"), x.get("module")
+    for _, m in _entries(find_list(doc, *MODULES)[1]):
+        if isinstance(m, dict):
+            for i, x in _entries(m.get("dependencies")):
+                if isinstance(x, (dict, str)):
+                    yield _text_of(m, "source"), i, _text_of(x, "resolved"), _text_of(x, "module") if isinstance(x, dict) else None
 
 
 def document_edges(df: DataFrame, body: str, rows_per_batch: int = 200_000) -> DataFrame:
@@ -190,12 +247,20 @@ def _text(values: Sequence[str | None]) -> pa.Array:
         return pa.array([s and s.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for s in values], pa.string())
 
 
-def entities(nodes: DataFrame, scalars: Sequence[str]) -> DataFrame:
-    """Object nodes with their scalar children as columns: (record, node, parent, label, ordinal, scalars...)."""
-    objects = nodes.where("is_object").select("record", "node", "parent", "label", "ordinal")
-    leaves = nodes.where("not is_object").select("record", F.col("parent").alias("node"), "label", "scalar")
-    wide = leaves.groupBy("record", "node").pivot("label", list(scalars)).agg(F.first("scalar"))
-    return objects.join(wide, ["record", "node"], "left")
+def entities(nodes: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """Entries of the lists ``labels`` with the scalar field that names them: (record, node, parent, label, ordinal, ``name``).
+
+    ``labels`` has the naming field of each label. An entry that is a string is
+    its own name; other scalars and lists are no entries; a naming field that
+    is no string counts as absent. A lone entry has the ordinal 0.
+    """
+    own = F.when(F.col("kind") == "string", F.col("scalar")).alias("own_")
+    objects = nodes.where(F.col("label").isin(list(labels)) & F.col("kind").isin("object", "string")).select("record", "node", "parent", "label", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), own)
+    fields = sorted(set(labels.values()))
+    leaves = nodes.where(F.col("label").isin(fields) & (F.col("kind") == "string") & F.col("ordinal").isNull()).select("record", F.col("parent").alias("node"), "label", "scalar")
+    wide = leaves.groupBy("record", "node").pivot("label", fields).agg(F.first("scalar"))
+    told = F.coalesce("own_", *[F.when(F.col("label") == k, F.col(v)) for k, v in labels.items()])
+    return objects.join(wide, ["record", "node"], "left").select("record", "node", "parent", "label", "ordinal", told.alias("name"))
 
 
 def link(child: DataFrame, parent: DataFrame, prefix: str, keep: Sequence[str]) -> DataFrame:
@@ -237,9 +302,10 @@ def graph_tables(df: DataFrame, record: str, body: str) -> GraphTables:
     tables (their children need them) with a null name.
     """
     nodes = materialize(shred(df, record, body), "adjacency")
-    every = entities(nodes, ["source", "resolved", "name"])
-    modules = every.where("label = 'modules'").drop("resolved", "name")
-    deps = link(every.where("label = 'dependencies'").drop("source", "name"), modules, "module_", ["ordinal", "source"])
+    every = entities(nodes, {"modules": "source", "dependencies": "resolved", "rules": "name", "cycle": "name"})
+    # node 0 owns the list of modules: lists of that name elsewhere are other things
+    modules = every.where("label = 'modules' and parent = 0").withColumnRenamed("name", "source")
+    deps = link(every.where("label = 'dependencies'").withColumnRenamed("name", "resolved"), modules, "module_", ["ordinal", "source"])
     deps = deps.withColumnRenamed("module_ordinal", "module_ord")
-    item = lambda label: link(every.where(F.col("label") == label).drop("source", "resolved"), deps, "dep_", ["ordinal", "module_ord", "resolved"]).withColumnRenamed("dep_ordinal", "dep_ord").withColumnRenamed("dep_module_ord", "module_ord")
+    item = lambda label: link(every.where(F.col("label") == label), deps, "dep_", ["ordinal", "module_ord", "resolved"]).withColumnRenamed("dep_ordinal", "dep_ord").withColumnRenamed("dep_module_ord", "module_ord")
     return GraphTables(modules, deps, item("rules"), item("cycle"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from depweave.functions.paths import name_set, path_form, path_form_sql, path_set
 from depweave.operators.reconcile import Field, reconcile
-from depweave.operators.shred import graph_tables
+from depweave.operators.shred import graph_tables, shred
 from depweave.operators.skew import distinct_counts, skew_join
 from depweave.operators.snapshots import snapshot_changes
 from depweave.session import materialize
@@ -69,7 +69,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return reconcile(*sides, key, fields, "exported_at", ("only_local", "only_ci"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_type_counts, p1_target_gap, p2_found, p4_found, p5_found)}
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of the readable bodies by kind and depth-free label, from the adjacency table."""
+    nodes = shred(table(spark, d, "raw_graphs"), "record_id", "body")
+    return nodes.where("kind in ('string', 'number', 'boolean')").groupBy("label", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_type_counts, p1_target_gap, p2_found, p2_values, p4_found, p5_found)}
 
 _EDGE = f"SELECT run_id, source, ord, min({path_form_sql('resolved')}) AS resolved, any_value(dependencyTypes) AS ts FROM edges GROUP BY run_id, source, ord"
 _TYPES = f"SELECT resolved, t AS dependency_type, count(*) AS edges FROM (SELECT resolved, unnest(list_distinct(ts)) AS t FROM ({_EDGE})) WHERE t IS NOT NULL GROUP BY ALL"
@@ -102,7 +108,38 @@ _DIFF = f"""WITH a AS ({_side_sql("cruise_local")}), b AS ({_side_sql("cruise_ci
  FROM a FULL JOIN b USING (repo, source, module))
  SELECT repo, source, module, x AS field FROM (SELECT repo, source, module, unnest(f) AS x FROM j) WHERE x IS NOT NULL"""
 
+# every value of a body as DuckDB's JSON tree gives it
+_TREE = "t AS (SELECT record_id, j.id, j.parent, j.key, j.type, j.atom ->> '$' AS atom, j.fullkey FROM raw_graphs, json_tree(CASE WHEN json_valid(body) THEN body END) j)"
+
+
+def _entries_sql(name: str, lists: str, field: str, carry: str) -> str:
+    """Entries of the lists in ``lists`` (record_id, id, type, ordinals): those of an array with their place, anything else in place 0; with their names."""
+    return f"""{name}_e AS (SELECT l.record_id, {carry} c.id, c.type, c.atom, CAST(c.key AS INT) AS o FROM {lists} l JOIN t c ON c.record_id = l.record_id AND c.parent = l.id WHERE l.type = 'ARRAY'
+  UNION ALL SELECT l.record_id, {carry} l.id, l.type, l.atom, 0 FROM {lists} l WHERE l.type != 'ARRAY'),
+ {name} AS (SELECT e.* EXCLUDE (atom), CASE WHEN e.type = 'VARCHAR' THEN e.atom ELSE f.atom END AS name FROM {name}_e e LEFT JOIN t f ON f.record_id = e.record_id AND f.parent = e.id AND e.type = 'OBJECT' AND f.key = '{field}' AND f.type = 'VARCHAR'
+  WHERE e.type IN ('OBJECT', 'VARCHAR'))"""
+
+
+def _below_sql(name: str, above: str, label: str, ords: str) -> str:
+    return f"{name} AS (SELECT a.record_id, {ords}, c.id, c.type, c.atom FROM {above} a JOIN t c ON c.record_id = a.record_id AND c.parent = a.id AND c.key = '{label}' AND a.type = 'OBJECT')"
+
+
+_DOCUMENTS = f"""WITH {_TREE},
+ own AS (SELECT record_id, arg_min({{'id': id, 'type': type, 'atom': atom}}, {{'d': len(string_split(fullkey, '.')), 'i': id}}) AS x FROM t WHERE key = 'modules' AND regexp_matches(fullkey, '^\$(\.[^.\[\]]+)+$') GROUP BY record_id),
+ ml AS (SELECT record_id, x.id AS id, x.type AS type, x.atom AS atom FROM own UNION ALL SELECT record_id, id, type, atom FROM t WHERE parent IS NULL AND (type = 'ARRAY' OR type = 'OBJECT' AND NOT EXISTS (SELECT 1 FROM own WHERE own.record_id = t.record_id) AND EXISTS (SELECT 1 FROM t c WHERE c.record_id = t.record_id AND c.parent = t.id AND c.key IN ('source', 'dependencies')))),
+ {_entries_sql("mods", "ml", "source", "")}, {_below_sql("dl", "mods", "dependencies", "a.o AS mo, a.name AS source")}, {_entries_sql("deps", "dl", "resolved", "l.mo, l.source,")}"""
+_NAMED = f"""{_DOCUMENTS},
+ {_below_sql("rl", "deps", "rules", "a.mo, a.o AS d")}, {_entries_sql("rules", "rl", "name", "l.mo, l.d,")}, {_below_sql("cl", "deps", "cycle", "a.mo, a.o AS d")}, {_entries_sql("cycs", "cl", "name", "l.mo, l.d,")}
+ SELECT record_id, 'module' AS kind, o AS module_ord, -1 AS dep_ord, -1 AS item_ord, name FROM mods WHERE name != '' UNION ALL SELECT record_id, 'dependency', mo, o, -1, name FROM deps WHERE name != ''
+ UNION ALL SELECT record_id, 'rule', mo, d, o, name FROM rules WHERE name != '' UNION ALL SELECT record_id, 'cycle', mo, d, o, name FROM cycs WHERE name != ''"""
+
+#: The dependencies of all readable documents (source, ord, resolved, module).
+DOCUMENT_EDGES_SQL = f"""{_DOCUMENTS} SELECT d.source, CAST(d.o AS BIGINT) AS ord, d.name AS resolved, f.atom AS module
+ FROM deps d LEFT JOIN t f ON f.record_id = d.record_id AND f.parent = d.id AND d.type = 'OBJECT' AND f.key = 'module' AND f.type = 'VARCHAR'"""
+
 SQL = {
+    "p2_found": _NAMED,
+    "p2_values": f"WITH RECURSIVE {_TREE}, n AS (SELECT t.*, coalesce(p.type, '') AS above FROM t LEFT JOIN t p ON p.record_id = t.record_id AND p.id = t.parent), u AS (SELECT n.*, CASE WHEN above = 'ARRAY' THEN g.key ELSE n.key END AS own, g.type AS gt, g.parent AS gp FROM n LEFT JOIN t g ON g.record_id = n.record_id AND g.id = n.parent) SELECT coalesce(own, CASE WHEN gp IS NULL THEN 'modules' END) AS label, CASE WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind, count(*) AS n FROM u WHERE type NOT IN ('OBJECT', 'ARRAY', 'NULL') AND parent IS NOT NULL GROUP BY ALL",
     "p1_found": f"SELECT resolved, dependency_type FROM ({_TYPES}) WHERE edges * 100 >= (SELECT count(*) FROM ({_EDGE}))",
     "p1_type_counts": _TYPES,
     "p1_target_gap": f"""WITH e AS (SELECT {path_form_sql("resolved")} AS resolved, CAST(round(instability * 1000000) AS BIGINT) AS i FROM edges), m AS (SELECT resolved, sum(i) AS s, count(i) AS k FROM e GROUP BY resolved)

@@ -12,6 +12,7 @@ from depweave.operators import diagrams, elements, evaluate as ev, filters, grap
 from depweave.functions.paths import dirname, normalize_dots, parents
 from depweave.plans import rules as ru
 from depweave.plans.compile import edge_predicate, view_edges
+from depweave.plans.data_queries import DOCUMENT_EDGES_SQL
 from depweave.sinks import reports as rp
 from depweave.sources import graphs as so
 from depweave.sources.views import CODE_SQL, FK_SQL, LAYER_SQL, code_edges, code_graph, code_layer, fk_graph, table
@@ -518,16 +519,16 @@ def q10_folder_distance(spark, d):
     return e.select("a", "b", wi.folder_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
-@q("WITH e AS (SELECT repo, CASE WHEN coreModule OR couldNotResolve THEN resolved ELSE repo || '/' || resolved END AS r, repo || '/' || source AS s FROM edges WHERE repo IN (SELECT repo FROM edges GROUP BY repo ORDER BY count(*) DESC, repo LIMIT 2)) SELECT DISTINCT s AS source, r AS resolved FROM e")
+@q("WITH e AS (SELECT CASE WHEN coreModule OR couldNotResolve THEN resolved ELSE repo || '/' || resolved END AS r, repo || '/' || source AS s FROM edges) SELECT DISTINCT s AS source, r AS resolved FROM e")
 def s19_fleet(spark, d):
-    """All repositories; the SQL beside it still holds the two largest only."""
+    """The union of all repositories."""
     return wi.fleet_table(table(spark, d, "edges")).edges.select("source", "resolved").distinct()
 
 
 # --- scans -------------------------------------------------------------------
 
 
-@q()
+@q(DOCUMENT_EDGES_SQL)
 def s01_documents(spark, d):
     """Every readable document, as edges."""
     return shred.document_edges(table(spark, d, "raw_graphs"), "body")

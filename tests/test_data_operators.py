@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from depweave.functions.paths import dirname, name_set, normalize_dots, parents, path_form
 from depweave.operators import field61 as gf
 from depweave.operators.reconcile import Field, interpolate, reconcile, _points
-from depweave.operators.shred import decode, document_edges, graph_tables
+from depweave.operators.shred import MODULES, adjacency, decode, document_edges, graph_tables, rebuild, shred
 from depweave.operators.skew import distinct_counts, key_loads, pack, plan, skew_join
 from depweave.operators.snapshots import snapshot_changes
 
@@ -106,6 +106,34 @@ BODIES = [
 ]
 
 
+def _json(rng, depth):
+    """A random document."""
+    kind = rng.randrange(9 if depth else 6)
+    if kind < 6:
+        return rng.choice(["", "x", "é", None, True, False, 0, -3, 1.5, 10**20, "modules"])
+    if kind < 8:
+        return {rng.choice(["", "source", "modules", "dependencies", "a", "b", "rules"]): _json(rng, depth - 1) for _ in range(rng.randrange(5))}
+    return [_json(rng, depth - 1) for _ in range(rng.randrange(4))]
+
+
+def test_adjacency_round_trip():
+    rng = random.Random(12)
+    docs = [_json(rng, 5) for _ in range(3000)] + [d for d in map(decode, BODIES) if d is not None]
+    for doc in docs:
+        rows = list(adjacency(doc, *MODULES))
+        rng.shuffle(rows)
+        assert rebuild(rows) == doc
+        assert len({r[0] for r in rows}) == len(rows) and all(type(a) is type(b) for a, b in zip([rebuild(rows)], [doc]))
+
+
+def test_every_field_is_stored(spark, rows):
+    body = '{"v": 2, "g": {"modules": [{"source": "a", "x": [1.5, null, "t", []], "y": {"z": false}}]}}'
+    df = spark.createDataFrame([(7, body)], "id long, body string")
+    assert rows(shred(df, "id", "body"), "record", "label", "ordinal", "kind", "scalar") == sorted(
+        [(7, "", None, "object", None), (7, "v", None, "number", "2"), (7, "g", None, "object", None), (7, "modules", 0, "object", None), (7, "source", None, "string", "a"), (7, "x", 0, "number", "1.5"), (7, "x", 1, "null", "null"),
+         (7, "x", 2, "string", "t"), (7, "x", 3, "array", None), (7, "y", None, "object", None), (7, "z", None, "boolean", "false")], key=repr)
+
+
 def test_shredding_against_recursion(spark, rows):
     big = json.dumps({"modules": [{"source": f"m{i}", "dependencies": [{"resolved": f"d{j}", "rules": [{"name": "r"}]} for j in range(20)]} for i in range(200)]})
     df = spark.createDataFrame(list(enumerate([*BODIES, big, big])), "record_id long, body string").withColumn("label", F.lit("x"))

@@ -75,7 +75,20 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_offsets(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p6_found, p6_pack, p6_fill, p6_totals, p7_found, p8_found)}
+#: Lines that may be more than text: their marks lie outside sentences.
+_MARKED = r"(^|[\n\r])[ \t]*([#>`~*+•=_-]|[0-9]+[.)])"
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def p8_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Of texts without Markdown the characters in sentences, blanks apart: none is left out, none counted twice."""
+    t = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(_MARKED)).select("doc_id", "text")
+    s = sentence_offsets(t, "doc_id", "text").join(t, "doc_id")
+    inside = F.expr("substring(text, sent_start + 1, sent_end - sent_start)")
+    return s.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace(inside, _BLANK, ""))).alias("letters"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p6_found, p6_pack, p6_fill, p6_totals, p7_found, p8_found, p8_covered)}
 
 _HELD = """SELECT rule, "from", "to", score FROM (SELECT *, row_number() OVER (PARTITION BY rule, "from", "to" ORDER BY reported_at DESC, finding_id DESC) AS k FROM agent_findings) WHERE k = 1 AND score IS NOT NULL"""
 _TOP = f"""SELECT rule, "from", "to", score, r AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY rule, "from" ORDER BY score DESC, "to") AS r FROM ({_HELD})) WHERE r <= 5"""
@@ -85,4 +98,5 @@ SQL = {
     "p3_ranked": _TOP,
     "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > (SELECT max(capacity) FROM containers)",
     "p6_totals": "SELECT count(text) AS texts, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) FILTER (WHERE strlen(text) + 1 > (SELECT max(capacity) FROM containers)) AS split, 0 AS broken, 0 AS over_capacity FROM documents",
+    "p8_covered": f"SELECT doc_id, CAST(length(regexp_replace(text, '{_BLANK}', '', 'g')) AS BIGINT) AS letters FROM documents WHERE NOT regexp_matches(text, '{_MARKED}') AND regexp_replace(text, '{_BLANK}', '', 'g') != ''",
 }

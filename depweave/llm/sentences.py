@@ -1,10 +1,13 @@
 """Sentence boundaries across languages and scripts.
 
-A pushdown automaton runs over the marks of a block: its stack holds open
-quotations and brackets, list levels and quotation marks of Markdown decide the
-blocks, abbreviation tries are walked backwards from a point, and each script
-brings its own terminators. Only marks are visited; the text between them is
-skipped by a compiled pattern, so cost follows the number of marks.
+A pushdown automaton reads a document's lines and the marks in them. Its stack
+holds, from the outside in, levels of quotation (``>``), list levels with the
+number of their last item, and open quotation marks and brackets. Lines push and
+pop levels and so decide the blocks; within a block marks push and pop pairs, and
+what lies in a closed pair ends no sentence. Abbreviation tries are walked
+backwards from a point, and each script brings its own terminators. Only marks
+are visited; the text between them is skipped by a compiled pattern, so cost
+follows the number of marks. Nothing is decided from a window of fixed width.
 """
 
 from __future__ import annotations
@@ -66,7 +69,6 @@ _END = (
     rf"\.(?:\.+|(?=[\s{_CLOSE}!?…{_WIDE_NEXT}]|$))|(?<=[a-zß-ÿа-я\d)»”])\.(?=[A-ZÀ-ÞА-Я][a-zß-ÿа-я])|(?<=[а-я])\.(?=[а-я]\.)"
     rf"|[!?](?=[\s{_CLOSE}!?….,;:—–A-ZÀ-ÞА-Я¿¡(\[{_WIDE_NEXT}]|$)|[…。！？؟।॥．｡۔‼⁇⁈⁉]"
 )
-_PROSE = re.compile(r"(?:^|[\s(\[\"“«„])(?:[^\W\d_A-ZÀ-ÞА-Я][\w'’-]*|v?\d[\d.,]*|[\w@.-]+/[\w@./-]*\.[a-z]{1,4}|.*[)»”])$")
 _EVENTS = re.compile(f"{_MARK}|{_END}")
 _EVENTS_THAI = re.compile(f"{_MARK}|{_END}|[^\\S\r\n]+")
 _QUOTE_MARKS = re.compile(_MARK)
@@ -82,7 +84,8 @@ _NUMBER = re.compile(r"[ \t]*(\d{1,9})[.)][ \t]+")
 _RULE = re.compile(r"[ \t]*(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|={3,})[ \t]*$")
 _MARKUP = re.compile(r"([*`~_]+)|<(\w+)>")
 _WORD = re.compile(r"[^\s" + _CLOSE + r",;:!?…]+")
-_ORDINAL = re.compile(r"(?<![\w.,])\d{1,2}$")
+_SUFFIX = re.compile(r"\.[a-z]{1,4}")
+_BEFORE = set("([\"“«„")
 
 
 def _trie(words: list[str]) -> dict:
@@ -135,42 +138,120 @@ def _inside_abbreviation(s: str, dot: int, start: int) -> bool:
     if at < 0:
         return False
     head = "".join(s[at : dot + 1].split())
-    tail = s[dot + 1 : dot + 12]
-    return any(_same_start(tail, r) for r in _REST.get(head, ()))
+    return any(_goes_on(s, dot + 1, r) for r in _REST.get(head, ()))
 
 
-def _same_start(tail: str, rest: str) -> bool:
-    k = 0
-    for i, ch in enumerate(tail):
-        if k == len(rest) or rest[k:] == "." and not tail[i:].strip():
-            return True
+def _goes_on(s: str, i: int, rest: str) -> bool:
+    """Whether ``rest`` follows from ``i`` on, blanks between its parts passed over; its last point may be missing."""
+    k, n = 0, len(s)
+    while k < len(rest):
+        if i >= n:
+            return k > 0 and rest[k:] == "."
+        ch = s[i]
         if ch == rest[k]:
             k += 1
-        elif not ch.isspace() or (k and rest[k - 1] != "."):
+        elif not ch.isspace():
             return False
-    return k == len(rest) or k > 0 and rest[k:] == "."
-
-
-def _pairs(s: str) -> dict[int, int]:
-    """Matched quotation marks and brackets of a block; what stays open or closes nothing is no pair."""
-    stack: list[tuple[str, int]] = []
-    out: dict[int, int] = {}
-    awaited: dict[str, int] = {}
-    for m in _QUOTE_MARKS.finditer(s):
-        ch, i = m.group(), m.start()
-        if awaited.get(ch):
-            while True:
-                want, at = stack.pop()
-                awaited[want] -= 1
-                if want == ch:
-                    out[at] = i
-                    break
+        elif k and rest[k - 1] != ".":
+            # a blank within a part: only the last point may be missing, at the end of the text
+            return rest[k:] == "." and not s[i:].strip()
+        i += 1
+    return True
+
+
+class Pushdown:
+    """The automaton's stack, and what it knows of the word that ends at the point last looked at.
+
+    Frames are (kind, value, place): ``>`` with its depth, ``item`` with the
+    number of a list's last item (or None) and the column of its mark, and
+    pairs with the mark that is awaited and where they open.
+    """
+
+    def __init__(self) -> None:
+        self.frames: list[tuple[str, object, int]] = []
+        self.word = (0, -1, False)
+
+    def depth(self) -> int:
+        """Levels of quotation."""
+        return max((int(v) for k, v, _ in self.frames if k == ">"), default=0)
+
+    def quote(self, depth: int) -> None:
+        """Enter a level of quotation; lists outside it go on after it."""
+        self.frames.append((">", depth, 0))
+
+    def leave(self, column: int | None = None) -> None:
+        """A block at a column ends the lists whose marks are not left of it; without a column all frames go."""
+        if column is None:
+            self.frames.clear()
+        while self.frames and self.frames[-1][0] == "item" and self.frames[-1][2] >= column:
+            self.frames.pop()
+
+    def follows(self, number: int, column: int) -> bool:
+        """Whether an item of this number goes on in a list that is open at its column or left of it."""
+        for kind, value, place in reversed(self.frames):
+            if kind == ">":
+                return False
+            if place <= column + 1 and value is not None:
+                return number == value + 1
+        return False
+
+    def item(self, number: int | None, column: int) -> None:
+        """An item's mark: deeper lists end, its own level holds its number."""
+        while self.frames and self.frames[-1][0] == "item" and self.frames[-1][2] >= column:
+            self.frames.pop()
+        self.frames.append(("item", number, column))
+
+    def pairs(self, s: str) -> dict[int, int]:
+        """Quotation marks and brackets of a block that close, by where they open. What stays open is popped with the block and is no pair."""
+        base, out = len(self.frames), {}
+        awaited: dict[str, int] = {}
+        for m in _QUOTE_MARKS.finditer(s):
+            ch, i = m.group(), m.start()
+            if awaited.get(ch):
+                while True:
+                    want, _, at = self.frames.pop()
+                    awaited[want] -= 1
+                    if want == ch:
+                        out[at] = i
+                        break
+            else:
+                want = '"' if ch == '"' else PAIRS.get(ch)
+                if want:
+                    self.frames.append((want, None, i))
+                    awaited[want] = awaited.get(want, 0) + 1
+        del self.frames[base:]
+        return out
+
+    def prose(self, s: str, start: int, dot: int) -> bool:
+        """Whether what ends at ``dot`` is a small word, a number, a path or a closed pair, after which no dotted name goes on."""
+        if dot > start and s[dot - 1] in ")»”":
+            return True
+        k = dot
+        while k > start and (s[k - 1].isalnum() or s[k - 1] in "_'’-"):
+            k -= 1
+        if k < dot and _opens_word(s, start, k) and s[k].isalpha() and not ("A" <= s[k] <= "Z" or "À" <= s[k] <= "Þ" or "А" <= s[k] <= "Я"):
+            return True
+        k = dot
+        while k > start and (s[k - 1].isdecimal() or s[k - 1] in ".,"):
+            k -= 1
+        if k < dot and s[k].isdecimal() and (_opens_word(s, start, k) or s[k - 1] == "v" and _opens_word(s, start, k - 1)):
+            return True
+        # a path: the part of the word that an earlier point has looked at is not looked at again
+        begin, end, slash = self.word
+        k = dot
+        while k > start and k != end and (s[k - 1].isalnum() or s[k - 1] in "_@./-"):
+            k -= 1
+        if k == end and k > start:
+            slash = slash or "/" in s[k:dot]
         else:
-            want = "\"" if ch == "\"" else PAIRS.get(ch)
-            if want:
-                stack.append((want, i))
-                awaited[want] = awaited.get(want, 0) + 1
-    return out
+            begin, slash = k, "/" in s[k:dot]
+        self.word = (begin, dot, slash)
+        suffix = s.rfind(".", max(begin, dot - 5), dot)
+        return slash and s[begin] != "/" and suffix >= 0 and _SUFFIX.fullmatch(s, suffix, dot) is not None and s.find("/", begin, suffix) > begin and _opens_word(s, start, begin)
+
+
+def _opens_word(s: str, start: int, k: int) -> bool:
+    return k == start or s[k - 1].isspace() or s[k - 1] in _BEFORE
 
 
 def _inner_end(s: str, lo: int, hi: int) -> str:
@@ -230,13 +311,13 @@ def _after_pair(s: str, start: int, lo: int, hi: int) -> bool:
     return told and (mark in "?؟？" or s[before] == ",") and w not in CARRY_ON
 
 
-def _point_ends(s: str, start: int, dot: int, nxt: int) -> bool:
+def _point_ends(s: str, start: int, dot: int, nxt: int, stack: Pushdown) -> bool:
     """Whether a single point at the lowest level ends its sentence; ``nxt`` is the next character that is no blank."""
     n = len(s)
     if nxt >= n:
         return True
     ch = s[nxt]
-    if nxt == dot + 1 and ch.isupper() and not _PROSE.search(s[max(start, dot - 80) : dot]):
+    if nxt == dot + 1 and ch.isupper() and not stack.prose(s, start, dot):
         return False  # within a dotted name
     if _abbreviation(s, dot, start, _NUMBERED) >= 0 and (ch.isdigit() or ch == "№"):
         return False
@@ -258,19 +339,26 @@ def _point_ends(s: str, start: int, dot: int, nxt: int) -> bool:
         return not (len(words) <= 3 and words and words[0].lower() in TIME_OPENERS)
     if ch in PAUSES and ch not in "—–-":
         return False
-    head = s[max(start, dot - 3) : dot]
-    if _ORDINAL.search(head):
+    if _ordinal(s, start, dot):
         word = _WORD.match(s, nxt)
         if word and word.group().rstrip(".") in MONTHS:
             return False
     # an initial: one capital at the start, or after another initial or a title
-    if head[-1:].isupper() and ch.isupper() and dot - start >= 1:
+    if dot > start and s[dot - 1].isupper() and ch.isupper():
         left = s[start : dot - 1].rstrip()
         if (not left and dot - 1 == start) or (left.endswith(".") and len(left.split()[-1]) <= 5 and left.split()[-1][:1].isupper()):
             return False
     return True
 
 
+def _ordinal(s: str, start: int, dot: int) -> bool:
+    """Whether a number of one or two digits ends at the point."""
+    k = dot
+    while k > start and dot - k < 3 and s[k - 1].isdecimal():
+        k -= 1
+    return 0 < dot - k < 3 and (k == start or not (s[k - 1].isalnum() or s[k - 1] in "_.,"))
+
+
 def _with_markup(s: str, start: int, end: int) -> int:
     """Emphasis that opened at the start of a sentence and closes right after its mark belongs to it."""
     m = _MARKUP.match(s, start)
@@ -281,7 +369,7 @@ def _with_markup(s: str, start: int, end: int) -> int:
     return end
 
 
-def _block(s: str, offset: int, out: list[tuple[int, int]]) -> None:
+def _block(s: str, offset: int, out: list[tuple[int, int]], stack: Pushdown) -> None:
     """Sentences of one block; ``offset`` is where its text starts in the document."""
     n = len(s)
     start = _SPACE.match(s, 0).end()
@@ -289,7 +377,8 @@ def _block(s: str, offset: int, out: list[tuple[int, int]]) -> None:
         return
     thai = _THAI.search(s) is not None
     events = _EVENTS_THAI if thai else _EVENTS
-    pairs = _pairs(s)
+    pairs = stack.pairs(s)
+    stack.word = (0, -1, False)
     at = start
     while True:
         m = events.search(s, at)
@@ -318,7 +407,7 @@ def _block(s: str, offset: int, out: list[tuple[int, int]]) -> None:
                 end += 1
             nxt = _SPACE.match(s, end).end()
             if run == ".":
-                if not _point_ends(s, start, i, nxt):
+                if not _point_ends(s, start, i, nxt, stack):
                     continue
             elif nxt < n:
                 if s[nxt] in PAUSES and s[nxt] not in "—–-":
@@ -343,16 +432,17 @@ def _block(s: str, offset: int, out: list[tuple[int, int]]) -> None:
         out.append((offset + start, offset + end))
 
 
-def blocks(text: str) -> Iterator[tuple[int, str]]:
+def blocks(text: str, stack: Pushdown | None = None) -> Iterator[tuple[int, str]]:
     """(offset, text) of headings, list items and paragraphs; marks at the start of later lines are blanked out.
 
-    Fenced code and lines that only part blocks give none.
+    Fenced code and lines that only part blocks give none. A numbered line
+    opens an item at the start of a block, with the number 1, or if it goes on
+    in a list that is open at its column, whatever lists lie in between.
     """
+    stack = stack or Pushdown()
     parts: list[str] = []
     begin = 0
-    number = None  # of the list item the block belongs to
     fence = ""
-    depth = 0
 
     def flush() -> Iterator[tuple[int, str]]:
         nonlocal parts
@@ -361,6 +451,7 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
         parts = []
 
     pos, n = 0, len(text)
+    after_blank = True
     while pos < n:
         line = _LINE.match(text, pos).group()
         body, level = 0, 0
@@ -372,30 +463,40 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
                 fence = ""
         elif f and not (f.group(1)[0] == "`" and "`" in line[f.end() :]):
             yield from flush()
-            number, fence = None, f.group(1)
+            fence = f.group(1)
         elif not line[body:].strip():
             yield from flush()
-            number, depth = None, 0
+            after_blank = True
         elif _RULE.match(line[body:].rstrip("\r\n")):
             yield from flush()
         else:
             h, b, num = _HEAD.match(line, body), _BULLET.match(line, body), _NUMBER.match(line, body)
+            column = len(line) - len(line[body:].lstrip()) - body
+            if after_blank and level != stack.depth():
+                stack.leave()  # a quotation ends with a blank line, and its lists with it
             opens = h or b
-            if num and not opens and (not parts or int(num.group(1)) == 1 or number is not None and int(num.group(1)) == number + 1):
+            if num and not opens and (not parts or int(num.group(1)) == 1 or stack.follows(int(num.group(1)), column)):
                 opens = num
-            if level > depth and not opens and parts:
-                yield from flush()
+            if level > stack.depth():
+                if not opens and parts:
+                    yield from flush()
+                if opens or not parts:
+                    stack.quote(level)
             if opens or not parts:
                 yield from flush()
                 body = opens.end() if opens else body
+                if h or not opens:
+                    stack.leave(0 if h else column)
+                else:
+                    stack.item(int(num.group(1)) if opens is num else None, column)
                 if b and not h:  # a list within a list item
                     while (x := _BULLET.match(line, body)) is not None:
                         body = x.end()
-                number = int(num.group(1)) if opens is num and num else None
-                begin, depth = pos + body, level
+                begin = pos + body
                 parts.append(line[body:])
             else:
                 parts.append(" " * body + line[body:])
+            after_blank = False
             if h:
                 yield from flush()
         pos += len(line)
@@ -406,8 +507,9 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of every sentence in code points, end exclusive. Null and blank texts have none."""
     out: list[tuple[int, int]] = []
     if text:
-        for offset, s in blocks(text):
-            _block(s, offset, out)
+        stack = Pushdown()
+        for offset, s in blocks(text, stack):
+            _block(s, offset, out, stack)
     return out
 
 

@@ -51,10 +51,57 @@ def test_sentences(text, want):
     assert cut(text) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("1. a\n   - b\n   - c\n2. d\n   1. e\n   2. f\n3. g\n5. h", ["a", "b", "c", "d", "e", "f", "g\n5.", "h"]),
+        ("1. a\n\n   more of a\n2. b", ["a", "more of a", "b"]),
+        ("1. a\n\nsee line\n2. Next", ["a", "see line\n2.", "Next"]),
+        ("> 1. a\n>    * b\n> 2. c\n\nd\n3. e", ["a", "b", "c", "d\n3.", "e"]),
+        ("- (a\n- b) c. D", ["(a", "b) c.", "D"]),
+    ],
+)
+def test_list_levels(text, want):
+    assert cut(text) == want
+
+
+def test_no_window_decides():
+    gap = " " * 60
+    assert cut(f"Das ist z.{gap}B. Ruhe.") == [f"Das ist z.{gap}B. Ruhe."]
+    long = "a" * 200
+    assert cut(f"See {long}/b.ts.Next it is.") == [f"See {long}/b.ts.", "Next it is."]  # a path, however long
+    assert cut(f"See {long.upper()}x{long}.Next it is.") == [f"See {long.upper()}x{long}.Next it is."]  # a dotted name
+    assert cut(f"See “{long.upper()}x” {long}.Next it is.") == [f"See “{long.upper()}x” {long}.", "Next it is."]
+
+
+# Sentences per language with what makes their borders hard; any of them may follow any other.
+HELD_OUT = {
+    "en": ["Dr. Lee asked e.g. for v1.2.3 of src/a.b/c.ts.", 'She said "No. Never!" and left.', "Is it 3.5 percent?", "It closed at 5 p.m. on Monday."],
+    "de": ["Am 3. März kam z. B. Frau Dr. Klein.", "Er rief: „Halt. Sofort!“ und ging.", "Das sind ca. 1.000 Zeilen.", "Warum nicht?"],
+    "fr": ["M. Blanc part, p. ex. à 8 h.", "Il dit : « Non. Jamais ! » puis sort.", "Pourquoi pas ?", "Le fichier a/b.ts est lu."],
+    "es": ["La Sra. Ruiz pide, p. ej., dos.", "¿Por qué no?", "¡Vamos!", "Dijo «No. Nunca.» y salió."],
+    "ru": ["Это т. е. 5 строк.", "Он сказал «Нет. Никогда.» и ушёл.", "Почему?", "См. рис. 2 и стр. 4."],
+    "zh": ["日志写着“为什么。真的？”然后停了。", "版本3.5可用。", "真的吗？", "看a/b.ts（第二版。）吧。"],
+    "ja": ["彼は「止めて。すぐ！」と言った。", "本当？", "版は1.2です。", "終わり！"],
+    "hi": ["डॉ. राव आए।", "क्यों?", "यह 3.5 है।", "बस!"],
+    "ar": ["قال «لا. أبدا.» ثم خرج.", "لماذا؟", "هذا 3.5 فقط.", "انتهى!"],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(HELD_OUT))
+def test_held_out_sentences(lang):
+    """Recall and precision of 1 on every order of two sentences, with blanks, line breaks, list items and quotations between."""
+    glue = "" if lang in ("zh", "ja") else " "
+    for a in HELD_OUT[lang]:
+        for b in HELD_OUT[lang]:
+            for sep, pre in ((glue, ""), ("\n", ""), ("\n\n", ""), ("\n- ", "- "), ("\n2. ", "1. "), ("\n> ", "> ")):
+                assert cut(pre + a + sep + b) == [a, b], (a, b, sep)
+
+
 def test_sentences_cost_follows_length():
     import time
 
-    for unit in ('"(', "a. ", "( ", "“ ” ", "> ", "z. "):
+    for unit in ('"(', "a. ", "( ", "“ ” ", "> ", "z. ", "a.Bb", "a/b.Cd", "1.", "- a\n", "1. a\n  - b\n", "z.   "):
         t = time.time()
         got = sentences(unit * 50_000)
         assert time.time() - t < 20

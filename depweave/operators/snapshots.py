@@ -76,16 +76,13 @@ def snapshot_changes(
         F.col(group).alias("group_"), F.col(snapshot).alias("snap_"), F.col(taken).alias("taken_"), key.alias("key_"),
         F.struct(*[F.col(v) for v in version]).alias("version_"), value.alias("value_"),
     )
-    # a range partitioning by the whole key also serves the deduplication and splits a hot group anywhere
-    ranged = slim.repartitionByRange(tasks, "group_", "snap_", "key_")
-    held = ranged.groupBy("group_", "snap_", "key_").agg(F.max(F.struct("version_", "value_")).alias("m_"), F.min("taken_").alias("taken_"))
-    # from here on a value counts only as equal or different: its 128-bit digest goes in its place
-    told = F.to_json(F.struct(F.col("m_.value_").alias("v")), {"ignoreNullFields": "false"})
-    rows = held.select(
-        "group_", "snap_", "taken_", "key_", F.struct(*[F.xxhash64(F.lit(s), told).alias(f"h{s}") for s in (1, 2)]).alias("value_"),
+    rows = _held(slim).select(
+        "group_", "snap_", "taken_", "key_", F.struct("h1", "h2").alias("value_"),
         F.xxhash64("key_").alias("key_hash_"),
         F.xxhash64("group_", "snap_").alias("snap_hash_"),
     )
+    # a range partitioning by the whole key splits a hot group anywhere
+    rows = rows.repartitionByRange(tasks, "group_", "snap_", "key_")
     rows = rows.sortWithinPartitions("group_", "snap_", "key_")
     mask = (1 << max(0, mean_chunk.bit_length() - 1)) - 1
     cut = materialize(cut_chunks(rows, mask).drop("key_hash_", "snap_hash_"), "chunks")
@@ -117,6 +114,32 @@ def snapshot_changes(
     return seen.select(F.col("group_").alias(group), F.col("pair_").alias(snapshot), F.col("key_").alias("key"), change.alias("change")).where("change is not null")
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """(group_, snap_, key_, taken_, h1, h2): the row that holds of each key, its value as a 128-bit digest.
+
+    Values are digested before anything is shuffled, since from here on they
+    only count as equal or different, and repeated rows are combined in the map
+    tasks: a key delivered a million times is one row of each. Only where rows
+    of one key and equal version differ is the greatest value looked for.
+    """
+    key = ["group_", "snap_", "key_"]
+    told = F.to_json(F.struct(F.col("value_").alias("v")), {"ignoreNullFields": "false"})
+    digest = [F.xxhash64(F.lit(s), told).alias(f"h{s}") for s in (1, 2)]
+    slim = rows.select(*key, "taken_", "version_", *digest)
+    # the greatest and the least digest of the last version
+    high, low = F.struct("version_", "h1", "h2"), F.struct("version_", F.bitwise_not("h1").alias("h1"), F.bitwise_not("h2").alias("h2"))
+    best = slim.groupBy(*key).agg(F.min("taken_").alias("taken_"), F.max(high).alias("m_"), F.max(low).alias("n_"))
+    best = materialize(best.select(*key, "taken_", "m_.h1", "m_.h2", ((F.col("m_.h1") != F.bitwise_not("n_.h1")) | (F.col("m_.h2") != F.bitwise_not("n_.h2"))).alias("tied_")), "latest")
+    tied = best.where("tied_").select(*[F.col(k).alias("t_" + k) for k in key])
+    plain = best.select(*key, "taken_", "h1", "h2")
+    if tied.isEmpty():
+        return plain
+    again = rows.join(tied, [rows[k].eqNullSafe(tied["t_" + k]) for k in key], "left_semi").groupBy(*key).agg(F.max(F.struct("version_", "value_")).alias("m_"))
+    again = again.select(*[F.col(k).alias("t_" + k) for k in key], F.col("m_.value_").alias("value_")).select(*["t_" + k for k in key], *[d.alias("w" + str(i)) for i, d in enumerate(digest)])
+    both = plain.join(again, [plain[k].eqNullSafe(again["t_" + k]) for k in key], "left")
+    return both.select(*key, "taken_", F.coalesce("w0", "h1").alias("h1"), F.coalesce("w1", "h2").alias("h2"))
+
+
 def _consecutive(digests: DataFrame) -> DataFrame:
     """(group_, snap_, prev_): one row per snapshot, never one per record."""
     ids = digests.groupBy("group_", "snap_").agg(F.min("taken_").alias("taken_"))

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from depweave.session import materialize
 
 ADJACENCY = "node int, parent int, label string, ordinal int, kind string, scalar string"
-_KINDS = {bool: "boolean", int: "number", float: "number", type(None): "null"}
+KINDS = ("object", "array", "string", "number", "boolean", "null", "lone")
+_OBJECT, _ARRAY, _STRING, _NUMBER, _BOOLEAN, _NULL, _LONE = range(len(KINDS))
 
 
 def find_list(doc: object, label: str, lone: Sequence[str]) -> tuple[object, object]:
@@ -43,8 +44,37 @@ def find_list(doc: object, label: str, lone: Sequence[str]) -> tuple[object, obj
     return None, None
 
 
-def adjacency(doc: object, label: str, lone: Sequence[str]) -> Iterator[tuple[int, int, str, int | None, str, str | None]]:
-    """Rows (node, parent, label, ordinal, kind, scalar) of one decoded document, one for every value in it.
+class Rows:
+    """Columns of adjacency rows as they are collected; ``kind`` holds indices into ``KINDS``."""
+
+    def __init__(self) -> None:
+        self.node: list[int] = []
+        self.parent: list[int] = []
+        self.label: list[str] = []
+        self.ordinal: list[int | None] = []
+        self.kind: list[int] = []
+        self.scalar: list[str | None] = []
+
+    def __len__(self) -> int:
+        return len(self.node)
+
+    def tuples(self) -> Iterator[tuple]:
+        return zip(self.node, self.parent, self.label, self.ordinal, [KINDS[k] for k in self.kind], self.scalar)
+
+
+def _told(v: object) -> tuple[int, str | None]:
+    """Kind and text of a value that is no object and no list."""
+    if v is True:
+        return _BOOLEAN, "true"
+    if v is False:
+        return _BOOLEAN, "false"
+    if v is None:
+        return _NULL, "null"
+    return (_STRING, v) if type(v) is str else (_NUMBER, str(v) if type(v) is int else json.dumps(v))
+
+
+def adjacency(doc: object, label: str, lone: Sequence[str], out: Rows | None = None) -> Rows:
+    """Rows (node, parent, label, ordinal, kind, scalar) of one decoded document, one for every value in it, added to ``out``.
 
     ``kind`` is object, array, string, number, boolean or null; ``scalar`` is
     the text of the last four. Entries of a list are children of the object
@@ -54,54 +84,78 @@ def adjacency(doc: object, label: str, lone: Sequence[str]) -> Iterator[tuple[in
     document that is the list, or one entry of it, has entries of that label
     under a node 0 of kind array, or lone. The root's parent is -1.
     """
+    out = Rows() if out is None else out
+    nodes, put_parent, put_label, put_ordinal, put_kind, put_scalar = out.node, out.parent.append, out.label.append, out.ordinal.append, out.kind.append, out.scalar.append
+    base = len(nodes)
     owner, entries = find_list(doc, label, lone)
-    count = 0
+    owner_at = -1
+
+    def row(parent: int, name: str, ordinal: int | None, kind: int, scalar: str | None) -> None:
+        put_parent(parent)
+        put_label(name)
+        put_ordinal(ordinal)
+        put_kind(kind)
+        put_scalar(scalar)
+
     stack: list[tuple[object, int, str, int | None]] = []
+    count = 0
     if owner is None and entries is not None:
         whole = isinstance(doc, list)
-        yield 0, -1, "", None, "array" if whole else "lone", None
-        todo: Iterable = enumerate(doc) if whole else [(None, doc)]
-        stack = [(v, 0, label, i) for i, v in todo]
+        row(-1, "", None, _ARRAY if whole else _LONE, None)
+        owner_at, count = 0, 1
+        stack = [(v, 0, label, i) for i, v in (enumerate(doc) if whole else [(None, doc)])]
         stack.reverse()
     else:
         stack.append((doc, -1, "", None))
+    # a row's node is its place among the document's rows, the owner's apart
     while stack:
         value, parent, name, ordinal = stack.pop()
         kind = type(value)
-        if kind is dict and value is owner:
-            node = 0
-        else:
-            count += 1
-            node = count
         if kind is dict:
-            yield node, parent, name, ordinal, "object", None
+            if value is owner:
+                owner_at, node = count, 0
+            else:
+                node = count + 1
+            row(parent, name, ordinal, _OBJECT, None)
             fields = value.items()
         elif kind is list:
-            yield node, parent, name, ordinal, "array", None
+            node = count + 1
+            row(parent, name, ordinal, _ARRAY, None)
             fields = [("", value)] if value else ()
         else:
-            yield node, parent, name, ordinal, _KINDS.get(kind, "string"), value if kind is str else json.dumps(value)
-            continue
+            row(parent, name, ordinal, *_told(value))
+            fields = ()
+        count += 1
         for k, v in fields:
             t = type(v)
-            if t is str:
-                count += 1
-                yield count, node, k, None, "string", v
-            elif t is dict:
+            if t is dict:
                 stack.append((v, node, k, None))
             elif t is list:
                 if not v:
+                    row(node, k, None, _ARRAY, None)
                     count += 1
-                    yield count, node, k, None, "array", None
                 for i, x in enumerate(v):
                     if type(x) is str:
+                        row(node, k, i, _STRING, x)
                         count += 1
-                        yield count, node, k, i, "string", x
                     else:
                         stack.append((x, node, k, i))
             else:
+                put_parent(node)
+                put_label(k)
+                put_ordinal(None)
+                if t is str:
+                    put_kind(_STRING)
+                    put_scalar(v)
+                else:
+                    what, text = _told(v)
+                    put_kind(what)
+                    put_scalar(text)
                 count += 1
-                yield count, node, k, None, _KINDS[t], json.dumps(v)
+    nodes.extend(range(1, count + 1))
+    if owner_at >= 0:
+        nodes[base + owner_at] = 0
+    return out
 
 
 def rebuild(rows: Iterable[Sequence]) -> object:
@@ -164,28 +218,26 @@ def shred(df: DataFrame, record: str, body: str, label: str = MODULES[0], lone:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, bodies = batch.column(0), batch.column(1)
-            rows: list[tuple] = []
-            at: list[int] = []
+            rows, at = Rows(), []
             for k in range(batch.num_rows):
                 doc = decode(bodies[k].as_py())
                 if doc is None:
                     continue
-                for row in adjacency(doc, label, lone):
-                    rows.append(row)
-                    at.append(k)
-                    if len(rows) >= rows_per_batch:
-                        yield _batch(ids, at, rows)
-                        rows, at = [], []
-            if rows:
+                adjacency(doc, label, lone, rows)
+                at += [k] * (len(rows) - len(at))
+                if len(rows) >= rows_per_batch:
+                    yield _batch(ids, at, rows)
+                    rows, at = Rows(), []
+            if len(rows):
                 yield _batch(ids, at, rows)
 
     return df.select(F.col(record).alias("record"), F.col(body).alias("body")).mapInArrow(run, f"record {kind}, {ADJACENCY}")
 
 
-def _batch(ids: pa.Array, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
-    node, parent, label, ordinal, kind, scalar = zip(*rows)
+def _batch(ids: pa.Array, at: list[int], rows: Rows) -> pa.RecordBatch:
     i32 = pa.int32()
-    cols = [ids.take(pa.array(at, i32)), pa.array(node, i32), pa.array(parent, i32), _text(label), pa.array(ordinal, i32), pa.array(kind, pa.string()), _text(scalar)]
+    kinds = pa.DictionaryArray.from_arrays(pa.array(rows.kind, pa.int8()), pa.array(KINDS)).cast(pa.string())
+    cols = [ids.take(pa.array(at, i32)), pa.array(rows.node, i32), pa.array(rows.parent, i32), _text(rows.label), pa.array(rows.ordinal, i32), kinds, _text(rows.scalar)]
     return pa.RecordBatch.from_arrays(cols, names=["record", "node", "parent", "label", "ordinal", "kind", "scalar"])
 
 
@@ -247,20 +299,25 @@ def _text(values: Sequence[str | None]) -> pa.Array:
         return pa.array([s and s.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for s in values], pa.string())
 
 
-def entities(nodes: DataFrame, labels: dict[str, str]) -> DataFrame:
+def entities(nodes: DataFrame, labels: Sequence[str], name: str) -> DataFrame:
     """Entries of the lists ``labels`` with the scalar field that names them: (record, node, parent, label, ordinal, ``name``).
 
-    ``labels`` has the naming field of each label. An entry that is a string is
-    its own name; other scalars and lists are no entries; a naming field that
-    is no string counts as absent. A lone entry has the ordinal 0.
+    ``nodes`` is an adjacency table partitioned by ``part``, see ``stored``. An
+    entry that is a string is its own name; other scalars and lists are no
+    entries; a naming field that is no string counts as absent. A lone entry
+    has the ordinal 0.
     """
     own = F.when(F.col("kind") == "string", F.col("scalar")).alias("own_")
-    objects = nodes.where(F.col("label").isin(list(labels)) & F.col("kind").isin("object", "string")).select("record", "node", "parent", "label", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), own)
-    fields = sorted(set(labels.values()))
-    leaves = nodes.where(F.col("label").isin(fields) & (F.col("kind") == "string") & F.col("ordinal").isNull()).select("record", F.col("parent").alias("node"), "label", "scalar")
-    wide = leaves.groupBy("record", "node").pivot("label", fields).agg(F.first("scalar"))
-    told = F.coalesce("own_", *[F.when(F.col("label") == k, F.col(v)) for k, v in labels.items()])
-    return objects.join(wide, ["record", "node"], "left").select("record", "node", "parent", "label", "ordinal", told.alias("name"))
+    objects = nodes.where(F.col("part").isin(list(labels)) & F.col("kind").isin("object", "string")).select("record", "node", "parent", "label", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), own)
+    leaves = nodes.where((F.col("part") == name) & (F.col("kind") == "string") & F.col("ordinal").isNull()).select("record", F.col("parent").alias("node"), "label", "scalar")
+    wide = leaves.groupBy("record", "node").pivot("label", [name]).agg(F.first("scalar"))
+    return objects.join(wide, ["record", "node"], "left").select("record", "node", "parent", "label", "ordinal", F.coalesce("own_", name).alias(name))
+
+
+def stored(df: DataFrame, record: str, body: str, labels: Sequence[str]) -> DataFrame:
+    """The adjacency table of all values, written once; ``part`` parts its files by ``labels``, so a reader of some opens no others."""
+    part = F.when(F.col("label").isin(list(labels)), F.col("label")).otherwise("")
+    return materialize(shred(df, record, body).withColumn("part", part), "adjacency", by="part")
 
 
 def link(child: DataFrame, parent: DataFrame, prefix: str, keep: Sequence[str]) -> DataFrame:
@@ -275,22 +332,23 @@ class GraphTables:
 
     modules: DataFrame
     dependencies: DataFrame
-    rules: DataFrame
-    cycles: DataFrame
+    items: DataFrame
+
+    @property
+    def rules(self) -> DataFrame:
+        return self.items.where("label = 'rules'")
+
+    @property
+    def cycles(self) -> DataFrame:
+        return self.items.where("label = 'cycle'")
 
     def named(self) -> DataFrame:
         """One row per named entry: (record, kind, module_ord, dep_ord, item_ord, name)."""
         none = F.lit(-1)
-        item = lambda t, kind: t.select("record", F.lit(kind).alias("kind"), "module_ord", "dep_ord", F.col("ordinal").alias("item_ord"), "name")
-        rows = [
-            self.modules.select("record", F.lit("module").alias("kind"), F.col("ordinal").alias("module_ord"), none.alias("dep_ord"), none.alias("item_ord"), F.col("source").alias("name")),
-            self.dependencies.select("record", F.lit("dependency").alias("kind"), "module_ord", F.col("ordinal").alias("dep_ord"), none.alias("item_ord"), F.col("resolved").alias("name")),
-            item(self.rules, "rule"),
-            item(self.cycles, "cycle"),
-        ]
-        out = rows[0]
-        for r in rows[1:]:
-            out = out.unionByName(r)
+        kind = F.when(F.col("label") == "rules", "rule").otherwise("cycle")
+        out = self.modules.select("record", F.lit("module").alias("kind"), F.col("ordinal").alias("module_ord"), none.alias("dep_ord"), none.alias("item_ord"), F.col("source").alias("name"))
+        out = out.unionByName(self.dependencies.select("record", F.lit("dependency").alias("kind"), "module_ord", F.col("ordinal").alias("dep_ord"), none.alias("item_ord"), F.col("resolved").alias("name")))
+        out = out.unionByName(self.items.select("record", kind.alias("kind"), "module_ord", "dep_ord", F.col("ordinal").alias("item_ord"), "name"))
         return out.where("name is not null and name != ''")
 
 
@@ -301,11 +359,9 @@ def graph_tables(df: DataFrame, record: str, body: str) -> GraphTables:
     place; an empty name counts as none. Entries without a name stay in the
     tables (their children need them) with a null name.
     """
-    nodes = materialize(shred(df, record, body), "adjacency")
-    every = entities(nodes, {"modules": "source", "dependencies": "resolved", "rules": "name", "cycle": "name"})
+    nodes = stored(df, record, body, ("modules", "source", "dependencies", "resolved", "rules", "cycle", "name"))
     # node 0 owns the list of modules: lists of that name elsewhere are other things
-    modules = every.where("label = 'modules' and parent = 0").withColumnRenamed("name", "source")
-    deps = link(every.where("label = 'dependencies'").withColumnRenamed("name", "resolved"), modules, "module_", ["ordinal", "source"])
-    deps = deps.withColumnRenamed("module_ordinal", "module_ord")
-    item = lambda label: link(every.where(F.col("label") == label), deps, "dep_", ["ordinal", "module_ord", "resolved"]).withColumnRenamed("dep_ordinal", "dep_ord").withColumnRenamed("dep_module_ord", "module_ord")
-    return GraphTables(modules, deps, item("rules"), item("cycle"))
+    modules = entities(nodes, ["modules"], "source").where("parent = 0")
+    deps = link(entities(nodes, ["dependencies"], "resolved"), modules, "module_", ["ordinal", "source"]).withColumnRenamed("module_ordinal", "module_ord")
+    items = link(entities(nodes, ["rules", "cycle"], "name"), deps, "dep_", ["ordinal", "module_ord", "resolved"]).withColumnRenamed("dep_ordinal", "dep_ord").withColumnRenamed("dep_module_ord", "module_ord")
+    return GraphTables(modules, deps, items)

@@ -33,18 +33,59 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage, survives the loss of executors and makes what was
     computed by Python or by a sampled range partitioning the same for every
-    later reader. The files go when the driver ends.
+    later reader. ``by`` names a column of few values that partitions the files,
+    for readers that want some of them. The files go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/depweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:  # one open file for each value instead of a sort
+        with _setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):
+            df.write.partitionBy(by).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that an operator writes on its way are deleted when it ends, but for those it puts into the list."""
+    before = len(_written)
+    keep: list[DataFrame] = []
+    try:
+        yield keep
+    finally:
+        kept = {getattr(df, "_table_path", None) for df in keep}
+        mine = _written[before:]
+        _written[before:] = [x for x in mine if x[1] in kept]
+        for x in mine:
+            if x[1] not in kept:
+                _delete(*x)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session is gone already
+        pass
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
 def materialize_counted(df: DataFrame, label: str, what: Column | None = None) -> tuple[DataFrame, int]:
@@ -60,13 +101,8 @@ def sized_partitions(spark: SparkSession) -> Iterator[None]:
     For loops whose rounds are often tiny: a round then writes few files, and
     the next does not start a task for each of many empty ones.
     """
-    name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "false")
-    try:
+    with _setting(spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"):
         yield
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
 def in_sized_partitions(f: Callable) -> Callable:
@@ -83,13 +119,7 @@ def in_sized_partitions(f: Callable) -> Callable:
 def drop_tables() -> None:
     """Delete every table that ``materialize`` wrote in this process."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session is gone already
-            pass
+        _delete(*_written.pop())
 
 
 atexit.register(drop_tables)

@@ -29,14 +29,23 @@ def mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def inverse(a: np.ndarray) -> np.ndarray:
-    """a ** (P - 2); zero gives zero."""
-    out, base, e = np.ones_like(a), a, P - 2
-    while e:
-        if e & 1:
-            out = mul(out, base)
-        base = mul(base, base)
-        e >>= 1
-    return out
+    """Inverses of many elements from one: products are taken pairwise up to a single one, whose inverse is carried down again. Zero gives zero."""
+    flat = a.ravel()
+    zero = flat == 0
+    levels = [np.where(zero, _1, flat)]
+    while len(levels[-1]) > 1:
+        v = levels[-1]
+        if len(v) & 1:
+            v = levels[-1] = np.append(v, _1)
+        levels.append(mul(v[::2], v[1::2]))
+    if not len(flat):
+        return a.copy()
+    inv = np.array([pow(int(levels[-1][0]), P - 2, P)], np.uint64)
+    for v in reversed(levels[:-1]):
+        up, inv = np.empty_like(v), inv[: len(v) // 2]
+        up[::2], up[1::2] = mul(inv, v[1::2]), mul(inv, v[::2])
+        inv = up
+    return np.where(zero, np.uint64(0), inv[: len(flat)]).reshape(a.shape)
 
 
 def segment_products(v: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -62,24 +71,26 @@ def horner(coef: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Solutions of many linear systems (n x m x m, n x m) by Gauss-Jordan; free unknowns are 0. Second: which are consistent."""
+    """Solutions of many linear systems (n x m x m, n x m) by elimination; free unknowns are 0. Second: which are consistent."""
     n, m, _ = a.shape
-    t = np.concatenate([a, b[:, :, None]], axis=2)
-    used = np.zeros((n, m), bool)
-    at = np.full((n, m), -1)
+    # equations and unknowns lead, systems come last: each step works on long contiguous rows
+    t = np.ascontiguousarray(np.concatenate([a, b[:, :, None]], axis=2).transpose(1, 2, 0))
+    used = np.zeros((m, n), bool)
+    at = np.full((m, n), -1)
     each = np.arange(n)
     for c in range(m):
-        can = ~used & (t[:, :, c] != 0)
-        has, piv = can.any(1), can.argmax(1)
+        can = ~used & (t[:, c] != 0)
+        has, piv = can.any(0), can.argmax(0)
         # columns to the left are done with: solved, or of unknowns that stay 0
-        u = t[:, :, c:]
-        row = mul(u[each, piv], inverse(u[each, piv, 0])[:, None])
-        factor = u[:, :, 0].copy()
-        factor[each, piv] = 0
-        factor[~has] = 0
-        t[:, :, c:] = sub(u, mul(factor[:, :, None], row[:, None, :]))
-        t[each[has], piv[has], c:] = row[has]
-        used[each[has], piv[has]] = True
-        at[has, c] = piv[has]
-    x = np.where(at >= 0, t[each[:, None], np.maximum(at, 0), m], np.uint64(0))
-    return x, ~((~used & (t[:, :, m] != 0)).any(1))
+        u = t[:, c:]
+        row = u[piv, :, each].T
+        row = mul(row, inverse(row[0]))
+        factor = u[:, 0].copy()
+        factor[piv, each] = 0
+        factor[:, ~has] = 0
+        t[:, c:] = sub(u, mul(factor[:, None], row[None]))
+        t[piv[has], c:, each[has]] = row[:, has].T
+        used[piv[has], each[has]] = True
+        at[c, has] = piv[has]
+    x = np.where(at >= 0, t[np.maximum(at, 0), m, each[None]], np.uint64(0))
+    return x.T, ~((~used & (t[:, m] != 0)).any(0))

@@ -26,6 +26,7 @@ ROWS_PER_BUCKET = 32
 FIRST_DEGREE = 8
 SPARE_POINTS = 2
 BROADCAST_KEYS = 500_000  # 8 bytes each
+STEPS_PER_TASK = 5_000_000  # of elimination
 HASH_BITS = 60  # hashes are below 2**60, sample points above: no sample is ever a root
 
 
@@ -125,7 +126,6 @@ def interpolate(na: np.ndarray, nb: np.ndarray, va: np.ndarray, vb: np.ndarray,
     z = _points(degree + SPARE_POINTS)
     n = len(na)
     num, den, ok = np.zeros((n, degree + 1), np.uint64), np.zeros((n, degree + 1), np.uint64), np.zeros(n, bool)
-    r = gf.mul(va, gf.inverse(vb))
     powers = np.ones((degree + 1, len(z)), np.uint64)
     for k in range(1, degree + 1):
         powers[k] = gf.mul(powers[k - 1], z)
@@ -136,23 +136,24 @@ def interpolate(na: np.ndarray, nb: np.ndarray, va: np.ndarray, vb: np.ndarray,
         i = np.flatnonzero(delta == d)
         total = degree - ((degree + int(d)) & 1)
         da, db = (total + int(d)) // 2, (total - int(d)) // 2
-        rj = r[i][:, :total]
+        # num(z) * vb = den(z) * va at every point: nothing need be divided
+        aj, bj = va[i][:, :total], vb[i][:, :total]
         a = np.empty((len(i), total, total), np.uint64)
-        a[:, :, :da] = powers[:da, :total].T
-        a[:, :, da:] = gf.sub(np.zeros(1, np.uint64), gf.mul(rj[:, :, None], powers[:db, :total].T[None]))
-        rhs = gf.sub(gf.mul(rj, powers[db, :total][None]), np.broadcast_to(powers[da, :total], rj.shape))
+        a[:, :, :da] = gf.mul(bj[:, :, None], powers[:da, :total].T[None])
+        a[:, :, da:] = gf.sub(np.zeros(1, np.uint64), gf.mul(aj[:, :, None], powers[:db, :total].T[None]))
+        rhs = gf.sub(gf.mul(aj, powers[db, :total][None]), gf.mul(bj, powers[da, :total][None]))
         x, fits = gf.solve(a, rhs) if total else (np.zeros((len(i), 0), np.uint64), np.ones(len(i), bool))
         num[i, :da], den[i, :db] = x[:, :da], x[:, da:]
         num[i, da] = den[i, db] = 1
         for j in range(total, len(z)):
             at = np.broadcast_to(z[j], (len(i),))
-            fits = fits & (gf.horner(num[i], at) == gf.mul(r[i, j], gf.horner(den[i], at)))
+            fits = fits & (gf.mul(gf.horner(num[i], at), vb[i, j]) == gf.mul(va[i, j], gf.horner(den[i], at)))
         ok[i] = fits
     return num, den, ok
 
 
-def solve_buckets(a: DataFrame, b: DataFrame, degree: int) -> DataFrame:
-    """(bucket, ok, num, den) of the buckets in which the two sketches differ."""
+def solve_buckets(a: DataFrame, b: DataFrame, degree: int, buckets: int) -> DataFrame:
+    """(bucket, ok, num, den) of the buckets in which the two sketches differ, of at most ``buckets``."""
     width = degree + SPARE_POINTS
     one = F.array_repeat(F.lit(1).cast("long"), width)
     left = a.select("bucket", F.col("n").alias("na"), F.col("v").alias("va"))
@@ -160,8 +161,9 @@ def solve_buckets(a: DataFrame, b: DataFrame, degree: int) -> DataFrame:
     both = left.join(right, "bucket", "full").select(
         "bucket", F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nb", F.lit(0)).alias("nb"), F.coalesce("va", one).alias("va"), F.coalesce("vb", one).alias("vb")
     )
-    # few bytes and much arithmetic: an explicit number of partitions, which is not merged by size
-    open_ = both.where("na != nb or va != vb").repartition(parallelism(a.sparkSession))
+    # few bytes and much arithmetic: as many tasks as have a second's work, which are not merged by size
+    tasks = min(parallelism(a.sparkSession), buckets * degree**3 // STEPS_PER_TASK + 1)
+    open_ = both.where("na != nb or va != vb").repartition(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, (1 << 21) // (degree * degree))
@@ -206,12 +208,14 @@ def differing(a: DataFrame, b: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET
     open_, degree = None, first_degree
     found: list[tuple[DataFrame, DataFrame]] = []
     while True:
-        part = sides if open_ is None else [s.join(open_, "bucket", "left_semi") for s in sides]
-        solved = materialize(solve_buckets(*[sketch(x.select("bucket", "h"), degree) for x in part], degree), "polynomials")
+        # written first: on top of a join the planner may leave out the sketch's partitioning and then read a bucket in several tasks
+        part = sides if open_ is None else [materialize(s.join(open_, "bucket", "left_semi"), "open") for s in sides]
+        solved = materialize(solve_buckets(*[sketch(x.select("bucket", "h"), degree) for x in part], degree, buckets), "polynomials")
         good = solved.where("ok")
         found.append((roots(part[0], good, "num"), roots(part[1], good, "den")))
         open_ = solved.where("not ok").select("bucket")
-        if open_.isEmpty():
+        buckets = open_.count()
+        if not buckets:
             break
         degree *= 2
     out = found[0]

@@ -8,12 +8,21 @@ regions that reach the bound, and verify them by alignment within the band.
 
 Both sides are reduced to letters and digits written together, with word starts
 kept beside, so one index serves scripts with and without blanks.
+
+Items of up to a stated number of characters are sent to all workers as one
+index, which each builds once; the documents are read once and not shuffled.
+Beyond it the q-grams of both sides meet by a join, behind a filter of fixed size
+that keeps the grams no item has from being shuffled; hits are counted by
+document, item and band, and only the regions that reach the bound bring the
+texts of both sides together again.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,9 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depweave.session import materialize
+
 Q = 16
 BLOCK_CHARS = 8_000_000
 LETTERS_AT_ONCE = 1 << 20
+FILTER_BITS = 27  # the filter of item grams has 2**27 bits, 16 MB, whatever the number of items
 _MULT = 0x9E3779B97F4A7C15
 _FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf") + "]+")
 _WORDS = re.compile(r"[^\W_]+")
@@ -90,16 +102,20 @@ class Index:
     seen: np.ndarray
 
 
+def measure(t: str | None, by_letters: bool, min_words: int, min_letters: int) -> tuple[list[str], np.ndarray, int]:
+    """Words of an item, where they start, and the letters of its shortest passage (0: too short for one)."""
+    ws = words(t or "")
+    s = starts(ws)
+    if by_letters:
+        return ws, s, min_letters if s[-1] >= min_letters else 0
+    return ws, s, int((s[min_words:] - s[:-min_words]).min()) if len(ws) >= min_words else 0
+
+
 def build_index(items: Sequence[tuple[object, str | None, bool]], min_words: int, min_letters: int, edits: int = 0, q: int = Q) -> Index | None:
     """Index of (id, text, counted by letters). Items too short for a passage are left out; None if none is left."""
     ids, text, at, run, least = [], [], [], [], []
     for i, t, by_letters in items:
-        ws = words(t or "")
-        s = starts(ws)
-        if by_letters:
-            short = min_letters if s[-1] >= min_letters else 0
-        else:
-            short = int((s[min_words:] - s[:-min_words]).min()) if len(ws) >= min_words else 0
+        ws, s, short = measure(t, by_letters, min_words, min_letters)
         if short:
             ids.append(i)
             text.append(letters(ws))
@@ -171,17 +187,57 @@ def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 
 def _near(x: Index, k: int, doc: np.ndarray, diag: int) -> bool:
-    """Whether a passage of item k lies within the band of ``edits`` around the diagonal."""
-    item, s, e = x.text[k], x.at[k], x.edits
-    windows = [(s[i], s[i + x.run[k]]) for i in range(len(s) - x.run[k])] if x.run[k] else [(a, a + x.least[k]) for a in range(len(item) - x.least[k] + 1)]
-    for a, b in windows:
-        lo, hi = a + diag - 2 * e, b + diag + 2 * e
-        part = doc[max(0, lo) : max(0, min(len(doc), hi))]
-        if len(part) >= b - a - e:
-            pad = np.concatenate([np.full(max(0, -lo), 1 << 32, np.uint64), part])
-            if banded_distance(item[a:b], pad, 2 * e) <= e:
-                return True
-    return False
+    """Whether a passage of item k lies within the band of ``edits`` around the diagonal.
+
+    A region's count is of the whole item; here the bound is asked of each
+    passage, by the q-grams of its own that lie in the band. Those that reach it
+    are aligned at once: cell t of a row stands for the document's letter t
+    places behind the passage's own, and each row is one step for all.
+    """
+    item, s, e, q = x.text[k], x.at[k], x.edits, x.q
+    hit = np.zeros(len(item) + 1, np.int64)
+    for d in range(diag, diag + 2 * e + 1):
+        lo, hi = max(0, -d), min(len(item), len(doc) - d)
+        if hi - lo >= q:
+            same = np.concatenate([[0], np.cumsum(item[lo:hi] == doc[lo + d : hi + d])])
+            hit[lo + 1 : hi - q + 2] |= same[q:] - same[:-q] == q
+    held = np.cumsum(hit)
+    if x.run[k]:
+        a, b = s[: len(s) - x.run[k]], s[x.run[k] :]
+    else:
+        a = np.arange(len(item) - x.least[k] + 1)
+        b = a + x.least[k]
+    enough = held[np.maximum(b - q + 1, a)] - held[a] >= np.maximum(1, b - a - q + 1 - e * q)
+    a, b = a[enough], b[enough]
+    if not len(a):
+        return False
+    lo, hi = a + diag - 2 * e, b + diag + 2 * e
+    there = np.clip(hi, 0, len(doc)) - np.clip(lo, 0, len(doc)) >= b - a - e
+    a, b, lo = a[there], b[there], lo[there]
+    if not len(a):
+        return False
+    cells = 4 * e + 2  # one more before the first letter a passage may start at
+    t = np.arange(cells) - 1
+    far = e + 1
+    cost = np.where(t >= 0, 0, far)[None].repeat(len(a), 0)
+    length, best = b - a, np.full(len(a), far)
+    for i in range(1, int(length.max()) + 1):
+        live = np.flatnonzero(length >= i)
+        at = lo[live, None] + i - 1 + t[None]
+        ch = doc[np.clip(at, 0, len(doc) - 1)]
+        other = (at < 0) | (ch != item[a[live] + i - 1][:, None])
+        row = cost[live]
+        new = np.minimum(row + other, np.append(row[:, 1:] + 1, np.full((len(live), 1), far), 1))
+        for c in range(1, cells):
+            new[:, c] = np.minimum(new[:, c], new[:, c - 1] + 1)
+        new[at >= len(doc)] = far
+        new = np.minimum(new, far)
+        cost[live] = new
+        done = live[length[live] == i]
+        best[done] = cost[done].min(1)
+        if (cost[live].min(1) > e).all():
+            break
+    return bool((best <= e).any())
 
 
 def find(x: Index, texts: Sequence[str | None]) -> list[tuple[int, int]]:
@@ -260,33 +316,46 @@ def leaks(
     consecutive letters and digits where the item's column ``by_letters`` is
     true. With ``edits`` above 0 a passage may differ in so many letters.
     Null and empty texts match nothing; equal documents and equal items each
-    give their rows; items shorter than a passage match nothing.
+    give their rows; items shorter than a passage match nothing. Ids should be
+    unique: rows of one id are told as one.
 
-    The item index is sent to all executors in blocks of at most
-    ``block_chars`` characters; more items mean more passes over the
-    documents, never a larger broadcast. Documents are not shuffled.
+    Items of at most ``block_chars`` characters are sent to all executors;
+    more of them meet the documents by a join on q-grams.
     """
     some = items.select(F.col(item).alias("item_"), F.col(item_text).alias("t_"), F.coalesce(F.col(by_letters), F.lit(False)).alias("b_")).where("t_ is not null")
     total = some.agg(F.sum(F.length("t_"))).first()[0] or 0
-    blocks = -(-2 * total // block_chars) if total > block_chars else 1
     d = docs.select(F.col(doc).alias("d_"), F.col(text).alias("t_"))
     kinds = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    out = None
-    for b in range(blocks):
-        block = some.where(F.pmod(F.xxhash64("item_"), F.lit(blocks)) == b) if blocks > 1 else some
-        rows = [(r[0], r[1], r[2]) for r in block.collect()]
-        part = _scan(d, rows, kinds, min_words, min_letters, edits)
-        out = part if out is None else out.unionByName(part)
-    return out.select(F.col("d_").alias(doc), F.col("item_").alias(item)).distinct() if blocks > 1 else out.select(F.col("d_").alias(doc), F.col("item_").alias(item))
+    if total <= block_chars:
+        out = _scan(d, [(r[0], r[1], r[2]) for r in some.collect()], kinds, min_words, min_letters, edits)
+    else:
+        out = _join(d, some, kinds, min_words, min_letters, edits)
+    return out.select(F.col("d_").alias(doc), F.col("item_").alias(item))
+
+
+#: Indexes a worker has built, by the id of what was sent; a worker serves many tasks.
+_INDEXES: OrderedDict[tuple, Index | None] = OrderedDict()
 
 
 def _scan(d: DataFrame, rows: list[tuple], kinds: tuple[str, str], min_words: int, min_letters: int, edits: int) -> DataFrame:
     sent = d.sparkSession.sparkContext.broadcast(rows)
+    number = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = build_index(sent.value, min_words, min_letters, edits)
+        from depweave.llm import leakage
+
+        held = leakage._INDEXES  # of the worker's module, not of this function's copy
+        key = (number, min_words, min_letters, edits)
+        index = None
         for x in batches:
-            if index is None or not x.num_rows:
+            if not x.num_rows:
+                continue
+            if key not in held:
+                while len(held) > 1:
+                    held.popitem(last=False)
+                held[key] = build_index(sent.value, min_words, min_letters, edits)
+            index = held[key]
+            if index is None:
                 continue
             got = sorted(find(index, x.column(1).to_pylist()))
             ids = [index.ids[k] for _, k in got]
@@ -295,5 +364,94 @@ def _scan(d: DataFrame, rows: list[tuple], kinds: tuple[str, str], min_words: in
     return d.mapInArrow(run, f"d_ {kinds[0]}, item_ {kinds[1]}")
 
 
+def shortest_passages(items: DataFrame, kind: str, min_words: int, min_letters: int) -> DataFrame:
+    """(item_, t_, b_, least_): the items long enough for a passage, with the letters of their shortest one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            least = [measure(t, by, min_words, min_letters)[2] for t, by in zip(x.column(1).to_pylist(), x.column(2).to_pylist())]
+            told = x.append_column("least_", pa.array(least, pa.int32()))
+            yield told.filter(pa.array([v > 0 for v in least]))
+
+    return items.mapInArrow(run, f"item_ {kind}, t_ string, b_ boolean, least_ int")
+
+
+def _grams(df: DataFrame, id_: str, kind: str, q: int, keep: object = None) -> DataFrame:
+    """(id, h, pos): the q-grams of the texts; with ``keep``, a broadcast filter, only those that may be in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for k, t in enumerate(x.column(1).to_pylist()):
+                h = gram_hashes(letters(words(t)), q) if t else np.empty(0, np.uint64)
+                pos = np.arange(len(h), dtype=np.int32)
+                if keep is not None and len(h):
+                    pos = pos[_may_hold(keep.value, h)]
+                for at in range(0, len(pos), LETTERS_AT_ONCE):
+                    p = pos[at : at + LETTERS_AT_ONCE]
+                    yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(np.full(len(p), k, np.int32))), pa.array(h[p].view(np.int64)), pa.array(p)], names=["id_", "h", "pos"])
+
+    return df.select(F.col(id_).alias("id_"), "t_").mapInArrow(run, f"id_ {kind}, h long, pos int")
+
+
+def _may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    b = h >> np.uint64(64 - FILTER_BITS)
+    return (bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _filter_of(grams: DataFrame) -> np.ndarray:
+    """One bit for each leading part of the grams' hashes: at most 2**21 words of 64 bits, or'ed in the map tasks."""
+    top = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int))")
+    t = grams.select(F.shiftright(top, 6).cast("int").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[t.column("w").to_numpy()] = t.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def _join(d: DataFrame, items: DataFrame, kinds: tuple[str, str], min_words: int, min_letters: int, edits: int) -> DataFrame:
+    """The same leaks by a join on q-grams; one length of gram for all items."""
+    spark = d.sparkSession
+    fit = materialize(shortest_passages(items, kinds[1], min_words, min_letters), "items")
+    least = fit.agg(F.min("least_")).first()[0]
+    if least is None:
+        return spark.createDataFrame([], f"d_ {kinds[0]}, item_ {kinds[1]}")
+    q = max(1, min(Q, least // (edits + 1)))
+    mine = materialize(_grams(fit, "item_", kinds[1], q), "item-grams")
+    sent = spark.sparkContext.broadcast(_filter_of(mine))
+    theirs = _grams(d.where("t_ is not null"), "d_", kinds[0], q, sent)
+    hit = theirs.select(F.col("id_").alias("d_"), "h", F.col("pos").alias("p_")).join(mine.select(F.col("id_").alias("item_"), "h", "pos"), "h")
+    w = edits + 1
+    diag = F.col("p_") - F.col("pos")
+    band = F.floor(diag / w).cast("int")
+    # a hit counts in both bands that hold its diagonal
+    bands = F.array(band) if not edits else F.when(F.pmod(diag, F.lit(w)) < edits, F.array(band, band - 1)).otherwise(F.array(band))
+    counted = hit.select("d_", "item_", F.explode(bands).alias("band_")).groupBy("d_", "item_", "band_").agg(F.count(F.lit(1)).alias("n_"))
+    bound = F.greatest(F.lit(1), F.col("least_") - q + 1 - edits * q)
+    size = fit.select(F.col("item_").alias("ii_"), "least_")
+    regions = counted.join(size, counted["item_"].eqNullSafe(size["ii_"])).where(F.col("n_") >= bound).select("d_", "item_", "band_").distinct()
+    regions = materialize(regions, "regions")
+    left, right = d.select(F.col("d_").alias("dd_"), F.col("t_").alias("dt_")), fit.select(F.col("item_").alias("ii_"), F.col("t_").alias("it_"), "b_")
+    both = regions.join(left, regions["d_"].eqNullSafe(left["dd_"])).join(right, regions["item_"].eqNullSafe(right["ii_"])).select("d_", "item_", "band_", "dt_", "it_", "b_")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None)  # neighbouring regions often share their document
+        none = np.empty(0, np.int64)
+        for x in batches:
+            good = []
+            for b, dt, it, by in zip(*(x.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                if last[0] != dt:
+                    ws = words(dt)
+                    begins = np.zeros(sum(map(len, ws)) + 1, bool)
+                    begins[starts(ws)] = True
+                    last = (dt, (letters(ws), begins))
+                a, begins = last[1]
+                own, at, short = measure(it, by, min_words, min_letters)
+                one = Index(q, edits, [0], [letters(own)], [at], np.array([0 if by else min_words]), np.array([short]), none, none, none, none, none)
+                good.append(_near(one, 0, a, b * w) if edits else _exact(one, 0, a, begins, b))
+            yield x.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(verify, f"d_ {kinds[0]}, item_ {kinds[1]}").distinct()
+
+
 def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

@@ -66,9 +66,18 @@ def p6_totals(spark: SparkSession, d: str) -> DataFrame:
     return texts.agg(F.count(F.lit(1)).alias("texts"), F.sum("bytes").alias("bytes"), F.count_if("split").alias("split"), F.count_if(~F.col("whole")).alias("broken")).withColumn("over_capacity", F.lit(over.first()[0]))
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
+def _leaks(spark: SparkSession, d: str, edits: int) -> DataFrame:
     items = table(spark, d, "eval_items").withColumn("by_letters", F.lower(F.split("lang", "[-_]")[0]).isin("zh", "ja"))
-    return leaks(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "text", "by_letters")
+    return leaks(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "text", "by_letters", edits=edits)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d, 0)
+
+
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a passage in which one letter differs, is put in or left out; all of ``p7_found`` are among them."""
+    return _leaks(spark, d, 1)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +97,7 @@ def p8_covered(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace(inside, _BLANK, ""))).alias("letters"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p6_found, p6_pack, p6_fill, p6_totals, p7_found, p8_found, p8_covered)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p6_found, p6_pack, p6_fill, p6_totals, p7_found, p7_near, p8_found, p8_covered)}
 
 _HELD = """SELECT rule, "from", "to", score FROM (SELECT *, row_number() OVER (PARTITION BY rule, "from", "to" ORDER BY reported_at DESC, finding_id DESC) AS k FROM agent_findings) WHERE k = 1 AND score IS NOT NULL"""
 _TOP = f"""SELECT rule, "from", "to", score, r AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY rule, "from" ORDER BY score DESC, "to") AS r FROM ({_HELD})) WHERE r <= 5"""

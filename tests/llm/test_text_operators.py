@@ -224,13 +224,34 @@ def test_leaks_brute_force(spark, rows):
     want = _brute(docs, [(i, t, bool(b)) for i, t, b in items], 5, 8)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item", F.lit(1))
     it = spark.createDataFrame(items, "item_id long, text string, by_letters boolean")
-    for block in (10**6, 100):
+    for block in (10**6, 100):  # all items sent, and the join on q-grams
         got = leaks(df, "doc_id", "text", it, "item_id", "text", "by_letters", 5, 8, block_chars=block)
         assert set(rows(got)) == want and got.count() == len(want)
     assert leaks(df.limit(0), "doc_id", "text", it, "item_id", "text", "by_letters").count() == 0
     assert leaks(df, "doc_id", "text", it.limit(0), "item_id", "text", "by_letters").count() == 0
 
 
+@pytest.mark.parametrize("edits", [1, 3])
+def test_both_ways_of_searching_agree(spark, rows, edits):
+    rng = random.Random(edits)
+    vocab = [rng.choice("bcdfg") * rng.randrange(1, 3) + rng.choice("aeiou") + rng.choice(["", "r", "nt"]) for _ in range(40)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, say(rng.randrange(3, 25)), i % 3 == 0) for i in range(20)] + [(None, say(20), False), (77, None, True)]
+    docs = []
+    for d in range(80):
+        t = list(rng.choice([x for x in items if x[1]])[1])
+        for _ in range(rng.randrange(0, 6)):
+            at = rng.randrange(len(t))
+            t[at : at + 1] = rng.choice([[], ["z"], [t[at], "q"]])
+        docs.append((d, say(4) + " " + "".join(t) + " " + say(3)))
+    docs += [(None, docs[0][1]), (90, None), (91, "")]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, by_letters boolean")
+    a, b = (rows(leaks(df, "doc_id", "text", it, "item_id", "text", "by_letters", 6, 20, edits, block)) for block in (10**6, 10))
+    assert a == b and any(r[0] is None for r in a) and any(r[1] is None for r in a)
+    exact = rows(leaks(df, "doc_id", "text", it, "item_id", "text", "by_letters", 6, 20))
+    assert set(exact) < set(a)
+
+
 def test_normalisation():
     assert words("ﬁne-Tu­ned Ｗord_s ½ İ") == ["fine", "tuned", "word", "s", "1", "2", "i"]
 
@@ -260,7 +281,7 @@ def _least_edits(a, text):
     return min(row)
 
 
-@pytest.mark.parametrize("edits", [1, 2])
+@pytest.mark.parametrize("edits", [1, 2, 3])
 def test_leaks_with_letters_put_in_or_left_out(edits):
     rng = random.Random(edits)
     item = "".join(rng.choice("abcdefghijklmnop") for _ in range(60))

@@ -13,7 +13,7 @@ from depweave.functions import regex
 from depweave.functions.order import collated, severity_rank
 from depweave.operators import metrics
 from depweave.operators.filters import unmatched_ignores
-from depweave.operators.graph import STEP, Graph, components, cycles, dependents, mark_circular, orphans, paths, reach
+from depweave.operators.graph import STEP, Graph, components, cycles, extremes, mark_circular, orphans, paths, reach
 from depweave.plans.compile import cross, edge_predicate, folder_predicate, needs, path_pair, verdicts, view_edges
 from depweave.plans.rules import Rule, RuleSet
 from depweave.session import materialize
@@ -78,15 +78,16 @@ def orphan_modules(g: Graph, r: Rule) -> DataFrame:
 def dependents_modules(g: Graph, r: Rule) -> DataFrame:
     """Modules whose number of dependents breaks a limit (V5, A11, trap 4): a limit of 0 is none; a least number needs dependents."""
     mod = r.module
-    by = dependents(g)
+    # counted, never gathered: the importers of a hot module are combined in the map tasks
+    by = g.pairs.groupBy(F.col("dst").alias("source")).agg(F.count_if(path_pair(F.col("src"), r.from_.path, r.from_.pathNot)).alias("n_"))
     m = g.modules.where(path_pair(F.col("source"), mod.path, mod.pathNot)).join(by, "source", "left")
-    n = F.size(F.filter(F.coalesce("dependents", F.array().cast("array<string>")), lambda d: path_pair(d, r.from_.path, r.from_.pathNot)))
-    cond = F.lit(True) if mod.numberOfDependentsMoreThan is not None else F.col("dependents").isNotNull()
+    n = F.coalesce("n_", F.lit(0))
+    cond = F.lit(True) if mod.numberOfDependentsMoreThan is not None else F.col("n_").isNotNull()
     if mod.numberOfDependentsLessThan:
         cond = cond & (n < mod.numberOfDependentsLessThan)
     if mod.numberOfDependentsMoreThan:
         cond = cond & (n > mod.numberOfDependentsMoreThan)
-    return m.where(cond)
+    return m.where(cond).drop("n_")
 
 
 def _seeds(g: Graph, r: Rule) -> DataFrame:
@@ -94,15 +95,24 @@ def _seeds(g: Graph, r: Rule) -> DataFrame:
     return g.modules.where(path_pair(F.col("source"), side.path, side.pathNot)).select(F.col("source").alias("seed"))
 
 
-def reached(g: Graph, r: Rule) -> DataFrame:
-    """(seed, source): modules that the rule's selecting modules reach in the graph the rule sees, seeds apart from themselves."""
+def _seen(g: Graph, r: Rule) -> tuple[DataFrame, DataFrame | None]:
+    """(src, dst) of the graph the rule sees, and the nodes its chains do not go through."""
     edges = view_edges(g.edges, r.graph)
     pairs = edges.select(F.col("source").alias("src"), F.col("resolved").alias("dst")).distinct()
-    seeds = _seeds(g, r)
-    blocked = None
     if r.graph and r.graph.chainsThrough:
-        blocked = g.modules.where(~regex.matches(F.col("source"), r.graph.chainsThrough)).select(F.col("source").alias("node"))
-    return reach(pairs, seeds.select("seed", F.col("seed").alias("node")), blocked=blocked).select("seed", F.col("node").alias("source")).where("seed != source")
+        return pairs, g.modules.where(~regex.matches(F.col("source"), r.graph.chainsThrough)).select(F.col("source").alias("node"))
+    return pairs, None
+
+
+def reached(g: Graph, r: Rule) -> DataFrame:
+    """(seed, source): modules that the rule's selecting modules reach in the graph the rule sees, seeds apart from themselves."""
+    pairs, blocked = _seen(g, r)
+    return reach(pairs, _seeds(g, r).select("seed", F.col("seed").alias("node")), blocked=blocked).select("seed", F.col("node").alias("source")).where("seed != source")
+
+
+def _reached_by_another(pairs: DataFrame, seeds: DataFrame, blocked: DataFrame | None) -> DataFrame:
+    """(source): what some seed (seed) other than itself reaches; one row per node is kept, not one per seed and node."""
+    return extremes(pairs, seeds, blocked).where("node != low or node != high").select(F.col("node").alias("source"))
 
 
 def reaches_violations(g: Graph, r: Rule) -> DataFrame:
@@ -112,9 +122,7 @@ def reaches_violations(g: Graph, r: Rule) -> DataFrame:
     hit = hit.where(path_pair(F.col("source"), r.to.path, r.to.pathNot, found)).select(F.col("seed").alias("from"), F.col("source").alias("to"))
     hit = materialize(hit, "reached")
     seen = g.with_(edges=view_edges(g.edges, r.graph))
-    blocked = None
-    if r.graph and r.graph.chainsThrough:
-        blocked = g.modules.where(~regex.matches(F.col("source"), r.graph.chainsThrough)).select(F.col("source").alias("node"))
+    blocked = _seen(g, r)[1]
     return violations_table(paths(seen, hit, blocked), type=F.lit("reachability"), from_=F.col("from"), to=F.col("to"), rule=F.lit(r.name), severity=F.lit(r.severity), via=F.col("via"))
 
 
@@ -123,7 +131,8 @@ def unreachable_modules(g: Graph, r: Rule) -> DataFrame:
     m = g.modules.where(path_pair(F.col("source"), r.to.path, r.to.pathNot))
     seeds = _seeds(g, r)
     # a selecting module is not tested against itself
-    others = reached(g, r).select("source").distinct()
+    pairs, blocked = _seen(g, r)
+    others = _reached_by_another(pairs, seeds, blocked)
     lone = m.join(others, "source", "left_anti")
     only_self = seeds.select(F.col("seed").alias("source"))
     one = seeds.limit(2).count() <= 1
@@ -139,8 +148,11 @@ def required_modules(g: Graph, r: Rule) -> DataFrame:
     direct = g.edges.where(path_pair(F.col("resolved"), r.to.path, None, found)).select("source").distinct()
     bad = bad.join(direct, "source", "left_anti")
     if r.to.reachable:
-        hit = reached(g, r).where(path_pair(F.col("source"), r.to.path, r.to.pathNot)).select(F.col("seed").alias("source")).distinct()
-        bad = bad.join(hit, "source", "left_anti")
+        # walked backwards from what is required
+        pairs, blocked = _seen(g, r)
+        back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        goals = pairs.where(path_pair(F.col("dst"), r.to.path, r.to.pathNot)).select(F.col("dst").alias("seed")).distinct()
+        bad = bad.join(_reached_by_another(back, goals, blocked), "source", "left_anti")
     return bad
 
 
@@ -163,12 +175,17 @@ def module_violations(g: Graph, rules: RuleSet) -> DataFrame:
     if allowed:
         fine = None
         for r in allowed:
-            m = orphan_modules(g, r).select("source") if r.from_.orphan is not None else dependents_modules(g, r).select("source") if r.module is not None else reached(g, r).where(path_pair(F.col("source"), r.to.path, r.to.pathNot)).select("source")
+            m = orphan_modules(g, r).select("source") if r.from_.orphan is not None else dependents_modules(g, r).select("source") if r.module is not None else _allowed_reached(g, r)
             fine = m if fine is None else fine.unionByName(m)
         out.append(_module_rows(g.modules.join(fine.distinct(), "source", "left_anti"), Rule(name="not-in-allowed", severity=rules.allowed_severity)))
     return _union(out)
 
 
+def _allowed_reached(g: Graph, r: Rule) -> DataFrame:
+    pairs, blocked = _seen(g, r)
+    return _reached_by_another(pairs, _seeds(g, r), blocked).where(path_pair(F.col("source"), r.to.path, r.to.pathNot))
+
+
 def aggregate_violations(edges: DataFrame, rules: RuleSet, scope: str) -> DataFrame:
     """Findings of folder or project rules over (name, to, from_instability, instability[, circular, cycle])."""
     mine = [(i, r, folder_predicate(r)) for i, r in enumerate(rules.forbidden) if r.family == scope]
@@ -233,7 +250,11 @@ def unique(v: DataFrame) -> DataFrame:
 
 def annotate(v: DataFrame, g: Graph, rules: RuleSet) -> DataFrame:
     """Stable id, fix and decision token of every finding."""
-    kind = g.edges.groupBy(F.col("source").alias("from"), F.col("resolved").alias("to")).agg(F.min_by("dependencyKind", "ord").alias("kind_"))
+    # findings are few beside edges: only edges of their ends are grouped
+    v = materialize(v, "findings")
+    ends = v.select("from", "to").distinct()
+    mine = g.edges.select(F.col("source").alias("from"), F.col("resolved").alias("to"), "ord", "dependencyKind").join(ends, ["from", "to"], "left_semi")
+    kind = mine.groupBy("from", "to").agg(F.min_by("dependencyKind", "ord").alias("kind_"))
     edge = F.col("type").isin("dependency", "cycle", "instability")
     out = v.join(kind, ["from", "to"], "left")
     out = out.withColumn("id", violation_id(F.col("rule"), F.col("from"), F.col("to"), F.when(edge, F.col("kind_")))).drop("kind_")

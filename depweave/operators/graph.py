@@ -2,7 +2,8 @@
 
 Iterative operators are loops of joins over (source, resolved) pairs. Each
 round's result is written to the shared folder, so lineage stays short and a
-lost executor costs one round at most.
+lost executor costs one round at most; the tables of the rounds go when the
+operator ends. Graphs of checked size are searched in one go, see ``local``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depweave.functions import regex
-from depweave.session import in_sized_partitions, materialize, materialize_counted
+from depweave.operators import local
+from depweave.session import in_sized_partitions, materialize, materialize_counted, scratch
 
 MODULE_COLUMNS = {
     "source": "string", "ord": "bigint", "valid": "boolean", "orphan": "boolean", "followable": "boolean", "matchesDoNotFollow": "boolean", "coreModule": "boolean", "couldNotResolve": "boolean",
@@ -98,37 +100,111 @@ def fan_in(g: Graph) -> DataFrame:
     return g.edges.groupBy("resolved").agg(F.count(F.lit(1)).alias("fan_in"))
 
 
-@in_sized_partitions
 def reach(pairs: DataFrame, seeds: DataFrame, depth: int = 0, blocked: DataFrame | None = None) -> DataFrame:
     """(seed, node, level) of everything that seeds reach over at least one edge (G7-G9, G18, A.3).
 
     ``pairs`` is (src, dst), ``seeds`` is (seed, node) to start from. ``level``
     is the least number of edges; depth 0 is unlimited. A seed is in its own
     set only if it lies on a cycle. Nodes of ``blocked`` (node) are reached
-    but not continued from; seeds always continue. Frontiers are expanded by
-    joins, one round per level.
+    but not continued from; seeds always continue. A graph that does not fit a
+    task is searched by joins, one round per level.
     """
     pairs = materialize(pairs.distinct(), "pairs")
-    frontier = seeds.select("seed", "node").distinct()
-    seen, parts = None, 0
-    level = 0
-    while True:
-        level += 1
-        new = frontier.join(pairs, frontier["node"] == pairs["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        if seen is not None:
-            new = new.join(seen, ["seed", "node"], "left_anti")
-        new, n = materialize_counted(new.withColumn("level", F.lit(level)), "reach")
-        if not n:
-            break
-        seen, parts = (new, 1) if seen is None else (seen.unionByName(new), parts + 1)
-        if depth and level == depth:
-            break
-        if parts > 4:  # keep a round's plan small
-            seen, parts = materialize(seen, "reach"), 1
-        frontier = new.select("seed", "node")
-        if blocked is not None:
-            frontier = frontier.join(blocked.select("node"), "node", "left_anti").select("seed", "node")
-    return new if seen is None else seen
+    return local.reach(pairs, seeds, depth, blocked) if local.fits(pairs) else _reach(pairs, seeds, depth, blocked)
+
+
+@in_sized_partitions
+def _reach(pairs: DataFrame, seeds: DataFrame, depth: int, blocked: DataFrame | None) -> DataFrame:
+    with scratch() as keep:
+        frontier = seeds.select("seed", "node").distinct()
+        seen, parts = None, 0
+        level = 0
+        while True:
+            level += 1
+            new = frontier.join(pairs, frontier["node"] == pairs["src"]).select("seed", F.col("dst").alias("node")).distinct()
+            if seen is not None:
+                new = new.join(seen, ["seed", "node"], "left_anti")
+            new, n = materialize_counted(new.withColumn("level", F.lit(level)), "reach")
+            if not n:
+                break
+            seen, parts = (new, 1) if seen is None else (seen.unionByName(new), parts + 1)
+            if depth and level == depth:
+                break
+            if parts > 4:  # keep a round's plan small
+                seen, parts = materialize(seen, "reach"), 1
+            frontier = new.select("seed", "node")
+            if blocked is not None:
+                frontier = frontier.join(blocked.select("node"), "node", "left_anti").select("seed", "node")
+        keep.append(new if seen is None else materialize(seen, "reach"))
+        return keep[0]
+
+
+def meets(pairs: DataFrame, wanted: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+    """The (seed, node) of ``wanted`` in which the seed reaches the node over at least one edge.
+
+    Beyond a task's size only nodes that lead to a wanted one are walked, and a
+    seed's search ends with its last wanted node.
+    """
+    pairs = materialize(pairs.distinct(), "pairs")
+    return local.meets(pairs, wanted, blocked) if local.fits(pairs) else _meets(pairs, wanted, blocked)
+
+
+@in_sized_partitions
+def _meets(pairs: DataFrame, wanted: DataFrame, blocked: DataFrame | None) -> DataFrame:
+    with scratch() as keep:
+        goals = materialize(wanted.select("seed", "node").distinct(), "goals")
+        useful = reach_set(pairs, goals.select("node").distinct(), reverse=True).select(F.col("node").alias("dst"))
+        pairs = materialize(pairs.join(useful, "dst", "left_semi").select("src", "dst"), "pairs")
+        frontier = goals.select("seed", F.col("seed").alias("node")).distinct()
+        seen = met = None
+        while True:
+            new = frontier.join(pairs, frontier["node"] == pairs["src"]).select("seed", F.col("dst").alias("node")).distinct()
+            if seen is not None:
+                new = new.join(seen, ["seed", "node"], "left_anti")
+            new, n = materialize_counted(new, "reach")
+            if not n:
+                break
+            hit = goals.join(new, ["seed", "node"], "left_semi")
+            met = materialize(hit if met is None else met.unionByName(hit), "met")
+            unmet = goals.join(met, ["seed", "node"], "left_anti").select("seed").distinct()
+            seen = materialize(new if seen is None else seen.unionByName(new), "seen")
+            frontier = new.join(unmet, "seed", "left_semi").select("seed", "node")
+            if blocked is not None:
+                frontier = frontier.join(blocked.select("node"), "node", "left_anti").select("seed", "node")
+        keep.append(materialize(goals.limit(0), "met") if met is None else met)
+        return keep[0]
+
+
+def extremes(pairs: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+    """(node, low, high): the least and the greatest seed that reach each node over at least one edge.
+
+    Tells for every node whether a seed, or a seed other than itself, reaches
+    it, with a state of one row per node whatever the number of seeds.
+    """
+    pairs = materialize(pairs.distinct(), "pairs")
+    return local.extremes(pairs, seeds, blocked) if local.fits(pairs) else _extremes(pairs, seeds, blocked)
+
+
+@in_sized_partitions
+def _extremes(pairs: DataFrame, seeds: DataFrame, blocked: DataFrame | None) -> DataFrame:
+    with scratch() as keep:
+        state = None
+        moved = seeds.select(F.col("seed").alias("node"), F.col("seed").alias("low"), F.col("seed").alias("high")).distinct()
+        while True:
+            cand = moved.join(pairs, moved["node"] == pairs["src"]).select(F.col("dst").alias("node"), "low", "high", F.lit(None).cast("string").alias("l0"), F.lit(None).cast("string").alias("h0"))
+            if state is not None:
+                cand = cand.unionByName(state.select("node", "low", "high", F.col("low").alias("l0"), F.col("high").alias("h0")))
+            best = cand.groupBy("node").agg(*[f(c).alias(c) for f, c in ((F.min, "low"), (F.max, "high"), (F.max, "l0"), (F.max, "h0"))])
+            new = ~(F.col("low").eqNullSafe(F.col("l0")) & F.col("high").eqNullSafe(F.col("h0")))
+            best, n = materialize_counted(best, "labels", new)
+            state = best.select("node", "low", "high")
+            if not n:
+                break
+            moved = best.where(new).select("node", "low", "high")
+            if blocked is not None:
+                moved = moved.join(blocked.select("node"), "node", "left_anti")
+        keep.append(materialize(state, "extremes"))
+        return keep[0]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -150,25 +226,16 @@ def reach_set(pairs: DataFrame, start: DataFrame, depth: int = 0, reverse: bool
     return found.groupBy("node").agg(F.min("level").alias("level"))
 
 
-@in_sized_partitions
 def can_reach(pairs: DataFrame, start: str, goal: str) -> bool:
     """Whether ``goal`` is reached from ``start``; stops at the round that finds it."""
-    spark = pairs.sparkSession
-    seen = frontier = spark.createDataFrame([(start,)], "node string")
-    pairs = materialize(pairs.distinct(), "pairs")
-    while True:
-        new = materialize(frontier.join(pairs, frontier["node"] == pairs["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"), "reach")
-        if not new.where(F.col("node") == goal).isEmpty():
-            return True
-        if new.isEmpty():
-            return False
-        seen, frontier = materialize(seen.unionByName(new), "seen"), new
+    wanted = pairs.sparkSession.createDataFrame([(start, goal)], "seed string, node string")
+    return not meets(pairs, wanted).isEmpty()
 
 
 def _trim(pairs: DataFrame) -> DataFrame:
-    """Drop edges from nodes nothing leads to and to nodes that lead nowhere, until none is left; they lie on no cycle."""
+    """Drop edges from nodes nothing leads to and to nodes that lead nowhere, until none is left or the rest fits a task; they lie on no cycle."""
     n = pairs.count()
-    while n:
+    while n > local.PAIRS:
         kept = pairs.join(pairs.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
         kept, m = materialize_counted(kept.join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "trim")
         if m == n:
@@ -188,43 +255,51 @@ def _spread(pairs: DataFrame, label: DataFrame, combine: Callable[[Column], Colu
             return label
 
 
-@in_sized_partitions
 def components(pairs: DataFrame) -> DataFrame:
     """(node, scc): strongly connected components of two and more nodes, or of one with an edge to itself.
 
-    Forward-backward colouring: the least name that reaches a node is its
-    colour, a colour's component is what leads back to that name within the
-    colour. Nodes on no cycle are trimmed first and have no row. ``scc`` is a
-    name of the component, the same for all its nodes.
+    A graph that fits a task is searched there. A larger one is trimmed of
+    nodes on no cycle, which have no row, until it does; what is still larger
+    goes through forward-backward colouring: the least name that reaches a node
+    is its colour, a colour's component is what leads back to that name within
+    the colour. ``scc`` is the least name of the component.
     """
-    spark = pairs.sparkSession
-    rest = materialize(pairs.select("src", "dst").distinct(), "pairs")
-    loops = rest.where("src = dst").select(F.col("src").alias("node"))
-    rest = rest.where("src != dst")
-    found: list[DataFrame] = []
-    while True:
-        rest = _trim(materialize(rest, "rest"))
-        if rest.isEmpty():
-            break
-        nodes = rest.select(F.col("src").alias("node")).distinct()
-        colour = _spread(rest, nodes.withColumn("label", F.col("node")))
-        inside = rest.join(colour.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
-        back = materialize(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("a").alias("colour")), "back")
-        # what reaches its colour's name against the edges
-        got = colour.where("node = label").select("node", F.col("label").alias("scc"))
-        frontier = got = materialize(got, "scc")
+    pairs = materialize(pairs.select("src", "dst").distinct(), "pairs")
+    return materialize(local.components(pairs), "components") if local.fits(pairs) else _components(pairs)
+
+
+@in_sized_partitions
+def _components(rest: DataFrame) -> DataFrame:
+    with scratch() as keep:
+        spark = rest.sparkSession
+        loops = rest.where("src = dst").select(F.col("src").alias("node"))
+        rest = rest.where("src != dst")
+        found: list[DataFrame] = []
         while True:
-            new = frontier.join(back, (frontier["node"] == back["src"]) & (frontier["scc"] == back["colour"])).select(F.col("dst").alias("node"), "scc").distinct()
-            new, n = materialize_counted(new.join(got, "node", "left_anti"), "scc")
-            if not n:
+            rest = _trim(materialize(rest, "rest"))
+            if local.fits(rest):
+                found.append(local.components(rest))
                 break
-            got, frontier = materialize(got.unionByName(new), "scc"), new
-        found.append(got)
-        rest = rest.join(got.select(F.col("node").alias("src")), "src", "left_anti").join(got.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
-    all_ = _union(found) if found else spark.createDataFrame([], "node string, scc string")
-    sizes = all_.groupBy("scc").agg(F.count(F.lit(1)).alias("n"))
-    real = all_.join(sizes.where("n > 1"), "scc").select("node", "scc")
-    return materialize(real.unionByName(loops.join(real, "node", "left_anti").select("node", F.col("node").alias("scc"))), "components")
+            nodes = rest.select(F.col("src").alias("node")).distinct()
+            colour = _spread(rest, nodes.withColumn("label", F.col("node")))
+            inside = rest.join(colour.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
+            back = materialize(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("a").alias("colour")), "back")
+            # what reaches its colour's name against the edges
+            got = colour.where("node = label").select("node", F.col("label").alias("scc"))
+            frontier = got = materialize(got, "scc")
+            while True:
+                new = frontier.join(back, (frontier["node"] == back["src"]) & (frontier["scc"] == back["colour"])).select(F.col("dst").alias("node"), "scc").distinct()
+                new, n = materialize_counted(new.join(got, "node", "left_anti"), "scc")
+                if not n:
+                    break
+                got, frontier = materialize(got.unionByName(new), "scc"), new
+            found.append(got)
+            rest = rest.join(got.select(F.col("node").alias("src")), "src", "left_anti").join(got.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+        all_ = _union(found) if found else spark.createDataFrame([], "node string, scc string")
+        sizes = all_.groupBy("scc").agg(F.count(F.lit(1)).alias("n"))
+        real = all_.join(sizes.where("n > 1"), "scc").select("node", "scc")
+        keep.append(materialize(real.unionByName(loops.join(real, "node", "left_anti").select("node", F.col("node").alias("scc"))), "components"))
+        return keep[0]
 
 
 #: Edges of a component whose cycles one task searches; more are shared among tasks that each hold the component's edges.
@@ -385,14 +460,28 @@ def first_path(adjacency: dict[str, list[tuple[str, list[str]]]], start: str, go
     return []
 
 
-@in_sized_partitions
 def paths(g: Graph, ends: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
-    """(from, to, via): a shortest path for each pair that has one (G10), by distributed search from all starts at once.
+    """(from, to, via): a shortest path for each pair that has one (G10), from all starts at once.
 
     Of several shortest paths the one least in byte order of its names is
     given. ``blocked`` (node) is not continued from.
     """
     e = materialize(g.edges.groupBy("source", "resolved").agg(F.min_by("dependencyTypes", "ord").alias("ty")), "edges")
+    pairs = e.select(F.col("source").alias("src"), F.col("resolved").alias("dst"))
+    return _with_types(local.paths(pairs, ends, blocked), e) if local.fits(pairs) else _paths(e, ends, blocked)
+
+
+def _with_types(ways: DataFrame, e: DataFrame) -> DataFrame:
+    """Ways of names as ways of steps: each with the types of the first edge that leads to it."""
+    none = F.array().cast("array<string>")
+    steps = ways.select("from", "to", F.posexplode("way").alias("p", "name"), F.concat(F.array("from"), "way").alias("w")).select("from", "to", "p", "name", F.get("w", F.col("p")).alias("source"))
+    steps = steps.join(e.select("source", F.col("resolved").alias("name"), "ty"), ["source", "name"])
+    step = F.struct("p", F.struct("name", F.coalesce("ty", none).alias("dependencyTypes")).alias("s"))
+    return steps.groupBy("from", "to").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["s"]).alias("via"))
+
+
+@in_sized_partitions
+def _paths(e: DataFrame, ends: DataFrame, blocked: DataFrame | None) -> DataFrame:
     step = lambda n, t: F.array(F.struct(F.col(n).alias("name"), F.coalesce(F.col(t), F.array().cast("array<string>")).alias("dependencyTypes")))
     goals = materialize(ends.select("from", "to").distinct(), "goals")
     starts = goals.select(F.col("from").alias("seed")).distinct()
@@ -406,7 +495,7 @@ def paths(g: Graph, ends: DataFrame, blocked: DataFrame | None = None) -> DataFr
         seen = way.select("seed", "at") if seen is None else materialize(seen.unionByName(way.select("seed", "at")), "seen")
         front = way if blocked is None else way.join(blocked.select(F.col("node").alias("at")), "at", "left_anti")
         way = front.join(e, front["at"] == e["source"]).select("seed", F.col("resolved").alias("to_"), F.concat("via", step("resolved", "ty")).alias("via")).withColumnRenamed("to_", "at").join(seen, ["seed", "at"], "left_anti")
-    return _union(done) if done else g.edges.sparkSession.createDataFrame([], f"`from` string, `to` string, via array<{STEP}>")
+    return _union(done) if done else e.sparkSession.createDataFrame([], f"`from` string, `to` string, via array<{STEP}>")
 
 
 def select_nodes(g: Graph, path: str | None, path_not: str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from depweave.functions.order import precedence, sort_versions
 from depweave.functions.paths import dirname, parents
 from depweave.operators import metrics
 from depweave.operators.evaluate import Result, evaluate, rule_counts, severity_counts
-from depweave.operators.graph import EDGE_COLUMNS, MODULE_COLUMNS, Graph, complete, reach, reach_set
+from depweave.operators.graph import EDGE_COLUMNS, MODULE_COLUMNS, Graph, complete, meets, reach, reach_set
 from depweave.operators.known import ratchet_counts, ratchet_predicate
 from depweave.plans.compile import edge_predicate, needs, path_pair, verdicts
 from depweave.plans.rules import From, Ratchet, Rule, RuleSet, To
@@ -46,11 +46,11 @@ def can_import(g: Graph, rules: RuleSet, candidates: DataFrame) -> DataFrame:
     """(from, to, allowed, circular, rules) for many hypothetical edges at once.
 
     An edge would be circular if its target reaches its source already. All
-    targets are walked together.
+    targets are walked together, each until it has met its sources.
     """
     c = materialize(candidates.select("from", "to").distinct(), "candidates")
-    back = reach(g.pairs, c.select(F.col("to").alias("seed"), F.col("to").alias("node")).distinct())
-    loop = c.join(back.select(F.col("seed").alias("to"), F.col("node").alias("from")), ["to", "from"], "left_semi").unionByName(c.where("`from` = `to`"), allowMissingColumns=True).select("from", "to").distinct().withColumn("circular", F.lit(True))
+    back = meets(g.pairs, c.select(F.col("to").alias("seed"), F.col("from").alias("node")))
+    loop = back.select(F.col("seed").alias("to"), F.col("node").alias("from")).unionByName(c.where("`from` = `to`"), allowMissingColumns=True).select("from", "to").distinct().withColumn("circular", F.lit(True))
     e = candidate_edges(c, g).drop("circular").join(loop.select(F.col("from").alias("source"), F.col("to").alias("resolved"), "circular"), ["source", "resolved"], "left").withColumn("circular", F.coalesce("circular", F.lit(False)))
     from depweave.operators.evaluate import dependency_violations
 

@@ -125,7 +125,7 @@ def _below_sql(name: str, above: str, label: str, ords: str) -> str:
 
 
 _DOCUMENTS = f"""WITH {_TREE},
- own AS (SELECT record_id, arg_min({{'id': id, 'type': type, 'atom': atom}}, {{'d': len(string_split(fullkey, '.')), 'i': id}}) AS x FROM t WHERE key = 'modules' AND regexp_matches(fullkey, '^\$(\.[^.\[\]]+)+$') GROUP BY record_id),
+ own AS (SELECT record_id, arg_min({{'id': id, 'type': type, 'atom': atom}}, {{'d': len(string_split(fullkey, '.')), 'i': id}}) AS x FROM t WHERE key = 'modules' AND regexp_matches(fullkey, '^\\$(\\.[^.\\[\\]]+)+$') GROUP BY record_id),
  ml AS (SELECT record_id, x.id AS id, x.type AS type, x.atom AS atom FROM own UNION ALL SELECT record_id, id, type, atom FROM t WHERE parent IS NULL AND (type = 'ARRAY' OR type = 'OBJECT' AND NOT EXISTS (SELECT 1 FROM own WHERE own.record_id = t.record_id) AND EXISTS (SELECT 1 FROM t c WHERE c.record_id = t.record_id AND c.parent = t.id AND c.key IN ('source', 'dependencies')))),
  {_entries_sql("mods", "ml", "source", "")}, {_below_sql("dl", "mods", "dependencies", "a.o AS mo, a.name AS source")}, {_entries_sql("deps", "dl", "resolved", "l.mo, l.source,")}"""
 _NAMED = f"""{_DOCUMENTS},

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from depweave.operators.filters import collapse_pattern, consolidate, do_not_follow, exclude, focus, highlight, include_only, max_depth, reaches
-from depweave.operators.graph import Graph, can_reach, components, cycles, dependents, first_cycle, first_path, mark_circular, orphans, paths, reach, same_component
+from depweave.operators import local
+from depweave.operators.graph import Graph, can_reach, components, cycles, dependents, extremes, first_cycle, first_path, mark_circular, meets, orphans, paths, reach, same_component
 from depweave.operators.metrics import couplings, folder_edges, folder_table, project_table, sinks, totals, with_metrics
 
 
@@ -116,6 +117,41 @@ def test_components_and_reach_against_brute_force(spark):
     assert {r["to"]: len(r["via"]) for r in paths(g, ends).collect()} == close.get("n1", {})
 
 
+@pytest.mark.parametrize("seed", [3])
+def test_both_ways_of_searching_agree(spark, rows, monkeypatch, seed):
+    rng = random.Random(seed)
+    edges = sorted({(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(50)})
+    g, close = graph(spark, edges), _closure(edges)
+    seeds = spark.createDataFrame([(f"n{i}",) for i in range(0, 30, 4)] + [("zz",)], "seed string")
+    starts = seeds.select("seed", F.col("seed").alias("node"))
+    stop = spark.createDataFrame([("n0",), ("n5",), ("n9",), ("zz",)], "node string")
+    ends = seeds.select(F.col("seed").alias("from")).crossJoin(spark.createDataFrame([(f"n{i}",) for i in range(30)], "`to` string"))
+    wanted = ends.select(F.col("from").alias("seed"), F.col("to").alias("node"))
+    told = []
+    for pairs in (local.PAIRS, 0):
+        monkeypatch.setattr(local, "PAIRS", pairs)
+        told.append([
+            rows(reach(g.pairs, starts), "seed", "node", "level"), rows(reach(g.pairs, starts, 2, stop), "seed", "node", "level"), rows(reach(g.pairs, starts, blocked=stop), "seed", "node", "level"),
+            rows(meets(g.pairs, wanted), "seed", "node"), rows(meets(g.pairs, wanted, stop), "seed", "node"),
+            rows(extremes(g.pairs, seeds), "node", "low", "high"), rows(extremes(g.pairs, seeds, stop), "node", "low", "high"),
+            rows(paths(g, ends), "from", "to", "via"), rows(paths(g, ends, stop), "from", "to", "via"), rows(components(g.pairs), "node", "scc"),
+        ])
+    assert told[0] == told[1]
+    assert told[0][3] == sorted((s, n) for s in close if int(s[1:]) % 4 == 0 for n in close[s])
+    by = {n: sorted(s for s in close if int(s[1:]) % 4 == 0 and n in close[s]) for n in {b for _, b in edges}}
+    assert told[0][5] == sorted((n, v[0], v[-1]) for n, v in by.items() if v)
+
+
+def test_rounds_leave_no_tables(spark, monkeypatch):
+    from depweave import session
+
+    monkeypatch.setattr(local, "PAIRS", 0)
+    g = graph(spark, [(f"n{i}", f"n{i + 1}") for i in range(6)] + [("n6", "n0")])
+    before = len(session._written)
+    components(g.pairs)
+    assert len(session._written) - before == 2  # the pairs and the result
+
+
 def test_reach_is_blocked_but_reached(spark, rows):
     g = graph(spark, [("a", "b"), ("b", "c"), ("a", "a")])
     got = reach(g.pairs, spark.createDataFrame([("a", "a")], "seed string, node string"), blocked=spark.createDataFrame([("b",), ("a",)], "node string"))

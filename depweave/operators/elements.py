@@ -224,8 +224,10 @@ class Conditions:
             own = code.types.select("fullName", F.explode(F.array_compact(F.concat(F.array("fullName", "baseType"), F.coalesce("baseTypes", F.array().cast("array<string>")), F.coalesce("interfaces", F.array().cast("array<string>"))))).alias("up"))
             return self._set(own.join(self.keys(value), F.col("up") == F.col("key")).select(F.col("fullName").alias("key"))), None
         if c == "implementInterface":
-            listed = names if not isinstance(value, Mapping) else [r[0] for r in self.keys(value).collect()]
-            return F.coalesce(F.exists("interfaces", lambda x: x.isin(listed)), F.lit(False)), None
+            if not isinstance(value, Mapping):
+                return F.coalesce(F.exists("interfaces", lambda x: x.isin(names)), F.lit(False)), None
+            listed = code.types.select("fullName", F.explode("interfaces").alias("i")).join(self.keys(value), F.col("i") == F.col("key"))
+            return self._set(listed.select(F.col("fullName").alias("key"))), None
         if c == "implementAnyInterfaces":
             keys = self.keys(value)
             some = not keys.isEmpty()

@@ -70,6 +70,23 @@ def slice_edges(g: Graph, s: SlicePattern) -> DataFrame:
     return e.groupBy("from", "to").agg(F.array_sort(F.collect_set("m")).alias("members"))
 
 
+def type_slice_edges(types: DataFrame, dependencies: DataFrame, s: SlicePattern) -> DataFrame:
+    """The same for types, which are sliced by their namespace."""
+    own = types.where(~F.coalesce("referenced", F.lit(False))).select("fullName", F.explode("namespaces").alias("ns"))
+    name = own.select("fullName", slice_name(F.col("ns"), s).alias("slice")).where("slice is not null")
+    e = dependencies.select("source", "target").join(name.select(F.col("fullName").alias("source"), F.col("slice").alias("from")), "source").join(name.select(F.col("fullName").alias("target"), F.col("slice").alias("to")), "target")
+    return e.where("`from` != `to`").groupBy("from", "to").agg(F.array_sort(F.collect_set(F.concat_ws(" -> ", "source", "target"))).alias("members"))
+
+
+# What a slice is made of in each language.
+UNITS = {"dotnet": "type", "typescript": "module", "javascript": "module", "python": "module"}
+
+
+def diagram_name(c: Column, s: SlicePattern) -> Column:
+    """The slice as diagrams name it: with the prefix it lies below (L10); null for none."""
+    return F.concat(F.lit(s.prefix.strip(s.sep) + s.sep if s.prefix.strip(s.sep) else ""), slice_name(c, s))
+
+
 def not_depend_on_each_other(edges: DataFrame) -> DataFrame:
     """One finding per slice with edges to others."""
     return edges.groupBy(F.col("from").alias("slice")).agg(F.array_sort(F.collect_set("to")).alias("targets"), F.sum(F.size("members")).alias("edges"))

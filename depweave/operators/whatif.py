@@ -12,7 +12,7 @@ from depweave.functions import regex
 from depweave.functions.order import precedence, sort_versions
 from depweave.functions.paths import dirname, parents
 from depweave.operators import metrics
-from depweave.operators.evaluate import Result, evaluate, rule_counts, severity_counts
+from depweave.operators.evaluate import Result, evaluate, expired, rule_counts, severity_counts, vacuous
 from depweave.operators.graph import EDGE_COLUMNS, MODULE_COLUMNS, Graph, complete, meets, reach, reach_set
 from depweave.operators.known import ratchet_counts, ratchet_predicate
 from depweave.plans.compile import edge_predicate, needs, path_pair, verdicts
@@ -447,8 +447,12 @@ def touching(v: DataFrame, closure: DataFrame) -> DataFrame:
 
 
 def brief(r: Result, today: date | None = None) -> DataFrame:
-    """One row per rule: open findings (Q26)."""
-    return r.violations.where("severity != 'ignore'").groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("open"))
+    """(section, name, state, n): open findings by rule, ratchets with headroom or excess, rules that match nothing, expired rules (Q26)."""
+    spark = r.violations.sparkSession
+    told = r.violations.where("severity != 'ignore'").groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n")).select(F.lit("open").alias("section"), F.col("rule").alias("name"), F.col("severity").alias("state"), "n")
+    ratchets = ratchet_counts(r.graph, r.rules.ratchets).select(F.lit("ratchet"), "name", "verdict", "by")
+    more = [("vacuous", n, None, None) for n in vacuous(r.graph, r.rules)] + [("expired", n, None, None) for n in (expired(r.rules, today) if today else ())]
+    return told.union(ratchets).union(spark.createDataFrame(more, "section string, name string, state string, n bigint"))
 
 
 def lint_graph(g: Graph, rules: RuleSet, violations: DataFrame) -> DataFrame:

@@ -136,36 +136,95 @@ def catalog(rules: Iterable[tuple[str, str]], v: DataFrame) -> DataFrame:
     return r.join(n, "rule", "left").select("rule", "severity", F.coalesce("findings", F.lit(0)).alias("findings"), F.col("findings").isNull().alias("passed"))
 
 
-def _catalog(r: Result) -> list:
-    return catalog([(x.name, x.severity) for x in r.rules.all()] or [("unnamed", "warn")], r.violations).orderBy("rule").collect()
+def percent(c: Column) -> Column:
+    """A share as a whole percentage."""
+    return F.concat(F.round(c * 100).cast("int").cast("string"), F.lit("%"))
 
 
-def shown(v) -> str:
+def shown() -> Column:
     """Ends of a finding as one text."""
-    if v["cycle"]:
-        return f"{v['from']} → " + " → ".join(s["name"] for s in v["cycle"])
-    if v["via"]:
-        return f"{v['from']} → " + " → ".join(s["name"] for s in v["via"])
-    if v["type"] == "module" or v["from"] == v["to"]:
-        return v["from"]
-    more = f" (instability: {_percent(v['from_instability'])} → {_percent(v['to_instability'])})" if v["type"] == "instability" and v["from_instability"] is not None else ""
-    return f"{v['from']} → {v['to']}{more}"
+    way = lambda c: F.concat(F.col("from"), F.lit(" → "), F.array_join(F.transform(c, lambda s: s["name"]), " → "))
+    more = F.when((F.col("type") == "instability") & F.col("from_instability").isNotNull(), F.concat(F.lit(" (instability: "), percent(F.col("from_instability")), F.lit(" → "), F.coalesce(percent(F.col("to_instability")), F.lit("0%")), F.lit(")"))).otherwise("")
+    return (
+        F.when(F.size(F.coalesce("cycle", F.array())) > 0, way("cycle")).when(F.size(F.coalesce("via", F.array())) > 0, way("via"))
+        .when((F.col("type") == "module") | (F.col("from") == F.col("to")), F.col("from")).otherwise(F.concat(F.col("from"), F.lit(" → "), F.col("to"), more))
+    )
 
 
-def _percent(x: float) -> str:
-    return f"{round(100 * x)}%"
+def _xml(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _service(c: Column) -> Column:
+    """Text of a service message: ``|`` before quotes, bars and brackets."""
+    return F.regexp_replace(F.regexp_replace(c, r"([|'\[\]])", r"\|$1"), "\n", "|n")
+
+
+def _pick(values: Mapping[str, str], other: str) -> Column:
+    out = F.lit(other)
+    for k, v in values.items():
+        out = F.when(F.col("severity") == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def _finding_lines() -> dict[str, Column]:
+    """The line of one finding in each report that lists findings."""
+    sev, rule, frm, text = F.col("severity"), F.col("rule"), F.col("from"), shown()
+    # Levels of severities in each format.
+    level = {"error": "error", "warn": "warning", "info": "note", "ignore": "none"}
+    place = F.struct(F.struct(F.struct(frm.alias("uri")).alias("artifactLocation")).alias("physicalLocation"))
+    sarif = F.struct(rule.alias("ruleId"), _pick(level, "none").alias("level"), F.struct(text.alias("text")).alias("message"), F.struct(F.col("id").alias("id")).alias("partialFingerprints"), F.array(place).alias("locations"))
+    return {
+        "err": F.when(sev != "ignore", F.concat(F.lit("  "), sev, F.lit(" "), rule, F.lit(": "), text)),
+        "markdown": F.concat(F.lit("- "), sev, F.lit(" **"), rule, F.lit("**: "), text),
+        "err-html": F.concat(F.lit('<li class="'), sev, F.lit('">'), _xml(rule), F.lit(": "), _xml(text), F.lit("</li>")),
+        "sarif": F.to_json(sarif),
+        "teamcity": F.concat(F.lit("##teamcity[inspection typeId='"), _service(rule), F.lit("' message='"), _service(text), F.lit("' file='"), _service(frm), F.lit("' SEVERITY='"), _pick({"error": "ERROR", "warn": "WARNING"}, "INFO"), F.lit("']")),
+        "azure-devops": F.when(sev.isin("error", "warn"), F.concat(F.lit("##vso[task.logissue type="), _pick({"error": "error"}, "warning"), F.lit(";sourcepath="), frm, F.lit(";code="), rule, F.lit("]"), text)),
+        "github-annotations": F.concat(F.lit("::"), _pick({"error": "error", "warn": "warning"}, "notice"), F.lit(" file="), frm, F.lit(",title="), rule, F.lit("::"), text),
+    }
+
+
+def finding_lines(v: DataFrame, kind: str) -> DataFrame:
+    """(line) of every finding that a report lists, made where the findings are."""
+    return v.select(_finding_lines()[kind].alias("line")).where("line is not null")
+
+
+def _ordered(r: Result, kind: str) -> Iterator[str]:
+    return (x[0] for x in r.ordered().select(_finding_lines()[kind].alias("line")).where("line is not null").toLocalIterator())
+
+
+def case_lines(cases: DataFrame, kind: str) -> DataFrame:
+    """(line) of every rule in the reports that have a case per rule."""
+    n, rule = F.col("findings").cast("string"), F.col("rule")
+    line = {
+        "junit": F.concat(F.lit('<testcase name="'), _xml(rule), F.lit('">'), F.when(F.col("passed"), "").otherwise(F.concat(F.lit('<failure message="'), n, F.lit(' violations"/>'))), F.lit("</testcase>")),
+        "trx": F.concat(F.lit('<UnitTestResult testName="'), _xml(rule), F.lit('" outcome="'), F.when(F.col("passed"), "Passed").otherwise("Failed"), F.lit('"/>')),
+        "markdown": F.when(F.col("findings") > 0, F.concat(F.lit("| "), rule, F.lit(" | "), F.col("severity"), F.lit(" | "), n, F.lit(" |"))),
+        "err-html": F.concat(F.lit("<tr><td>"), _xml(rule), F.lit("</td><td>"), F.col("severity"), F.lit("</td><td>"), n, F.lit("</td></tr>")),
+    }[kind]
+    return cases.select("rule", line.alias("line")).where("line is not null")
+
+
+def _cases(r: Result) -> DataFrame:
+    return catalog([(x.name, x.severity) for x in r.rules.all()] or [("unnamed", "warn")], r.violations)
+
+
+def _case_lines(r: Result, kind: str) -> list[str]:
+    return [x["line"] for x in case_lines(_cases(r), kind).orderBy("rule").collect()]
 
 
 @reporter("err")
 def err(r: Result, long: bool = False) -> Iterator[str]:
     """One line per finding, then totals (K5)."""
     n = 0
-    for v in rows(r):
-        if v["severity"] != "ignore":
-            n += 1
-            yield f"  {v['severity']} {v['rule']}: {shown(v)}"
-            if long and v["comment"]:
-                yield f"    {v['comment']}"
+    for v in r.ordered().select(_finding_lines()["err"].alias("line"), "comment").where("line is not null").toLocalIterator():
+        n += 1
+        yield v["line"]
+        if long and v["comment"]:
+            yield f"    {v['comment']}"
     c, t = r.counts().first(), metrics.totals(r.graph).first()
     told = f"{t['totalCruised']} modules, {t['totalDependenciesCruised']} dependencies cruised"
     yield f"✘ {n} dependency violations ({c['error']} errors, {c['warn']} warnings). {told}." if n else f"✔ no dependency violations found ({told})"
@@ -197,7 +256,7 @@ def json_lines(r: Result) -> Iterator[str]:
 def metrics_lines(r: Result) -> Iterator[str]:
     yield f"{'type':8} {'name':60} {'N':>7} {'Ca':>7} {'Ce':>7} {'I':>5}"
     for x in metrics_table(r.graph).toLocalIterator():
-        yield f"{x['type']:8} {x['name']:60} {x['moduleCount']:>7,} {x['afferentCouplings']:>7,} {x['efferentCouplings']:>7,} {_percent(x['instability']):>5}"
+        yield f"{x['type']:8} {x['name']:60} {x['moduleCount']:>7,} {x['afferentCouplings']:>7,} {x['efferentCouplings']:>7,} {round(100 * x['instability'])}%"
 
 
 @reporter("agent")
@@ -225,23 +284,18 @@ def markdown(r: Result) -> Iterator[str]:
     yield ""
     yield "| rule | severity | violations |"
     yield "| --- | --- | --- |"
-    for x in _catalog(r):
-        if x["findings"]:
-            yield f"| {x['rule']} | {x['severity']} | {x['findings']} |"
+    yield from _case_lines(r, "markdown")
     yield ""
-    for v in rows(r):
-        yield f"- {v['severity']} **{v['rule']}**: {shown(v)}"
+    yield from _ordered(r, "markdown")
 
 
 @reporter("err-html")
 def err_html(r: Result) -> Iterator[str]:
     """Rules with counts and findings as a page."""
     yield "<!DOCTYPE html><html><head><meta charset='utf-8'><title>dependency violations</title></head><body><table>"
-    for x in _catalog(r):
-        yield f"<tr><td>{escape(x['rule'])}</td><td>{x['severity']}</td><td>{x['findings']}</td></tr>"
+    yield from _case_lines(r, "err-html")
     yield "</table><ul>"
-    for v in rows(r):
-        yield f"<li class={quoteattr(v['severity'])}>{escape(v['rule'])}: {escape(shown(v))}</li>"
+    yield from _ordered(r, "err-html")
     yield "</ul></body></html>"
 
 
@@ -258,26 +312,19 @@ def html(r: Result) -> Iterator[str]:
 @reporter("sarif")
 def sarif(r: Result) -> Iterator[str]:
     """SARIF 2.1.0."""
-    # Levels of severities.
-    level = {"error": "error", "warn": "warning", "info": "note", "ignore": "none"}
     driver = {"name": "depweave", "rules": [{"id": x.name, "shortDescription": {"text": x.comment or x.name}} for x in r.rules.all()]}
     yield '{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": ' + json.dumps({"driver": driver}) + ', "results": ['
-    first = True
-    for v in rows(r):
-        one = {"ruleId": v["rule"], "level": level[v["severity"]], "message": {"text": shown(v)}, "partialFingerprints": {"id": v["id"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": v["from"]}}}]}
-        yield ("" if first else ",") + json.dumps(one, ensure_ascii=False)
-        first = False
+    for i, line in enumerate(_ordered(r, "sarif")):
+        yield ("," if i else "") + line
     yield "]}]}"
 
 
 @reporter("junit")
 def junit(r: Result) -> Iterator[str]:
     """One case per rule."""
-    cases = _catalog(r)
-    yield f'<?xml version="1.0" encoding="UTF-8"?><testsuites><testsuite name="dependencies" tests="{len(cases)}" failures="{sum(not x["passed"] for x in cases)}">'
-    for x in cases:
-        inner = "" if x["passed"] else f'<failure message="{x["findings"]} violations"/>'
-        yield f"<testcase name={quoteattr(x['rule'])}>{inner}</testcase>"
+    cases = _cases(r).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("passed")).alias("bad")).first()
+    yield f'<?xml version="1.0" encoding="UTF-8"?><testsuites><testsuite name="dependencies" tests="{cases["n"]}" failures="{cases["bad"]}">'
+    yield from _case_lines(r, "junit")
     yield "</testsuite></testsuites>"
 
 
@@ -285,8 +332,7 @@ def junit(r: Result) -> Iterator[str]:
 def trx(r: Result) -> Iterator[str]:
     """One unit test result per rule."""
     yield '<?xml version="1.0" encoding="utf-8"?><TestRun xmlns="http://microsoft.com/schemas/VisualStudio/TeamTest/2010"><Results>'
-    for x in _catalog(r):
-        yield f'<UnitTestResult testName={quoteattr(x["rule"])} outcome="{"Passed" if x["passed"] else "Failed"}"/>'
+    yield from _case_lines(r, "trx")
     yield "</Results></TestRun>"
 
 
@@ -296,37 +342,49 @@ def teamcity(r: Result) -> Iterator[str]:
     safe = lambda s: "".join("|" + c if c in "'|[]" else "|n" if c == "\n" else c for c in s)
     for x in r.rules.all():
         yield f"##teamcity[inspectionType id='{safe(x.name)}' name='{safe(x.name)}' description='{safe(x.comment or x.name)}' category='dependencies']"
-    for v in rows(r):
-        yield f"##teamcity[inspection typeId='{safe(v['rule'])}' message='{safe(shown(v))}' file='{safe(v['from'])}' SEVERITY='{ {'error': 'ERROR', 'warn': 'WARNING'}.get(v['severity'], 'INFO') }']"
+    yield from _ordered(r, "teamcity")
 
 
 @reporter("azure-devops")
 def azure(r: Result) -> Iterator[str]:
     """Logging commands."""
-    for v in rows(r):
-        if v["severity"] in ("error", "warn"):
-            yield f"##vso[task.logissue type={'error' if v['severity'] == 'error' else 'warning'};sourcepath={v['from']};code={v['rule']}]{shown(v)}"
-    bad = r.counts().first()["error"]
-    yield f"##vso[task.complete result={'Failed' if bad else 'Succeeded'};]"
+    yield from _ordered(r, "azure-devops")
+    yield f"##vso[task.complete result={'Failed' if r.counts().first()['error'] else 'Succeeded'};]"
 
 
 @reporter("github-annotations")
 def github(r: Result) -> Iterator[str]:
     """Workflow commands."""
-    for v in rows(r):
-        yield f"::{ {'error': 'error', 'warn': 'warning'}.get(v['severity'], 'notice') } file={v['from']},title={v['rule']}::{shown(v)}"
+    return _ordered(r, "github-annotations")
 
 
-def _pairs(g: Graph) -> Iterator[tuple[str, str]]:
-    return ((x[0], x[1]) for x in g.pairs.orderBy("src", "dst").toLocalIterator())
+def graph_lines(g: Graph, kind: str) -> DataFrame:
+    """(line, src, dst) of every pair of modules in a diagram's text; for ``mermaid`` and ``plantuml`` also of every module, with a null ``dst``."""
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    boxed = lambda c: F.concat(F.lit("["), F.col(c), F.lit("]"))
+    short = lambda c: F.concat(F.lit("n"), F.substring(F.sha2(F.col(c), 256), 1, 12))
+    edge = {
+        "dot": F.concat(F.lit("  "), quoted("src"), F.lit(" -> "), quoted("dst")), "d2": F.concat(quoted("src"), F.lit(" -> "), quoted("dst")),
+        "mermaid": F.concat(F.lit("  "), short("src"), F.lit(" --> "), short("dst")), "plantuml": F.concat(boxed("src"), F.lit(" --|> "), boxed("dst")),
+    }[kind]
+    out = g.pairs.select(edge.alias("line"), "src", "dst")
+    node = {"mermaid": F.concat(F.lit("  "), short("src"), F.lit("["), quoted("src"), F.lit("]")), "plantuml": boxed("src")}.get(kind)
+    if node is None:
+        return out
+    ends = g.pairs.select("src").unionByName(g.pairs.select(F.col("dst").alias("src"))).distinct()
+    return ends.select(node.alias("line"), "src", F.lit(None).cast("string").alias("dst")).unionByName(out)
+
+
+def _drawn(g: Graph, kind: str) -> Iterator[str]:
+    """Lines in order, modules first."""
+    return (x["line"] for x in graph_lines(g, kind).orderBy(F.col("dst").isNotNull(), "src", "dst").toLocalIterator())
 
 
 @reporter("dot")
 def dot(r: Result) -> Iterator[str]:
     """GraphViz text of the graph at hand (K17); consolidate it first for folders or a pattern."""
     yield "strict digraph dependencies {"
-    for a, b in _pairs(r.graph):
-        yield f'  "{a}" -> "{b}"'
+    yield from _drawn(r.graph, "dot")
     yield "}"
 
 
@@ -341,6 +399,7 @@ def ddot(r: Result) -> Iterator[str]:
 COLLAPSED = "^(packages|src|lib(s?)|app(s?)|bin|test(s?)|spec(s?))/[^/]+|node_modules/(@[^/]+/[^/]+|[^/]+)"
 
 
+@reporter("cdot")
 def cdot(r: Result, pattern: str = COLLAPSED) -> Iterator[str]:
     """GraphViz text of the graph collapsed to a pattern."""
     from depweave.operators.filters import consolidate
@@ -348,46 +407,35 @@ def cdot(r: Result, pattern: str = COLLAPSED) -> Iterator[str]:
     return dot(Result(consolidate(r.graph, pattern=pattern), r.rules, r.violations))
 
 
-REPORTERS["cdot"] = cdot
-
-
 @reporter("fdot")
 def fdot(r: Result) -> Iterator[str]:
     """GraphViz text with the folders left out of the labels."""
     yield "strict digraph dependencies {"
-    m = r.graph.modules.select("source").orderBy("source").toLocalIterator()
-    for x in m:
+    for x in r.graph.modules.select("source").orderBy("source").toLocalIterator():
         yield f'  "{x[0]}" [label="{x[0].rsplit("/", 1)[-1]}"]'
-    for a, b in _pairs(r.graph):
-        yield f'  "{a}" -> "{b}"'
+    yield from _drawn(r.graph, "dot")
     yield "}"
 
 
 @reporter("mermaid")
 def mermaid(r: Result) -> Iterator[str]:
-    """Flowchart."""
-    ids: dict[str, str] = {}
+    """Flowchart (K18); a module's id follows from its name."""
     yield "flowchart LR"
-    for a, b in _pairs(r.graph):
-        for n in (a, b):
-            if n not in ids:
-                ids[n] = f"n{len(ids)}"
-                yield f'  {ids[n]}["{n}"]'
-        yield f"  {ids[a]} --> {ids[b]}"
+    yield from _drawn(r.graph, "mermaid")
 
 
 @reporter("d2")
 def d2(r: Result) -> Iterator[str]:
     """D2 text (K19)."""
-    for a, b in _pairs(r.graph):
-        yield f'"{a}" -> "{b}"'
+    return _drawn(r.graph, "d2")
 
 
 @reporter("plantuml")
 def plantuml_lines(r: Result) -> Iterator[str]:
-    from depweave.operators.diagrams import plantuml
-
-    return iter(plantuml(list(_pairs(r.graph))).splitlines())
+    """Component diagram."""
+    yield "@startuml"
+    yield from _drawn(r.graph, "plantuml")
+    yield "@enduml"
 
 
 def anonymize(g: Graph, words: Iterable[str] = (), keep: Iterable[str] = ("src", "lib", "test", "index", "node_modules"), key: str | None = None) -> Graph:

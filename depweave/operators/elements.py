@@ -36,20 +36,35 @@ TYPES, MEMBERS = ("type", "class", "interface", "attribute"), ("member", "field"
 DECLARED = (*TYPES, "function", *MEMBERS)
 # Concepts by the kinds that can answer them (E10, E15); those not listed are for every kind.
 APPLIES = {
-    DECLARED: "public private protected internal protectedInternal privateProtected haveAssemblyQualifiedName haveAssemblyQualifiedNameMatching haveAssemblyQualifiedNameStartingWith haveAssemblyQualifiedNameEndingWith haveAssemblyQualifiedNameContaining resideInAssembly resideInAssemblyMatching haveAnyAttributes onlyHaveAttributes haveAttributeWithArguments haveAttributeWithNamedArguments haveAnyAttributesWithArguments haveAnyAttributesWithNamedArguments callAny",
-    TYPES: "assignableTo implementInterface implementAnyInterfaces enums structs valueTypes nested nestedIn haveMemberWithName haveFieldMemberWithName haveMethodMemberWithName havePropertyMemberWithName generic",
-    ("type", "class", "attribute"): "sealed record",
-    (*TYPES, "member", "method", "property"): "abstract",
-    (*TYPES, *MEMBERS): "static immutable",
-    MEMBERS: "declaredIn",
-    ("member", "field", "property"): "readOnly",
-    ("member", "method", "property"): "virtual",
-    ("member", "method"): "constructor haveReturnType haveDependencyInMethodBodyTo",
-    ("member", "method", "field", "property"): "calledBy",
-    (*TYPES, "function"): "adhereToPlantUmlDiagram",
+    DECLARED: ("public", "private", "protected", "internal", "protectedInternal", "privateProtected", "haveAssemblyQualifiedName", "haveAssemblyQualifiedNameMatching", "haveAssemblyQualifiedNameStartingWith", "haveAssemblyQualifiedNameEndingWith", "haveAssemblyQualifiedNameContaining", "resideInAssembly", "resideInAssemblyMatching", "haveAnyAttributes", "onlyHaveAttributes", "haveAttributeWithArguments", "haveAttributeWithNamedArguments", "haveAnyAttributesWithArguments", "haveAnyAttributesWithNamedArguments", "callAny",),
+    TYPES: ("assignableTo", "implementInterface", "implementAnyInterfaces", "enums", "structs", "valueTypes", "nested", "nestedIn", "haveMemberWithName", "haveFieldMemberWithName", "haveMethodMemberWithName", "havePropertyMemberWithName", "generic",),
+    ("type", "class", "attribute"): ("sealed", "record",),
+    (*TYPES, "member", "method", "property"): ("abstract",),
+    (*TYPES, *MEMBERS): ("static", "immutable",),
+    MEMBERS: ("declaredIn",),
+    ("member", "field", "property"): ("readOnly",),
+    ("member", "method", "property"): ("virtual",),
+    ("member", "method"): ("constructor", "haveReturnType", "haveDependencyInMethodBodyTo",),
+    ("member", "method", "field", "property"): ("calledBy",),
+    (*TYPES, "function"): ("adhereToPlantUmlDiagram",),
 }
-KINDS_OF = {concept: kinds for kinds, concepts in APPLIES.items() for concept in concepts.split()}
+KINDS_OF = {concept: kinds for kinds, concepts in APPLIES.items() for concept in concepts}
 ACCESSOR_KINDS = ("member", "property")
+_ASSEMBLIES = ("haveAssemblyQualifiedName", "haveAssemblyQualifiedNameMatching", "haveAssemblyQualifiedNameStartingWith", "haveAssemblyQualifiedNameEndingWith", "haveAssemblyQualifiedNameContaining", "resideInAssembly", "resideInAssemblyMatching")
+_SCRIPT = (
+    "protectedInternal", "privateProtected", *_ASSEMBLIES, "structs", "valueTypes", "sealed", "record", "virtual", "haveInitOnlySetter",
+    "haveInternalGetter", "haveProtectedInternalGetter", "havePrivateProtectedGetter", "haveInternalSetter", "haveProtectedInternalSetter", "havePrivateProtectedSetter",
+)
+# What a language has no answer to (E14); .NET has one to everything.
+UNANSWERABLE = {
+    "typescript": _SCRIPT,
+    "javascript": _SCRIPT,
+    "python": (
+        "protected", "internal", "protectedInternal", "privateProtected", *_ASSEMBLIES, "enums", "structs", "valueTypes", "sealed", "record", "generic", "virtual", "haveReturnType", "haveDependencyInMethodBodyTo", "callAny", "calledBy",
+        "haveInitOnlySetter", "havePublicGetter", "haveProtectedGetter", "haveInternalGetter", "haveProtectedInternalGetter", "havePrivateGetter", "havePrivateProtectedGetter",
+        "havePublicSetter", "haveProtectedSetter", "haveInternalSetter", "haveProtectedInternalSetter", "havePrivateSetter", "havePrivateProtectedSetter",
+    ),
+}
 VISIBILITIES = {"public": "public", "private": "private", "protected": "protected", "internal": "internal", "protectedInternal": "protected-internal", "privateProtected": "private-protected"}
 
 
@@ -129,6 +144,7 @@ class Conditions:
 
     def __init__(self, code: Code, df: DataFrame, kind: str):
         self.code, self.df, self.kind, self.count = code, df, kind, 0
+        self.languages: set[str] | None = None
         self.is_type = kind == "type" or kind in TYPE_KINDS
 
     def keys(self, operand: object) -> DataFrame:
@@ -172,6 +188,12 @@ class Conditions:
         kinds = ACCESSOR_KINDS if c.endswith(("Getter", "Setter")) else KINDS_OF.get(c)
         if kinds is not None and self.kind not in kinds:
             raise ElementError(f"{c!r} does not apply to {self.kind!r}")
+        if any(c in cant for cant in UNANSWERABLE.values()):
+            if self.languages is None:  # of what is selected: as many rows as there are languages
+                self.languages = {r[0] for r in self.df.select("language").distinct().collect()}
+            for language in sorted(self.languages & set(UNANSWERABLE)):
+                if c in UNANSWERABLE[language]:
+                    raise ElementError(f"{language} has no answer to {c!r}")
         name, key = F.col("name"), F.col("key_")
         truth = lambda col: F.coalesce(F.col(col), F.lit(False)) == F.lit(value if isinstance(value, bool) else True)
         yes = lambda e: F.coalesce(e, F.lit(False)) == F.lit(value if isinstance(value, bool) else True)

@@ -37,7 +37,7 @@ def rich_layer(spark: SparkSession, d: str) -> Code:
     kind = F.get(F.array(*[F.lit(x) for x in ("class", "interface", "struct", "enum")]), (k % 4).cast("int"))
     parts = p.select(
         key.alias("fullName"), "name", F.array("ns").alias("namespaces"), kind.alias("kind"), _visible(k).alias("visibility"), F.when(k % 2 == 0, "Shop, Version=1.0").otherwise("Store, Version=2.0").alias("assembly"),
-        F.when(k % 3 == 0, "dotnet").otherwise("python").alias("language"), F.array(F.concat(F.lit("shop/"), "name", F.lit(".cs"))).alias("files"), (k % 7 == 0).alias("abstract"), (k % 5 == 0).alias("sealed"), (k % 11 == 0).alias("record"),
+        F.lit("dotnet").alias("language"), F.array(F.concat(F.lit("shop/"), "name", F.lit(".cs"))).alias("files"), (k % 7 == 0).alias("abstract"), (k % 5 == 0).alias("sealed"), (k % 11 == 0).alias("record"),
         (k % 13 == 0).alias("static"), (k % 9 == 0).alias("generic"), F.lit(False).alias("nested"), F.when(k % 8 == 0, True).alias("immutable"), F.when(k % 6 == 0, F.concat(F.lit("Base"), (k % 10).cast("string"))).alias("baseType"),
         F.when(k % 3 == 0, F.when(k % 2 == 0, F.array(F.lit("Shop.IA"), F.lit("Shop.IB"))).otherwise(F.array(F.lit("Shop.IA")))).alias("interfaces"), "k",
     )
@@ -65,7 +65,7 @@ def rich_layer(spark: SparkSession, d: str) -> Code:
 
 RICH_SQL = f"""b AS (SELECT p_partkey AS k, 'Shop.' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') AS ns, 'Part' || p_partkey AS name FROM part WHERE p_partkey IS NOT NULL),
  t0 AS (SELECT ns || '.' || name AS key, name, ns, k, list_extract(['class','interface','struct','enum'], CAST(k % 4 AS INT) + 1) AS kind, {_VIS.format('k')} AS vis, CASE WHEN k % 2 = 0 THEN 'Shop, Version=1.0' ELSE 'Store, Version=2.0' END AS asm,
-  CASE WHEN k % 3 = 0 THEN 'dotnet' ELSE 'python' END AS lang, k % 7 = 0 AS abstract, k % 5 = 0 AS sealed, k % 11 = 0 AS record, k % 13 = 0 AS static, k % 9 = 0 AS generic, false AS nested, k % 3 = 0 AS ia, k % 6 = 0 AS ib, k % 8 = 0 OR k % 13 = 0 OR k % 6 = 0 AS immutable FROM b),
+  'dotnet' AS lang, k % 7 = 0 AS abstract, k % 5 = 0 AS sealed, k % 11 = 0 AS record, k % 13 = 0 AS static, k % 9 = 0 AS generic, false AS nested, k % 3 = 0 AS ia, k % 6 = 0 AS ib, k % 8 = 0 OR k % 13 = 0 OR k % 6 = 0 AS immutable FROM b),
  t AS (SELECT * FROM t0 UNION ALL SELECT key || '+Inner', 'Inner', ns, NULL, 'class', 'private', asm, lang, false, false, false, false, false, true, false, false, true FROM t0 WHERE k % 10 = 9),
  mb AS (SELECT key || '::' || n AS key, n AS name, key AS owner, t0.kind AS owner_kind, k, vis, static, k % 2 = 0 AS ro, k % 3 = 1 AS virt, k % 7 = 1 AS abstract, CASE n WHEN 'Size' THEN 'field' WHEN 'Price' THEN 'property' WHEN 'Make' THEN 'method' ELSE 'constructor' END AS kind,
   CASE WHEN n = 'Price' AND k % 10 != 0 THEN {_VIS.format('k')} END AS getter, CASE WHEN n = 'Price' AND k % 3 != 0 THEN {_VIS.format('k + 1')} END AS setter, CASE WHEN n = 'Price' AND k % 6 = 0 THEN {_VIS.format('k')} END AS init,
@@ -170,7 +170,17 @@ _rule("c63_setter", "property", {"haveSetter": True}, "setter IS NOT NULL OR ini
 _rule("c64_init_setter", "property", {"haveInitOnlySetter": True}, "init IS NOT NULL")
 _rule("c77_diagram_types", "type", {"adhereToPlantUmlDiagram": "[One] <<Shop\\.Brand1.*>>\n[Two] <<Shop\\.Brand2.*>>\n[Two] --> [One]"}, "NOT EXISTS (SELECT 1 FROM td JOIN t b ON b.key = td.target WHERE td.source = t.key AND starts_with(t.ns, 'Shop.Brand1') AND starts_with(b.ns, 'Shop.Brand2'))", {"resideInNamespaceMatching": "Brand[12]"}, "regexp_matches(ns, 'Brand[12]')")
 _rule("e02_structs_by_selector", "interface", {"bePublic": True}, "vis = 'public'")
-_rule("e03_selector_language", "type", {"beGeneric": True}, "generic", more={"language": "dotnet"}, sql_where="lang = 'dotnet'")
+
+
+@q(f"WITH {RICH_SQL} SELECT key, generic AS passed FROM t0 WHERE k % 3 = 0", "e03_selector_language")
+def e03_selector_language(spark: SparkSession, d: str) -> DataFrame:
+    """A rule over the types of one of two languages, which alone can answer it."""
+    c = rich_layer(spark, d)
+    n = F.nullif(F.regexp_extract("fullName", "Part([0-9]+)$", 1), F.lit("")).cast("int")
+    c = Code(c.types.withColumn("language", F.when(n % 3 == 0, "dotnet").otherwise("python")), c.members, c.dependencies, c.attributes, c.calls)
+    return elements.evaluate(c, {"select": {"kind": "type", "language": "dotnet"}, "should": {"beGeneric": True}})[0]
+
+
 _rule("e03_selector_referenced", "interface", {"haveNameStartingWith": "I"}, "false", sql_where="true", view="(SELECT key, kind FROM t)", where={"haveNameStartingWith": "Part"}, more={"includeReferenced": True})
 _rule("e04_nested_selector", "type", {"dependOnAny": {"kind": "type", "where": {"areSealed": True, "dependOnAny": _IFACE}}}, "EXISTS (SELECT 1 FROM td a JOIN t0 m ON m.key = a.target AND m.sealed JOIN td c ON c.source = a.target AND c.tkind = 'interface' WHERE a.source = t.key)")
 _rule("e05_expression", "type", {"any": [{"all": [{"beAbstract": True}, {"not": {"bePublic": True}}]}, {"beSealed": True, "notBeNested": True}]}, "abstract AND vis != 'public' OR sealed AND NOT nested")
@@ -248,3 +258,19 @@ def e15_applicability(spark: SparkSession, d: str) -> DataFrame:
     """Whether a kind can answer a concept."""
     asked = [("field", "readOnly"), ("field", "assignableTo"), ("method", "haveReturnType"), ("class", "haveReturnType"), ("interface", "sealed"), ("class", "sealed"), ("function", "nested"), ("module", "public"), ("module", "haveName"), ("property", "constructor")]
     return spark.createDataFrame([(k, c, c not in elements.KINDS_OF or k in elements.KINDS_OF[c]) for k, c in asked], "kind string, concept string, applies boolean")
+
+
+@q("SELECT language, concept, answered FROM (VALUES ('python', 'beSealed', false), ('python', 'bePublic', true), ('typescript', 'beVirtual', false), ('typescript', 'beAbstract', true), ('dotnet', 'beRecord', true), ('python', 'haveNameContaining', true)) v(language, concept, answered)", "e14_languages")
+def e14_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a rule over types of a language is taken or refused."""
+    asked = [("python", "beSealed"), ("python", "bePublic"), ("typescript", "beVirtual"), ("typescript", "beAbstract"), ("dotnet", "beRecord"), ("python", "haveNameContaining")]
+
+    def taken(language: str, key: str) -> bool:
+        c = Code.of(spark.createDataFrame([("a.B", "B", "class", language)], "fullName string, name string, kind string, language string"), spark.createDataFrame([("a.B::m", "m", "method", "a.B", language)], "fullName string, name string, kind string, declaringType string, language string"))
+        try:
+            elements.evaluate(c, {"select": {"kind": "method" if key == "beVirtual" else "type"}, "should": {key: "x" if "Name" in key else True}})
+        except elements.ElementError:
+            return False
+        return True
+
+    return spark.createDataFrame([(a, b, taken(a, b)) for a, b in asked], "language string, concept string, answered boolean")

@@ -17,7 +17,7 @@ from depweave.plans.compile import edge_predicate, needs
 from depweave.plans.graph_queries import _DIR, _FOLDERS, _KNOWN, _METRICS, _PROJECTS, _RULED, _SCC, _known, RULES, TODAY, code, ruled
 from depweave.session import materialize, shared_dir
 from depweave.sinks import reports as rp
-from depweave.sources import graphs as so
+from depweave.sources import code as sc, graphs as so
 from depweave.sources.views import code_graph, table
 from depweave.streaming import edges as st
 
@@ -610,6 +610,41 @@ def s29_manifest(spark, d):
     return rows_of(spark, [(r["name"], r["path"]) for r in repos], "name string, path string")
 
 
+_SCRIPTS = "n AS (SELECT source, resolved, row_number() OVER (PARTITION BY source ORDER BY ord) - 1 AS n FROM e WHERE regexp_matches(source, '\\.(ts|js)$'))"
+
+
+@q(code("SELECT source, n AS ord, resolved AS module, CASE n % 5 WHEN 0 THEN 'import' WHEN 1 THEN 'export' WHEN 2 THEN 'require' WHEN 3 THEN 'dynamic-import' ELSE 'import' END AS kind, n % 5 = 4 AS typeOnly FROM n", _SCRIPTS))
+def s04_s06_scripts(spark, d):
+    """Modules written as source text, one statement for each edge between comments, and read again."""
+    e = code_graph(spark, d, saved=False).edges.where(F.col("source").rlike(r"\.(ts|js)$"))
+    n = F.row_number().over(Window.partitionBy("source").orderBy("ord")) - 1
+    said = [F.concat(F.lit(a), F.col("resolved"), F.lit(b)) for a, b in (('import { a } from "', '";\n'), ("export * from '", "' // from 'x'\n"), ('const b = require("', '"); /* require("y") */\n'), ("await import('", "');\n"), ('import type { T } from "', '";\n'))]
+    line = F.element_at(F.array(*said), F.pmod(F.col("n"), F.lit(5)).cast("int") + 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "")
+    files = e.withColumn("n", n).withColumn("line", line).groupBy(F.col("source").alias("path")).agg(text.alias("text"))
+    return sc.script_imports(files).select("source", "ord", "module", "kind", "typeOnly")
+
+
+_DOTTED = "'m' || regexp_replace(resolved, '[^a-zA-Z0-9]', '_', 'g')"
+
+
+@q(code(f"SELECT source, n AS ord, CASE WHEN n % 3 = 1 THEN '.' || {_DOTTED} ELSE {_DOTTED} END AS module, n % 3 = 2 AS typeOnly FROM (SELECT source, resolved, row_number() OVER (PARTITION BY source ORDER BY ord) - 1 AS n FROM e WHERE regexp_matches(source, '\\.py$'))"))
+def s11_s12_python(spark, d):
+    """Python modules written as source text, with plain, relative and type-only imports, and read again."""
+    e = code_graph(spark, d, saved=False).edges.where(F.col("source").rlike(r"\.py$"))
+    n = F.row_number().over(Window.partitionBy("source").orderBy("ord")) - 1
+    name = F.concat(F.lit("m"), F.regexp_replace("resolved", "[^a-zA-Z0-9]", "_"))
+    line = F.when(F.col("n") % 3 == 0, F.concat(F.lit("import "), name, F.lit("  # import no\n"))).when(F.col("n") % 3 == 1, F.concat(F.lit("from ."), name, F.lit(" import x\n"))).otherwise(F.concat(F.lit("if TYPE_CHECKING:\n    import "), name, F.lit("\n")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "")
+    files = e.withColumn("n", n).withColumn("line", line).groupBy(F.col("source").alias("path")).agg(text.alias("text"))
+    return sc.python_imports(files).select("source", "ord", "module", "typeOnly")
+
+
+@q("SELECT path, letters FROM (VALUES ('a/b.ts', 3), ('c.py', 0)) v(path, letters)")
+def s25_files_in_memory(spark, d):
+    return sc.tree(spark, {"c.py": "", "a/b.ts": "x=1"}).select("path", F.length("text").alias("letters"))
+
+
 # --- reports ---------------------------------------------------------------------------------
 
 _SHOWN = "CASE WHEN \"from\" = \"to\" THEN \"from\" ELSE \"from\" || ' → ' || \"to\" END"

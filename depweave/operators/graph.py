@@ -302,8 +302,8 @@ def _components(rest: DataFrame) -> DataFrame:
         return keep[0]
 
 
-#: Edges of a component whose cycles one task searches; more are shared among tasks that each hold the component's edges.
-EDGES_A_TASK = 100_000
+#: Edges of a component whose cycles one task searches; more are shared by target among tasks that each hold the component's edges.
+EDGES_A_TASK = 10_000
 
 
 def first_cycle(adjacency: dict[str, list[tuple[str, list[str]]]], initial: str, current: str, types: list[str]) -> list[tuple[str, list[str]]]:
@@ -352,12 +352,56 @@ def first_cycle(adjacency: dict[str, list[tuple[str, list[str]]]], initial: str,
     return []
 
 
+def first_cycles(adjacency: dict[str, list[tuple[str, list[str]]]], current: str, initials: dict[str, list[str]]) -> dict[str, list[tuple[str, list[str]]]]:
+    """``first_cycle`` for all edges into ``current`` at once; ``initials`` has the types of the edge from each source.
+
+    The search from a target goes the same way whatever source is looked for,
+    until a step to that source is first seen: one search notes for each source
+    where that is. Only a source first seen below a second visit of the
+    target, which the rule drops, is looked for on its own.
+    """
+    tried: set[str] = set()
+    open_ = set(initials)
+    out: dict[str, list[tuple[str, list[str]]]] = {}
+    alone: list[str] = []
+    stack: list[tuple[str, list[str], Iterator]] = []
+    again = 0  # frames of a second visit of the target
+
+    def enter(node: str, by: list[str]) -> None:
+        nonlocal again
+        es = [(t, ty) for t, ty in adjacency.get(node, ()) if t not in tried]
+        again += bool(stack) and node == current
+        for t, ty in es:
+            if t in open_:
+                open_.discard(t)
+                if again:
+                    alone.append(t)
+                    continue
+                way = [(n, b) for n, b, _ in stack] + [(node, by)]
+                way[0] = (current, initials[t])
+                out[t] = [(t, ty)] if t == current else way + [(t, ty)]
+        stack.append((node, by, iter(es)))
+
+    enter(current, [])
+    while stack and open_:
+        step = next(stack[-1][2], None)
+        if step is None:
+            again -= len(stack) > 1 and stack[-1][0] == current
+            stack.pop()
+            continue
+        tried.add(step[0])
+        enter(*step)
+    for s in alone:
+        out[s] = first_cycle(adjacency, s, current, initials[s])
+    return out
+
+
 def cycles(g: Graph, scc: DataFrame | None = None, exact_edges: int | None = None, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
     """(source, ord, cycle) of the edges that lie on a cycle (G4, G5): steps from the target on, back to the source.
 
     The first cycle in the order of the edges, whatever the size of the
     component. The search needs a component's edges in one place; beyond
-    ``edges_a_task`` its sources are shared among several tasks, to each of
+    ``edges_a_task`` its targets are shared among several tasks, to each of
     which the edges are sent, so results do not depend on it. Only a caller
     that names ``exact_edges`` gets a shortest cycle instead, by distributed
     breadth-first search, in components of more edges than that.
@@ -378,17 +422,20 @@ def cycles(g: Graph, scc: DataFrame | None = None, exact_edges: int | None = Non
         as_list = lambda t: [] if t is None else list(t)
         for s, t, ty in zip(pdf["source"], pdf["resolved"], pdf["dependencyTypes"]):
             adjacency.setdefault(s, []).append((t, as_list(ty)))
-        mine = {s for s in adjacency if zlib.crc32(s.encode("utf-8", "surrogatepass")) % shares == share}
-        memo: dict[tuple[str, str], list] = {}
+        # edges into one target are searched together; the first of those between two modules gives the types
+        into: dict[str, dict[str, list[str]]] = {}
+        for s, es in adjacency.items():
+            for t, ty in es:
+                if zlib.crc32(t.encode("utf-8", "surrogatepass")) % shares == share:
+                    into.setdefault(t, {}).setdefault(s, ty)
+        found: dict[tuple[str, str], list] = {}
+        for t, initials in into.items():
+            for s, way in first_cycles(adjacency, t, initials).items():
+                found[(s, t)] = [{"name": n, "dependencyTypes": ty} for n, ty in way]
         out = []
         for s, o, t in zip(pdf["source"], pdf["ord"], pdf["resolved"]):
-            if s not in mine:
-                continue
-            if (s, t) not in memo:
-                types = next(ty for x, ty in adjacency[s] if x == t)
-                memo[(s, t)] = [{"name": n, "dependencyTypes": ty} for n, ty in first_cycle(adjacency, s, t, types)]
-            if memo[(s, t)]:
-                out.append((s, o, memo[(s, t)]))
+            if found.get((s, t)):
+                out.append((s, o, found[(s, t)]))
         return pd.DataFrame(out, columns=["source", "ord", "cycle"])
 
     found = sent.groupBy("scc", "share").applyInPandas(search, f"source string, ord long, cycle array<{STEP}>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from depweave.operators.filters import collapse_pattern, consolidate, do_not_follow, exclude, focus, highlight, include_only, max_depth, reaches
 from depweave.operators import local
-from depweave.operators.graph import Graph, can_reach, components, cycles, dependents, extremes, first_cycle, first_path, mark_circular, meets, orphans, paths, reach, same_component
+from depweave.operators.graph import Graph, can_reach, components, cycles, dependents, extremes, first_cycle, first_cycles, first_path, mark_circular, meets, orphans, paths, reach, same_component
 from depweave.operators.metrics import couplings, folder_edges, folder_table, project_table, sinks, totals, with_metrics
 
 
@@ -50,6 +50,27 @@ def test_first_cycle_is_deep_safe():
     assert len(first_cycle(adjacency(edges), "0", "1", [])) == n + 1
 
 
+def test_searches_shared_by_target_give_the_same():
+    rng = random.Random(7)
+    seen = {"alone": 0}
+    for _ in range(400):
+        n = rng.randrange(2, 12)
+        edges = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(rng.randrange(1, 30))]
+        adj = {}
+        for i, (a, b) in enumerate(edges):
+            adj.setdefault(a, []).append((b, [str(i)]))
+        for t in {b for _, b in edges}:
+            initials = {}
+            for a, b in edges:
+                if b == t:
+                    initials.setdefault(a, next(ty for x, ty in adj[a] if x == t))
+            got = first_cycles(adj, t, initials)
+            for a, ty in initials.items():
+                assert got.get(a, []) == first_cycle(adj, a, t, ty), (edges, a, t)
+                seen["alone"] += 1
+    assert seen["alone"] > 1000
+
+
 def test_cycles_and_components(spark, rows):
     g = graph(spark, SMALL)
     scc = components(g.pairs)

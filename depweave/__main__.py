@@ -83,7 +83,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         old, new = read_document(spark, a.old), read_document(spark, a.new)
         say((x["change"], x["from"], "->", x["to"]) for x in wi.diff_edges(old, new).orderBy("change", "from", "to").toLocalIterator())
     else:
-        found = ru.lint(rules)
+        found = ru.lint(rules) + ru.repeats(rules)
         say(found)
         return int(bool(found))
     return 0

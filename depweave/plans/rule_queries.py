@@ -476,10 +476,10 @@ def q22_q30_lint(spark, d):
     return wi.lint_graph(r.graph, rs, r.violations)
 
 
-@q("SELECT rule, finding FROM (VALUES ('a', 'duplicate-name'), ('b', 'replaced-by-self'), ('c', 'replaced-by-unknown'), ('d', 'since-after-deprecated'), ('wide', 'shadowed'), ('not-in-allowed', 'allowed-admits-everything')) v(rule, finding)")
+@q("SELECT rule, finding FROM (VALUES ('a', 'duplicate-name'), ('b', 'replaced-by-self'), ('c', 'replaced-by-unknown'), ('d', 'since-after-deprecated'), ('wide', 'shadowed'), ('not-in-allowed', 'allowed-admits-everything'), ('not-in-allowed', 'overlapping-allowed')) v(rule, finding)")
 def q22_q31_lifecycle(spark, d):
-    rs = ru.load({"forbidden": [{"name": "a"  , "from": {"path": "p"}}, {"name": "a", "from": {"path": "q"}}, {"name": "b", "replacedBy": "b", "to": {"path": "s"}}, {"name": "c", "replacedBy": "zz", "to": {"path": "t"}}, {"name": "d", "since": "2.0.0", "deprecated": "1.0.0", "to": {"path": "u"}}, {"name": "first", "severity": "error", "to": {"path": "w"}}, {"name": "wide", "to": {"path": "w"}}], "allowed": [{}]})
-    return rows_of(spark, ru.lint(rs), "rule string, finding string")
+    rs = ru.load({"forbidden": [{"name": "a"  , "from": {"path": "p"}}, {"name": "a", "from": {"path": "q"}}, {"name": "b", "replacedBy": "b", "to": {"path": "s"}}, {"name": "c", "replacedBy": "zz", "to": {"path": "t"}}, {"name": "d", "since": "2.0.0", "deprecated": "1.0.0", "to": {"path": "u"}}, {"name": "first", "severity": "error", "to": {"path": "w"}}, {"name": "wide", "to": {"path": "w"}}], "allowed": [{}, {}]})
+    return rows_of(spark, ru.lint(rs) + ru.repeats(rs), "rule string, finding string")
 
 
 @q(code("SELECT rule, \"from\", \"to\", CAST(NULL AS VARCHAR) AS repo FROM u WHERE severity = 'warn' UNION ALL SELECT rule, 'shop/' || \"from\", 'shop/' || \"to\", 'shop' FROM u WHERE severity = 'error'", _RULED))

@@ -421,12 +421,19 @@ def lint(rules: RuleSet) -> list[tuple[str, str]]:
             out.append((r.name, "replaced-by-unknown"))
         if r.since and r.deprecated and precedence(r.since, r.deprecated) > 0:
             out.append((r.name, "since-after-deprecated"))
-    # an earlier rule of the same restrictions and at least the same severity says it already
-    rank = ("error", "warn", "info", "ignore").index
-    for i, r in enumerate(rules.forbidden):
-        body = (r.scope, r.from_, r.to, r.module, r.graph)
-        if any((x.scope, x.from_, x.to, x.module, x.graph) == body and rank(x.severity) <= rank(r.severity) for x in rules.forbidden[:i]):
-            out.append((r.name, "shadowed"))
     if any(r.from_ == From() and r.to == To() and r.module is None for r in rules.allowed):
         out.append(("not-in-allowed", "allowed-admits-everything"))
     return out
+
+
+def repeats(rules: RuleSet) -> list[tuple[str, str]]:
+    """Rules whose restrictions an earlier one of their family has (Q22): they can't add a finding, or admit nothing more."""
+    out = []
+    for family, finding in (("forbidden", "shadowed"), ("required", "shadowed"), ("allowed", "overlapping-allowed")):
+        seen: list[tuple] = []
+        for r in getattr(rules, family):
+            body = (r.scope, r.from_, r.to, r.module, r.graph)
+            if body in seen:
+                out.append((r.name, finding))
+            seen.append(body)
+    return out

@@ -72,15 +72,9 @@ _pred("edge_p21_more_than_one_type", {"to": {"moreThanOneDependencyType": True}}
 _pred("edge_p24_could_not_resolve", {"to": {"couldNotResolve": True}}, "e.couldNotResolve")
 _pred("edge_p24_dynamic", {"from": {"path": "/src/"}, "to": {"dynamic": False}}, "regexp_matches(e.source, '/src/') AND NOT e.dynamic")
 _pred("edge_p03_absent_is_not_false", {"to": {"preCompilationOnly": False}}, "false")
-_pred("edge_p26_language", {"from": {"language": "python"}, "to": {"language": ["typescript", "javascript"]}}, "a.language = 'python' AND b.language IN ('typescript', 'javascript')", True, "JOIN m a ON a.source = e.source JOIN m b ON b.source = e.resolved")
 _pred("edge_p27_project_not", {"from": {"project": "/libs/"}, "to": {"projectNot": "/libs/"}}, "regexp_matches(a.project, '/libs/') AND b.project IS NOT NULL AND NOT regexp_matches(b.project, '/libs/')", True, "JOIN m a ON a.source = e.source JOIN m b ON b.source = e.resolved")
 _pred("edge_p28_kind", {"to": {"dependencyKind": ["inherits", "implements"]}}, "e.dependencyKind IN ('inherits', 'implements')")
 _pred("edge_p28_kind_not", {"to": {"dependencyKindNot": ["import"]}}, "e.dependencyKind IS NOT NULL AND e.dependencyKind != 'import'")
-_pred(
-    "edge_p22_ancestor",
-    {"to": {"ancestor": True}},
-    "NOT e.coreModule AND NOT e.couldNotResolve AND starts_with(regexp_replace(e.source, '[^/]*$', ''), regexp_replace(e.resolved, '[^/]*$', '')) AND length(regexp_replace(e.source, '[^/]*$', '')) > length(regexp_replace(e.resolved, '[^/]*$', ''))",
-)
 _METRICS = """ce AS (SELECT source, count(*) AS ce FROM e GROUP BY source), ca AS (SELECT dst AS source, count(*) AS ca FROM p GROUP BY dst),
  i AS (SELECT m.source, coalesce(ce, 0) AS ce, coalesce(ca, 0) AS ca, CASE WHEN coalesce(ce, 0) + coalesce(ca, 0) = 0 THEN 0.0 ELSE CAST(coalesce(ce, 0) AS DOUBLE) / (coalesce(ce, 0) + coalesce(ca, 0)) END AS instability
   FROM m LEFT JOIN ce USING (source) LEFT JOIN ca USING (source) WHERE calculable)"""
@@ -340,12 +334,6 @@ def v05_dependents_less(spark, d):
     return ev.module_violations(code_graph(spark, d), rs).select(F.col("from").alias("source"))
 
 
-@q(code("SELECT source FROM m WHERE source NOT IN (SELECT source FROM e) AND source NOT IN (SELECT resolved FROM e)"))
-def v02_orphan_rule(spark, d):
-    rs = ru.load({"forbidden": [{"name": "no-orphans", "from": {"orphan": True, "pathNot": "\\.d\\.ts$"}}]})
-    return ev.module_violations(code_graph(spark, d), rs).select(F.col("from").alias("source"))
-
-
 @q(code("SELECT DISTINCT seed AS \"from\", node AS \"to\" FROM r WHERE regexp_matches(node, '^[0-9]+/tools/') AND seed != node", f"r AS (SELECT src AS seed, dst AS node FROM p WHERE {_SEED.replace('source', 'src')} UNION SELECT r.seed, p.dst FROM r JOIN p ON p.src = r.node)", True))
 def v04_reaches_rule(spark, d):
     rs = ru.load({"forbidden": [{"name": "no-way", "severity": "error", "from": {"path": "^[0-9]+/apps/checkout/"}, "to": {"path": "^[0-9]+/tools/", "reachable": True}}]})

@@ -64,45 +64,45 @@ def _edge(name: str, rule: dict, where: str) -> None:
 
 
 _LIB = lambda c: f"regexp_matches({c}, '/libs/')"
-_edge("p01_joined_patterns", {"from": {"path": ["^0/", "/libs/.*\\.ts$"]}}, "regexp_matches(source, '^0/|/libs/.*\\.ts$')")
-_edge("p03_property_equals", {"to": {"preCompilationOnly": False}}, "pco = false")
-_edge("p03_property_true", {"to": {"preCompilationOnly": True, "circular": True}}, "pco AND circ")
-_edge("p04_property_matches", {"to": {"license": "GPL|X"}}, "coalesce(license, '') != '' AND regexp_matches(license, 'GPL|X')")
-_edge("p05_property_does_not_match", {"to": {"licenseNot": "GPL"}}, "coalesce(license, '') != '' AND NOT regexp_matches(license, 'GPL')")
-_edge("p16_via", {"to": {"via": {"path": "/libs/"}}}, f"NOT circ OR {_LIB('step')} OR {_LIB('source')}")
-_edge("p17_via_only", {"to": {"viaOnly": {"path": "/libs/"}}}, f"NOT circ OR {_LIB('step')} AND {_LIB('source')}")
-_edge("p18_via_types", {"to": {"via": {"dependencyTypes": ["npm"]}, "circular": True}}, "circ AND list_has_any(coalesce(dependencyTypes, []), ['npm'])")
-_edge("p18_via_only_types_not", {"to": {"viaOnly": {"dependencyTypesNot": ["local"]}}}, "NOT circ OR NOT list_has_any(coalesce(dependencyTypes, []), ['local'])")
-_edge("p19_via_not", {"to": {"viaNot": "/libs/"}}, f"NOT circ OR NOT ({_LIB('step')} OR {_LIB('source')})")
-_edge("p19_via_some_not", {"to": {"viaSomeNot": ["/libs/"]}}, f"NOT circ OR NOT ({_LIB('step')} AND {_LIB('source')})")
+_edge("edge_p01_joined_patterns", {"from": {"path": ["^0/", "/libs/.*\\.ts$"]}}, "regexp_matches(source, '^0/|/libs/.*\\.ts$')")
+_edge("edge_p03_property_equals", {"to": {"preCompilationOnly": False}}, "pco = false")
+_edge("edge_p03_property_true", {"to": {"preCompilationOnly": True, "circular": True}}, "pco AND circ")
+_edge("edge_p04_property_matches", {"to": {"license": "GPL|X"}}, "coalesce(license, '') != '' AND regexp_matches(license, 'GPL|X')")
+_edge("edge_p05_property_does_not_match", {"to": {"licenseNot": "GPL"}}, "coalesce(license, '') != '' AND NOT regexp_matches(license, 'GPL')")
+_edge("edge_p16_via", {"to": {"via": {"path": "/libs/"}}}, f"NOT circ OR {_LIB('step')} OR {_LIB('source')}")
+_edge("edge_p17_via_only", {"to": {"viaOnly": {"path": "/libs/"}}}, f"NOT circ OR {_LIB('step')} AND {_LIB('source')}")
+_edge("edge_p18_via_types", {"to": {"via": {"dependencyTypes": ["npm"]}, "circular": True}}, "circ AND list_has_any(coalesce(dependencyTypes, []), ['npm'])")
+_edge("edge_p18_via_only_types_not", {"to": {"viaOnly": {"dependencyTypesNot": ["local"]}}}, "NOT circ OR NOT list_has_any(coalesce(dependencyTypes, []), ['local'])")
+_edge("edge_p19_via_not", {"to": {"viaNot": "/libs/"}}, f"NOT circ OR NOT ({_LIB('step')} OR {_LIB('source')})")
+_edge("edge_p19_via_some_not", {"to": {"viaSomeNot": ["/libs/"]}}, f"NOT circ OR NOT ({_LIB('step')} AND {_LIB('source')})")
 _FOLDER = lambda c: f"regexp_replace({c}, '[^/]*$', '')"
 _ABOVE = f"starts_with({_FOLDER('source')}, {_FOLDER('resolved')}) AND length({_FOLDER('source')}) > length({_FOLDER('resolved')})"
-_edge("p22_ancestor", {"to": {"ancestor": True}}, f"NOT coreModule AND NOT couldNotResolve AND {_ABOVE}")
-_edge("p22_no_ancestor", {"to": {"ancestor": False}}, f"NOT coreModule AND NOT couldNotResolve AND NOT ({_ABOVE})")
-_edge("p23_circular", {"to": {"circular": True}}, "circ")
-_edge("p25_exotic_and_license", {"to": {"exoticRequire": "^us", "licenseNot": "MIT"}}, "exotic = 'use' AND license IS NOT NULL AND license != 'MIT'")
-_edge("p25_exotic_not", {"to": {"exoticRequireNot": "^x", "license": "MIT"}}, "exotic = 'use' AND license = 'MIT'")
-_edge("p31_pattern_dialect", {"from": {"path": "\\/packages\\/[^]*\\.ts$"}}, "regexp_matches(source, '/packages/.*\\.ts$')")
-_edge("p32_back_reference", {"from": {"path": "([a-z])\\1"}}, "regexp_matches(source, '" + "|".join(c * 2 for c in "abcdefghijklmnopqrstuvwxyz") + "')")
+_edge("edge_p22_ancestor", {"to": {"ancestor": True}}, f"NOT coreModule AND NOT couldNotResolve AND {_ABOVE}")
+_edge("edge_p22_no_ancestor", {"to": {"ancestor": False}}, f"NOT coreModule AND NOT couldNotResolve AND NOT ({_ABOVE})")
+_edge("edge_p23_circular", {"to": {"circular": True}}, "circ")
+_edge("edge_p25_exotic_and_license", {"to": {"exoticRequire": "^us", "licenseNot": "MIT"}}, "exotic = 'use' AND license IS NOT NULL AND license != 'MIT'")
+_edge("edge_p25_exotic_not", {"to": {"exoticRequireNot": "^x", "license": "MIT"}}, "exotic = 'use' AND license = 'MIT'")
+_edge("edge_p31_pattern_dialect", {"from": {"path": "\\/packages\\/[^]*\\.ts$"}}, "regexp_matches(source, '/packages/.*\\.ts$')")
+_edge("edge_p32_back_reference", {"from": {"path": "([a-z])\\1"}}, "regexp_matches(source, '" + "|".join(c * 2 for c in "abcdefghijklmnopqrstuvwxyz") + "')")
 _edge("z02_escaped_captures", {"from": {"path": "^([0-9]+)/([^/]+/[^/]+)/.*\\.(ts|py)$"}, "to": {"path": "^$1/$2/"}}, "regexp_matches(source, '^[0-9]+/[^/]+/[^/]+/.*\\.(ts|py)$') AND starts_with(resolved, regexp_extract(source, '^([0-9]+/[^/]+/[^/]+/)', 1))")
 _edge("u03_defines", ru.substitute({"from": {"path": "^{{run}}/"}, "to": {"path": "{{ libs }}"}}, {"run": "[0-3]", "libs": "/libs/"}), "regexp_matches(source, '^[0-3]/') AND regexp_matches(resolved, '/libs/')")
 _edge("q21_glob_rule", ru.glob_rule("r", "**/libs/**/*.ts", "**/packages/**"), "regexp_matches(source, '^(.*/)?libs/(.*/)?[^/]*\\.ts$') AND regexp_matches(resolved, '^(.*/)?packages/')")
 
 
 @q(code("SELECT e.source, e.ord, e.resolved FROM e JOIN m a ON a.source = e.source JOIN m b ON b.source = e.resolved WHERE a.language = 'typescript' AND b.language IN ('javascript', 'typescript')"))
-def p26_p29_language(spark, d):
+def rule_p26_p29_language(spark, d):
     e = ev.with_facts(code_graph(spark, d)).where(edge_predicate(ru.rule({"from": {"language": "typescript"}, "to": {"language": ["javascript", "typescript"]}})))
     return e.select("source", "ord", "resolved")
 
 
 @q("SELECT told FROM (VALUES ('r: from.namespace is not recorded for typescript'), ('r: to.assembly is not recorded for typescript, python')) v(told)")
-def p30_refused(spark, d):
+def rule_p30_refused(spark, d):
     rs = ru.load({"forbidden": [{"name": "r", "from": {"namespace": "x"}, "to": {"assembly": "y"}}]})
     return rows_of(spark, [(x,) for x in ru.refuse_unrecorded(rs, ["typescript", "python"])], "told string")
 
 
 @q("SELECT pattern, safe FROM (VALUES ('^src/[^/]+', true), ('(a+)+$', false), ('(x|y)*', true)) v(pattern, safe)")
-def p33_safe_patterns(spark, d):
+def rule_p33_safe_patterns(spark, d):
     return rows_of(spark, [(p, not regex.check(p)) for p in ("^src/[^/]+", "(a+)+$", "(x|y)*")], "pattern string, safe boolean")
 
 
@@ -110,13 +110,13 @@ def p33_safe_patterns(spark, d):
 
 
 @q(code("SELECT m.source FROM m LEFT JOIN (SELECT dst, count(*) FILTER (WHERE NOT regexp_matches(src, '/test/')) AS n FROM p GROUP BY dst) x ON x.dst = m.source WHERE regexp_matches(m.source, '/libs/') AND NOT regexp_matches(m.source, '\\.js$') AND coalesce(n, 0) > 2"))
-def p08_p09_module_paths(spark, d):
+def rule_p08_p09_module_paths(spark, d):
     rs = ru.load({"forbidden": [{"name": "r", "from": {"pathNot": "/test/"}, "module": {"path": "/libs/", "pathNot": "\\.js$", "numberOfDependentsMoreThan": 2}}]})
     return ev.module_violations(code_graph(spark, d), rs).select(F.col("from").alias("source"))
 
 
 @q(code("SELECT source FROM m WHERE regexp_matches(source, '^[0-9]+/(libs|tools)/') AND NOT regexp_matches(source, '/libs/[a-m]') AND source NOT IN (SELECT node FROM r WHERE seed != node)", "r AS (SELECT src AS seed, dst AS node FROM p WHERE regexp_matches(src, '^[0-9]+/services/') UNION SELECT r.seed, p.dst FROM r JOIN p ON p.src = r.node)", True))
-def p12_p13_target_paths(spark, d):
+def rule_p12_p13_target_paths(spark, d):
     rs = ru.load({"forbidden": [{"name": "r", "from": {"path": "^[0-9]+/services/"}, "to": {"path": "^[0-9]+/(libs|tools)/", "pathNot": "/libs/[a-m]", "reachable": False}}]})
     return ev.module_violations(code_graph(spark, d), rs).select(F.col("from").alias("source"))
 

@@ -247,7 +247,7 @@ def v09_circular_components(spark, d):
     return v.join(gr.components(g.pairs), "node").select(F.col("scc").alias("component"), "rule", "severity").distinct()
 
 
-@q(code("SELECT name, sum(length(source)) AS size, sum(length(source) % 7) AS statements FROM f GROUP BY name", _FOLDERS))
+@q(code("SELECT name, CAST(sum(length(source)) AS BIGINT) AS size, CAST(sum(length(source) % 7) AS BIGINT) AS statements FROM f GROUP BY name", _FOLDERS))
 def a18_stats(spark, d):
     g = code_graph(spark, d)
     m = g.modules.withColumn("size", F.length("source").cast("bigint")).withColumn("statements", (F.length("source") % 7).cast("bigint"))

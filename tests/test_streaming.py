@@ -1,5 +1,6 @@
 """Arriving edges: a re-check per batch, windows, and the result cache."""
 
+import uuid
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,8 +74,9 @@ def test_cache(spark):
         made.append(1)
         return spark.range(3).toDF("x")
 
-    key = st.cache_key("config", spark.range(5).toDF("a"))
-    assert key == st.cache_key("config", spark.range(5).toDF("a").repartition(3)) != st.cache_key("other", spark.range(5).toDF("a"))
+    config = uuid.uuid4().hex  # results outlive a session: one that no earlier run has saved
+    key = st.cache_key(config, spark.range(5).toDF("a"))
+    assert key == st.cache_key(config, spark.range(5).toDF("a").repartition(3)) != st.cache_key("other", spark.range(5).toDF("a"))
     assert st.cached(spark, key, make).count() == 3 and st.cached(spark, key, make).count() == 3 and len(made) == 1
     a = spark.createDataFrame([("x", "1"), ("y", "2"), ("n", "1")], "path string, fingerprint string")
     b = spark.createDataFrame([("x", "1"), ("y", "3"), ("d", "1")], "path string, fingerprint string")

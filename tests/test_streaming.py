@@ -1,6 +1,7 @@
 """Arriving edges: a re-check per batch, windows, and the result cache."""
 
 import uuid
+
 import pytest
 from pyspark.sql import functions as F
 

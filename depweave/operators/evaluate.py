@@ -117,13 +117,15 @@ def _reached_by_another(pairs: DataFrame, seeds: DataFrame, blocked: DataFrame |
 
 def reaches_violations(g: Graph, r: Rule) -> DataFrame:
     """``reachable: true``: each selecting module and each target it reaches, with a path."""
-    hit = reached(g, r)
-    found = regex.captured(F.col("seed"), r.from_.path) if r.from_.path else None
-    hit = hit.where(path_pair(F.col("source"), r.to.path, r.to.pathNot, found)).select(F.col("seed").alias("from"), F.col("source").alias("to"))
-    hit = materialize(hit, "reached")
     seen = g.with_(edges=view_edges(g.edges, r.graph))
     blocked = _seen(g, r)[1]
-    return violations_table(paths(seen, hit, blocked), type=F.lit("reachability"), from_=F.col("from"), to=F.col("to"), rule=F.lit(r.name), severity=F.lit(r.severity), via=F.col("via"))
+    if r.from_.path and any(f"${d}" in (p or "") for p in (r.to.path, r.to.pathNot) for d in range(10)):
+        hit = reached(g, r).where(path_pair(F.col("source"), r.to.path, r.to.pathNot, regex.captured(F.col("seed"), r.from_.path)))
+        ways = paths(seen, materialize(hit.select(F.col("seed").alias("from"), F.col("source").alias("to")), "reached"), blocked)
+    else:  # what is looked for is the same for every start
+        ends = _seeds(g, r).select(F.col("seed").alias("from"), F.lit(None).cast("string").alias("to"))
+        ways = paths(seen, ends, blocked, lambda c: path_pair(c, r.to.path, r.to.pathNot))
+    return violations_table(ways, type=F.lit("reachability"), from_=F.col("from"), to=F.col("to"), rule=F.lit(r.name), severity=F.lit(r.severity), via=F.col("via"))
 
 
 def unreachable_modules(g: Graph, r: Rule) -> DataFrame:

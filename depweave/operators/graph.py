@@ -258,14 +258,26 @@ def _spread(pairs: DataFrame, label: DataFrame, combine: Callable[[Column], Colu
 def components(pairs: DataFrame) -> DataFrame:
     """(node, scc): strongly connected components of two and more nodes, or of one with an edge to itself.
 
-    A graph that fits a task is searched there. A larger one is trimmed of
-    nodes on no cycle, which have no row, until it does; what is still larger
-    goes through forward-backward colouring: the least name that reaches a node
-    is its colour, a colour's component is what leads back to that name within
-    the colour. ``scc`` is the least name of the component.
+    A graph that fits a task is searched there, a larger one piece by piece.
+    Pieces that fit no task are trimmed of nodes on no cycle, which have no
+    row, until they do; what is still larger goes through forward-backward
+    colouring: the least name that reaches a node is its colour, a colour's
+    component is what leads back to that name within the colour. ``scc`` is
+    the least name of the component.
     """
     pairs = materialize(pairs.select("src", "dst").distinct(), "pairs")
-    return materialize(local.components(pairs), "components") if local.fits(pairs) else _components(pairs)
+    if local.fits(pairs):
+        return materialize(local.components(pairs), "components")
+    split = local.pieces(pairs)
+    if split is None:
+        return _components(pairs)
+    bins, whole = split
+    found = local.components_in_pieces(pairs, bins.where("bin >= 0"))
+    if whole:
+        return materialize(found, "components")
+    with scratch() as keep:
+        keep.append(materialize(found.unionByName(_components(local.binned(pairs, bins.where("bin < 0"), "src").select("src", "dst"))), "components"))
+        return keep[0]
 
 
 @in_sized_partitions
@@ -507,15 +519,37 @@ def first_path(adjacency: dict[str, list[tuple[str, list[str]]]], start: str, go
     return []
 
 
-def paths(g: Graph, ends: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+def paths(g: Graph, ends: DataFrame, blocked: DataFrame | None = None, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
     """(from, to, via): a shortest path for each pair that has one (G10), from all starts at once.
 
     Of several shortest paths the one least in byte order of its names is
-    given. ``blocked`` (node) is not continued from.
+    given. ``blocked`` (node) is not continued from. With ``wanted``, a start
+    whose ``to`` is null looks for all nodes but itself whose name it holds for.
     """
     e = materialize(g.edges.groupBy("source", "resolved").agg(F.min_by("dependencyTypes", "ord").alias("ty")), "edges")
     pairs = e.select(F.col("source").alias("src"), F.col("resolved").alias("dst"))
-    return _with_types(local.paths(pairs, ends, blocked), e) if local.fits(pairs) else _paths(e, ends, blocked)
+    if wanted is None and local.fits(pairs):
+        return _with_types(local.paths(pairs, ends, blocked), e)
+    split = local.pieces(pairs)
+    if split is None:
+        return _paths(e, _named(pairs, ends, blocked, wanted), blocked)
+    bins, whole = split
+    out = local.paths_in_pieces(e, ends, bins.where("bin >= 0"), blocked, wanted)
+    if whole:
+        return out
+    large = bins.where("bin < 0")
+    e = materialize(local.binned(e, large, "source").drop("piece", "bin"), "edges")
+    pairs = e.select(F.col("source").alias("src"), F.col("resolved").alias("dst"))
+    return out.unionByName(_paths(e, _named(pairs, local.binned(ends, large, "from").drop("piece", "bin"), blocked, wanted), blocked))
+
+
+def _named(pairs: DataFrame, ends: DataFrame, blocked: DataFrame | None, wanted: Callable[[Column], Column] | None) -> DataFrame:
+    """(from, to) with every ``to`` named: what a start without one reaches of what is wanted."""
+    if wanted is None:
+        return ends
+    seeds = ends.where("`to` is null").select(F.col("from").alias("seed"), F.col("from").alias("node"))
+    met = reach(pairs, seeds, blocked=blocked).where(wanted(F.col("node")) & (F.col("seed") != F.col("node")))
+    return ends.where("`to` is not null").select("from", "to").unionByName(met.select(F.col("seed").alias("from"), F.col("node").alias("to")))
 
 
 def _with_types(ways: DataFrame, e: DataFrame) -> DataFrame:

@@ -3,24 +3,35 @@
 A graph whose distinct pairs stay below ``PAIRS`` rows and ``NAME_BYTES`` bytes
 of names is sent to all executors as two arrays, and the seeds are searched in
 parallel, each in one go instead of one join per level. Both bounds are checked
-before anything is sent; larger graphs take the joins of ``graph``. What comes
-out is the same either way.
+before anything is sent. A larger graph whose names fall into pieces that no
+way connects (the repositories of a fleet, the runs of a table) is searched
+piece by piece, each in a task of its own, see ``pieces``; what fits in neither
+way takes the joins of ``graph``. What comes out is the same every way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depweave.session import materialize
+
 PAIRS = 1_000_000
 NAME_BYTES = 64 << 20
 ROWS_AT_ONCE = 100_000
+#: First segments of names, and pairs of them that edges connect, which the driver sorts into pieces.
+HEADS = 200_000
+#: Small pieces share a bin up to so many pairs; a bin's starts are shared among tasks up to so many pairs, and ways, times starts.
+BIN_PAIRS = 100_000
+BIN_WORK = 200_000_000
+BIN_WAYS = 1_000_000
 
 
 @dataclass
@@ -48,16 +59,72 @@ def fits(pairs: DataFrame) -> bool:
     return n <= PAIRS and (size or 0) <= NAME_BYTES
 
 
-def load(pairs: DataFrame, blocked: DataFrame | None = None) -> Adjacency:
-    """The pairs as arrays, for a graph that ``fits``; of ``blocked`` (node) only what lies in the graph is read."""
-    t = pairs.select("src", "dst").toArrow()
-    src, dst = (t.column(c).combine_chunks().cast(pa.string()) for c in ("src", "dst"))
+def head(name: Column) -> Column:
+    return F.substring_index(name, "/", 1)
+
+
+def pieces(pairs: DataFrame) -> tuple[DataFrame, bool] | None:
+    """((head, piece, bin) of all names that have targets, whether every bin fits a task), None where there are too many heads.
+
+    The head of a name is its first segment. Heads belong together if an edge
+    leads from one to a node of the other that has targets itself; a node
+    without targets ends every way, so it may lie in many pieces. Thus no way
+    leaves a piece, and a pair lies in the piece of its source. A piece beyond
+    the bounds has bin -1. ``pairs`` should be a written table.
+    """
+    heads = pairs.groupBy(head(F.col("src")).alias("head")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("src") + F.octet_length("dst")).alias("size"))
+    rows = heads.limit(HEADS + 1).collect()
+    cross = pairs.select(head(F.col("src")).alias("a"), head(F.col("dst")).alias("b"), F.col("dst").alias("src")).where("a != b").distinct()
+    cross = cross.join(heads.select(F.col("head").alias("b")), "b", "left_semi").join(pairs.select("src"), "src", "left_semi").select("a", "b").distinct().limit(HEADS + 1)
+    links = cross.collect() if len(rows) <= HEADS else []
+    if max(len(rows), len(links)) > HEADS:
+        return None
+    of = {r["head"]: r["head"] for r in rows}
+
+    def find(x: str) -> str:
+        while of[x] != x:
+            of[x] = x = of[of[x]]
+        return x
+
+    for a, b in links:
+        of[find(a)] = find(b)
+    parts: dict[str, list] = {}
+    for r in rows:
+        parts.setdefault(find(r["head"]), []).append(r)
+    told, whole, bin_, n, size = [], True, 0, 0, 0
+    for piece, part in enumerate(sorted(parts.values(), key=lambda p: (-sum(r["n"] for r in p), p[0]["head"]))):
+        dn, ds = sum(r["n"] for r in part), sum(r["size"] or 0 for r in part)
+        if dn > PAIRS or ds > NAME_BYTES:
+            told += [(r["head"], piece, -1) for r in part]
+            whole = False
+            continue
+        if n and (n + dn > BIN_PAIRS or size + ds > NAME_BYTES):
+            bin_, n, size = bin_ + 1, 0, 0
+        n, size = n + dn, size + ds
+        told += [(r["head"], piece, bin_) for r in part]
+    kind = pa.schema([("head", pa.string()), ("piece", pa.int32()), ("bin", pa.int32())])
+    return pairs.sparkSession.createDataFrame(pa.table([[x[i] for x in told] for i in range(3)], schema=kind)), whole
+
+
+def binned(df: DataFrame, bins: DataFrame, name: str) -> DataFrame:
+    """``df`` with the ``piece`` and ``bin`` of the names in a column; rows of names without targets go."""
+    return df.join(F.broadcast(bins), head(F.col(name)) == bins["head"]).drop("head")
+
+
+def _arrays(src: pa.StringArray, dst: pa.StringArray) -> tuple[Adjacency, np.ndarray, np.ndarray]:
+    """The pairs as arrays, the number of each one's source, and where each stood before they were put in order."""
     names = pc.unique(pa.concat_arrays([src, dst]))
     names = names.take(pc.sort_indices(names))
     a, b = (pc.index_in(x, value_set=names).to_numpy(zero_copy_only=False).astype(np.int64) for x in (src, dst))
     order = np.lexsort((b, a))
     first = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(names)))]) if len(names) else np.zeros(1, np.int64)
-    out = Adjacency(names, first.astype(np.int64), b[order].astype(np.int64), np.zeros(len(names), bool))
+    return Adjacency(names, first.astype(np.int64), b[order].astype(np.int64), np.zeros(len(names), bool)), a[order], order
+
+
+def load(pairs: DataFrame, blocked: DataFrame | None = None) -> Adjacency:
+    """The pairs as arrays, for a graph that ``fits``; of ``blocked`` (node) only what lies in the graph is read."""
+    t = pairs.select("src", "dst").toArrow()
+    out, _, _ = _arrays(*(t.column(c).combine_chunks().cast(pa.string()) for c in ("src", "dst")))
     if blocked is not None:
         ends = pairs.select(F.col("src").alias("node"))
         hit = blocked.select("node").distinct().join(ends, "node", "left_semi").toArrow().column("node").combine_chunks().cast(pa.string())
@@ -229,26 +296,131 @@ def paths(pairs: DataFrame, ends: DataFrame, blocked: DataFrame | None = None) -
     return _by_seed(ends.select(F.col("from").alias("seed"), F.col("to").alias("node")), "node").mapInArrow(run, "`from` string, `to` string, way array<string>")
 
 
+def paths_in_pieces(e: DataFrame, ends: DataFrame, bins: DataFrame, blocked: DataFrame | None = None, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(from, to, via) as ``graph.paths`` gives it, for the starts that lie in ``bins``; ``e`` is (source, resolved, ty), a written table.
+
+    A bin's pairs are sent to each task that shares its starts; nodes that lead
+    to no target of the bin are left out first.
+    """
+    step = pa.struct([("name", pa.string()), ("dependencyTypes", pa.list_(pa.string()))])
+    kind = pa.schema([("from", pa.string()), ("to", pa.string()), ("via", pa.list_(step))])
+    e = binned(e.select("source", "resolved", F.coalesce("ty", F.array().cast("array<string>")).alias("ty"), (wanted(F.col("resolved")) if wanted else F.lit(False)).alias("want")), bins, "source")
+    ends = binned(ends.select("from", "to").distinct(), bins, "from")
+    size = e.groupBy("bin", "piece").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("want"), F.col("resolved"))).alias("w"))
+    starts = ends.groupBy("piece").agg(F.count_distinct("from").alias("s"), F.count("to").alias("g"))
+    work = size.join(starts, "piece").groupBy("bin").agg(F.sum("s").alias("s"), F.ceil(F.sum(F.col("n") * F.col("s")) / BIN_WORK).alias("a"), F.ceil(F.sum(F.col("w") * F.col("s") + F.col("g")) / BIN_WAYS).alias("b"))
+    shares = materialize(work.select("bin", F.least(F.greatest("a", "b", F.lit(1)), F.col("s")).cast("int").alias("shares")), "shares")
+    left = e.join(F.broadcast(shares), "bin").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    if blocked is not None:
+        left = left.join(blocked.select(F.col("node").alias("source")).distinct().withColumn("stop", F.lit(True)), "source", "left")
+    else:
+        left = left.withColumn("stop", F.lit(False))
+    right = ends.join(F.broadcast(shares), "bin").withColumn("share", F.expr("pmod(hash(`from`), shares)"))
+
+    def run(pairs: pa.Table, starts: pa.Table) -> pa.Table:
+        if not pairs.num_rows or not starts.num_rows:
+            return kind.empty_table()
+        adj, by, order = _arrays(*(pairs.column(c).combine_chunks().cast(pa.string()) for c in ("source", "resolved")))
+        flag = lambda c: pc.fill_null(pairs.column(c), False).combine_chunks().to_numpy(zero_copy_only=False)[order]
+        adj.stop[by[flag("stop")]] = True
+        every = np.unique(adj.to[flag("want")])
+        a, b = (adj.numbers(starts.column(c).combine_chunks().cast(pa.string())) for c in ("from", "to"))
+        open_ = starts.column("to").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        here = (a >= 0) & (open_ | (b >= 0))
+        a, b, open_ = a[here], b[here], open_[here]
+        kept = np.flatnonzero(_leading(adj, by, np.concatenate([b[~open_], every if open_.any() else every[:0]]))[adj.to])
+        types = pairs.column("ty").combine_chunks().cast(pa.list_(pa.string())).take(pa.array(order[kept]))
+        by = by[kept]
+        adj = Adjacency(adj.names, np.searchsorted(by, np.arange(len(adj.names) + 1)), adj.to[kept], adj.stop)
+        asked = [(s, np.array(list(at))) for s, at in groupby(np.argsort(a, kind="stable"), key=lambda i: a[i])]
+        goals = [np.union1d(every[every != s] if open_[at].any() else every[:0], b[at][~open_[at]]) for s, at in asked]
+        found = list(_ways(adj, by, [(s, x) for (s, _), x in zip(asked, goals)]))
+        if not found:
+            return kind.empty_table()
+        froms, tos, sizes, flat = (np.concatenate(x) for x in zip(*found))
+        name = lambda x: adj.names.take(pa.array(x))
+        via = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.StructArray.from_arrays([name(adj.to[flat]), types.take(pa.array(flat))], fields=list(step)))
+        return pa.Table.from_arrays([name(froms), name(tos), via], schema=kind)
+
+    left = left.select(F.col("bin").alias("bin_l"), F.col("share").alias("share_l"), "source", "resolved", "ty", "want", "stop")
+    right = right.select(F.col("bin").alias("bin_r"), F.col("share").alias("share_r"), "from", "to")
+    return left.groupBy("bin_l", "share_l").cogroup(right.groupBy("bin_r", "share_r")).applyInArrow(lambda x, y: run(x, y), "`from` string, `to` string, via array<struct<name:string,dependencyTypes:array<string>>>")
+
+
+def _leading(adj: Adjacency, by: np.ndarray, goals: np.ndarray) -> np.ndarray:
+    """For each node, whether it is one of ``goals`` or one of them can be reached from it."""
+    back = np.argsort(adj.to, kind="stable")
+    turned = Adjacency(adj.names, np.searchsorted(adj.to[back], np.arange(len(adj.names) + 1)), by[back], np.zeros(len(adj.names), bool))
+    mark = np.zeros(len(adj.names), np.int64)
+    mark[goals] = 1
+    for _ in _search(turned, goals, 0, mark, 1):
+        pass
+    return mark == 1
+
+
+def _ways(adj: Adjacency, by: np.ndarray, asked: list[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(starts, goals met, steps of each way, pairs stepped over) for each (start, goals); ``by`` is the source of each pair.
+
+    Shortest ways, least in byte order among equals, for the same reason as in ``paths``.
+    """
+    n = len(adj.names)
+    mark, before, far = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for stamp, (start, goals) in enumerate(asked):
+        front, level = np.array([start]), 0
+        while len(front) and (mark[goals] != stamp).any():
+            level += 1
+            sizes = adj.first[front + 1] - adj.first[front]
+            at = np.repeat(adj.first[front] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            at = at[mark[adj.to[at]] != stamp]
+            at = at[np.sort(np.unique(adj.to[at], return_index=True)[1])]
+            new = adj.to[at]
+            mark[new], before[new], far[new] = stamp, at, level
+            front = new[~adj.stop[new]]
+        met = goals[mark[goals] == stamp]
+        if not len(met):
+            continue
+        steps = far[met]
+        flat = np.empty(steps.sum(), np.int64)
+        node, to, left = met, np.cumsum(steps) - 1, steps
+        while len(node):
+            flat[to] = before[node]
+            more = left > 1
+            node, to, left = by[before[node]][more], to[more] - 1, left[more] - 1
+        yield np.full(len(met), start), met, steps, flat
+
+
+def _strong_names(src: pa.StringArray, dst: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray]:
+    """(node, scc) of pairs, as arrays."""
+    names = pc.unique(pa.concat_arrays([src, dst]))
+    names = names.take(pc.sort_indices(names))
+    a, b = (pc.index_in(x, value_set=names).to_numpy(zero_copy_only=False).astype(np.int64) for x in (src, dst))
+    of = strong(len(names), a, b)
+    loops = np.zeros(len(names), bool)
+    loops[a[a == b]] = True
+    on = np.flatnonzero((np.bincount(of, minlength=len(names))[of] > 1) | loops)
+    return names.take(pa.array(on)), names.take(pa.array(of[on]))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, scc) of nodes on cycles, ``scc`` the least name of the component; one task searches the whole graph, which ``fits``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [x for x in batches if x.num_rows]
-        if not parts:
-            return
-        src, dst = (pa.concat_arrays([x.column(i) for x in parts]).cast(pa.string()) for i in (0, 1))
-        names = pc.unique(pa.concat_arrays([src, dst]))
-        names = names.take(pc.sort_indices(names))
-        a, b = (pc.index_in(x, value_set=names).to_numpy(zero_copy_only=False).astype(np.int64) for x in (src, dst))
-        of = strong(len(names), a, b)
-        loops = np.zeros(len(names), bool)
-        loops[a[a == b]] = True
-        on = np.flatnonzero((np.bincount(of, minlength=len(names))[of] > 1) | loops)
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(on)), names.take(pa.array(of[on]))], names=["node", "scc"])
+        if parts:
+            yield pa.RecordBatch.from_arrays([*_strong_names(*(pa.concat_arrays([x.column(i) for x in parts]).cast(pa.string()) for i in (0, 1)))], names=["node", "scc"])
 
     return pairs.select("src", "dst").coalesce(1).mapInArrow(run, "node string, scc string")
 
 
+def components_in_pieces(pairs: DataFrame, bins: DataFrame) -> DataFrame:
+    """(node, scc) as ``components`` gives it, of the pairs whose source lies in ``bins``, a task for each bin."""
+
+    def run(pairs: pa.Table) -> pa.Table:
+        return pa.Table.from_arrays([*_strong_names(*(pairs.column(c).combine_chunks().cast(pa.string()) for c in ("src", "dst")))], names=["node", "scc"])
+
+    return binned(pairs, bins, "src").groupBy("bin").applyInArrow(lambda x: run(x), "node string, scc string")
+
+
 def strong(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least node of each node's strongly connected component; depth-first with a path stack, without recursion."""
     order = np.argsort(a, kind="stable")

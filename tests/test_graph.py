@@ -163,6 +163,37 @@ def test_both_ways_of_searching_agree(spark, rows, monkeypatch, seed):
     assert told[0][5] == sorted((n, v[0], v[-1]) for n, v in by.items() if v)
 
 
+def _fleet(seed):
+    """Edges of four repositories with targets in common, two of which one way connects."""
+    rng = random.Random(seed)
+    edges = {(f"r{k}/n{rng.randrange(12)}", f"r{k}/n{rng.randrange(12)}") for k in range(4) for _ in range(22)}
+    edges |= {(f"r{k}/n{rng.randrange(12)}", to) for k in range(4) for to in ("fs", "path", "r9/gone")}
+    return sorted(edges | {("r0/n1", "r1/n2")})
+
+
+@pytest.mark.parametrize("bound", [60, 30])
+def test_a_graph_beyond_a_task_is_searched_piece_by_piece(spark, rows, monkeypatch, bound):
+    from depweave.operators import graph as gr
+
+    edges = _fleet(bound)
+    g = graph(spark, edges)
+    named = spark.createDataFrame([(a, b) for a in ("r0/n1", "r2/n3", "fs", "zz") for b in ("fs", "r1/n4", "r2/n3", "r2/n5", "r9/gone")], "`from` string, `to` string")
+    open_ = spark.createDataFrame([(f"r{k}/n{i}", None) for k in range(4) for i in range(0, 12, 2)], "`from` string, `to` string")
+    stop = spark.createDataFrame([("r0/n4",), ("r2/n6",), ("fs",)], "node string")
+    wanted = lambda c: c.rlike("[1357]$|fs|gone")
+    told = lambda: [rows(components(g.pairs), "node", "scc"), *[rows(paths(g, *x), "from", "to", "via") for x in ((open_, None, wanted), (named, stop))[: bound // 30]]]
+    want = told()
+    close = _closure(edges)
+    assert [(a, b, len(v)) for a, b, v in want[1]] == sorted((a, b, d) for a in close if a[-1] in "02468" for b, d in close[a].items() if b != a and (b[-1] in "1357" or b in ("fs", "r9/gone")))
+    monkeypatch.setattr(local, "PAIRS", bound)
+    if bound == 60:  # every piece fits a task, so no round is needed
+        for f in ("_reach", "_paths", "_components"):
+            monkeypatch.setattr(gr, f, None)
+        monkeypatch.setattr(local, "BIN_WAYS", 5)
+        monkeypatch.setattr(local, "BIN_PAIRS", 1)
+    assert told() == want
+
+
 def test_rounds_leave_no_tables(spark, monkeypatch):
     from depweave import session
 

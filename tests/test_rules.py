@@ -156,6 +156,22 @@ def test_narrowed_graphs(spark):
     assert ev.vacuous(g, rs) == ["r"]
 
 
+def _beyond_a_task(monkeypatch):
+    """A task takes four pairs, and no search by rounds is there."""
+    from depweave.operators import graph as gr, local
+
+    monkeypatch.setattr(local, "PAIRS", 4)
+    for f in ("_reach", "_paths", "_components"):
+        monkeypatch.setattr(gr, f, None)
+
+
+def test_reach_rules_over_pieces(spark, rows, monkeypatch):
+    _beyond_a_task(monkeypatch)
+    g = Graph.of(edges(spark, [("1/a/x", "1/m"), ("1/m", "1/t/z"), ("1/m", "fs"), ("1/t/z", "1/a/x"), ("2/a/x", "2/t/z"), ("2/t/z", "fs")]))
+    rs = ru.load({"forbidden": [{"name": "far", "severity": "error", "from": {"path": "/a/"}, "to": {"path": "/t/|^fs|/a/", "reachable": True}}]})
+    assert rows(ev.module_violations(g, rs).select("from", "to", F.size("via").alias("n"))) == [("1/a/x", "1/t/z", 2), ("1/a/x", "fs", 2), ("2/a/x", "2/t/z", 1), ("2/a/x", "fs", 2)]
+
+
 def test_expiry_is_the_day_after():
     rs = ru.load({"forbidden": [{"name": "r", "expires": "2026-01-31"}]})
     assert ev.expired(rs, date(2026, 1, 31)) == [] and ev.expired(rs, date(2026, 2, 1)) == ["r"]

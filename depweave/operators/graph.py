@@ -11,8 +11,10 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import filterfalse
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -316,6 +318,8 @@ def _components(rest: DataFrame) -> DataFrame:
 
 #: Edges of a component whose cycles one task searches; more are shared by target among tasks that each hold the component's edges.
 EDGES_A_TASK = 10_000
+#: Steps of cycles whose names are put in at a time.
+STEPS_AT_ONCE = 1_000_000
 
 
 def first_cycle(adjacency: dict[str, list[tuple[str, list[str]]]], initial: str, current: str, types: list[str]) -> list[tuple[str, list[str]]]:
@@ -323,9 +327,11 @@ def first_cycle(adjacency: dict[str, list[tuple[str, list[str]]]], initial: str,
 
     A step that closes the cycle is taken before any deeper search; targets
     already tried are not tried again; a way that comes back through the node
-    it left is dropped. Iterative, so depth is not limited.
+    it left is dropped. Iterative, so depth is not limited. Once all targets
+    of a node were tried, nothing is found by coming to it again.
     """
     tried: set[str] = set()
+    done: set[str] = set()
 
     def enter(node: str, by: list[str]) -> list | tuple:
         es = [(t, ty) for t, ty in adjacency.get(node, ()) if t not in tried]
@@ -342,9 +348,12 @@ def first_cycle(adjacency: dict[str, list[tuple[str, list[str]]]], initial: str,
         node, by, rest = stack[-1]
         step = next(rest, None)
         if step is None:
+            done.add(node)
             stack.pop()
             continue
         t, ty = step
+        if t in done:
+            continue
         tried.add(t)
         down = enter(t, ty)
         if isinstance(down, tuple):
@@ -364,45 +373,61 @@ def first_cycle(adjacency: dict[str, list[tuple[str, list[str]]]], initial: str,
     return []
 
 
-def first_cycles(adjacency: dict[str, list[tuple[str, list[str]]]], current: str, initials: dict[str, list[str]]) -> dict[str, list[tuple[str, list[str]]]]:
-    """``first_cycle`` for all edges into ``current`` at once; ``initials`` has the types of the edge from each source.
+def first_types(adjacency: dict[str, list[tuple[str, list[str]]]]) -> dict[str, dict[str, list[str]]]:
+    """The targets of each node in edge order, each once, with the types of the first edge to it."""
+    out: dict[str, dict[str, list[str]]] = {}
+    for s, es in adjacency.items():
+        own = out[s] = {}
+        for t, ty in es:
+            own.setdefault(t, ty)
+    return out
+
+
+def first_cycles(adjacency: dict[str, list[tuple[str, list[str]]]], current: str, initials: dict[str, list[str]], first: dict[str, dict[str, list[str]]] | None = None) -> dict[str, list[tuple[str, list[str]]]]:
+    """``first_cycle`` for all edges into ``current`` at once; ``initials`` has the types of the edge from each source, ``first`` is ``first_types``.
 
     The search from a target goes the same way whatever source is looked for,
     until a step to that source is first seen: one search notes for each source
-    where that is. Only a source first seen below a second visit of the
-    target, which the rule drops, is looked for on its own.
+    where that is. A target tried since a node was come to is searched already,
+    so each node is come to once, and the target itself a second time. Only a
+    source first seen below that second visit, which the rule drops, is looked
+    for on its own.
     """
+    first = first_types(adjacency) if first is None else first
+    none: dict[str, list[str]] = {}
     tried: set[str] = set()
     open_ = set(initials)
     out: dict[str, list[tuple[str, list[str]]]] = {}
     alone: list[str] = []
-    stack: list[tuple[str, list[str], Iterator]] = []
-    again = 0  # frames of a second visit of the target
+    stack: list[tuple[str, Iterator]] = []
+    way: list[tuple[str, list[str]]] = []  # the steps of the stack
+    again = False  # below a second visit of the target
 
     def enter(node: str, by: list[str]) -> None:
         nonlocal again
-        es = [(t, ty) for t, ty in adjacency.get(node, ()) if t not in tried]
-        again += bool(stack) and node == current
-        for t, ty in es:
-            if t in open_:
-                open_.discard(t)
-                if again:
-                    alone.append(t)
-                    continue
-                way = [(n, b) for n, b, _ in stack] + [(node, by)]
-                way[0] = (current, initials[t])
-                out[t] = [(t, ty)] if t == current else way + [(t, ty)]
-        stack.append((node, by, iter(es)))
+        es = first.get(node, none)
+        again = again or bool(stack) and node == current
+        way.append((node, by))
+        for t in [t for t in es if t in open_] if len(es) < len(open_) else [t for t in open_ if t in es]:
+            open_.discard(t)
+            if again:
+                alone.append(t)
+            else:
+                out[t] = [(t, es[t])] if t == current else [(current, initials[t]), *way[1:], (t, es[t])]
+        stack.append((node, filterfalse(tried.__contains__, es)))
 
     enter(current, [])
     while stack and open_:
-        step = next(stack[-1][2], None)
+        node, rest = stack[-1]
+        step = next(rest, None)
         if step is None:
-            again -= len(stack) > 1 and stack[-1][0] == current
+            if len(stack) > 1 and node == current:
+                again = False
             stack.pop()
+            way.pop()
             continue
-        tried.add(step[0])
-        enter(*step)
+        tried.add(step)
+        enter(step, first[node][step])
     for s in alone:
         out[s] = first_cycle(adjacency, s, current, initials[s])
     return out
@@ -427,30 +452,43 @@ def cycles(g: Graph, scc: DataFrame | None = None, exact_edges: int | None = Non
     shares = here.select("scc", F.ceil(F.col("n") / edges_a_task).cast("int").alias("shares"))
     sent = inside.join(shares, "scc").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["source", "ord"])
-        share, shares = int(pdf["share"].iloc[0]), int(pdf["shares"].iloc[0])
-        adjacency: dict[str, list[tuple[str, list[str]]]] = {}
-        as_list = lambda t: [] if t is None else list(t)
-        for s, t, ty in zip(pdf["source"], pdf["resolved"], pdf["dependencyTypes"]):
-            adjacency.setdefault(s, []).append((t, as_list(ty)))
+    kind = pa.schema([("source", pa.string()), ("ord", pa.int64()), ("cycle", pa.list_(pa.struct([("name", pa.string()), ("dependencyTypes", pa.list_(pa.string()))])))])
+
+    def search(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("source", "ascending"), ("ord", "ascending")])
+        share, shares = t.column("share")[0].as_py(), t.column("shares")[0].as_py()
+        source, resolved, types = (t.column(c).combine_chunks().cast(k) for c, k in (("source", pa.string()), ("resolved", pa.string()), ("types", pa.list_(pa.string()))))
+        steps = pa.StructArray.from_arrays([resolved, types], fields=list(kind.field("cycle").type.value_type))
+        # a step is told by the number of its edge; names and types are put in when the cycles are known
+        ends = list(zip(source.to_pylist(), resolved.to_pylist()))
+        adjacency: dict[str, list[tuple[str, int]]] = {}
+        for i, (s, to) in enumerate(ends):
+            adjacency.setdefault(s, []).append((to, i))
+        first = first_types(adjacency)
         # edges into one target are searched together; the first of those between two modules gives the types
-        into: dict[str, dict[str, list[str]]] = {}
-        for s, es in adjacency.items():
-            for t, ty in es:
-                if zlib.crc32(t.encode("utf-8", "surrogatepass")) % shares == share:
-                    into.setdefault(t, {}).setdefault(s, ty)
-        found: dict[tuple[str, str], list] = {}
-        for t, initials in into.items():
-            for s, way in first_cycles(adjacency, t, initials).items():
-                found[(s, t)] = [{"name": n, "dependencyTypes": ty} for n, ty in way]
-        out = []
-        for s, o, t in zip(pdf["source"], pdf["ord"], pdf["resolved"]):
-            if found.get((s, t)):
-                out.append((s, o, found[(s, t)]))
-        return pd.DataFrame(out, columns=["source", "ord", "cycle"])
-
-    found = sent.groupBy("scc", "share").applyInPandas(search, f"source string, ord long, cycle array<{STEP}>")
+        into: dict[str, dict[str, int]] = {}
+        for s, es in first.items():
+            for to, i in es.items():
+                if zlib.crc32(to.encode("utf-8", "surrogatepass")) % shares == share:
+                    into.setdefault(to, {})[s] = i
+        found: dict[tuple[str, str], np.ndarray] = {}
+        for to, initials in into.items():
+            for s, way in first_cycles(adjacency, to, initials, first).items():
+                found[(s, to)] = np.array([i for _, i in way], np.int32)
+        parts, held, n = [], [], 0
+        for i, e in enumerate(ends):
+            if len(found.get(e, ())):
+                held.append((i, found[e]))
+                n += len(found[e])
+            if held and (n > STEPS_AT_ONCE or i + 1 == len(ends)):
+                rows = pa.array([r for r, _ in held])
+                way = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(w) for _, w in held]]).astype(np.int32)), steps.take(pa.array(np.concatenate([w for _, w in held]))))
+                parts.append(pa.Table.from_arrays([source.take(rows), t.column("ord").combine_chunks().cast(pa.int64()).take(rows), way], schema=kind))
+                held, n = [], 0
+        return pa.concat_tables(parts) if parts else kind.empty_table()
+
+    sent = sent.withColumn("types", F.coalesce("dependencyTypes", F.array().cast("array<string>"))).drop("dependencyTypes")
+    found = sent.groupBy("scc", "share").applyInArrow(lambda t: search(t), f"source string, ord long, cycle array<{STEP}>")
     if exact_edges is not None:
         large = size.where(F.col("n") > exact_edges)
         if not large.isEmpty():

@@ -50,6 +50,24 @@ def test_first_cycle_is_deep_safe():
     assert len(first_cycle(adjacency(edges), "0", "1", [])) == n + 1
 
 
+def test_a_node_is_come_to_once_in_a_search():
+    # complete graph: every node is a target of all others, searched again and again if it were come to by each
+    from depweave.operators import graph as gr
+
+    n = 30
+    adj = adjacency([(f"n{i:02}", f"n{(i + k) % n:02}") for i in range(n) for k in range(1, n)])
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *x):
+            Counted.asked += 1
+            return super().get(*x)
+
+    first_cycles(Counted(adj), "n00", {"n01": [], "zz": []}, Counted(gr.first_types(adj)))
+    assert Counted.asked <= n + 1
+
+
 def test_searches_shared_by_target_give_the_same():
     rng = random.Random(7)
     seen = {"alone": 0}

@@ -172,6 +172,13 @@ def test_reach_rules_over_pieces(spark, rows, monkeypatch):
     assert rows(ev.module_violations(g, rs).select("from", "to", F.size("via").alias("n"))) == [("1/a/x", "1/t/z", 2), ("1/a/x", "fs", 2), ("2/a/x", "2/t/z", 1), ("2/a/x", "fs", 2)]
 
 
+def test_cycle_rules_over_pieces(spark, rows, monkeypatch):
+    _beyond_a_task(monkeypatch)
+    g = Graph.of(edges(spark, [("1/a", "1/b"), ("1/b", "1/a"), ("1/b", "fs"), ("2/a", "2/a"), ("2/a", "fs"), ("3/a", "3/b")]))
+    rs = ru.load({"forbidden": [{"name": "loop", "severity": "error", "to": {"circular": True}}]})
+    assert rows(ev.evaluate(g, rs).violations.select("from", "to", F.size("cycle").alias("n"))) == [("1/a", "1/b", 2), ("2/a", "2/a", 1)]
+
+
 def test_expiry_is_the_day_after():
     rs = ru.load({"forbidden": [{"name": "r", "expires": "2026-01-31"}]})
     assert ev.expired(rs, date(2026, 1, 31)) == [] and ev.expired(rs, date(2026, 2, 1)) == ["r"]

@@ -130,7 +130,7 @@ def f17_chains_through(spark, d):
 @q(code("SELECT seed AS \"from\", node AS \"to\", min(level) AS steps FROM r WHERE regexp_matches(node, '/shared/') AND seed != node GROUP BY ALL", "r AS (SELECT src AS seed, dst AS node, 1 AS level FROM p WHERE regexp_matches(src, '^[0-9]+/apps/[a-c]') UNION SELECT r.seed, p.dst, level + 1 FROM r JOIN p ON p.src = r.node WHERE level < 15)", True))
 def g12_reaches_derivation(spark, d):
     rs = ru.load({"forbidden": [{"name": "r", "severity": "error", "from": {"path": "^[0-9]+/apps/[a-c]"}, "to": {"path": "/shared/", "reachable": True}}]})
-    return ev.module_violations(code_graph(spark, d), rs).select("from", "to", F.size("via").alias("steps"))
+    return ev.module_violations(code_graph(spark, d, asked=["dependencyTypes"]), rs).select("from", "to", F.size("via").alias("steps"))
 
 
 @q(code("SELECT source, source IN (SELECT node FROM r WHERE seed != node) AS reached FROM m WHERE regexp_matches(source, '^[0-9]+/packages/')", "r AS (SELECT src AS seed, dst AS node FROM p WHERE regexp_matches(src, '^[0-9]+/packages/a') UNION SELECT r.seed, p.dst FROM r JOIN p ON p.src = r.node)", True))

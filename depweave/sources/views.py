@@ -24,14 +24,21 @@ def code_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("resolved", F.when(outside, path_form(F.col("resolved"))).otherwise(under("resolved"))).withColumn("source", under("source")).withColumn("ord", F.col("ord").cast("bigint"))
 
 
-def code_graph(spark: SparkSession, d: str, saved: bool = True) -> Graph:
+def code_graph(spark: SparkSession, d: str, saved: bool = True, asked: list[str] | None = None) -> Graph:
     """The graph of all runs. A module's language comes from its ending, its project is its first two folders.
 
     Deduplicated edges are written once, since most questions read the graph
     several times; ``saved`` off leaves everything lazy, for a single scan.
+    With ``asked``, only these columns of the edges and what makes the modules
+    are written, and modules stay lazy: for questions that read few of either.
     """
     write = materialize if saved else lambda df, label: df
-    g = Graph.of(write(code_edges(spark, d).drop("instability", "circular", "valid", "ingested_at", "extracted_at", "repo", "run_id"), "code-edges"))
+    e = code_edges(spark, d).drop("instability", "circular", "valid", "ingested_at", "extracted_at", "repo", "run_id")
+    if asked is not None:
+        e = e.select("source", "ord", "resolved", "coreModule", "couldNotResolve", "matchesDoNotFollow", *asked)
+    g = Graph.of(write(e, "code-edges"))
+    if asked is not None:
+        write = lambda df, label: df
     local = F.col("source").rlike("^[0-9]+/")
     project = F.when(local, F.nullif(F.regexp_extract("source", "^[0-9]+/[^/]+/[^/]+", 0), F.lit("")))
     return g.with_(modules=write(g.modules.withColumn("language", language(F.col("source"))).withColumn("project", project), "code-modules"))

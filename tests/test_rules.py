@@ -15,6 +15,7 @@ from depweave.plans import rules as ru
 from depweave.plans.compile import edge_predicate, via
 from depweave.sinks import reports as rp
 from depweave.sources import graphs as so
+from depweave.sources.views import code_graph
 
 
 def edges(spark, rows):
@@ -398,3 +399,14 @@ def test_sizes(spark):
     assert [r[0] for r in spark.createDataFrame([("a",), ("é",), ("😀",), ("",), (None,)], "s string").select(utf16_length(F.col("s"))).collect()] == [1, 1, 2, 0, None]
     g = Graph.of(edges(spark, [("a/x", "b/y")]))
     assert wi.count(g, "^a", "^b", 3) == (1, "within", 2)
+
+
+def test_reach_queries_write_what_they_ask_for(spark, rows, tmp_path):
+    e = edges(spark, [("apps/a/x", "apps/a/y", ["import"]), ("apps/a/y", "shared/z"), ("shared/z", "fs")]).selectExpr("1L AS run_id", "'r' AS repo", "*", "source AS module", "resolved = 'fs' AS coreModule", "false AS couldNotResolve", "false AS matchesDoNotFollow")
+    e.write.parquet(str(tmp_path / "edges.parquet"))
+    whole, lean = code_graph(spark, str(tmp_path)), code_graph(spark, str(tmp_path), asked=["dependencyTypes"])
+    cols = ["source", "ord", "resolved", "dependencyTypes"]
+    assert rows(lean.edges, *cols) == rows(whole.edges, *cols) and rows(lean.modules) == rows(whole.modules)
+    written = spark.read.parquet(lean.edges.inputFiles()[0].rsplit("/", 1)[0]).columns
+    assert sorted(written) == sorted([*cols, "coreModule", "couldNotResolve", "matchesDoNotFollow"])
+    assert set(lean.modules.inputFiles()) == set(lean.edges.inputFiles())

@@ -114,8 +114,52 @@ def folder_distance(a: Column, b: Column) -> Column:
     return (F.size(x) + F.size(y) - 2 * shared).cast("int")
 
 
-#: Distances up to which candidate folders are tried together; whoever has none goes on to the next.
-_RINGS = (-1, 2, 4, 8, 1 << 20)
+#: Distances up to which candidate folders are tried together; whoever has none goes on to the next. A module between two folders is as far from both as they are from each other, or farther. Moves come a turn later, when few are left that could still be the cheapest.
+_RINGS = {"move": (0, 0, 1, 2, 3, 4, 6, 8, 1 << 20), "port": (-1, 0, 2, 4, 8, 1 << 20)}
+_RANK = {"move": 0, "port": 1, "invert": 2}
+
+
+def _ways_up(c: Column) -> Column:
+    """The folders above a folder and itself, from the root on, each with its depth; an empty name is the root."""
+    parts = F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, "/"))
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("j_"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("up_")))
+
+
+def _near(left: DataFrame, folders: DataFrame, plan: str, low: int, high: int, deepest: int) -> DataFrame:
+    """``left`` with the folders in reach and how far ``away`` they are: above ``low``, up to ``high``.
+
+    A folder is met once, under the deepest folder above it that lies on the
+    way up from the violation's ends, and only at the depths that the distance
+    allows.
+    """
+    at = lambda c: F.get(F.transform(F.col(c), lambda x: x["up_"]), F.col("j_") + 1)
+    da, db = F.size("wa_") - 1, F.size("wb_") - 1
+    if plan == "move":
+        near, per, base = left.withColumn("x_", F.explode("wa_")), 1, da - 2 * F.col("x_.j_")
+    else:
+        near, per = left.withColumn("x_", F.explode(F.array_union("wa_", "wb_"))), 2
+        base = da + db - 2 * F.col("x_.j_") - 2 * F.least(F.col("x_.j_"), ((da + db - F.col("apart_")) / 2).cast("int"))
+        low, high = F.col("apart_") + low, F.col("apart_") + high
+    near = near.withColumns({"base_": base, "j_": F.col("x_.j_"), "up_": F.col("x_.up_")})
+    depth = lambda most: F.floor((F.lit(most) - F.col("base_")) / per).cast("int")
+    near = near.withColumns({"least_": F.greatest(F.col("j_"), depth(low) + 1), "most_": F.least(F.lit(deepest), depth(high)), "na_": at("wa_"), "nb_": at("wb_") if plan == "port" else F.lit(None).cast("string")}).where("least_ <= most_")
+    near = near.withColumn("df_", F.explode(F.sequence("least_", "most_"))).withColumn("away", (F.col("base_") + per * F.col("df_")).cast("int")).drop("x_", "wa_", "wb_", "least_", "most_")
+    same = (near["up_"] == folders["up_"]) & (near["j_"] == folders["j_"]) & (near["df_"] == folders["df_"]) & near["la_"].eqNullSafe(folders["language"])
+    return near.join(folders, same).where("next_ is null or (not next_ <=> na_ and not next_ <=> nb_)")
+
+
+#: Names up to which all tasks get them, to look for edges that touch one; more are joined.
+_FEW = 200_000
+
+
+def _touching_ends(g: Graph, ends: DataFrame) -> DataFrame:
+    """The edges from or to some names (end_), written once."""
+    ends = materialize(ends, "ends")
+    if ends.limit(_FEW + 1).count() <= _FEW:
+        ends = F.broadcast(ends)
+    side = lambda c, flag: ends.select(F.col("end_").alias(c), F.lit(True).alias(flag))
+    e = g.edges.join(side("source", "from_end_"), "source", "left").join(side("resolved", "to_end_"), "resolved", "left")
+    return materialize(e.where("from_end_ or to_end_").select(*g.edges.columns), "touching")
 
 
 def fix_plans(g: Graph, rules: RuleSet, violations: DataFrame) -> DataFrame:
@@ -140,50 +184,64 @@ def fix_plans(g: Graph, rules: RuleSet, violations: DataFrame) -> DataFrame:
     v = v.select("from", "to", "rule", F.when(F.col("type") == "reachability", via).otherwise(F.col("to")).alias("b")).distinct().withColumn("a", F.col("from"))
     own = g.modules.where(metrics.calculable()).select("source", "language")
     v = v.join(own.select(F.col("source").alias("a"), F.col("language").alias("la_")), "a").join(own.select(F.col("source").alias("b"), F.col("language").alias("lb_"), F.lit(True).alias("local_")), "b", "left")
-    pairs = materialize(g.pairs.where("src != dst"), "pairs")
-    outs = g.edges.groupBy(F.col("source").alias("a")).agg(F.count(F.lit(1)).alias("out_"))
+    v = materialize(v, "ends")
+    near = g.with_(edges=_touching_ends(g, v.select(F.explode(F.array("a", "b")).alias("end_")).where("end_ is not null").distinct()))
+    pairs = near.pairs.where("src != dst")
+    outs = near.edges.groupBy(F.col("source").alias("a")).agg(F.count(F.lit(1)).alias("out_"))
     ins = lambda c, n: pairs.groupBy(F.col("dst").alias(c)).agg(F.count(F.lit(1)).alias(n))
     back = pairs.select(F.col("src").alias("b"), F.col("dst").alias("a"), F.lit(1).alias("back_"))
     v = v.join(outs, "a", "left").join(ins("a", "in_a"), "a", "left").join(ins("b", "in_b"), "b", "left").join(back, ["a", "b"], "left")
     home = lambda c: F.when(dirname(F.col(c)) == ".", "").otherwise(dirname(F.col(c)))
     v = materialize(v.fillna(0, ["out_", "in_a", "in_b", "back_"]).withColumns({"ha_": home("a"), "hb_": home("b")}), "to-fix")
-    folder = own.select("language", F.explode(parents(dirname(F.col("source")))).alias("folder")).where("folder not in ('.', '/', '')").distinct()
-    above = materialize(folder.withColumn("up_", F.explode(F.concat(F.array(F.lit("")), parents(F.col("folder"))))), "folders")
+    folder = own.select("language", dirname(F.col("source")).alias("dir_")).distinct().select("language", F.explode(parents(F.col("dir_"))).alias("folder")).where("folder not in ('.', '/', '')").distinct()
+    folder = folder.withColumn("w_", _ways_up(F.col("folder"))).withColumn("x_", F.explode("w_")).withColumn("next_", F.get("w_", F.col("x_.j_") + 1)["up_"])
+    folders = materialize(folder.select("folder", "language", (F.size("w_") - 1).alias("df_"), "x_.j_", "x_.up_", "next_"), "folders")
+    deepest = folders.agg(F.max("df_")).first()[0] or 0
     base = materialize(violations.where("severity != 'ignore'").select(F.col("from").alias("f_"), F.col("to").alias("t_"), F.col("rule").alias("r_"), "type").distinct(), "base")
-    judge = _judge_together if not needs(rules) and not any(r.family != "dependency" for r in rules.all()) and not rules.required else _judge_alone
+    # rules about single edges need no edges but those of the violations' ends
+    together = not needs(rules) and not any(r.family != "dependency" for r in rules.all()) and not rules.required
+    judge, seen = (_judge_together, near) if together else (_judge_alone, g)
     keys = ["from", "to", "rule"]
     name = {"move": F.regexp_extract("a", "[^/]+$", 0), "port": F.concat(F.lit("port-"), F.regexp_extract("b", "[^/]+$", 0))}
     both = F.coalesce("local_", F.lit(False)) & F.col("la_").eqNullSafe(F.col("lb_"))
-    away = {"move": folder_distance(F.col("folder"), F.col("ha_")), "port": folder_distance(F.col("folder"), F.col("ha_")) + folder_distance(F.col("folder"), F.col("hb_"))}
     cost = {"move": F.col("out_") + F.col("in_a"), "port": F.lit(2), "invert": F.lit(2) - F.col("back_") + F.col("in_b") - F.lit(1)}
     inverted = v.where(F.coalesce("local_", F.lit(False))).select(*keys, "a", "b", "la_", F.lit("invert").alias("plan"), F.col("a").alias("target"), cost["invert"].cast("bigint").alias("cost"), F.lit(0).alias("away"), F.lit(0).alias("deep"))
-    found = [judge(g, rules, materialize(inverted, "plans"), base)]
-    for plan in ("move", "port"):
-        left = v if plan == "move" else v.where(both)
-        for low, high in zip(_RINGS, _RINGS[1:]):
-            if left.isEmpty():
-                break
-            near = left.withColumn("up_", F.explode(F.concat(F.array(F.lit("")), F.when(F.col("ha_") == "", F.array().cast("array<string>")).otherwise(parents(F.col("ha_")))))).where(folder_distance(F.col("ha_"), F.col("up_")) <= high)
-            near = near.join(above, (near["up_"] == above["up_"]) & near["la_"].eqNullSafe(above["language"])).drop("up_", "language").distinct()
-            near = near.withColumn("away", away[plan]).where((F.col("away") > low) & (F.col("away") <= high) & ((F.col("folder") != F.col("ha_")) | F.lit(plan != "move")))
-            near = near.withColumn("target", F.concat_ws("/", "folder", name[plan])).join(g.modules.select(F.col("source").alias("target")), "target", "left_anti")
-            near = near.select(*keys, "a", "b", "la_", F.lit(plan).alias("plan"), "target", cost[plan].cast("bigint").alias("cost"), "away", (-F.size(F.split("folder", "/"))).alias("deep"))
-            good = materialize(judge(g, rules, materialize(near, "plans"), base), "legal")
-            found.append(good)
-            left = materialize(left.join(good.select(*keys), keys, "left_anti"), "to-fix")
+    rank = F.when(F.col("plan") == "move", _RANK["move"]).when(F.col("plan") == "port", _RANK["port"]).otherwise(_RANK["invert"])
+    found = []
+    v = v.withColumns({"wa_": _ways_up(F.col("ha_")), "wb_": _ways_up(F.col("hb_")), "apart_": folder_distance(F.col("ha_"), F.col("hb_"))})
+    left = {"move": v, "port": v.where(both)}
+    for i in range(max(map(len, _RINGS.values())) - 1):
+        left = {plan: df for plan, df in left.items() if i + 1 < len(_RINGS[plan]) and not df.isEmpty()}
+        if i and not left:
+            break
+        tried = None if i else inverted
+        for plan, df in left.items():
+            at = _near(df, folders, plan, *_RINGS[plan][i : i + 2], deepest)
+            at = at.withColumn("target", F.concat_ws("/", "folder", name[plan])).join(g.modules.select(F.col("source").alias("target")), "target", "left_anti")
+            at = at.select(*keys, "a", "b", "la_", F.lit(plan).alias("plan"), "target", cost[plan].cast("bigint").alias("cost"), "away", (-F.size(F.split("folder", "/"))).alias("deep"))
+            tried = at if tried is None else tried.unionByName(at)
+        good = materialize(judge(seen, rules, materialize(tried, "plans"), base), "legal")
+        found.append(good)
+        done = good.groupBy(*keys).agg(F.min(F.struct("cost", rank.alias("p_"))).alias("done_"))
+        # what costs no less than a plan that is found need not be looked for
+        less = lambda plan: F.col("done_").isNull() | (F.struct(cost[plan].cast("bigint").alias("cost"), F.lit(_RANK[plan]).alias("p_")) < F.col("done_"))
+        left = {plan: materialize(df.join(done, keys, "left").where(less(plan)).drop("done_"), "to-fix") for plan, df in left.items()}
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    rank = F.when(F.col("plan") == "move", 0).when(F.col("plan") == "port", 1).otherwise(2)
     best = out.groupBy(*keys).agg(F.min(F.struct("cost", rank.alias("p_"), "away", "deep", "target", "plan")).alias("x"))
     return best.select(*keys, "x.plan", "x.target", "x.cost")
 
 
-def _added(g: Graph, plans: DataFrame) -> DataFrame:
-    """Edges that plans add, with the names they had before: the plans' columns and (s_, t_, s0_, t0_, real_) of each."""
+def _added(g: Graph, plans: DataFrame, own: bool = False) -> DataFrame:
+    """Edges that plans add, with the names they had before: the plans' columns and (s_, t_, s0_, t0_, real_) of each.
+
+    With ``own``, of the edges that move only the one that is to be changed.
+    """
     move, port, turn = (plans.where(F.col("plan") == p) for p in ("move", "port", "invert"))
     e = g.edges.select(F.col("source").alias("s0_"), F.col("resolved").alias("t0_")).distinct()
-    out, into = move.join(e, move["a"] == e["s0_"]), move.join(e, (move["a"] == e["t0_"]) & (e["s0_"] != e["t0_"]))
+    mine = (move["b"] == e["t0_"]) if own else F.lit(True)
+    out, into = move.join(e, (move["a"] == e["s0_"]) & mine), move.where(F.lit(not own)).join(e, (move["a"] == e["t0_"]) & (e["s0_"] != e["t0_"]))
     out = out.withColumns({"s_": F.col("target"), "t_": F.when(F.col("t0_") == F.col("a"), F.col("target")).otherwise(F.col("t0_"))})
     into = into.withColumns({"s_": F.col("s0_"), "t_": F.col("target")})
     new = lambda df, s, t: df.withColumns({"s_": F.col(s), "t_": F.col(t), "s0_": F.col(s), "t0_": F.col(t)})
@@ -191,9 +249,15 @@ def _added(g: Graph, plans: DataFrame) -> DataFrame:
 
 
 def _judge_together(g: Graph, rules: RuleSet, plans: DataFrame, base: DataFrame) -> DataFrame:
-    """The legal plans, for rules that look at single edges alone."""
+    """The legal plans, for rules that look at single edges alone: what the edge to change forbids is left out before a module's other edges are judged."""
+    left = materialize(_legal(g, rules, plans, base, True), "plans")
+    return left.where("plan != 'move'").unionByName(_legal(g, rules, left.where("plan = 'move'"), base, False))
+
+
+def _legal(g: Graph, rules: RuleSet, plans: DataFrame, base: DataFrame, own: bool) -> DataFrame:
+    """The plans of which no edge that they add is forbidden; with ``own`` see ``_added``."""
     keys = ["from", "to", "rule", "plan", "target"]
-    added = materialize(_added(g, plans), "added")
+    added = materialize(_added(g, plans, own), "added")
     made = plans.where("plan != 'invert'").select(F.col("target").alias("source")).distinct().withColumns({"coreModule": F.lit(False), "couldNotResolve": F.lit(False), "followable": F.lit(True)})
     known = g.with_(modules=g.modules.unionByName(complete(made, MODULE_COLUMNS), allowMissingColumns=True))
     guess = candidate_edges(added.select(F.col("s_").alias("from"), F.col("t_").alias("to")), known)

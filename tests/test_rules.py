@@ -260,6 +260,23 @@ def rs_dict(rs):
     return [{"name": "r", "severity": "error", "from": {"path": "^c"}, "to": {"path": "^b"}}]
 
 
+def test_fix_plans_meet_each_folder_once(spark, rows):
+    names = ["1", "1/a", "1/a/x", "1/a/x/u", "1/a/y", "1/b", "1/b/x", "2", "2/a", "2/a/x", "1a", "/r", "/r/a"]
+    w = spark.createDataFrame([(n, "ts") for n in names], "folder string, language string").withColumn("w_", wi._ways_up(F.col("folder"))).withColumn("x_", F.explode("w_"))
+    folders = w.select("folder", "language", (F.size("w_") - 1).alias("df_"), "x_.j_", "x_.up_", F.get("w_", F.col("x_.j_") + 1)["up_"].alias("next_"))
+    ends = [("1/a/x", "1/b/x"), ("1/a/x/u", "2/a"), ("1/a", "1/a"), ("", "1/b"), ("/r/a", "1")]
+    v = spark.createDataFrame([(a, b, "ts") for a, b in ends], "ha_ string, hb_ string, la_ string").withColumns({"wa_": wi._ways_up(F.col("ha_")), "wb_": wi._ways_up(F.col("hb_")), "apart_": wi.folder_distance(F.col("ha_"), F.col("hb_"))})
+    each = v.crossJoin(folders.select("folder").distinct()).withColumns({"x": wi.folder_distance(F.col("folder"), F.col("ha_")), "y": wi.folder_distance(F.col("folder"), F.col("hb_"))})
+    for plan, away, least in (("move", F.col("x"), F.lit(0)), ("port", F.col("x") + F.col("y"), F.col("apart_"))):
+        all_ = 0
+        for low, high in zip(wi._RINGS[plan], wi._RINGS[plan][1:]):
+            want = each.withColumn("away", away).where((F.col("away") - least > low) & (F.col("away") - least <= high))
+            got = rows(wi._near(v, folders, plan, low, high, 4), "ha_", "hb_", "folder", "away")
+            assert got == rows(want, "ha_", "hb_", "folder", "away")
+            all_ += len(got)
+        assert all_ == len(ends) * len(names) - (plan == "move") * 4  # nothing moves to where it lies
+
+
 def test_touching(spark, rows):
     v = complete(spark.createDataFrame([("dependency", "r", "e", "a", "b", "1"), ("folder", "r", "e", "s", "t", "2"), ("reachability", "r", "e", "q", "a", "3"), ("dependency", "r", "e", "z", "a", "4")], KN), kn.KNOWN)
     assert rows(wi.touching(v, spark.createDataFrame([("a",), ("s/x/y",)], "source string")), "id") == [("1",), ("2",), ("3",)]

@@ -337,7 +337,7 @@ def v05_dependents_less(spark, d):
 @q(code("SELECT DISTINCT seed AS \"from\", node AS \"to\" FROM r WHERE regexp_matches(node, '^[0-9]+/tools/') AND seed != node", f"r AS (SELECT src AS seed, dst AS node FROM p WHERE {_SEED.replace('source', 'src')} UNION SELECT r.seed, p.dst FROM r JOIN p ON p.src = r.node)", True))
 def v04_reaches_rule(spark, d):
     rs = ru.load({"forbidden": [{"name": "no-way", "severity": "error", "from": {"path": "^[0-9]+/apps/checkout/"}, "to": {"path": "^[0-9]+/tools/", "reachable": True}}]})
-    return ev.module_violations(code_graph(spark, d), rs).select("from", "to")
+    return ev.module_violations(code_graph(spark, d, asked=["dependencyTypes"]), rs).select("from", "to")
 
 
 @q(code("SELECT source FROM m WHERE regexp_matches(source, '^[0-9]+/libs/') AND source NOT IN (SELECT node FROM r WHERE seed != node)", "r AS (SELECT src AS seed, dst AS node FROM p WHERE regexp_matches(src, '^[0-9]+/apps/') UNION SELECT r.seed, p.dst FROM r JOIN p ON p.src = r.node)", True))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depweave.functions import order, regex
 from depweave.operators import evaluate as ev
+from depweave.operators import graph as gr
 from depweave.operators import known as kn
 from depweave.operators import slices as sl
 from depweave.operators import whatif as wi
@@ -180,6 +181,23 @@ def test_cycle_rules_over_pieces(spark, rows, monkeypatch):
     assert rows(ev.evaluate(g, rs).violations.select("from", "to", F.size("cycle").alias("n"))) == [("1/a", "1/b", 2), ("2/a", "2/a", 1)]
 
 
+def test_circular_components_take_no_search_of_cycles(spark, rows, monkeypatch, tmp_path):
+    import random
+
+    from depweave.plans.rule_queries import QUERIES
+
+    rng = random.Random(5)
+    pairs = sorted({(f"{k}{rng.randrange(n)}", f"{k}{rng.randrange(n)}") for k, n, m in (("a", 6, 9), ("b", 5, 12), ("c", 9, 9), ("d", 1, 1)) for _ in range(m)})
+    e = edges(spark, pairs).selectExpr("1L AS run_id", "'r' AS repo", "*", "source AS module", "'import' AS dependencyKind", "false AS coreModule", "false AS couldNotResolve", "false AS matchesDoNotFollow")
+    e.write.parquet(str(tmp_path / "edges.parquet"))
+    g = code_graph(spark, str(tmp_path))
+    v = ev.evaluate(g, ru.load({"forbidden": [{"name": "no-circular", "severity": "error", "to": {"circular": True}}]})).violations
+    want = rows(v.join(gr.components(g.pairs), v["from"] == F.col("node")).select("scc", "rule", "severity").distinct())
+    monkeypatch.setattr(ev, "cycles", None)
+    monkeypatch.setattr(gr, "cycles", None)
+    assert want and rows(QUERIES["v09_circular_components"](spark, str(tmp_path))) == want
+
+
 def test_expiry_is_the_day_after():
     rs = ru.load({"forbidden": [{"name": "r", "expires": "2026-01-31"}]})
     assert ev.expired(rs, date(2026, 1, 31)) == [] and ev.expired(rs, date(2026, 2, 1)) == ["r"]

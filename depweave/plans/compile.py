@@ -8,7 +8,7 @@ equals neither true nor false.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,24 +56,42 @@ def _overlap(types: Column, wanted: Sequence[str]) -> Column:
     return F.coalesce(F.arrays_overlap(types, F.array(*[F.lit(t) for t in wanted])), F.lit(False))
 
 
+def via_asks(v: Via, found: Column | None) -> list[tuple[Callable[[Column], Column], bool]]:
+    """What is asked of the steps of a cycle, and whether it must not hold; ``pathNot`` takes the place of ``path``'s answer."""
+    out: list[tuple[Callable[[Column], Column], bool]] = []
+    if v.pathNot is not None:
+        out.append((lambda s: regex.matches_with(s["name"], v.pathNot, found), True))
+    elif v.path is not None:
+        out.append((lambda s: regex.matches_with(s["name"], v.path, found), False))
+    if v.dependencyTypes is not None:
+        out.append((lambda s: _overlap(s["dependencyTypes"], v.dependencyTypes), False))
+    if v.dependencyTypesNot is not None:
+        out.append((lambda s: _overlap(s["dependencyTypes"], v.dependencyTypesNot), True))
+    return out
+
+
 def via(v: Via | None, cycle: Column, found: Column | None, only: bool) -> Column | None:
-    """Over the steps of the edge's cycle. No cycle passes; ``pathNot`` takes the place of ``path``'s answer."""
+    """Over the steps of the edge's cycle. No cycle passes."""
     if v is None:
         return None
-    some = (lambda f: F.forall(cycle, f)) if only else (lambda f: F.exists(cycle, f))
-    every = (lambda f: F.exists(cycle, f)) if only else (lambda f: F.forall(cycle, f))
     out = F.lit(True)
-    if v.path is not None:
-        out = some(lambda s: regex.matches_with(s["name"], v.path, found))
-    if v.pathNot is not None:
-        out = ~every(lambda s: regex.matches_with(s["name"], v.pathNot, found))
-    if v.dependencyTypes is not None:
-        out = out & some(lambda s: _overlap(s["dependencyTypes"], v.dependencyTypes))
-    if v.dependencyTypesNot is not None:
-        out = out & ~every(lambda s: _overlap(s["dependencyTypes"], v.dependencyTypesNot))
+    for f, no in via_asks(v, found):
+        hit = F.forall(cycle, f) if only != no else F.exists(cycle, f)
+        out = out & (~hit if no else hit)
     return F.when(cycle.isNull(), True).otherwise(out)
 
 
+def via_counted(v: Via | None, hits: list[Column], steps: Column, only: bool) -> Column | None:
+    """``via`` where it is known how many of the steps of a cycle fulfil each of ``via_asks``."""
+    if v is None:
+        return None
+    out = F.lit(True)
+    for n, (_, no) in zip(hits, via_asks(v, None), strict=True):
+        hit = n == steps if only != no else n > 0
+        out = out & (~hit if no else hit)
+    return out
+
+
 def more_unstable(want: bool | None, a: Column, b: Column) -> Column | None:
     """P20."""
     return None if want is None else F.coalesce(a < b if want else a >= b, F.lit(False))

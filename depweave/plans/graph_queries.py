@@ -361,7 +361,8 @@ def v11_project_rule(spark, d):
 @q()
 def v09_cycle_rule(spark, d):
     rs = ru.load({"forbidden": [{"name": "no-circular", "severity": "error", "from": {}, "to": {"circular": True, "viaOnly": {"pathNot": "node_modules"}}}]})
-    return ev.evaluate(code_graph(spark, d), rs).violations.select("from", "to", "rule", F.size("cycle").alias("steps"), "id")
+    g = code_graph(spark, d, asked=["module", "dependencyTypes", "dependencyKind"])
+    return ev.cycle_findings(g, rs).select("from", "to", "rule", "steps", "id")
 
 
 @q(code("SELECT rule, fromMatches, toMatches FROM (SELECT 'no-app-to-tool' AS rule, (SELECT count(*) FROM m WHERE regexp_matches(source, '^[0-9]+/apps/')) AS fromMatches, (SELECT count(*) FROM e WHERE regexp_matches(resolved, '^[0-9]+/tools/')) AS toMatches UNION ALL SELECT 'no-dev', (SELECT count(*) FROM m WHERE NOT regexp_matches(source, '/test/')), 0 UNION ALL SELECT 'unresolved', (SELECT count(*) FROM m), 0 UNION ALL SELECT 'own-package', (SELECT count(*) FROM m WHERE regexp_matches(source, '^([0-9]+)/packages/([^/]+)/')), 0)"))

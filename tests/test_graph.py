@@ -89,6 +89,38 @@ def test_searches_shared_by_target_give_the_same():
     assert seen["alone"] > 1000
 
 
+def test_counted_ways_are_those_of_the_first_cycles():
+    import numpy as np
+
+    from depweave.operators import circuits, local
+
+    rng = random.Random(11)
+    told, dropped = 0, 0
+    for _ in range(500):
+        n = rng.randrange(1, 13)
+        edges = sorted([(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(1, 40))], key=lambda e: e[0])
+        of = local.strong(n, *np.array(edges).T)
+        for c in set(of.tolist()):
+            inside = [(a, b) for a, b in edges if of[a] == c == of[b]]
+            number = {x: i for i, x in enumerate(sorted({x for e in inside for x in e}))}
+            adj = {}
+            for i, (a, b) in enumerate(inside):
+                adj.setdefault(number[a], []).append((number[b], i))
+            if not inside:
+                continue
+            a, b = (np.array([number[e[k]] for e in inside]) for k in (0, 1))
+            step = np.array([[rng.randrange(1000), rng.randrange(2)] for _ in inside])
+            node = 1 << np.arange(len(number), dtype=np.uint64)[:, None]
+            shared = [circuits.first_ways(len(number), a, b, node, step, np.arange(len(number)) % 2 == k) for k in (0, 1)]
+            whole = circuits.first_ways(len(number), a, b, node, step)
+            assert all((x + y == z).all() for x, y, z in zip(*shared, whole))
+            for s, t, n_, names, hits in zip(a.tolist(), b.tolist(), *whole):
+                want = first_cycle(adj, s, t, next(i for x, i in adj[s] if x == t))
+                assert n_ == len(want) and names[0] == sum(1 << x for x, _ in want) and hits.tolist() == [sum(step[i, k] for _, i in want) for k in (0, 1)], (inside, s, t)
+                told, dropped = told + 1, dropped + (not want)
+    assert told > 1000 and dropped > 50
+
+
 def test_cycles_and_components(spark, rows):
     g = graph(spark, SMALL)
     scc = components(g.pairs)

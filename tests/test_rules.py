@@ -181,6 +181,54 @@ def test_cycle_rules_over_pieces(spark, rows, monkeypatch):
     assert rows(ev.evaluate(g, rs).violations.select("from", "to", F.size("cycle").alias("n"))) == [("1/a", "1/b", 2), ("2/a", "2/a", 1)]
 
 
+def _random_graph(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    ends = [(f"{k}{rng.randrange(n)}", f"{k}{rng.randrange(n)}") for k, n, m in (("a", 8, 30), ("b/node_modules/", 4, 9), ("c", 9, 14), ("d", 1, 1)) for _ in range(m)]
+    types = [["local"], ["npm"], ["local", "npm"], None]
+    rows = [(a, i, b, rng.choice(types), rng.choice(["import", "inherits", None])) for i, (a, b) in enumerate([*ends, ("a0", "b/node_modules/0"), ("b/node_modules/1", "a1")])]
+    return spark.createDataFrame(rows, "source string, ord long, resolved string, dependencyTypes array<string>, dependencyKind string")
+
+
+@pytest.mark.parametrize(
+    "to",
+    [
+        [{}],
+        [{"viaOnly": {"pathNot": "node_modules"}}],
+        [{"via": {"path": "[02468]$"}}, {"viaOnly": {"path": "^a"}}, {"via": {"pathNot": "3$", "dependencyTypes": ["npm"]}, "viaOnly": {"dependencyTypesNot": ["core"]}}],
+        [{"viaOnly": {"dependencyTypes": ["local"]}}, {"via": {"dependencyTypesNot": ["local"]}, "dependencyTypes": ["npm"]}],
+    ],
+)
+def test_counted_cycles_give_the_findings_of_whole_ones(spark, rows, to):
+    for seed in (1, 2):
+        g = Graph.of(_random_graph(spark, seed))
+        rs = ru.load({"forbidden": [{"name": f"r{i}", "severity": "error", "comment": f"c{i}", "to": {"circular": True, **t}} for i, t in enumerate(to)]})
+        want = ev.evaluate(g, rs).violations.withColumn("steps", F.size("cycle")).drop("cycle")
+        got = ev.cycle_findings(g, rs)
+        assert sorted(got.columns) == sorted(want.columns)
+        told = lambda df: sorted(map(str, df.select(*sorted(want.columns)).collect()))  # noqa: B023, E731
+        assert told(got) == told(want) != []
+
+
+def test_findings_about_captured_groups_take_whole_cycles(spark):
+    g = Graph.of(edges(spark, [("x1", "y1"), ("y1", "x1"), ("x2", "y3"), ("y3", "x2")]))
+    rs = ru.load({"forbidden": [{"name": "own", "severity": "warn", "from": {"path": "^[xy]([0-9])"}, "to": {"circular": True, "viaOnly": {"path": "^[xy]$1"}}}]})
+    assert [(r["rule"], r["from"], r["steps"]) for r in ev.cycle_findings(g, rs).collect()] == [("own", "x1", 2)]
+
+
+def test_cycle_rule_writes_no_cycle_out(spark, rows, monkeypatch, tmp_path):
+    from depweave.plans.graph_queries import QUERIES
+
+    e = _random_graph(spark, 3).selectExpr("1L AS run_id", "'r' AS repo", "*", "source AS module", "false AS coreModule", "false AS couldNotResolve", "false AS matchesDoNotFollow")
+    e.write.parquet(str(tmp_path / "edges.parquet"))
+    rs = ru.load({"forbidden": [{"name": "no-circular", "severity": "error", "to": {"circular": True, "viaOnly": {"pathNot": "node_modules"}}}]})
+    want = rows(ev.evaluate(code_graph(spark, str(tmp_path)), rs).violations.select("from", "to", "rule", F.size("cycle").alias("steps"), "id"))
+    monkeypatch.setattr(ev, "cycles", None)
+    monkeypatch.setattr(gr, "cycles", None)
+    assert want and rows(QUERIES["v09_cycle_rule"](spark, str(tmp_path))) == want
+
+
 def test_circular_components_take_no_search_of_cycles(spark, rows, monkeypatch, tmp_path):
     import random
 
